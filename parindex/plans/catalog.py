@@ -265,3 +265,181 @@ for _key, _method in [("rank_tfidf", "tfidf"), ("rank_tfidf_doclen", "tfidf_docl
                       ("rank_bm25", "bm25"), ("rank_tfidf_ext", "tfidf_ext"),
                       ("rank_bm25_ext", "bm25_ext")]:
     register(_key, O.rank_sql(STANDARD_QUERIES, _method, K))(_make_rank(_method))
+
+
+# ---------------------------------------------------------------------------
+# vector layout (B) and array helpers
+# ---------------------------------------------------------------------------
+
+from parindex.operators import vector as V  # noqa: E402
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    key = {"table": "vectors", "sf": os.path.abspath(sf_dir), "version": 1}
+    return store.materialized_table(
+        spark, key, lambda: V.section_vectors(in_memory_index(spark, sf_dir).tokens,
+                                              index(spark, sf_dir).sections))
+
+
+def _vec_stats(spark, sf_dir):
+    idx = index(spark, sf_dir)
+    return idx.num_secs(), idx.avg_sec_len()
+
+
+@register("section_vectors", "WITH " + O.corpus_ctes() + f""",
+tp AS (SELECT section_id, term, stem, list_sort(list("offset")) AS offs, count(*) AS tf
+       FROM tokens GROUP BY section_id, term, stem)
+SELECT s.section_id, CAST(s.num_words AS BIGINT) AS num_words,
+       coalesce(v.terms, '') AS terms, coalesce(v.stems, '') AS stems,
+       coalesce(v.offsets, '') AS offsets, coalesce(v.frequencies, '') AS frequencies
+FROM sections s LEFT JOIN (
+  SELECT section_id, string_agg(term, ',' ORDER BY term) AS terms,
+         string_agg(stem, ',' ORDER BY term) AS stems,
+         string_agg({SQL_ARR.format(x='offs')}, ';' ORDER BY term) AS offsets,
+         string_agg(CAST(tf AS VARCHAR), ',' ORDER BY term) AS frequencies
+  FROM tp GROUP BY section_id) v USING (section_id)""")
+def section_vectors(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return v.select("section_id", F.col("num_words").cast("long").alias("num_words"),
+                    F.array_join("terms", ",").alias("terms"), F.array_join("stems", ",").alias("stems"),
+                    F.array_join(F.transform("offsets", lambda o: arr_str(o)), ";").alias("offsets"),
+                    arr_str(F.col("frequencies")).alias("frequencies"))
+
+
+@register("idf_from_vectors", SQL["idf_view"])
+def idf_from_vectors(spark, sf_dir):
+    n, _ = _vec_stats(spark, sf_dir)
+    i = V.idf_from_vectors(vectors(spark, sf_dir), n)
+    return i.select("stem", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"),
+                    F.round("bm25idf", 6).alias("bm25idf"))
+
+
+VECTOR_SEARCH = {"vector_contains": [3, 6, 8, 9, 10, 14], "vector_overlap": [2, 11, 12, 13, 16],
+                 "vector_mixed": [4, 5, 15]}
+
+
+def _make_vec_search(ids):
+    def fn(spark, sf_dir):
+        n, _ = _vec_stats(spark, sf_dir)
+        r = V.vec_search(vectors(spark, sf_dir), queries_of(spark, ids), n)
+        return r.select(F.col("query_id").cast("long").alias("query_id"), "section_id")
+    return fn
+
+
+for _name, _ids in VECTOR_SEARCH.items():
+    register(_name, _search_sql(_ids))(_make_vec_search(_ids))
+
+
+def _make_vec_rank(method):
+    def fn(spark, sf_dir):
+        n, avg = _vec_stats(spark, sf_dir)
+        return _ranked_out(V.vec_rank(vectors(spark, sf_dir), queries_of(spark), n, avg, method, K))
+    return fn
+
+
+for _key, _method in [("vec_rank_tfidf", "tfidf"), ("vec_rank_bm25", "bm25"),
+                      ("vec_rank_tfidf_ext", "tfidf_ext"), ("vec_rank_bm25_ext", "bm25_ext")]:
+    register(_key, O.rank_sql(STANDARD_QUERIES, _method, K))(_make_vec_rank(_method))
+
+OR_QUERIES = [1, 2, 11, 12, 13, 16]
+
+
+@register("bm25_unnest", O.rank_sql(sql_queries(OR_QUERIES), "bm25", K))
+def bm25_unnest(spark, sf_dir):
+    n, avg = _vec_stats(spark, sf_dir)
+    return _ranked_out(V.bm25_unnest(vectors(spark, sf_dir), queries_of(spark, OR_QUERIES), n, avg, K))
+
+
+@register("vector_tf", "WITH " + O.corpus_ctes() + """
+SELECT section_id, count(*) AS tf FROM tokens WHERE stem = 'tion' GROUP BY section_id""")
+def vector_tf(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return v.select("section_id", V.vector_tf(F.col("stems"), F.col("frequencies"), F.lit("tion"))
+                    .cast("long").alias("tf")).filter(F.col("tf") > 0)
+
+
+@register("nested_length", "WITH " + O.corpus_ctes() + """
+SELECT s.section_id, coalesce(n, 0) AS n_offsets
+FROM sections s LEFT JOIN (SELECT section_id, count(*) AS n FROM tokens GROUP BY section_id) t USING (section_id)""")
+def nested_length(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return v.select("section_id", V.nested_length(F.col("offsets")).cast("long").alias("n_offsets"))
+
+
+@register("nested_get", "WITH " + O.corpus_ctes() + """
+SELECT section_id, string_agg(CAST("offset" AS VARCHAR), ',' ORDER BY term, "offset") AS offsets
+FROM tokens WHERE stem = 'tion' GROUP BY section_id""")
+def nested_get(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    idx = F.filter(F.sequence(F.lit(1), F.greatest(F.size("stems"), F.lit(1))),
+                   lambda i: F.get(F.col("stems"), i - 1) == "tion")
+    return v.select("section_id", arr_str(V.nested_get(F.col("offsets"), idx)).alias("offsets")) \
+        .filter(F.col("offsets") != "")
+
+
+PROX_QUERY = ["tion", "erin", "thnd", "eron", "erth"]
+
+
+@register("query_offsets", "WITH " + O.corpus_ctes() + f""",
+qo AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(PROX_QUERY))}) t(qpos, stem)),
+per AS (
+  SELECT t.section_id, qo.qpos, string_agg(CAST(t."offset" AS VARCHAR), ',' ORDER BY t."offset") AS offs
+  FROM tokens t JOIN qo USING (stem) GROUP BY t.section_id, qo.qpos)
+SELECT section_id, string_agg(offs, ';' ORDER BY qpos) AS lists FROM per GROUP BY section_id""")
+def query_offsets(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    q = F.array(*[F.lit(s) for s in PROX_QUERY])
+    lists = V.query_offsets(F.col("stems"), F.col("offsets"), q)
+    return v.select("section_id", F.array_join(F.transform(lists, lambda l: arr_str(l)), ";").alias("lists")) \
+        .filter(F.col("lists") != "")
+
+
+@register("concat_agg", "WITH " + O.corpus_ctes() + """
+SELECT section_id, string_agg(CAST("offset" AS VARCHAR), ',' ORDER BY term, "offset") AS offsets
+FROM tokens GROUP BY section_id""")
+def concat_agg(spark, sf_dir):
+    tp = T.postings(in_memory_index(spark, sf_dir).tokens)
+    g = tp.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("term", "offsets"))).alias("e"))
+    return g.select("section_id", arr_str(F.flatten(F.transform("e", lambda x: x["offsets"]))).alias("offsets"))
+
+
+@register("pair_distance", "WITH " + O.corpus_ctes() + """,
+a AS (SELECT section_id, "offset" AS p FROM tokens WHERE stem = 'eron'),
+b AS (SELECT section_id, "offset" AS p FROM tokens WHERE stem = 'erth'),
+secs AS (SELECT section_id FROM a UNION SELECT section_id FROM b),
+d AS (SELECT a.section_id, min(abs(a.p - b.p)) AS d FROM a JOIN b USING (section_id) GROUP BY a.section_id)
+SELECT secs.section_id, CAST(coalesce(d.d, -1) AS BIGINT) AS distance FROM secs LEFT JOIN d USING (section_id)""")
+def pair_distance(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    a = V.stem_offsets(F.col("stems"), F.col("offsets"), F.lit("eron"))
+    b = V.stem_offsets(F.col("stems"), F.col("offsets"), F.lit("erth"))
+    from parindex.functions.proximity import pair_distance as pd
+    return v.filter(F.arrays_overlap("stems", F.array(F.lit("eron"), F.lit("erth")))) \
+        .select("section_id", pd(a, b).cast("long").alias("distance"))
+
+
+# ---------------------------------------------------------------------------
+# proximity measures per (query, section) of the standard queries' hits
+# ---------------------------------------------------------------------------
+
+def _prox_sql(expr: str) -> str:
+    return ("WITH " + O.corpus_ctes() + "," + O.match_ctes(STANDARD_QUERIES) + "," + O.hit_rows_cte()
+            + "," + O.proximity_ctes() + f"""
+SELECT CAST(query_id AS BIGINT) AS query_id, section_id, round({expr}, 6) AS value FROM prox""")
+
+
+def _prox_spark(col_expr):
+    def fn(spark, sf_dir):
+        idx = index(spark, sf_dir)
+        h = Q.scored_hits(idx, queries_of(spark), with_offsets=True, scores=())
+        h = R.proximity_columns(h, idx.avg_sec_len())
+        return h.select(F.col("query_id").cast("long").alias("query_id"), "section_id",
+                        F.round(col_expr, 6).alias("value"))
+    return fn
+
+
+register("min_dist", _prox_sql("min_dist"))(_prox_spark(F.col("min_dist")))
+register("min_span", _prox_sql("min_span"))(_prox_spark(F.col("min_span")))
+register("bm25_proximity", _prox_sql(
+    f"({D.BM25_EXT_K1} + 1) / (2.0 * ((1 - {D.BM25_EXT_B}) + {D.BM25_EXT_B} * (num_words / "
+    "(SELECT avg_sec_len FROM stats)))) * close_idf / 1000.0"))(_prox_spark(F.col("prox_bm25")))

@@ -92,3 +92,20 @@ def materialized(spark: SparkSession, key: dict, build) -> TextIndex:
     stored.tokens = index.tokens
     _CACHE[path] = stored
     return stored
+
+
+_TABLES: dict[str, DataFrame] = {}
+
+
+def materialized_table(spark: SparkSession, key: dict, build) -> DataFrame:
+    """Write ``build()`` once per ``key`` to the shared folder and read it back
+    (a lineage cut that survives lost executors, unlike a local checkpoint)."""
+    digest = hashlib.sha1(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]
+    path = os.path.join(checkpoint_dir(spark), f"table-{digest}")
+    if path in _TABLES:
+        return _TABLES[path]
+    if not _exists(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    df = spark.read.parquet(path)
+    _TABLES[path] = df
+    return df
