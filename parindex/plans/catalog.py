@@ -443,3 +443,252 @@ register("min_span", _prox_sql("min_span"))(_prox_spark(F.col("min_span")))
 register("bm25_proximity", _prox_sql(
     f"({D.BM25_EXT_K1} + 1) / (2.0 * ((1 - {D.BM25_EXT_B}) + {D.BM25_EXT_B} * (num_words / "
     "(SELECT avg_sec_len FROM stats)))) * close_idf / 1000.0"))(_prox_spark(F.col("prox_bm25")))
+
+
+# ---------------------------------------------------------------------------
+# dictionaries, coded postings, layouts
+# ---------------------------------------------------------------------------
+
+from parindex.operators import layout as L  # noqa: E402
+
+
+def stems_dict(spark, sf_dir) -> DataFrame:
+    key = {"table": "stem_dict", "sf": os.path.abspath(sf_dir), "version": 1}
+    return store.materialized_table(
+        spark, key, lambda: D.stem_dict(index(spark, sf_dir).postings.select("stem")))
+
+
+def vocab(spark, sf_dir) -> DataFrame:
+    key = {"table": "vocabulary", "sf": os.path.abspath(sf_dir), "version": 1}
+    return store.materialized_table(
+        spark, key, lambda: D.vocabulary(in_memory_index(spark, sf_dir).tokens, stems_dict(spark, sf_dir)))
+
+
+SQL_STEM_DICT = """
+stem_dict AS (SELECT row_number() OVER (ORDER BY stem) AS stem_id, stem FROM (SELECT DISTINCT stem FROM tokens)),
+vocab AS (
+  SELECT row_number() OVER (ORDER BY t.term) AS term_id, t.term, sd.stem_id
+  FROM (SELECT DISTINCT term, stem FROM tokens) t JOIN stem_dict sd USING (stem))"""
+
+
+@register("stem_dict", "WITH " + O.corpus_ctes() + "," + SQL_STEM_DICT + """
+SELECT CAST(stem_id AS BIGINT) AS stem_id, stem FROM stem_dict""")
+def stem_dict(spark, sf_dir):
+    return stems_dict(spark, sf_dir).select(F.col("stem_id").cast("long"), "stem")
+
+
+@register("vocabulary", "WITH " + O.corpus_ctes() + "," + SQL_STEM_DICT + """
+SELECT CAST(term_id AS BIGINT) AS term_id, term, CAST(stem_id AS BIGINT) AS stem_id FROM vocab""")
+def vocabulary(spark, sf_dir):
+    return vocab(spark, sf_dir).select(F.col("term_id").cast("long"), "term", F.col("stem_id").cast("long"))
+
+
+@register("lookup_terms", "WITH " + O.corpus_ctes() + "," + SQL_STEM_DICT + "," +
+          O.query_values(STANDARD_QUERIES) + """
+SELECT DISTINCT CAST(q.query_id AS BIGINT) AS query_id, q.stem, CAST(sd.stem_id AS BIGINT) AS stem_id
+FROM q JOIN stem_dict sd USING (stem)""")
+def lookup_terms(spark, sf_dir):
+    r = D.lookup_terms(queries_of(spark), stems_dict(spark, sf_dir))
+    return r.select(F.col("query_id").cast("long"), "stem", F.col("stem_id").cast("long")).distinct()
+
+
+def coded_postings(spark, sf_dir, id_type="long"):
+    tp = T.postings(in_memory_index(spark, sf_dir).tokens)
+    return D.encode_postings(tp, vocab(spark, sf_dir), id_type)
+
+
+@register("encode_postings", "WITH " + O.corpus_ctes() + "," + SQL_STEM_DICT + f""",
+tp AS (SELECT section_id, term, list_sort(list("offset")) AS offs, count(*) AS tf FROM tokens GROUP BY section_id, term)
+SELECT tp.section_id, CAST(v.term_id AS BIGINT) AS term_id, CAST(v.stem_id AS BIGINT) AS stem_id,
+       {SQL_ARR.format(x='tp.offs')} AS offsets, CAST(tp.tf AS BIGINT) AS tf
+FROM tp JOIN vocab v USING (term)""")
+def encode_postings(spark, sf_dir):
+    c = coded_postings(spark, sf_dir)
+    return c.select("section_id", "term_id", "stem_id", arr_str(F.col("offsets")).alias("offsets"),
+                    F.col("tf").cast("long"))
+
+
+LOOKUP_TERMS = {1: "tion", 2: "erin", 3: "thnd", 4: "eron", 5: "zzznope"}
+SQL_LOOKUP = "lk AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{t}')" for i, t in LOOKUP_TERMS.items()) + ") t(query_id, term))"
+
+
+def _lookup_df(spark):
+    return spark.createDataFrame(list(LOOKUP_TERMS.items()), "query_id int, term string")
+
+
+_PASSAGES_SQL = "WITH " + O.corpus_ctes() + "," + SQL_LOOKUP + """
+SELECT CAST(lk.query_id AS BIGINT) AS query_id, CAST(count(DISTINCT t.section_id) AS BIGINT) AS num_passages
+FROM tokens t JOIN lk USING (term) GROUP BY lk.query_id"""
+
+
+@register("passages_by_text", _PASSAGES_SQL)
+def passages_by_text(spark, sf_dir):
+    tp = T.postings(in_memory_index(spark, sf_dir).tokens)
+    r = Q.passages_by_text(tp, _lookup_df(spark))
+    return r.select(F.col("query_id").cast("long"), F.col("num_passages").cast("long"))
+
+
+@register("passages_by_id", _PASSAGES_SQL)
+def passages_by_id(spark, sf_dir):
+    r = Q.passages_by_id(coded_postings(spark, sf_dir, "int"), vocab(spark, sf_dir), _lookup_df(spark))
+    return r.select(F.col("query_id").cast("long"), F.col("num_passages").cast("long"))
+
+
+@register("encoding_report", "WITH " + O.corpus_ctes() + """,
+tp AS (SELECT DISTINCT section_id, term FROM tokens)
+SELECT CAST(count(*) AS BIGINT) AS postings_rows, CAST(count(DISTINCT term) AS BIGINT) AS vocabulary_terms,
+       CAST(sum(strlen(term)) AS BIGINT) AS text_key_bytes, CAST(count(*) * 4 AS BIGINT) AS int_key_bytes,
+       CAST(count(*) * 8 AS BIGINT) AS bigint_key_bytes FROM tp""")
+def encoding_report(spark, sf_dir):
+    from parindex.operators.evaluate import encoding_report as er
+    return er(T.postings(in_memory_index(spark, sf_dir).tokens))
+
+
+def _coded_stem_postings(spark, sf_dir):
+    tp = T.postings(in_memory_index(spark, sf_dir).tokens)
+    return tp.join(stems_dict(spark, sf_dir), "stem").select("section_id", "stem_id", "tf")
+
+
+_LAYOUT_BASE = "WITH " + O.corpus_ctes() + "," + SQL_STEM_DICT + """,
+tp AS (SELECT t.section_id, sd.stem_id FROM (SELECT DISTINCT section_id, term, stem FROM tokens) t
+       JOIN stem_dict sd USING (stem))"""
+
+
+@register("layout_hash", _LAYOUT_BASE + """
+SELECT CAST(stem_id % 4 AS INTEGER) AS part, CAST(count(*) AS BIGINT) AS num_rows FROM tp GROUP BY part""")
+def layout_hash(spark, sf_dir):
+    return L.part_sizes(L.hash_layout(_coded_stem_postings(spark, sf_dir), 4)) \
+        .select("part", F.col("num_rows").cast("long"))
+
+
+_RANGE_PART = ("CAST(least(floor((stem_id - (SELECT min(stem_id) FROM tp)) / "
+               "((SELECT max(stem_id) - min(stem_id) + 1 FROM tp) / 4.0)), 3) AS INTEGER)")
+
+
+@register("layout_range", _LAYOUT_BASE + f"""
+SELECT {_RANGE_PART} AS part, CAST(count(*) AS BIGINT) AS num_rows FROM tp GROUP BY part""")
+def layout_range(spark, sf_dir):
+    return L.part_sizes(L.range_layout(_coded_stem_postings(spark, sf_dir), 4)) \
+        .select("part", F.col("num_rows").cast("long"))
+
+
+@register("layout_skew", _LAYOUT_BASE + f""",
+sizes AS (
+  SELECT 'hash' AS layout, count(*) AS num_rows FROM tp GROUP BY stem_id % 4
+  UNION ALL SELECT 'range', count(*) FROM tp GROUP BY {_RANGE_PART})
+SELECT layout, CAST(count(*) AS BIGINT) AS parts, CAST(max(num_rows) AS BIGINT) AS max_rows,
+       round(avg(num_rows), 6) AS avg_rows, round(max(num_rows) / avg(num_rows), 6) AS skew
+FROM sizes GROUP BY layout""")
+def layout_skew(spark, sf_dir):
+    p = _coded_stem_postings(spark, sf_dir)
+    return L.skew_report(L.part_sizes(L.hash_layout(p, 4)), "hash").unionByName(
+        L.skew_report(L.part_sizes(L.range_layout(p, 4)), "range"))
+
+
+# ---------------------------------------------------------------------------
+# re-ranking, all rankings, titles, truncation
+# ---------------------------------------------------------------------------
+
+def _rerank_sql(queries, k):
+    return ("WITH " + O.corpus_ctes() + "," + O.match_ctes(queries) + "," + O.hit_rows_cte() + ","
+            + O.proximity_ctes() + f""",
+first AS (
+  SELECT query_id, section_id FROM (
+    SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id
+           ORDER BY round({O.score_sql('tfidf_doclen')}, 6) DESC, section_id DESC) AS r FROM prox)
+  WHERE r <= {k}),
+second AS (SELECT p.* FROM prox p JOIN first f USING (query_id, section_id))"""
+            + O.top_k_sql("second", O.score_sql("tfidf_ext"), k))
+
+
+@register("rerank_two_stage", _rerank_sql(STANDARD_QUERIES, K))
+def rerank_two_stage(spark, sf_dir):
+    return _ranked_out(R.rerank_two_stage(index(spark, sf_dir), queries_of(spark), K))
+
+
+def _rank_all_sql(queries, k):
+    parts = []
+    for m in ["tfidf", "bm25", "tfidf_ext", "bm25_ext"]:
+        parts.append(f"""SELECT query_id, '{m}' AS method, section_id, round({O.score_sql(m)}, 6) AS score FROM prox""")
+    return ("WITH " + O.corpus_ctes() + "," + O.match_ctes(queries) + "," + O.hit_rows_cte() + ","
+            + O.proximity_ctes() + ",\nall_scores AS (" + "\nUNION ALL ".join(parts) + f""")
+SELECT CAST(query_id AS BIGINT) AS query_id, method, CAST(rank AS BIGINT) AS rank, section_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, section_id DESC) AS rank
+  FROM all_scores) WHERE rank <= {k}""")
+
+
+@register("rank_all", _rank_all_sql(STANDARD_QUERIES, K))
+def rank_all(spark, sf_dir):
+    r = R.rank_all(index(spark, sf_dir), queries_of(spark), K)
+    return r.select(F.col("query_id").cast("long"), "method", F.col("rank").cast("long"), "section_id", "score")
+
+
+@register("ranked_titles", O.rank_sql(STANDARD_QUERIES, "bm25", K).replace(
+    "\nSELECT query_id, CAST(rank AS BIGINT) AS rank, section_id, score FROM (",
+    "\nSELECT r.*, c.title FROM corpus c JOIN (\nSELECT query_id, CAST(rank AS BIGINT) AS rank, section_id, score FROM (",
+    1) + ") r ON c.doc_id = r.section_id // 1048576")
+def ranked_titles(spark, sf_dir):
+    r = R.ranked_titles(R.rank(index(spark, sf_dir), queries_of(spark), "bm25", K), corpus(spark, sf_dir))
+    return r.select(F.col("query_id").cast("long"), F.col("rank").cast("long"), "section_id", "score", "title")
+
+
+@register("score_trunc", "SELECT *, trunc(score * 1000) / 1000 AS score_trunc FROM (" +
+          O.rank_sql(STANDARD_QUERIES, "bm25", K) + ")")
+def score_trunc(spark, sf_dir):
+    return R.score_trunc(_ranked_out(R.rank(index(spark, sf_dir), queries_of(spark), "bm25", K)))
+
+
+# ---------------------------------------------------------------------------
+# evaluation
+# ---------------------------------------------------------------------------
+
+from parindex.operators import evaluate as E  # noqa: E402
+
+K_EVAL = 30
+EVAL_QUERIES = [1, 2, 3, 4, 5, 11, 13, 14]
+
+
+def _truth_labels(spark, sf_dir):
+    """Relevant sections, shared by every query: all sections of documents
+    labelled quality = 1."""
+    good = table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select("doc_id")
+    return index(spark, sf_dir).sections.join(good, "doc_id", "left_semi").select("section_id")
+
+
+_TRUTH_SQL = O.query_values(sql_queries(EVAL_QUERIES)).replace("q AS", "eq AS", 1) + """,
+truth AS (
+  SELECT eq.query_id, s.section_id FROM sections s JOIN labels l ON l.doc_id = s.doc_id AND l.quality = 1
+  JOIN (SELECT DISTINCT query_id FROM eq) eq ON true),
+n_truth AS (SELECT query_id, count(*) AS n FROM truth GROUP BY query_id)"""
+
+
+def _ap_sql():
+    base = O.rank_sql(sql_queries(EVAL_QUERIES), "bm25", K_EVAL)
+    head, tail = base.split("\nSELECT query_id, CAST(rank AS BIGINT)", 1)
+    return head + "," + _TRUTH_SQL + """,
+ranked AS (SELECT query_id, CAST(rank AS BIGINT)""" + tail + """),
+marks AS (
+  SELECT r.query_id, r.rank, CASE WHEN t.section_id IS NULL THEN 0 ELSE 1 END AS hit
+  FROM ranked r JOIN n_truth n USING (query_id)
+  LEFT JOIN truth t ON t.query_id = r.query_id AND t.section_id = r.section_id
+  WHERE r.rank <= n.n),
+running AS (SELECT query_id, rank, hit, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM marks),
+ap AS (SELECT query_id, avg(hits / rank) AS ap FROM running WHERE hit = 1 GROUP BY query_id),
+ids AS (SELECT query_id FROM ranked UNION SELECT query_id FROM truth)
+SELECT CAST(ids.query_id AS BIGINT) AS query_id, round(coalesce(ap.ap, 0.0), 6) AS average_precision
+FROM ids LEFT JOIN ap USING (query_id)"""
+
+
+@register("average_precision", _ap_sql())
+def average_precision(spark, sf_dir):
+    ranked = R.rank(index(spark, sf_dir), queries_of(spark, EVAL_QUERIES), "bm25", K_EVAL)
+    ap = E.average_precision(ranked, _truth_labels(spark, sf_dir))
+    return ap.select(F.col("query_id").cast("long"), F.round("average_precision", 6).alias("average_precision"))
+
+
+@register("mean_average_precision", "SELECT round(avg(average_precision), 6) AS map FROM (" + _ap_sql() + ")")
+def mean_average_precision(spark, sf_dir):
+    ranked = R.rank(index(spark, sf_dir), queries_of(spark, EVAL_QUERIES), "bm25", K_EVAL)
+    ap = E.average_precision(ranked, _truth_labels(spark, sf_dir))
+    return ap.agg(F.round(F.avg("average_precision"), 6).alias("map"))
