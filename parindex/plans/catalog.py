@@ -692,3 +692,161 @@ def mean_average_precision(spark, sf_dir):
     ranked = R.rank(index(spark, sf_dir), queries_of(spark, EVAL_QUERIES), "bm25", K_EVAL)
     ap = E.average_precision(ranked, _truth_labels(spark, sf_dir))
     return ap.agg(F.round(F.avg("average_precision"), 6).alias("map"))
+
+
+# ---------------------------------------------------------------------------
+# text-search layout (C form)
+# ---------------------------------------------------------------------------
+
+from parindex.operators import tsv as C  # noqa: E402
+
+
+@register("tsvector_build", "WITH " + O.corpus_ctes() + f"""
+SELECT section_id, string_agg(stem || ':' || {SQL_ARR.format(x='offsets')}, ' ' ORDER BY stem) AS tsv
+FROM postings GROUP BY section_id""")
+def tsvector_build(spark, sf_dir):
+    t = C.tsvector_table(index(spark, sf_dir))
+    return t.select("section_id", F.array_join(F.transform(
+        "tsv", lambda e: F.concat(e["lexeme"], F.lit(":"), arr_str(e["positions"]))), " ").alias("tsv"))
+
+
+@register("term_stats", "WITH " + O.corpus_ctes() + """
+SELECT stem AS lexeme, count(*) AS ndoc, sum(tf) AS nentry FROM postings GROUP BY stem""")
+def term_stats(spark, sf_dir):
+    t = C.term_stats(C.tsvector_table(index(spark, sf_dir)))
+    return t.select("lexeme", F.col("ndoc").cast("long"), F.col("nentry").cast("long"))
+
+
+@register("num_words_blank", "WITH " + O.corpus_ctes() + """
+SELECT section_id, CAST(len(string_split(section, ' ')) AS BIGINT) AS num_words FROM sections0""")
+def num_words_blank(spark, sf_dir):
+    s = T.split_sections(corpus(spark, sf_dir))
+    return C.num_words_blank(s).select("section_id", F.col("num_words").cast("long"))
+
+
+@register("tsv_offsets", "WITH " + O.corpus_ctes() + f"""
+SELECT section_id, {SQL_ARR.format(x='offsets')} AS positions FROM postings WHERE stem = 'erin'""")
+def tsv_offsets(spark, sf_dir):
+    t = C.tsvector_table(index(spark, sf_dir))
+    pos = C.tsv_offsets(F.col("tsv"), F.lit("erin"))
+    return t.select("section_id", arr_str(pos).alias("positions")).filter(F.col("positions").isNotNull())
+
+
+NOT_QUERIES = {1: ("tion", ["erin"]), 2: ("tion OR eron", ["erth"]), 3: ("tion AND erin", ["thnd"]),
+               4: ("erth", ["zzznope"])}
+
+
+def _not_sql():
+    pos = {q: t for q, (t, _) in NOT_QUERIES.items()}
+    negs = ", ".join(f"({q}, '{s}')" for q, (_, ns) in NOT_QUERIES.items() for s in ns)
+    return ("WITH " + O.corpus_ctes() + "," + O.match_ctes(pos) + f""",
+neg AS (SELECT * FROM (VALUES {negs}) t(query_id, stem)),
+bad AS (SELECT DISTINCT neg.query_id, p.section_id FROM postings p JOIN neg USING (stem))
+SELECT CAST(m.query_id AS BIGINT) AS query_id, m.section_id FROM matches m
+WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.query_id = m.query_id AND b.section_id = m.section_id)""")
+
+
+@register("match_not", _not_sql())
+def match_not(spark, sf_dir):
+    pos = query_table(spark, {q: t for q, (t, _) in NOT_QUERIES.items()})
+    neg = spark.createDataFrame([(q, s) for q, (_, ns) in NOT_QUERIES.items() for s in ns],
+                                "query_id int, stem string")
+    r = C.match_not(index(spark, sf_dir), pos, neg)
+    return r.select(F.col("query_id").cast("long"), "section_id")
+
+
+PHRASES = {1: [("tion", 0), ("erin", 1)], 2: [("eron", 0), ("erth", 1)], 3: [("tion", 0), ("erin", 2)],
+           4: [("erin", 0), ("tion", 1)], 5: [("tion", 0), ("erin", 3), ("eron", 4)]}
+
+
+def _phrase_sql():
+    parts = []
+    for q, steps in PHRASES.items():
+        sel = [f"o0.section_id"]
+        frm = [f"(SELECT section_id, unnest(offsets) AS pos FROM postings WHERE stem = '{steps[0][0]}') o0"]
+        for i, (stem, dist) in enumerate(steps[1:], start=1):
+            frm.append(f"JOIN (SELECT section_id, unnest(offsets) AS pos FROM postings WHERE stem = '{stem}') o{i} "
+                       f"ON o{i}.section_id = o0.section_id AND o{i}.pos = o{i-1}.pos + {dist}")
+        parts.append(f"SELECT DISTINCT CAST({q} AS BIGINT) AS query_id, {sel[0]} AS section_id FROM " + " ".join(frm))
+    return "WITH " + O.corpus_ctes() + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("match_phrase", _phrase_sql())
+def match_phrase(spark, sf_dir):
+    rows = [(q, i, s, d) for q, steps in PHRASES.items() for i, (s, d) in enumerate(steps)]
+    ph = spark.createDataFrame(rows, "query_id int, step int, stem string, dist int")
+    r = C.match_phrase(index(spark, sf_dir), ph)
+    return r.select(F.col("query_id").cast("long"), "section_id")
+
+
+def _c_rank_sql(score: str, extra_ctes: str = "", where: str = "") -> str:
+    src = f"(SELECT * FROM cscore {where})"
+    return ("WITH " + O.corpus_ctes() + "," + O.match_ctes(STANDARD_QUERIES) + "," + O.hit_rows_cte() + ","
+            + O.proximity_ctes() + extra_ctes + "\n" + O.top_k_sql(src, score, K))
+
+
+_FREQ_CTES = """,
+nq AS (SELECT query_id, count(*) AS nq FROM qs GROUP BY query_id),
+fr AS (SELECT query_id, section_id,
+              sum(list_sum(list_transform(range(1, tf + 1), lambda j: 1.0 / (j * j)))) AS f
+       FROM hit_rows GROUP BY query_id, section_id),
+cscore AS (SELECT p.*, fr.f / nq.nq AS freq FROM prox p JOIN fr USING (query_id, section_id) JOIN nq USING (query_id))"""
+
+
+@register("rank_freq", _c_rank_sql("freq", _FREQ_CTES))
+def rank_freq(spark, sf_dir):
+    return _ranked_out(C.rank_freq(index(spark, sf_dir), queries_of(spark), K, norm=0))
+
+
+@register("rank_freq_norm", _c_rank_sql("freq / (1 + ln(num_words))", _FREQ_CTES))
+def rank_freq_norm(spark, sf_dir):
+    return _ranked_out(C.rank_freq(index(spark, sf_dir), queries_of(spark), K, norm=1))
+
+
+_COVER_CTES = f""",
+cov AS (
+  SELECT w.query_id, w.section_id, w.pos, w.pos - w.span AS start, w.span + 1 AS len
+  FROM win_span w JOIN nst USING (query_id, section_id) WHERE w.seen = nst.n),
+cov2 AS (SELECT *, lag(start) OVER (PARTITION BY query_id, section_id ORDER BY pos) AS prev FROM cov),
+cd AS (
+  SELECT query_id, section_id,
+         sum(CASE WHEN prev IS NULL OR start > prev THEN
+                  CASE WHEN len <= {C.COVER_K} THEN 1.0 ELSE {float(C.COVER_K)} / len END ELSE 0.0 END) AS cd
+  FROM cov2 GROUP BY query_id, section_id),
+cscore AS (SELECT p.*, cd.cd FROM prox p JOIN cd USING (query_id, section_id))"""
+
+
+@register("rank_cover_density", _c_rank_sql("cd", _COVER_CTES))
+def rank_cover_density(spark, sf_dir):
+    return _ranked_out(C.rank_cover_density(index(spark, sf_dir), queries_of(spark), K))
+
+
+_SLOPPY_CTES = """,
+nall AS (SELECT query_id, count(DISTINCT stem) AS nall FROM q GROUP BY query_id),
+cscore AS (
+  SELECT p.*, CASE WHEN p.n_lists < 2 THEN 1.0 ELSE 1.0 / (1 + sp.span - (p.n_lists - 1)) END AS sloppy
+  FROM prox p JOIN nall USING (query_id) LEFT JOIN sp USING (query_id, section_id)
+  WHERE p.n_lists = nall.nall)"""
+
+
+@register("rank_sloppy_phrase", _c_rank_sql("sloppy", _SLOPPY_CTES))
+def rank_sloppy_phrase(spark, sf_dir):
+    return _ranked_out(C.rank_sloppy_phrase(index(spark, sf_dir), queries_of(spark), K))
+
+
+def _tsv_index(spark, sf_dir):
+    """The text-search model's index: DF counts sections; length is the
+    blank-split word count."""
+    return index(spark, sf_dir)
+
+
+@register("tsv_rank_tfidf", O.rank_sql(STANDARD_QUERIES, "tfidf", K).replace(
+    "CAST(sum(n_terms) AS DOUBLE) AS df", "CAST(count(*) AS DOUBLE) AS df"))
+def tsv_rank_tfidf(spark, sf_dir):
+    return _ranked_out(R.rank(index(spark, sf_dir), queries_of(spark), "tfidf", K, df_mode="sections"))
+
+
+@register("tsv_rank_bm25", O.rank_sql(STANDARD_QUERIES, "bm25", K).replace(
+    "CAST(sum(n_terms) AS DOUBLE) AS df", "CAST(count(*) AS DOUBLE) AS df"))
+def tsv_rank_bm25(spark, sf_dir):
+    return _ranked_out(R.rank(index(spark, sf_dir), queries_of(spark), "bm25", K, df_mode="sections"))
