@@ -756,7 +756,9 @@ def match_not(spark, sf_dir):
 
 
 PHRASES = {1: [("tion", 0), ("erin", 1)], 2: [("eron", 0), ("erth", 1)], 3: [("tion", 0), ("erin", 2)],
-           4: [("erin", 0), ("tion", 1)], 5: [("tion", 0), ("erin", 3), ("eron", 4)]}
+           4: [("erin", 0), ("tion", 1)], 5: [("tion", 0), ("erin", 3), ("eron", 4)],
+           6: [("la", 0), ("de", 1)], 7: [("le", 0), ("de", 1)], 8: [("de", 0), ("la", 1), ("de", 1)],
+           9: [("de", 0), ("de", 2)]}
 
 
 def _phrase_sql():
@@ -850,3 +852,117 @@ def tsv_rank_tfidf(spark, sf_dir):
     "CAST(sum(n_terms) AS DOUBLE) AS df", "CAST(count(*) AS DOUBLE) AS df"))
 def tsv_rank_bm25(spark, sf_dir):
     return _ranked_out(R.rank(index(spark, sf_dir), queries_of(spark), "bm25", K, df_mode="sections"))
+
+
+# ---------------------------------------------------------------------------
+# maintenance: sample, build-all, counts, append, delete, vocabulary clean-up
+# ---------------------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from parindex.operators import maintain as M  # noqa: E402
+from parindex.operators import vector as Vv  # noqa: E402,F811
+from parindex.session import checkpoint_dir  # noqa: E402
+
+SAMPLE_FRACTION = 0.25
+
+
+@register("corpus_sample", f"""
+SELECT doc_id, 'doc-' || CAST(doc_id AS VARCHAR) AS title FROM documents
+WHERE ((((((doc_id % 2147483646) + 1) * 48271 % 2147483647) * 48271 % 2147483647) * 48271) % 2147483647)
+      / 2147483647.0 < {SAMPLE_FRACTION}""")
+def corpus_sample(spark, sf_dir):
+    return M.sample(corpus(spark, sf_dir), SAMPLE_FRACTION).select("doc_id", "title")
+
+
+@register("build_all", "WITH " + O.corpus_ctes() + """
+SELECT 'postings' AS layout, CAST(count(*) AS BIGINT) AS num_rows FROM (SELECT DISTINCT section_id, term FROM tokens)
+UNION ALL SELECT 'vectors', CAST(count(*) AS BIGINT) FROM sections
+UNION ALL SELECT 'tsvectors', CAST(count(DISTINCT section_id) AS BIGINT) FROM postings
+UNION ALL SELECT 'sections', CAST(count(*) AS BIGINT) FROM sections""")
+def build_all(spark, sf_dir):
+    """Every layout from one tokens pass (the tokens are persisted once and
+    the three layouts derived from them)."""
+    built = D.build_index(corpus(spark, sf_dir))
+    toks = built.tokens.persist()
+    idx = D.TextIndex(sections=built.sections, tokens=toks, postings=D.stem_postings(toks))
+    a = T.postings(toks)
+    b = Vv.section_vectors(toks, idx.sections)
+    c = C.tsvector_table(idx)
+    def cnt(df, name):
+        return df.agg(F.count(F.lit(1)).cast("long").alias("num_rows")).select(F.lit(name).alias("layout"), "num_rows")
+    return cnt(a, "postings").unionByName(cnt(b, "vectors")).unionByName(cnt(c, "tsvectors")) \
+        .unionByName(cnt(idx.sections, "sections"))
+
+
+@register("index_counts", "WITH " + O.corpus_ctes() + """
+SELECT 'documents' AS table_name, CAST(count(*) AS BIGINT) AS num_rows FROM corpus
+UNION ALL SELECT 'sections', count(*) FROM sections
+UNION ALL SELECT 'postings', count(*) FROM postings
+UNION ALL SELECT 'stems', count(DISTINCT stem) FROM postings""")
+def index_counts(spark, sf_dir):
+    return M.index_counts(corpus(spark, sf_dir), index(spark, sf_dir), stems_dict(spark, sf_dir))
+
+
+@register("append_docs", SQL["idf_view"])
+def append_docs(spark, sf_dir):
+    """Index the English documents, then append a batch holding every
+    document (the English ones again are recognised and skipped); the IDF
+    snapshot of the result equals that of the one-pass build."""
+    docs = corpus(spark, sf_dir)
+    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    base = docs.join(lang.filter(F.col("lang") == "en"), "doc_id", "left_semi")
+    idx = M.append_docs(D.build_index(base), docs)
+    i = idx.idf()
+    return i.select("stem", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"),
+                    F.round("bm25idf", 6).alias("bm25idf"))
+
+
+DELETE_SOURCE = "src3"
+
+
+@register("delete_docs", "WITH " + O.corpus_ctes().replace(
+    "FROM documents)", f"FROM documents WHERE source <> '{DELETE_SOURCE}')", 1) + """
+SELECT 'documents' AS table_name, CAST(count(*) AS BIGINT) AS num_rows FROM corpus
+UNION ALL SELECT 'sections', count(*) FROM sections
+UNION ALL SELECT 'postings', count(*) FROM postings""")
+def delete_docs(spark, sf_dir):
+    """Delete every document of one source by title."""
+    docs = corpus(spark, sf_dir)
+    titles = table(spark, sf_dir, "documents").filter(F.col("source") == DELETE_SOURCE) \
+        .select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"))
+    idx = M.delete_docs(index(spark, sf_dir), docs, titles)
+    kept = docs.join(titles, "title", "left_anti")
+    return M.index_counts(kept, idx)
+
+
+@register("vocab_gc", "WITH " + O.corpus_ctes() + "," + SQL_STEM_DICT + f""",
+kept AS (
+  SELECT DISTINCT t.term FROM tokens t
+  WHERE t.section_id // 1048576 NOT IN (SELECT doc_id FROM documents WHERE source = '{DELETE_SOURCE}'))
+SELECT CAST(v.term_id AS BIGINT) AS term_id, v.term, CAST(v.stem_id AS BIGINT) AS stem_id
+FROM vocab v JOIN kept USING (term)""")
+def vocab_gc(spark, sf_dir):
+    """After deleting a source's documents, drop terms without postings
+    and stems without terms; returns the surviving vocabulary."""
+    docs = corpus(spark, sf_dir)
+    titles = table(spark, sf_dir, "documents").filter(F.col("source") == DELETE_SOURCE) \
+        .select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"))
+    idx = M.delete_docs(in_memory_index(spark, sf_dir), docs, titles)
+    v, _ = M.vocab_gc(vocab(spark, sf_dir), stems_dict(spark, sf_dir), T.postings(idx.tokens))
+    return v.select(F.col("term_id").cast("long"), "term", F.col("stem_id").cast("long"))
+
+
+@register("stream_append", SQL["idf_view"])
+def stream_append(spark, sf_dir):
+    """Structured Streaming: the documents arrive as four files; each
+    micro-batch is indexed by ``foreachBatch``; the IDF snapshot over the
+    streamed index equals the batch build."""
+    from parindex.streaming.append import stream_index
+    base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex[:12]}")
+    src = os.path.join(base, "source")
+    table(spark, sf_dir, "documents").repartitionByRange(4, "doc_id").write.parquet(src)
+    idx = stream_index(spark, src, os.path.join(base, "index"), os.path.join(base, "checkpoint"))
+    i = idx.idf()
+    return i.select("stem", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"),
+                    F.round("bm25idf", 6).alias("bm25idf"))

@@ -44,9 +44,11 @@ def with_bucket(df: DataFrame, buckets: int) -> DataFrame:
     return df.withColumn("bucket", stem_bucket(F.col("stem"), buckets))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _exists(spark: SparkSession, path: str, marker: bool = True) -> bool:
+    """Whether ``path`` (with Spark's ``_SUCCESS`` marker) exists, through the
+    Hadoop file system of the path (works for any shared storage)."""
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS" if marker else path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.exists(hpath)
 
