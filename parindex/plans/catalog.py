@@ -966,3 +966,144 @@ def stream_append(spark, sf_dir):
     i = idx.idf()
     return i.select("stem", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"),
                     F.round("bm25idf", 6).alias("bm25idf"))
+
+
+# ---------------------------------------------------------------------------
+# evaluation: MAP matrix, agreement, count checks, profile, query factors
+# ---------------------------------------------------------------------------
+
+MAP_METHODS = ["tfidf", "tfidf_ext", "bm25", "bm25_ext"]
+
+
+def _rankings_sql(queries, k):
+    parts = [f"SELECT query_id, '{m}' AS method, section_id, round({O.score_sql(m)}, 6) AS score FROM prox"
+             for m in MAP_METHODS]
+    return (O.corpus_ctes() + "," + O.match_ctes(queries) + "," + O.hit_rows_cte() + "," + O.proximity_ctes()
+            + ",\nall_scores AS (" + "\nUNION ALL ".join(parts) + f"""),
+rankings AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, method ORDER BY score DESC, section_id DESC) AS rank
+  FROM all_scores) WHERE rank <= {k})""")
+
+
+@register("map_matrix", "WITH " + _rankings_sql(sql_queries(EVAL_QUERIES), K_EVAL) + """,
+sizes AS (SELECT method AS truth_method, query_id, count(*) AS n FROM rankings GROUP BY method, query_id),
+pairs AS (
+  SELECT s.truth_method, t.method AS test_method, t.query_id, t.rank,
+         CASE WHEN tr.section_id IS NULL THEN 0 ELSE 1 END AS hit
+  FROM rankings t JOIN sizes s ON s.query_id = t.query_id
+  LEFT JOIN rankings tr ON tr.method = s.truth_method AND tr.query_id = t.query_id AND tr.section_id = t.section_id
+  WHERE t.rank <= s.n),
+running AS (
+  SELECT *, sum(hit) OVER (PARTITION BY truth_method, test_method, query_id ORDER BY rank) AS hits FROM pairs),
+ap AS (
+  SELECT truth_method, test_method, query_id,
+         coalesce(avg(CASE WHEN hit = 1 THEN hits / rank END), 0.0) AS ap
+  FROM running GROUP BY truth_method, test_method, query_id)
+SELECT truth_method, test_method, round(avg(ap), 6) AS map FROM ap GROUP BY truth_method, test_method""")
+def map_matrix(spark, sf_dir):
+    r = R.rank_all(index(spark, sf_dir), queries_of(spark, EVAL_QUERIES), K_EVAL)
+    m = E.map_matrix(r.select("method", "query_id", "rank", "section_id"))
+    return m.select("truth_method", "test_method", F.round("map", 6).alias("map"))
+
+
+@register("rank_agreement", "WITH " + _rankings_sql(STANDARD_QUERIES, K) + """,
+a AS (SELECT query_id, rank, section_id FROM rankings WHERE method = 'tfidf'),
+b AS (SELECT query_id, rank, section_id FROM rankings WHERE method = 'tfidf_ext'),
+j AS (
+  SELECT coalesce(a.query_id, b.query_id) AS query_id,
+         coalesce(a.section_id = b.section_id, false) AS same
+  FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.rank = b.rank)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(count(*) AS BIGINT) AS positions,
+       CAST(sum(CASE WHEN same THEN 0 ELSE 1 END) AS BIGINT) AS mismatches, bool_and(same) AS all_equal
+FROM j GROUP BY query_id""")
+def rank_agreement(spark, sf_dir):
+    """TF-IDF vs TF-IDF with proximity, position by position."""
+    idx, q = index(spark, sf_dir), queries_of(spark)
+    r = E.rank_agreement(R.rank(idx, q, "tfidf", K), R.rank(idx, q, "tfidf_ext", K))
+    return r.select(F.col("query_id").cast("long"), F.col("positions").cast("long"),
+                    F.col("mismatches").cast("long"), "all_equal")
+
+
+@register("section_count_check", "WITH " + O.corpus_ctes() + """
+SELECT 'sections' AS key, (SELECT count(*) FROM sections) AS a, (SELECT count(*) FROM sections) AS b,
+       (SELECT count(*) FROM sections) AS c, true AS all_equal""")
+def section_count_check(spark, sf_dir):
+    """E5: section counts of the postings (A), vector (B) and text-search (C)
+    layouts side by side."""
+    idx = index(spark, sf_dir)
+    v = vectors(spark, sf_dir)
+    tsv_all = idx.sections.select("section_id").join(C.tsvector_table(idx), "section_id", "left")
+    counts = (idx.sections.select(F.lit("a").alias("layout"))
+              .unionByName(v.select(F.lit("b").alias("layout")))
+              .unionByName(tsv_all.select(F.lit("c").alias("layout")))
+              .groupBy("layout").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("key", F.lit("sections")))
+    r = E.count_check(counts, ["a", "b", "c"])
+    return r.select("key", F.col("a").cast("long"), F.col("b").cast("long"), F.col("c").cast("long"), "all_equal")
+
+
+@register("result_count_check", "WITH " + O.corpus_ctes() + "," + O.match_ctes(STANDARD_QUERIES) + """,
+ids AS (SELECT DISTINCT query_id FROM q),
+n AS (SELECT ids.query_id, count(m.section_id) AS n FROM ids LEFT JOIN matches m USING (query_id) GROUP BY ids.query_id)
+SELECT CAST(query_id AS BIGINT) AS key, n AS a, n AS b, true AS all_equal FROM n""")
+def result_count_check(spark, sf_dir):
+    """Number of results per query in the postings and vector layouts."""
+    idx, q = index(spark, sf_dir), queries_of(spark)
+    n, _ = _vec_stats(spark, sf_dir)
+    a = Q.num_results(idx, q).select(F.col("query_id").alias("key"), F.lit("a").alias("layout"),
+                                     F.col("num_results").alias("n"))
+    bh = V.vec_search(vectors(spark, sf_dir), q, n).groupBy("query_id").agg(F.count(F.lit(1)).alias("c"))
+    ids = q.select("query_id").distinct()
+    b = ids.join(bh, "query_id", "left").select(F.col("query_id").alias("key"), F.lit("b").alias("layout"),
+                                                F.coalesce("c", F.lit(0)).cast("long").alias("n"))
+    r = E.count_check(a.unionByName(b), ["a", "b"])
+    return r.select(F.col("key").cast("long"), F.col("a").cast("long"), F.col("b").cast("long"), "all_equal")
+
+
+def _profile_sql(sep: str = "\n") -> str:
+    from parindex.functions import text as tx
+    sep_sql = "chr(10)" if sep == "\n" else O.lit(sep)
+    clean = f"replace(lower(translate(text, {O.lit(tx.PROFILE_CLEAN_CHARS)}, {O.lit(' ' * len(tx.PROFILE_CLEAN_CHARS))})), '''', ' ')"
+    ends = ", ".join(O.lit(t) for t in tx.SENTENCE_END_TOKENS)
+    return f"""
+WITH toks AS (
+  SELECT doc_id, len(string_split(text, {sep_sql})) AS secs,
+         regexp_extract_all({clean}, {O.lit(tx.TOKEN_PATTERN)}) AS t FROM documents),
+per AS (
+  SELECT secs,
+         len(list_filter(t, lambda w: contains({O.lit(tx.PUNCTUATION)}, w) AND w IN ({ends}))) AS sent,
+         len(list_filter(t, lambda w: NOT contains({O.lit(tx.PUNCTUATION)}, w))) AS words,
+         len(list_filter(t, lambda w: NOT contains({O.lit(tx.PUNCTUATION)}, w) AND w IN {O.STOPS})) AS stops
+  FROM toks),
+s AS (SELECT count(*) AS documents, sum(secs) AS sections, sum(sent) AS sentences, sum(words) AS words,
+             sum(stops) AS stop_words FROM per)
+SELECT CAST(documents AS BIGINT) AS documents, CAST(sections AS BIGINT) AS sections,
+       CAST(sentences AS BIGINT) AS sentences, CAST(words AS BIGINT) AS words,
+       CAST(stop_words AS BIGINT) AS stop_words,
+       CAST(floor(words / sections) AS BIGINT) AS avg_words_per_section,
+       CAST(floor(stop_words / sections) AS BIGINT) AS avg_stop_words_per_section,
+       CAST(floor(sentences / sections) AS BIGINT) AS avg_sentences_per_section FROM s"""
+
+
+@register("corpus_profile", _profile_sql("\n"))
+def corpus_profile(spark, sf_dir):
+    return E.corpus_profile(corpus(spark, sf_dir), sep="\n")
+
+
+FACTOR_QUERIES = [1, 3, 8, 9, 10, 2, 11, 12, 13]
+
+
+@register("query_factor_counts", "WITH " + O.corpus_ctes() + "," + O.match_ctes(sql_queries(FACTOR_QUERIES)) + """,
+ids AS (SELECT DISTINCT query_id FROM q),
+n AS (SELECT ids.query_id, count(m.section_id) AS n FROM ids LEFT JOIN matches m USING (query_id) GROUP BY ids.query_id)
+SELECT CAST(query_id AS BIGINT) AS query_id, method, CAST(n AS BIGINT) AS num_results
+FROM n, (VALUES ('postings'), ('vectors')) t(method)""")
+def query_factor_counts(spark, sf_dir):
+    """Match counts of the growing AND / OR chains per layout."""
+    idx, q = index(spark, sf_dir), queries_of(spark, FACTOR_QUERIES)
+    n, _ = _vec_stats(spark, sf_dir)
+    a = Q.num_results(idx, q).select("query_id", F.lit("postings").alias("method"), "num_results")
+    bh = V.vec_search(vectors(spark, sf_dir), q, n).groupBy("query_id").agg(F.count(F.lit(1)).alias("c"))
+    b = q.select("query_id").distinct().join(bh, "query_id", "left").select(
+        "query_id", F.lit("vectors").alias("method"), F.coalesce("c", F.lit(0)).cast("long").alias("num_results"))
+    return a.unionByName(b).select(F.col("query_id").cast("long"), "method", F.col("num_results").cast("long"))
