@@ -149,3 +149,55 @@ def postings(tokens: DataFrame) -> DataFrame:
     return (tokens.groupBy("section_id", "term", "stem")
             .agg(F.array_sort(F.collect_list("offset")).alias("offsets"),
                  F.count(F.lit(1)).cast("int").alias("tf")))
+
+
+def analyzer_chain(sections: DataFrame, protected: DataFrame | None = None,
+                   stop: str | list[str] = "nltk", rule: str = "s_stemmer") -> DataFrame:
+    """A configurable analyser in the order of the search engine's chain:
+    word tokeniser (letters, digits, ``_`` and apostrophes) -> lower case ->
+    English possessive (``'s``) removed -> stop words dropped with their slot
+    kept -> stem, except for protected words (keyword marker).
+
+    ``protected(term)`` is a small word list joined by broadcast."""
+    toks = F.regexp_extract_all(F.lower(F.col("section")), F.lit(r"[\p{L}\p{N}_']+"), 0)
+    toks = F.transform(toks, lambda t: F.regexp_replace(t, r"'s$", ""))
+    toks = F.filter(toks, lambda t: F.regexp_replace(t, "'", "") != "")
+    t = sections.select("section_id", F.posexplode_outer(toks).alias("pos", "term")) \
+        .filter(F.col("term").isNotNull()) \
+        .select("section_id", (F.col("pos") + 1).alias("offset"), "term")
+    stops = tx.stop_words(stop)
+    if stops:
+        t = t.filter(~F.col("term").isin(stops))
+    if protected is None:
+        return t.withColumn("stem", lemma_column(F.col("term"), rule))
+    p = protected.select(F.col("term").alias("__p")).distinct()
+    t = t.join(F.broadcast(p), t["term"] == p["__p"], "left")
+    return t.withColumn("stem", F.when(F.col("__p").isNotNull(), F.col("term"))
+                        .otherwise(lemma_column(F.col("term"), rule))).drop("__p")
+
+
+def synonym_expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """T15 (query side): every stem of an OR group gains its synonyms as further
+    alternatives of the same group.  ``synonyms(stem, alt)`` is a small table
+    joined by broadcast; AND groups are left as they are."""
+    s = synonyms.select("stem", F.col("alt"))
+    alts = queries.filter(F.upper("group_op") == "OR").join(F.broadcast(s), "stem") \
+        .select("query_id", "top_op", "group_id", "group_op", F.col("alt").alias("stem"))
+    return queries.select("query_id", "top_op", "group_id", "group_op", "stem").unionByName(alts).distinct()
+
+
+def verb_rule(term: Column) -> Column:
+    """A verb lemma rule for the T8 lemma table: ``-ing``/``-ed`` removed from
+    words long enough to keep a stem of three letters."""
+    n = F.length(term)
+    return (F.when(term.endswith("ing") & (n > 5), F.substring(term, F.lit(1), n - 3))
+            .when(term.endswith("ed") & (n > 4), F.substring(term, F.lit(1), n - 2))
+            .otherwise(term))
+
+
+def rule_lemma_table(tokens: DataFrame) -> DataFrame:
+    """``(term, pos, lemma)`` for nouns (S-stemmer) and verbs (``verb_rule``)
+    over the distinct vocabulary — a stand-in for a dictionary."""
+    v = tokens.select("term").distinct()
+    return v.select("term", F.lit("n").alias("pos"), tx.s_stem(F.col("term")).alias("lemma")).unionByName(
+        v.select("term", F.lit("v").alias("pos"), verb_rule(F.col("term")).alias("lemma")))

@@ -1107,3 +1107,93 @@ def query_factor_counts(spark, sf_dir):
     b = q.select("query_id").distinct().join(bh, "query_id", "left").select(
         "query_id", F.lit("vectors").alias("method"), F.coalesce("c", F.lit(0)).cast("long").alias("num_results"))
     return a.unionByName(b).select(F.col("query_id").cast("long"), "method", F.col("num_results").cast("long"))
+
+
+# ---------------------------------------------------------------------------
+# text preparation variants: POS lemmas, URL filter, analyser chain, synonyms
+# ---------------------------------------------------------------------------
+
+@register("lemmatize_pos", "WITH " + O.corpus_ctes() + f""",
+tagged AS (SELECT section_id, "offset", term, {O.suffix_tag('term')} AS p FROM tokens)
+SELECT section_id, CAST("offset" AS BIGINT) AS "offset", term,
+       CASE WHEN p = 'n' THEN {O.s_stem('term')} WHEN p = 'v' THEN {O.verb_rule('term')} ELSE term END AS stem
+FROM tagged""")
+def lemmatize_pos(spark, sf_dir):
+    """A tag per token (suffix stand-in tagger; JJ -> 'j' is no lemma class,
+    so the token stays), lemma looked up by (term, class)."""
+    toks = in_memory_index(spark, sf_dir).tokens.select("section_id", "offset", "term")
+    r = T.lemmatize_pos(toks, T.suffix_tags(toks), T.rule_lemma_table(toks))
+    return r.select("section_id", F.col("offset").cast("long"), "term", "stem")
+
+
+def _pages_corpus(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select(F.col("page_id").alias("doc_id"),
+                    F.concat_ws("\n", F.col("url"), F.col("html")).alias("doc"))
+
+
+@register("tokens_no_url", """
+WITH corpus AS (SELECT page_id AS doc_id, concat_ws(chr(10), url, html) AS doc FROM pages),
+pieces AS (
+  SELECT doc_id, unnest(parts) AS section, unnest(range(0, len(parts))) AS para_idx
+  FROM (SELECT doc_id, string_split(doc, chr(10)) AS parts FROM corpus)),
+sections0 AS (SELECT doc_id * 1048576 + para_idx AS section_id, section FROM pieces WHERE section <> ''),
+words AS (SELECT section_id, """ + O.words_expr("section") + f""" AS words FROM sections0),
+toks AS (
+  SELECT section_id, CAST(len(words) + 1 AS BIGINT) AS num_words, unnest(words) AS term,
+         unnest(range(1, len(words) + 1)) AS "offset" FROM words)
+SELECT section_id, CAST("offset" AS BIGINT) AS "offset", term, num_words FROM toks
+WHERE term NOT IN {O.STOPS}
+  AND NOT regexp_matches(term, {O.lit(T.tx.URL_PATTERN)})
+  AND NOT regexp_matches(term, {O.lit(T.tx.EMAIL_PATTERN)})""")
+def tokens_no_url(spark, sf_dir):
+    """T9 on the raw web pages (URL line + HTML)."""
+    s = T.split_sections(_pages_corpus(spark, sf_dir))
+    r = T.tokens_no_url(s)
+    return r.select("section_id", F.col("offset").cast("long"), "term", F.col("num_words").cast("long"))
+
+
+PROTECTED = ["tion", "erins", "thnds"]
+
+
+@register("analyzer_chain", "WITH " + O.corpus_ctes() + f""",
+raw AS (
+  SELECT section_id, list_filter(list_transform(regexp_extract_all(lower(section), {O.lit(r"[\p{L}\p{N}_']+")}),
+                                                lambda t: regexp_replace(t, '''s$', '')),
+                                 lambda t: replace(t, '''', '') <> '') AS toks FROM sections0),
+ex AS (SELECT section_id, unnest(toks) AS term, unnest(range(1, len(toks) + 1)) AS "offset" FROM raw)
+SELECT section_id, CAST("offset" AS BIGINT) AS "offset", term,
+       CASE WHEN term IN ({", ".join(O.lit(p) for p in PROTECTED)}) THEN term ELSE {O.s_stem('term')} END AS stem
+FROM ex WHERE term NOT IN {O.STOPS}""")
+def analyzer_chain(spark, sf_dir):
+    s = T.split_sections(corpus(spark, sf_dir))
+    prot = spark.createDataFrame([(p,) for p in PROTECTED], "term string")
+    r = T.analyzer_chain(s, prot)
+    return r.select("section_id", F.col("offset").cast("long"), "term", "stem")
+
+
+SYNONYMS = [("tion", "eron"), ("erin", "erth"), ("thnd", "zzznope")]
+SYN_QUERIES = [1, 2, 3, 4, 5, 11, 16]
+
+
+def _syn_sql():
+    qv = O.query_values(sql_queries(SYN_QUERIES)).replace("q AS (", "q0 AS (", 1)
+    syn = ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS)
+    expanded = f"""{qv},
+syn AS (SELECT * FROM (VALUES {syn}) t(stem, alt)),
+q AS (SELECT * FROM q0 UNION SELECT q0.query_id, q0.top_op, q0.group_id, q0.group_op, syn.alt
+      FROM q0 JOIN syn USING (stem) WHERE q0.group_op = 'OR')"""
+    m = O.match_ctes(sql_queries(SYN_QUERIES))
+    m = m.split("),\nknown AS", 1)[1]
+    return ("WITH " + O.corpus_ctes() + "," + expanded + ",\nknown AS" + m + """,
+ids AS (SELECT DISTINCT query_id FROM q)
+SELECT CAST(ids.query_id AS BIGINT) AS query_id, CAST(count(m.section_id) AS BIGINT) AS num_results
+FROM ids LEFT JOIN matches m USING (query_id) GROUP BY ids.query_id""")
+
+
+@register("synonym_expand", _syn_sql())
+def synonym_expand(spark, sf_dir):
+    syn = spark.createDataFrame(SYNONYMS, "stem string, alt string")
+    q = T.synonym_expand(queries_of(spark, SYN_QUERIES), syn)
+    r = Q.num_results(index(spark, sf_dir), q)
+    return r.select(F.col("query_id").cast("long"), "num_results")

@@ -189,3 +189,14 @@ def rank_sql(queries: dict[int, str], method: str, k: int = 10, span_mode: str =
         ctes += "," + proximity_ctes(span_mode)
         source = "prox"
     return "WITH " + ctes + "\n" + top_k_sql(source, score_sql(method), k)
+
+
+def verb_rule(t: str) -> str:
+    return (f"CASE WHEN suffix({t}, 'ing') AND length({t}) > 5 THEN substr({t}, 1, length({t}) - 3) "
+            f"WHEN suffix({t}, 'ed') AND length({t}) > 4 THEN substr({t}, 1, length({t}) - 2) ELSE {t} END")
+
+
+def suffix_tag(t: str) -> str:
+    return (f"CASE WHEN suffix({t}, 'ly') THEN 'r' WHEN suffix({t}, 'ing') OR suffix({t}, 'ed') THEN 'v' "
+            f"WHEN suffix({t}, 'ous') OR suffix({t}, 'ful') OR suffix({t}, 'ive') OR suffix({t}, 'able') THEN 'j' "
+            f"ELSE 'n' END")
