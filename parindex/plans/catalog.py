@@ -428,8 +428,9 @@ def _prox_sql(expr: str) -> str:
 SELECT CAST(query_id AS BIGINT) AS query_id, section_id, round({expr}, 6) AS value FROM prox""")
 
 
-def _prox_spark(col_expr):
+def _prox_spark(col_name: str):
     def fn(spark, sf_dir):
+        col_expr = F.col(col_name)
         idx = index(spark, sf_dir)
         h = Q.scored_hits(idx, queries_of(spark), with_offsets=True, scores=())
         h = R.proximity_columns(h, idx.avg_sec_len())
@@ -438,11 +439,11 @@ def _prox_spark(col_expr):
     return fn
 
 
-register("min_dist", _prox_sql("min_dist"))(_prox_spark(F.col("min_dist")))
-register("min_span", _prox_sql("min_span"))(_prox_spark(F.col("min_span")))
+register("min_dist", _prox_sql("min_dist"))(_prox_spark("min_dist"))
+register("min_span", _prox_sql("min_span"))(_prox_spark("min_span"))
 register("bm25_proximity", _prox_sql(
     f"({D.BM25_EXT_K1} + 1) / (2.0 * ((1 - {D.BM25_EXT_B}) + {D.BM25_EXT_B} * (num_words / "
-    "(SELECT avg_sec_len FROM stats)))) * close_idf / 1000.0"))(_prox_spark(F.col("prox_bm25")))
+    "(SELECT avg_sec_len FROM stats)))) * close_idf / 1000.0"))(_prox_spark("prox_bm25"))
 
 
 # ---------------------------------------------------------------------------
