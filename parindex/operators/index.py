@@ -67,11 +67,13 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
         F.col("text").alias("doc"))
 
 
-def build_sections_and_tokens(corpus: DataFrame, sep: str = "\n", stop="nltk",
+def build_sections_and_tokens(corpus: DataFrame | None, sep: str = "\n", stop="nltk",
                               lemma_rule: str = "s_stemmer",
                               lemma_table: DataFrame | None = None,
-                              lower: bool = True) -> tuple[DataFrame, DataFrame]:
-    pieces = T.split_sections(corpus, sep)
+                              lower: bool = True,
+                              pieces: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    if pieces is None:
+        pieces = T.split_sections(corpus, sep)
     words = T.section_words(pieces, lower)
     sections = words.select(
         "section_id", "doc_id", F.col("num_words").cast("int").alias("num_words"),
@@ -98,6 +100,15 @@ def build_index(corpus: DataFrame, sep: str = "\n", stop="nltk",
     return TextIndex(sections=sections, tokens=toks, postings=stem_postings(toks))
 
 
+def build_index_from_sections(pieces: DataFrame, stop="nltk", lemma_rule: str = "s_stemmer",
+                              lemma_table: DataFrame | None = None, lower: bool = True) -> TextIndex:
+    """Index of a corpus that is already cut into sections
+    ``(section_id, doc_id, para_idx, section)`` — e.g. conversation turns."""
+    sections, toks = build_sections_and_tokens(None, stop=stop, lemma_rule=lemma_rule,
+                                               lemma_table=lemma_table, lower=lower, pieces=pieces)
+    return TextIndex(sections=sections, tokens=toks, postings=stem_postings(toks))
+
+
 def weight(num_words: Column) -> Column:
     """1/sqrt(num_words), 0 for a section without words."""
     return F.when(num_words == 0, F.lit(0.0)).otherwise(1.0 / F.sqrt(num_words.cast("double")))

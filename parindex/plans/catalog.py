@@ -1198,3 +1198,47 @@ def synonym_expand(spark, sf_dir):
     q = T.synonym_expand(queries_of(spark, SYN_QUERIES), syn)
     r = Q.num_results(index(spark, sf_dir), q)
     return r.select(F.col("query_id").cast("long"), "num_results")
+
+
+# ---------------------------------------------------------------------------
+# second corpus (conversations: section = turn) and Porter lexemes
+# ---------------------------------------------------------------------------
+
+from parindex.sources.corpus import conversation_sections  # noqa: E402
+
+
+def conversation_index(spark, sf_dir) -> D.TextIndex:
+    key = {"corpus": "conversations", "sf": os.path.abspath(sf_dir), "version": 1}
+    return store.materialized(spark, key, lambda: D.build_index_from_sections(
+        conversation_sections(table(spark, sf_dir, "conversations"))))
+
+
+_CONV = O.corpus_ctes(sections_sql=O.CONVERSATION_SECTIONS)
+
+
+@register("conversation_num_results", "WITH " + _CONV + "," + O.match_ctes(STANDARD_QUERIES) + """,
+ids AS (SELECT DISTINCT query_id FROM q)
+SELECT CAST(ids.query_id AS BIGINT) AS query_id, CAST(count(m.section_id) AS BIGINT) AS num_results
+FROM ids LEFT JOIN matches m USING (query_id) GROUP BY ids.query_id""")
+def conversation_num_results(spark, sf_dir):
+    r = Q.num_results(conversation_index(spark, sf_dir), queries_of(spark))
+    return r.select(F.col("query_id").cast("long"), "num_results")
+
+
+@register("conversation_rank_bm25", "WITH " + _CONV + "," + O.match_ctes(STANDARD_QUERIES) + "," +
+          O.hit_rows_cte() + "\n" + O.top_k_sql("hit_scores", "bm25", K))
+def conversation_rank_bm25(spark, sf_dir):
+    return _ranked_out(R.rank(conversation_index(spark, sf_dir), queries_of(spark), "bm25", K))
+
+
+@register("tsvector_porter")
+def tsvector_porter(spark, sf_dir):
+    """Text-search vectors with Porter (1980) lexemes; the stemmer runs
+    once per distinct term (pandas UDF) and is joined back.  No SQL oracle:
+    DuckDB has no Porter stemmer without an extension."""
+    from parindex.functions.porter import porter_column_for
+    toks = porter_column_for(in_memory_index(spark, sf_dir).tokens)
+    g = toks.groupBy("section_id", "lexeme").agg(F.array_sort(F.collect_list("offset")).alias("positions"))
+    t = g.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("lexeme", "positions"))).alias("tsv"))
+    return t.select("section_id", F.array_join(F.transform(
+        "tsv", lambda e: F.concat(e["lexeme"], F.lit(":"), arr_str(e["positions"]))), " ").alias("tsv"))

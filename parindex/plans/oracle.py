@@ -39,17 +39,25 @@ def s_stem(t: str) -> str:
             f"AND length({t}) > 1 THEN substr({t}, 1, length({t}) - 1) ELSE {t} END")
 
 
+CONVERSATION_SECTIONS = """
+corpus AS (SELECT DISTINCT conv_id AS doc_id, 'doc-' || CAST(conv_id AS VARCHAR) AS title FROM conversations),
+sections0 AS (
+  SELECT conv_id * 1048576 + turn AS section_id, conv_id AS doc_id, turn AS para_idx, text AS section
+  FROM conversations WHERE text IS NOT NULL AND text <> ''),"""
+
+
 def corpus_ctes(table: str = "documents", id_col: str = "doc_id", text_col: str = "text",
-                sep: str = "\n", lower: bool = True) -> str:
+                sep: str = "\n", lower: bool = True, sections_sql: str | None = None) -> str:
     """pieces, sections0, words, sections, tokens0, tokens, postings, stats, idf."""
     sep_sql = "chr(10)" if sep == "\n" else lit(sep)
-    return f"""
+    head = sections_sql if sections_sql is not None else f"""
 corpus AS (SELECT {id_col} AS doc_id, 'doc-' || CAST({id_col} AS VARCHAR) AS title, {text_col} AS doc FROM {table}),
 pieces AS (
   SELECT doc_id, unnest(parts) AS section, unnest(range(0, len(parts))) AS para_idx
   FROM (SELECT doc_id, string_split(doc, {sep_sql}) AS parts FROM corpus)),
 sections0 AS (
-  SELECT doc_id * 1048576 + para_idx AS section_id, doc_id, para_idx, section FROM pieces WHERE section <> ''),
+  SELECT doc_id * 1048576 + para_idx AS section_id, doc_id, para_idx, section FROM pieces WHERE section <> ''),"""
+    return head + f"""
 words AS (SELECT section_id, doc_id, {words_expr('section', lower)} AS words FROM sections0),
 sections AS (
   SELECT section_id, doc_id, CAST(len(words) AS INTEGER) AS num_words,
