@@ -36,25 +36,65 @@ BM25_EXT_B = 0.9
 
 @dataclass
 class TextIndex:
-    """Lazily defined index tables of one corpus."""
+    """Index tables of one corpus.  Built in memory they are lazy plans; read
+    from storage they also carry the statistics written with them — the
+    document frequencies ``df_table(stem, df_rows, df_sections)`` and the one
+    row ``stats_table`` — like the reference's materialised views, so queries
+    never aggregate the postings for statistics."""
 
     sections: DataFrame
-    tokens: DataFrame
+    tokens: DataFrame | None
     postings: DataFrame
+    df_table: DataFrame | None = None
+    stats_table: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
-        return rank_vars(self.sections)
+        return self.stats_table if self.stats_table is not None else rank_vars(self.sections)
+
+    def _stored_stat(self, name: str) -> Column | None:
+        """Statistics of a stored index are read once (one row) and used as
+        literals; an in-memory index keeps scalar subqueries."""
+        if self.stats_table is None:
+            return None
+        if not hasattr(self, "_stat_values"):
+            self._stat_values = self.stats_table.first().asDict()
+        return F.lit(self._stat_values[name])
 
     def num_secs(self) -> Column:
-        return self.sections.agg(F.count(F.lit(1))).scalar()
+        lit = self._stored_stat("num_secs")
+        return lit if lit is not None else self.stats.select("num_secs").scalar()
 
     def avg_sec_len(self) -> Column:
-        return self.sections.agg(F.avg("num_words")).scalar()
+        lit = self._stored_stat("avg_sec_len")
+        return lit if lit is not None else self.stats.select("avg_sec_len").scalar()
+
+    def idf_for_list(self, stems: list[str], df_mode: str = "rows") -> DataFrame:
+        """IDF rows of a short list of stems (planning-time parameters)."""
+        if self.df_table is not None:
+            d = self.df_table.filter(F.col("stem").isin(stems))
+            return idf_from_df_table(d, self.num_secs(), df_mode)
+        p = self.postings.filter(F.col("stem").isin(stems))
+        return idf_view(p, self.num_secs(), df_mode)
 
     def idf(self, df_mode: str = "rows") -> DataFrame:
+        if self.df_table is not None:
+            return idf_from_df_table(self.df_table, self.num_secs(), df_mode)
         return idf_view(self.postings, self.num_secs(), df_mode)
 
+    def idf_for(self, stems: DataFrame, df_mode: str = "rows") -> DataFrame:
+        """IDF of the given (small) set of stems."""
+        if self.df_table is not None:
+            from parindex.operators.search import pushed_stems
+            s = stems.select("stem").distinct()
+            d = self.df_table
+            listed = pushed_stems(stems)
+            if listed is not None:
+                d = d.filter(F.col("stem").isin(listed) if listed else F.lit(False))
+            d = d.join(F.broadcast(s), "stem", "left_semi")
+            return idf_from_df_table(d, self.num_secs(), df_mode)
+        return idf_for_stems(self.postings, stems, self.num_secs(), df_mode)
+
     def term_postings(self) -> DataFrame:
         return T.postings(self.tokens)
 
@@ -149,6 +189,17 @@ def document_frequency(postings: DataFrame, df_mode: str = "rows") -> DataFrame:
     return postings.groupBy("stem").agg(agg.cast("long").alias("df"))
 
 
+def df_table(postings: DataFrame) -> DataFrame:
+    """Both document-frequency variants per stem (stored with the index)."""
+    return postings.groupBy("stem").agg(F.sum("n_terms").cast("long").alias("df_rows"),
+                                        F.count(F.lit(1)).cast("long").alias("df_sections"))
+
+
+def idf_from_df_table(dft: DataFrame, num_secs: Column, df_mode: str = "rows") -> DataFrame:
+    col = {"rows": "df_rows", "sections": "df_sections"}[df_mode]
+    return dft.select("stem", F.col(col).alias("df"), *idf_columns(F.col(col), num_secs))
+
+
 def idf_view(postings: DataFrame, num_secs: Column, df_mode: str = "rows") -> DataFrame:
     """``(stem, df, idf, bm25idf)`` with base-10 logarithms.
 

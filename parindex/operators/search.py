@@ -21,21 +21,73 @@ from pyspark.sql import functions as F
 
 from parindex.functions import scoring as S
 from parindex.operators.index import (BM25_B, BM25_EXT_B, BM25_EXT_K1, BM25_K1,
-                                      TextIndex, add_bucket_like, idf_for_stems, join_keys)
+                                      TextIndex, add_bucket_like, join_keys)
 
 # Query tables up to this many rows are broadcast.
 MAX_BROADCAST_QUERY_ROWS = 2_000_000
 
 
+# Local parameter tables up to this size (Catalyst's exact estimate) are
+# broadcast without counting.
+MAX_BROADCAST_LOCAL_BYTES = 64 << 20
+# Query tables with at most this many distinct stems get a static stem list
+# (and bucket list) pushed into the postings scan.
+MAX_PUSHED_STEMS = 5_000
+
+
+def is_local(df: DataFrame) -> bool:
+    """True when every leaf of the optimised plan is a local relation (its
+    size statistics are then exact)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    names = [leaves.apply(i).nodeName() for i in range(leaves.size())]
+    return bool(names) and all(n in ("LocalRelation", "OneRowRelation") for n in names)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def small_side(df: DataFrame, bound: DataFrame | None = None,
                max_rows: int = MAX_BROADCAST_QUERY_ROWS) -> DataFrame:
     """Broadcast ``df`` when ``bound`` (a table whose row count bounds ``df``'s,
-    by default ``df`` itself) has at most ``max_rows`` rows."""
+    by default ``df`` itself) is proven small: a local relation under
+    ``MAX_BROADCAST_LOCAL_BYTES``, or at most ``max_rows`` rows when counted.
+    Otherwise the planner and AQE choose the join."""
     probe = df if bound is None else bound
+    if is_local(probe) and estimated_bytes(probe) <= MAX_BROADCAST_LOCAL_BYTES:
+        return F.broadcast(df)
     n = probe.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
+def pushed_stems(queries: DataFrame) -> list[str] | None:
+    """The distinct stems of a local query table (None when not local or too
+    many): planning-time parameters, like the partition list a dynamic
+    pruning filter would produce."""
+    if not is_local(queries) or estimated_bytes(queries) > MAX_BROADCAST_LOCAL_BYTES:
+        return None
+    # a projection of a local relation is folded at planning time: no job
+    stems = sorted({r[0] for r in queries.select("stem").collect() if r[0] is not None})
+    return stems if len(stems) <= MAX_PUSHED_STEMS else None
+
+
+def pruned_postings(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """Postings restricted to the query stems at scan time: ``stem IN (…)``
+    reaches Parquet (row groups are sorted by stem) and, on a bucketed
+    index, ``bucket IN (…)`` prunes the partition folders."""
+    p = index.postings
+    stems = pushed_stems(queries)
+    if stems is None:
+        return p
+    p = p.filter(F.col("stem").isin(stems) if stems else F.lit(False))
+    if "bucket" in p.columns and stems:
+        from parindex.sources.store import bucket_count, stem_bucket
+        n = bucket_count(p.sparkSession)
+        buckets = sorted({r[0] for r in queries.select(stem_bucket(F.col("stem"), n)).collect()})
+        p = p.filter(F.col("bucket").isin(buckets))
+    return p
+
+
 def normalise_queries(queries: DataFrame) -> DataFrame:
     cols = ["query_id", "top_op", "group_id", "group_op", "stem"]
     q = queries.select(F.col("query_id").cast("int"), F.upper("top_op").alias("top_op"),
@@ -43,6 +95,48 @@ def normalise_queries(queries: DataFrame) -> DataFrame:
     return q.select(*cols).distinct()
 
 
+def local_query_rows(queries: DataFrame) -> list[tuple] | None:
+    """The rows of a small local query table, normalised and de-duplicated
+    (planning-time parameters; None for anything else)."""
+    if not is_local(queries) or estimated_bytes(queries) > MAX_BROADCAST_LOCAL_BYTES:
+        return None
+    rows = queries.select(F.col("query_id").cast("int"), F.upper("top_op"), F.col("group_id").cast("int"),
+                          F.upper("group_op"), "stem").collect()
+    uniq = sorted({tuple(r) for r in rows}, key=lambda r: (r[0], r[2], r[4] or ""))
+    if len({r[4] for r in uniq}) > MAX_PUSHED_STEMS:
+        return None
+    return uniq
+
+
+GROUPS_TYPE = "array<struct<group_op:string,stems:array<string>,ok:boolean>>"
+
+
+def _query_parts_local(index: TextIndex, spark, rows: list[tuple], unknown: str,
+                       df_mode: str) -> tuple[DataFrame, DataFrame]:
+    """Small query table: resolve known stems and their IDF with one filtered
+    scan of the stored term statistics (at most one row per query stem) and
+    build the two broadcast sides as local relations."""
+    from parindex.plans.querytable import local_table
+    stems = sorted({r[4] for r in rows if r[4] is not None})
+    idf_rows = index.idf_for_list(stems, df_mode).collect() if stems else []
+    idf = {r["stem"]: (r["df"], r["idf"], r["bm25idf"]) for r in idf_rows}
+    qs_rows = sorted({(r[0], r[4]) for r in rows if r[4] in idf})
+    qs = local_table(spark, [(q, st, *idf[st]) for q, st in qs_rows],
+                     "query_id int, stem string, df long, idf double, bm25idf double")
+    groups: dict[tuple, list] = {}
+    for q, top, g, gop, st in rows:
+        groups.setdefault((q, top, g, gop), []).append(st)
+    per_query: dict[tuple, list] = {}
+    for (q, top, g, gop), sts in sorted(groups.items()):
+        known = sorted({x for x in sts if x in idf})
+        n_total = len(set(sts))
+        ok = len(known) > 0 if unknown == "drop" else (len(known) > 0 and len(known) == n_total)
+        per_query.setdefault((q, top), []).append({"group_op": gop, "stems": known, "ok": ok})
+    qdef = local_table(spark, [(q, top, gl) for (q, top), gl in sorted(per_query.items())],
+                       f"query_id int, top_op string, groups {GROUPS_TYPE}")
+    return qs, qdef
+
+
 def query_parts(index: TextIndex, queries: DataFrame, unknown: str = "drop",
                 df_mode: str = "rows") -> tuple[DataFrame, DataFrame]:
     """-> ``qs(query_id, stem, df, idf, bm25idf)`` for known stems, and
@@ -52,8 +146,13 @@ def query_parts(index: TextIndex, queries: DataFrame, unknown: str = "drop",
     ``unknown="drop"``: a group is judged on its known stems (the reference);
     ``"empty"``: a group with an unknown stem cannot match.  A group without
     any known stem never matches."""
+    if unknown not in ("drop", "empty"):
+        raise ValueError(f"unknown must be 'drop' or 'empty', not {unknown!r}")
+    local = local_query_rows(queries)
+    if local is not None:
+        return _query_parts_local(index, queries.sparkSession, local, unknown, df_mode)
     q = normalise_queries(queries)
-    idf_q = idf_for_stems(index.postings, q, index.num_secs(), df_mode)
+    idf_q = index.idf_for(q, df_mode)
     known = idf_q.select("stem", F.lit(True).alias("known"))
     qk = q.join(known, "stem", "left")
     groups = qk.groupBy("query_id", "top_op", "group_id", "group_op").agg(
@@ -92,7 +191,7 @@ def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
     qs, qdef = query_parts(index, queries, unknown, df_mode)
     avg = index.avg_sec_len()
     qs = add_bucket_like(index.postings, qs)
-    p = index.postings.join(small_side(qs, bound=queries), join_keys(index.postings))
+    p = pruned_postings(index, queries).join(small_side(qs, bound=queries), join_keys(index.postings))
     aggs = [F.collect_list("stem").alias("matched"),
             F.sum("tf").cast("long").alias("nj"),
             F.max("num_words").alias("num_words")]

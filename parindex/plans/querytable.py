@@ -60,11 +60,57 @@ def parse_query(text: str) -> list[tuple[str, int, str, str]]:
     return [(top, gi, op, t) for gi, (op, terms) in enumerate(groups) for t in terms]
 
 
+def _sql_lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    if isinstance(v, (list, tuple)):
+        return "array(" + ", ".join(_sql_lit(x) for x in v) + ")"
+    if isinstance(v, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {_sql_lit(x)}" for k, x in v.items()) + ")"
+    return repr(v)
+
+
+def _split_schema(schema: str) -> list[list[str]]:
+    """Top-level ``name type`` pairs of a DDL string (commas inside <> kept)."""
+    out, depth, cur = [], 0, ""
+    for ch in schema:
+        if ch == "<":
+            depth += 1
+        elif ch == ">":
+            depth -= 1
+        if ch == "," and depth == 0:
+            out.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    out.append(cur)
+    return [c.strip().split(" ", 1) for c in out]
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small parameter table as a SQL ``VALUES`` relation: Catalyst sees a
+    LocalRelation with its exact size (no job to measure it, folded at
+    planning time where possible)."""
+    cols = _split_schema(schema)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    names = ", ".join(n for n, _ in cols)
+    values = ", ".join("(" + ", ".join(_sql_lit(v) for v in r) + ")" for r in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    return df.selectExpr(*[f"CAST({n} AS {t}) AS {n}" for n, t in cols])
+
+
 def query_table(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
     """Hand-written queries -> structured query table (a small local relation)."""
     rows = [(int(qid), top, gid, gop, stem)
             for qid, text in queries.items() for (top, gid, gop, stem) in parse_query(text)]
-    return spark.createDataFrame(rows, QUERY_SCHEMA)
+    return local_table(spark, rows, QUERY_SCHEMA)
 
 
 def queries_from_texts(texts: DataFrame, stop="nltk", lemma_rule: str = "s_stemmer") -> DataFrame:

@@ -24,7 +24,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parindex.operators.index import TextIndex
+from parindex.operators.index import TextIndex, df_table, rank_vars
 from parindex.session import checkpoint_dir
 
 DEFAULT_BUCKETS = 16
@@ -68,12 +68,22 @@ def write_index(index: TextIndex, path: str, mode: str = "overwrite") -> None:
         (p.repartitionByRange("bucket", "stem", "section_id")
          .sortWithinPartitions("bucket", "stem", "section_id")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    # statistics snapshot (D8–D12), computed from the stored tables
+    if mode == "overwrite" or not _exists(spark, f"{path}/terms"):
+        postings = spark.read.parquet(f"{path}/postings")
+        (df_table(postings).repartitionByRange("stem").sortWithinPartitions("stem")
+         .write.mode("overwrite").parquet(f"{path}/terms"))
+    if mode == "overwrite" or not _exists(spark, f"{path}/stats"):
+        rank_vars(spark.read.parquet(f"{path}/sections")).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str) -> TextIndex:
     sections = spark.read.parquet(f"{path}/sections")
     postings = spark.read.parquet(f"{path}/postings")
-    return TextIndex(sections=sections, tokens=None, postings=postings)
+    terms = spark.read.parquet(f"{path}/terms") if _exists(spark, f"{path}/terms") else None
+    stats = spark.read.parquet(f"{path}/stats") if _exists(spark, f"{path}/stats") else None
+    return TextIndex(sections=sections, tokens=None, postings=postings, df_table=terms, stats_table=stats)
 
 
 _CACHE: dict[str, TextIndex] = {}
@@ -88,7 +98,7 @@ def materialized(spark: SparkSession, key: dict, build) -> TextIndex:
     if path in _CACHE:
         return _CACHE[path]
     index = build()
-    if not (_exists(spark, f"{path}/sections") and _exists(spark, f"{path}/postings")):
+    if not all(_exists(spark, f"{path}/{t}") for t in ("sections", "postings", "terms", "stats")):
         write_index(index, path, mode="append-missing")
     stored = read_index(spark, path)
     stored.tokens = index.tokens
