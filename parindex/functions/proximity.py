@@ -6,7 +6,7 @@ with one entry per query stem present in the section, ``k`` = 0..n-1.
 All occurrences are merged into one position-sorted list and folded once:
 
 * ``last[k]`` — latest position of list ``k`` seen so far;
-* ``d[i*n+m]`` — least distance between lists ``i`` and ``m``: at an occurrence
+* ``d[i][m]`` — least distance between lists ``i`` and ``m``: at an occurrence
   ``x`` of list ``i`` the nearest earlier occurrence of ``m`` is ``last[m]``,
   so ``x.p - last[m]`` taken over all ``x`` (both directions) is the minimum of
   ``|p - q|`` (P1);
@@ -14,8 +14,8 @@ All occurrences are merged into one position-sorted list and folded once:
   shortest window ending at ``x`` holding one position of every list; its
   minimum over ``x`` is the least span of P2 (no cross product, P3).
 
-Cost per section: (number of occurrences) x n^2 for n query stems present,
-bounded by the section length — no pairs are materialised.
+Cost per section: (number of occurrences) x n for n query stems present,
+plus n^2 once at the end — no position pairs are materialised.
 """
 
 from __future__ import annotations
@@ -33,27 +33,27 @@ def occurrences(lists: Column) -> Column:
 
 
 def proximity_fold(lists: Column) -> Column:
-    """``struct(n, last, d, span)`` after folding the occurrences of ``lists``."""
+    """``struct(last, d, span)`` after folding the occurrences of ``lists``.
+
+    ``d`` is kept as n rows of n cells; an occurrence of list ``k`` rewrites
+    row ``k`` only, so a step costs O(n), not O(n^2).  The distance of the
+    pair (i, m) is ``least(d[i][m], d[m][i])``."""
     n = F.size(lists)
     init = F.struct(
         F.array_repeat(F.lit(-1), n).alias("last"),
-        F.array_repeat(F.lit(BIG), n * n).alias("d"),
+        F.array_repeat(F.array_repeat(F.lit(BIG), n), n).alias("d"),
         F.lit(BIG).alias("span"))
 
     def step(acc, x):
         last = acc["last"]
         new_last = F.transform(last, lambda v, i: F.when(i == x["k"], x["p"]).otherwise(v))
 
-        def cell(v, j):
-            i = (j / n).cast("int")
-            m = j % n
-            lm = F.get(last, m)
-            li = F.get(last, i)
-            return (F.when((i == x["k"]) & (m != i) & (lm >= 0), F.least(v, x["p"] - lm))
-                    .when((m == x["k"]) & (m != i) & (li >= 0), F.least(v, x["p"] - li))
-                    .otherwise(v))
+        def row(r, i):
+            updated = F.transform(r, lambda v, m: F.when(
+                (m != x["k"]) & (F.get(last, m) >= 0), F.least(v, x["p"] - F.get(last, m))).otherwise(v))
+            return F.when(i == x["k"], updated).otherwise(r)
 
-        new_d = F.transform(acc["d"], cell)
+        new_d = F.transform(acc["d"], row)
         new_span = F.when(F.forall(new_last, lambda v: v >= 0),
                           F.least(acc["span"], x["p"] - F.array_min(new_last))).otherwise(acc["span"])
         return F.struct(new_last.alias("last"), new_d.alias("d"), new_span.alias("span"))
@@ -62,10 +62,12 @@ def proximity_fold(lists: Column) -> Column:
 
 
 def _pair_sum(d: Column, n: Column, value) -> Column:
-    """Sum ``value(dist, i, m)`` over cells i < m that were reached."""
-    cells = F.transform(d, lambda v, j: F.when(
-        ((j / n).cast("int") < j % n) & (v < BIG), value(v, (j / n).cast("int"), j % n)).otherwise(F.lit(0.0)))
-    return F.aggregate(cells, F.lit(0.0), lambda s, c: s + c)
+    """Sum ``value(dist, i, m)`` over pairs i < m whose distance was reached."""
+    cells = F.flatten(F.transform(d, lambda r, i: F.transform(r, lambda v, m: F.when(
+        i < m, F.struct(F.least(v, F.get(F.get(d, m), i)).alias("v"), i.alias("i"), m.alias("m"))))))
+    cells = F.filter(cells, lambda c: c.isNotNull() & (c["v"] < BIG))
+    return F.aggregate(F.transform(cells, lambda c: value(c["v"], c["i"], c["m"])), F.lit(0.0),
+                       lambda s_, c: s_ + c)
 
 
 def min_dist_sum(fold: Column, n: Column) -> Column:

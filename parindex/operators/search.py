@@ -108,7 +108,10 @@ def local_query_rows(queries: DataFrame) -> list[tuple] | None:
     return uniq
 
 
-GROUPS_TYPE = "array<struct<group_op:string,stems:array<string>,ok:boolean>>"
+GROUPS_TYPE = "array<struct<group_op:string,stems:array<string>,ok:boolean,mask:bigint>>"
+# Up to this many known stems per query the matched stems of a section are a
+# 64-bit mask (bit_or in a plain hash aggregate); beyond it, a collected list.
+MAX_BITS = 63
 
 
 def _query_parts_local(index: TextIndex, spark, rows: list[tuple], unknown: str,
@@ -121,8 +124,11 @@ def _query_parts_local(index: TextIndex, spark, rows: list[tuple], unknown: str,
     idf_rows = index.idf_for_list(stems, df_mode).collect() if stems else []
     idf = {r["stem"]: (r["df"], r["idf"], r["bm25idf"]) for r in idf_rows}
     qs_rows = sorted({(r[0], r[4]) for r in rows if r[4] in idf})
-    qs = local_table(spark, [(q, st, *idf[st]) for q, st in qs_rows],
-                     "query_id int, stem string, df long, idf double, bm25idf double")
+    bit: dict[tuple, int] = {}
+    for q, st in qs_rows:
+        bit[(q, st)] = sum(1 for (q2, _) in bit if q2 == q)
+    qs = local_table(spark, [(q, st, *idf[st], bit[(q, st)]) for q, st in qs_rows],
+                     "query_id int, stem string, df long, idf double, bm25idf double, qbit int")
     groups: dict[tuple, list] = {}
     for q, top, g, gop, st in rows:
         groups.setdefault((q, top, g, gop), []).append(st)
@@ -131,7 +137,13 @@ def _query_parts_local(index: TextIndex, spark, rows: list[tuple], unknown: str,
         known = sorted({x for x in sts if x in idf})
         n_total = len(set(sts))
         ok = len(known) > 0 if unknown == "drop" else (len(known) > 0 and len(known) == n_total)
-        per_query.setdefault((q, top), []).append({"group_op": gop, "stems": known, "ok": ok})
+        mask = 0
+        for x in known:
+            if bit[(q, x)] < MAX_BITS:
+                mask |= 1 << bit[(q, x)]
+        if mask >= 1 << 63:
+            mask -= 1 << 64
+        per_query.setdefault((q, top), []).append({"group_op": gop, "stems": known, "ok": ok, "mask": mask})
     qdef = local_table(spark, [(q, top, gl) for (q, top), gl in sorted(per_query.items())],
                        f"query_id int, top_op string, groups {GROUPS_TYPE}")
     return qs, qdef
@@ -153,12 +165,21 @@ def query_parts(index: TextIndex, queries: DataFrame, unknown: str = "drop",
         return _query_parts_local(index, queries.sparkSession, local, unknown, df_mode)
     q = normalise_queries(queries)
     idf_q = index.idf_for(q, df_mode)
-    known = idf_q.select("stem", F.lit(True).alias("known"))
-    qk = q.join(known, "stem", "left")
+    # bit index of each known stem inside its query (window over the query
+    # table only, partitioned by query)
+    from pyspark.sql.window import Window
+    qs = q.select("query_id", "stem").distinct().join(idf_q, "stem")
+    qs = qs.withColumn("qbit", (F.row_number().over(Window.partitionBy("query_id").orderBy("stem")) - 1)
+                       .cast("int"))
+    known = qs.select("query_id", "stem", F.lit(True).alias("known"), "qbit")
+    qk = q.join(known, ["query_id", "stem"], "left")
+    bitval = F.when(F.col("known") & (F.col("qbit") < MAX_BITS),
+                    F.expr("shiftleft(CAST(1 AS BIGINT), qbit)")).otherwise(F.lit(0).cast("long"))
     groups = qk.groupBy("query_id", "top_op", "group_id", "group_op").agg(
         F.array_sort(F.collect_set(F.when(F.col("known"), F.col("stem")))).alias("stems"),
         F.count(F.lit(1)).alias("n_total"),
-        F.count(F.when(F.col("known"), 1)).alias("n_known"))
+        F.count(F.when(F.col("known"), 1)).alias("n_known"),
+        F.bit_or(bitval).alias("mask"))
     if unknown == "drop":
         ok = F.col("n_known") > 0
     elif unknown == "empty":
@@ -166,11 +187,32 @@ def query_parts(index: TextIndex, queries: DataFrame, unknown: str = "drop",
     else:
         raise ValueError(f"unknown must be 'drop' or 'empty', not {unknown!r}")
     qdef = groups.groupBy("query_id", "top_op").agg(
-        F.collect_list(F.struct("group_op", "stems", ok.alias("ok"))).alias("groups"))
-    qs = q.select("query_id", "stem").distinct().join(idf_q, "stem")
+        F.collect_list(F.struct("group_op", "stems", ok.alias("ok"), "mask")).alias("groups"))
     return qs, qdef
 
 
+def max_stems_per_query(queries: DataFrame) -> int:
+    """Largest number of distinct stems in one query (planning-time check of
+    the query table; no job for a local table)."""
+    local = local_query_rows(queries)
+    if local is not None:
+        per: dict[int, set] = {}
+        for r in local:
+            per.setdefault(r[0], set()).add(r[4])
+        return max((len(v) for v in per.values()), default=0)
+    r = normalise_queries(queries).groupBy("query_id").agg(F.count_distinct("stem").alias("n")) \
+        .agg(F.max("n")).first()[0]
+    return int(r or 0)
+
+
+def boolean_match_bits(groups: Column, bits: Column, top_op: Column) -> Column:
+    """As :func:`boolean_match` with the matched stems as a bit mask."""
+    def group_ok(g):
+        hit = bits.bitwiseAND(g["mask"])
+        return g["ok"] & F.when(g["group_op"] == "AND", hit == g["mask"]).otherwise(hit != 0)
+    return F.when(top_op == "AND", F.forall(groups, group_ok)).otherwise(F.exists(groups, group_ok))
+
+
 def boolean_match(groups: Column, matched: Column, top_op: Column) -> Column:
     """Top-level AND/OR over groups, group-level AND/OR over stems."""
     def group_ok(g):
@@ -192,7 +234,10 @@ def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
     avg = index.avg_sec_len()
     qs = add_bucket_like(index.postings, qs)
     p = pruned_postings(index, queries).join(small_side(qs, bound=queries), join_keys(index.postings))
-    aggs = [F.collect_list("stem").alias("matched"),
+    use_bits = max_stems_per_query(queries) <= MAX_BITS
+    matched = (F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), qbit)")).alias("matched_bits")
+               if use_bits else F.collect_list("stem").alias("matched"))
+    aggs = [matched,
             F.sum("tf").cast("long").alias("nj"),
             F.max("num_words").alias("num_words")]
     if "tfidf" in scores:
@@ -207,8 +252,9 @@ def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
         aggs.append(F.collect_list(F.struct("stem", "offsets", "bm25idf", "idf")).alias("lists"))
     h = p.groupBy("query_id", "section_id").agg(*aggs)
     h = h.join(small_side(qdef, bound=queries), "query_id")
-    return h.filter(boolean_match(F.col("groups"), F.col("matched"), F.col("top_op"))) \
-        .drop("groups", "top_op")
+    keep = (boolean_match_bits(F.col("groups"), F.col("matched_bits"), F.col("top_op")) if use_bits
+            else boolean_match(F.col("groups"), F.col("matched"), F.col("top_op")))
+    return h.filter(keep).drop("groups", "top_op", "matched_bits", "matched")
 
 
 def search(index: TextIndex, queries: DataFrame, unknown: str = "drop") -> DataFrame:

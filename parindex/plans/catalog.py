@@ -1242,3 +1242,32 @@ def tsvector_porter(spark, sf_dir):
     t = g.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("lexeme", "positions"))).alias("tsv"))
     return t.select("section_id", F.array_join(F.transform(
         "tsv", lambda e: F.concat(e["lexeme"], F.lit(":"), arr_str(e["positions"]))), " ").alias("tsv"))
+
+
+# ---------------------------------------------------------------------------
+# long queries from the benchmark table (distributed query-side path)
+# ---------------------------------------------------------------------------
+
+from parindex.plans.querytable import queries_from_texts  # noqa: E402
+
+
+def benchmark_queries(spark, sf_dir) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    return queries_from_texts(b.select(F.col("item_id").alias("query_id"), "text"))
+
+
+_BENCH_Q = O.queries_from_texts_sql("benchmark", "item_id", "text")
+
+
+@register("rank_bm25_benchmark", "WITH " + O.corpus_ctes() + "," + O.match_ctes(None, q_sql=_BENCH_Q) + ","
+          + O.hit_rows_cte() + "\n" + O.top_k_sql("hit_scores", "bm25", K))
+def rank_bm25_benchmark(spark, sf_dir):
+    """Each benchmark item is one OR query over its words; BM25 top-10."""
+    return _ranked_out(R.rank(index(spark, sf_dir), benchmark_queries(spark, sf_dir), "bm25", K))
+
+
+@register("rank_tfidf_ext_benchmark", "WITH " + O.corpus_ctes() + "," + O.match_ctes(None, q_sql=_BENCH_Q) + ","
+          + O.hit_rows_cte() + "," + O.proximity_ctes() + "\n" + O.top_k_sql("prox", O.score_sql("tfidf_ext"), K))
+def rank_tfidf_ext_benchmark(spark, sf_dir):
+    """Long OR queries with proximity: the fold meets up to ~30 lists."""
+    return _ranked_out(R.rank(index(spark, sf_dir), benchmark_queries(spark, sf_dir), "tfidf_ext", K))

@@ -89,11 +89,20 @@ def query_values(queries: dict[int, str]) -> str:
             ") t(query_id, top_op, group_id, group_op, stem))")
 
 
-def match_ctes(queries: dict[int, str], unknown: str = "drop") -> str:
+def queries_from_texts_sql(table: str, id_col: str, text_col: str) -> str:
+    """One OR query per row over its analysed words (as ``queries_from_texts``)."""
+    return f"""q AS (
+  SELECT DISTINCT CAST(query_id AS INTEGER) AS query_id, 'OR' AS top_op, 0 AS group_id, 'OR' AS group_op,
+         {s_stem('term')} AS stem
+  FROM (SELECT {id_col} AS query_id, unnest({words_expr(text_col)}) AS term FROM {table})
+  WHERE term NOT IN {STOPS})"""
+
+
+def match_ctes(queries: dict[int, str] | None, unknown: str = "drop", q_sql: str | None = None) -> str:
     """q, qk, groups, matches(query_id, section_id), qs(query_id, stem)."""
     ok = "n_known > 0" if unknown == "drop" else "n_known > 0 AND n_known = n_total"
     return f"""
-{query_values(queries)},
+{q_sql if q_sql is not None else query_values(queries)},
 known AS (SELECT DISTINCT stem FROM postings WHERE stem IN (SELECT stem FROM q)),
 qk AS (SELECT q.*, k.stem IS NOT NULL AS known FROM q LEFT JOIN known k USING (stem)),
 groups AS (
