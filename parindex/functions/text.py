@@ -57,6 +57,13 @@ STOP_WORDS_EN = [
 _WS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|\$[\p{Nd}.]+|[^" + _WS + r"]+"
 
+# The same tokens read straight from the raw text: the clean-up characters are
+# separators, since no alternative of the pattern can consume them (equal to
+# translating them to blanks first, one pass less).  Possessive quantifiers: no
+# backtracking.
+_CLEAN_CLASS = "".join("\\x{%X}" % ord(c) for c in CLEAN_CHARS)
+SEPARATED_TOKEN_PATTERN = (r"[\p{L}\p{N}_]++|\$[\p{Nd}.]++|[^" + _WS + _CLEAN_CLASS + r"]++")
+
 # URL-like and e-mail-like tokens (pipeline 1, T9).
 URL_PATTERN = r"^(https?://|www\.)\S+$|^[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)*\.(com|org|net|edu|gov|io|de|fr|es|uk)(/\S*)?$"
 EMAIL_PATTERN = r"^[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.[\p{L}]{2,}$"
@@ -99,7 +106,9 @@ def word_array(section: Column, lower: bool = True) -> Column:
     Position ``i`` (0-based) of this array is offset ``i + 1`` (T6); stop words
     keep their slot so that offsets have gaps where they were removed (T5).
     """
-    return F.filter(raw_tokens(clean_text(section), lower), lambda t: ~is_punctuation(t))
+    text = F.lower(section) if lower else section
+    toks = F.regexp_extract_all(text, F.lit(SEPARATED_TOKEN_PATTERN), 0)
+    return F.filter(toks, lambda t: ~is_punctuation(t))
 
 
 def s_stem(term: Column) -> Column:

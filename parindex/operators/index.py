@@ -47,6 +47,9 @@ class TextIndex:
     postings: DataFrame
     df_table: DataFrame | None = None
     stats_table: DataFrame | None = None
+    # per-section word arrays the sections and tokens were derived from (kept
+    # so that a bulk write can persist them once for both outputs)
+    words: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
@@ -118,6 +121,7 @@ def build_sections_and_tokens(corpus: DataFrame | None, sep: str = "\n", stop="n
     sections = words.select(
         "section_id", "doc_id", F.col("num_words").cast("int").alias("num_words"),
         weight(F.col("num_words")).alias("weight"))
+    _LAST_WORDS[0] = words
     # posexplode_outer: with the plain generator Catalyst infers a
     # ``size(words) > 0`` filter and evaluates the tokeniser twice.
     toks = words.select("section_id", "num_words", F.posexplode_outer("words").alias("pos", "term"))
@@ -132,12 +136,27 @@ def build_sections_and_tokens(corpus: DataFrame | None, sep: str = "\n", stop="n
     return sections, toks
 
 
+_LAST_WORDS: list = [None]
+
+
 def build_index(corpus: DataFrame, sep: str = "\n", stop="nltk",
                 lemma_rule: str = "s_stemmer", lemma_table: DataFrame | None = None,
-                lower: bool = True) -> TextIndex:
-    """Corpus -> sections, tokens, postings (all lazy)."""
+                lower: bool = True, postings: str = "aggregate") -> TextIndex:
+    """Corpus -> sections, tokens, postings (all lazy).
+
+    ``postings="aggregate"`` groups the exploded tokens by (section, stem)
+    (one exchange, map-side combined); ``"inline"`` builds them inside each
+    section's row (no exchange; interpreted array functions — worth it when
+    the shuffle, not the CPU, is the bottleneck).  Both give equal tables."""
     sections, toks = build_sections_and_tokens(corpus, sep, stop, lemma_rule, lemma_table, lower)
-    return TextIndex(sections=sections, tokens=toks, postings=stem_postings(toks))
+    words = _LAST_WORDS[0]
+    if postings == "inline" and lemma_table is None:
+        post = inline_postings(words, stop, lemma_rule)
+    elif postings in ("aggregate", "inline"):
+        post = stem_postings(toks)
+    else:
+        raise ValueError(f"unknown postings build {postings!r}")
+    return TextIndex(sections=sections, tokens=toks, postings=post, words=words)
 
 
 def build_index_from_sections(pieces: DataFrame, stop="nltk", lemma_rule: str = "s_stemmer",
@@ -146,7 +165,7 @@ def build_index_from_sections(pieces: DataFrame, stop="nltk", lemma_rule: str =
     ``(section_id, doc_id, para_idx, section)`` — e.g. conversation turns."""
     sections, toks = build_sections_and_tokens(None, stop=stop, lemma_rule=lemma_rule,
                                                lemma_table=lemma_table, lower=lower, pieces=pieces)
-    return TextIndex(sections=sections, tokens=toks, postings=stem_postings(toks))
+    return TextIndex(sections=sections, tokens=toks, postings=stem_postings(toks), words=_LAST_WORDS[0])
 
 
 def weight(num_words: Column) -> Column:
@@ -159,7 +178,9 @@ def stem_postings(tokens: DataFrame) -> DataFrame:
     section inside its task, so the exchange carries one row per posting."""
     return (tokens.groupBy("section_id", "stem")
             .agg(F.count(F.lit(1)).cast("int").alias("tf"),
-                 F.count_distinct("term").cast("int").alias("n_terms"),
+                 # size(collect_set) rather than count(distinct): a distinct
+                 # aggregate would add a second exchange keyed by the term
+                 F.size(F.collect_set("term")).cast("int").alias("n_terms"),
                  F.array_sort(F.collect_list("offset")).alias("offsets"),
                  F.max("num_words").alias("num_words")))
 
@@ -306,3 +327,34 @@ def encode_postings(term_postings: DataFrame, vocab: DataFrame, id_type: str = "
     return term_postings.join(vocab.select("term", "term_id", "stem_id"), "term") \
         .select("section_id", F.col("term_id").cast(id_type).alias("term_id"),
                 F.col("stem_id").cast(id_type).alias("stem_id"), "offsets", "tf")
+
+
+def inline_postings(words: DataFrame, stop="nltk", lemma_rule: str = "s_stemmer") -> DataFrame:
+    """Postings per (section, stem) built inside each section's row, with no
+    aggregation and no shuffle: the kept (stem, offset, term) entries of the
+    section are sorted, runs of equal stems are cut out with ``slice`` and each
+    run becomes one posting (tf = run length, sorted offsets, distinct
+    surface terms).  Cost O(n log n) per section; output keeps the input's
+    partitioning.  Equal to :func:`stem_postings` over the exploded tokens."""
+    from parindex.functions.text import stop_words
+    stops = stop_words(stop)
+    entries = F.transform("words", lambda w, i: F.struct(
+        T.lemma_column(w, lemma_rule).alias("stem"), (i + 1).alias("offset"), w.alias("term")))
+    if stops:
+        entries = F.filter(entries, lambda x: ~x["term"].isin(stops))
+    srt = F.array_sort(entries)
+    w = words.select("section_id", F.col("num_words").cast("int").alias("num_words"), srt.alias("e"))
+    n = F.size("e")
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & (
+        (i == 0) | (F.get(F.col("e"), i)["stem"] != F.get(F.col("e"), i - 1)["stem"])))
+    w = w.withColumn("starts", starts)
+
+    def run(st, j):
+        en = F.coalesce(F.get(F.col("starts"), j + 1), n)
+        r = F.slice(F.col("e"), st + 1, en - st)
+        return F.struct(F.get(F.col("e"), st)["stem"].alias("stem"), (en - st).cast("int").alias("tf"),
+                        F.size(F.array_distinct(F.transform(r, lambda x: x["term"]))).alias("n_terms"),
+                        F.transform(r, lambda x: x["offset"]).alias("offsets"))
+
+    p = w.select("section_id", "num_words", F.explode(F.transform("starts", run)).alias("p"))
+    return p.select("section_id", "p.stem", "p.tf", "p.n_terms", "p.offsets", "num_words")

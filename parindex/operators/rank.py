@@ -46,7 +46,8 @@ def proximity_columns(h: DataFrame, avg: Column, span_mode: str = "intended",
     """Adds ``min_dist``, ``min_span``, ``prox_bm25`` from the fold."""
     h = with_lists_index(h)
     n = F.size("lists")
-    h = h.withColumn("__fold", P.proximity_fold(F.col("lists")))
+    # one stem present: every proximity measure is 0, so the fold is skipped
+    h = h.withColumn("__fold", F.when(n >= 2, P.proximity_fold(F.col("lists"))))
     cols = {
         "min_dist": P.min_dist_sum(F.col("__fold"), n),
         "min_span": P.min_span_score(F.col("__fold"), n, span_mode),

@@ -178,7 +178,7 @@ def vector_scores(c: DataFrame, avg: Column, proximity: bool = False,
             t["bm25idf"].alias("bm25idf"), t["idf"].alias("idf")))
         c = c.withColumn("lists", lists)
         n = F.size("lists")
-        fold = P.proximity_fold(F.col("lists"))
+        fold = F.when(n >= 2, P.proximity_fold(F.col("lists")))
         c = c.withColumn("__fold", fold).withColumns({
             "min_dist": P.min_dist_sum(F.col("__fold"), n),
             "min_span": P.min_span_score(F.col("__fold"), n, span_mode),

@@ -54,20 +54,35 @@ def _exists(spark: SparkSession, path: str, marker: bool = True) -> bool:
 
 
 def write_index(index: TextIndex, path: str, mode: str = "overwrite") -> None:
-    """Bulk write of the index tables."""
+    """Bulk write of the index tables.
+
+    The per-section word arrays are persisted (memory and disk; recomputed
+    from the corpus if an executor is lost) so the sections and the postings
+    are tokenised once, and the postings are checkpointed to the shared
+    checkpoint folder before the range-partitioned write, so the sampling pass
+    of the range partitioner reads them instead of re-running the tokeniser."""
+    from pyspark import StorageLevel
     spark = index.sections.sparkSession
     buckets = bucket_count(spark)
-    if mode == "overwrite" or not _exists(spark, f"{path}/sections"):
-        index.sections.sortWithinPartitions("section_id").write.mode("overwrite") \
-            .parquet(f"{path}/sections")
-    if mode == "overwrite" or not _exists(spark, f"{path}/postings"):
-        # Range-partition on (bucket, stem, section_id): files are few and
-        # sorted, and a stem holding a third of all postings is split across
-        # tasks by section id instead of landing in one task.
-        p = with_bucket(index.postings, buckets)
-        (p.repartitionByRange("bucket", "stem", "section_id")
-         .sortWithinPartitions("bucket", "stem", "section_id")
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    words = index.words
+    if words is not None:
+        words.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if mode == "overwrite" or not _exists(spark, f"{path}/sections"):
+            index.sections.sortWithinPartitions("section_id").write.mode("overwrite") \
+                .parquet(f"{path}/sections")
+        if mode == "overwrite" or not _exists(spark, f"{path}/postings"):
+            checkpoint_dir(spark)
+            p = with_bucket(index.postings, buckets).checkpoint(eager=True)
+            # Range-partition on (bucket, stem, section_id): files are few and
+            # sorted, and a stem holding a third of all postings is split
+            # across tasks by section id instead of landing in one task.
+            (p.repartitionByRange("bucket", "stem", "section_id")
+             .sortWithinPartitions("bucket", "stem", "section_id")
+             .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    finally:
+        if words is not None:
+            words.unpersist()
     # statistics snapshot (D8–D12), computed from the stored tables
     if mode == "overwrite" or not _exists(spark, f"{path}/terms"):
         postings = spark.read.parquet(f"{path}/postings")
