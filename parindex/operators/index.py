@@ -94,7 +94,8 @@ class TextIndex:
             listed = pushed_stems(stems)
             if listed is not None:
                 d = d.filter(F.col("stem").isin(listed) if listed else F.lit(False))
-            d = d.join(F.broadcast(s), "stem", "left_semi")
+            from parindex.functions.sizing import small_side
+            d = d.join(small_side(s, bound=stems), "stem", "left_semi")
             return idf_from_df_table(d, self.num_secs(), df_mode)
         return idf_for_stems(self.postings, stems, self.num_secs(), df_mode)
 
@@ -237,7 +238,8 @@ def idf_for_stems(postings: DataFrame, stems: DataFrame, num_secs: Column,
     the whole vocabulary.  ``stems`` must be small (a query table)."""
     s = stems.select("stem").distinct()
     keys = join_keys(postings, s)
-    p = postings.join(F.broadcast(add_bucket_like(postings, s)), keys, "left_semi")
+    from parindex.functions.sizing import small_side
+    p = postings.join(small_side(add_bucket_like(postings, s), bound=stems), keys, "left_semi")
     return idf_view(p, num_secs, df_mode)
 
 
@@ -276,7 +278,8 @@ def dense_ids(values: DataFrame, col: str, id_col: str, num_partitions: int | No
     counts = d.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    return (d.join(F.broadcast(offsets), "__pid")
+    from parindex.functions.sizing import per_partition
+    return (d.join(per_partition(offsets), "__pid")
             .select(col, (F.col("__off") + (F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)) + 1)
                     .alias(id_col)))
 
@@ -319,7 +322,8 @@ def lookup_terms(queries: DataFrame, stems: DataFrame, analyze: bool = False,
     q = queries
     if analyze:
         q = q.withColumn("stem", T.lemma_column(F.lower(F.col("stem")), lemma_rule))
-    return stems.join(F.broadcast(q), "stem")
+    from parindex.functions.sizing import small_side
+    return stems.join(small_side(q), "stem")
 
 
 def encode_postings(term_postings: DataFrame, vocab: DataFrame, id_type: str = "long") -> DataFrame:

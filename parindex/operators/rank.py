@@ -132,7 +132,7 @@ def ranked_titles(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
     """Titles of ranked sections, aligned by section (the ranked side is
     k rows per query and is broadcast)."""
     r = ranked.withColumn("doc_id", doc_of_section(F.col("section_id")))
-    return corpus.select("doc_id", "title").join(F.broadcast(r), "doc_id") \
+    return corpus.select("doc_id", "title").join(small_side(r), "doc_id") \
         .select("query_id", "rank", "section_id", "title", "score")
 
 

@@ -23,43 +23,14 @@ from parindex.functions import scoring as S
 from parindex.operators.index import (BM25_B, BM25_EXT_B, BM25_EXT_K1, BM25_K1,
                                       TextIndex, add_bucket_like, join_keys)
 
-# Query tables up to this many rows are broadcast.
-MAX_BROADCAST_QUERY_ROWS = 2_000_000
+from parindex.functions.sizing import (MAX_BROADCAST_LOCAL_BYTES, MAX_BROADCAST_QUERY_ROWS,  # noqa: F401
+                                      estimated_bytes, is_local, small_side)
 
-
-# Local parameter tables up to this size (Catalyst's exact estimate) are
-# broadcast without counting.
-MAX_BROADCAST_LOCAL_BYTES = 64 << 20
 # Query tables with at most this many distinct stems get a static stem list
 # (and bucket list) pushed into the postings scan.
 MAX_PUSHED_STEMS = 5_000
 
 
-def is_local(df: DataFrame) -> bool:
-    """True when every leaf of the optimised plan is a local relation (its
-    size statistics are then exact)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    names = [leaves.apply(i).nodeName() for i in range(leaves.size())]
-    return bool(names) and all(n in ("LocalRelation", "OneRowRelation") for n in names)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def small_side(df: DataFrame, bound: DataFrame | None = None,
-               max_rows: int = MAX_BROADCAST_QUERY_ROWS) -> DataFrame:
-    """Broadcast ``df`` when ``bound`` (a table whose row count bounds ``df``'s,
-    by default ``df`` itself) is proven small: a local relation under
-    ``MAX_BROADCAST_LOCAL_BYTES``, or at most ``max_rows`` rows when counted.
-    Otherwise the planner and AQE choose the join."""
-    probe = df if bound is None else bound
-    if is_local(probe) and estimated_bytes(probe) <= MAX_BROADCAST_LOCAL_BYTES:
-        return F.broadcast(df)
-    n = probe.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def pushed_stems(queries: DataFrame) -> list[str] | None:
     """The distinct stems of a local query table (None when not local or too
     many): planning-time parameters, like the partition list a dynamic
@@ -273,14 +244,16 @@ def num_results(index: TextIndex, queries: DataFrame, unknown: str = "drop") ->
 
 def passages_by_text(term_postings: DataFrame, terms: DataFrame) -> DataFrame:
     """Q12 (text key): distinct passages holding each query term."""
-    return term_postings.join(F.broadcast(terms.select("query_id", "term").distinct()), "term") \
+    t = terms.select("query_id", "term").distinct()
+    return term_postings.join(small_side(t, bound=terms), "term") \
         .groupBy("query_id").agg(F.count_distinct("section_id").alias("num_passages"))
 
 
 def passages_by_id(coded_postings: DataFrame, vocab: DataFrame, terms: DataFrame) -> DataFrame:
     """Q12 (id key): look the terms up in the dictionary first, then probe the
     coded postings by id."""
-    ids = vocab.join(F.broadcast(terms.select("query_id", "term").distinct()), "term") \
-        .select("query_id", "term_id")
-    return coded_postings.join(F.broadcast(ids), "term_id") \
+    t = terms.select("query_id", "term").distinct()
+    ids = vocab.join(small_side(t, bound=terms), "term").select("query_id", "term_id")
+    # vocabulary terms are unique: the ids are at most as many as the terms
+    return coded_postings.join(small_side(ids, bound=terms), "term_id") \
         .groupBy("query_id").agg(F.count_distinct("section_id").alias("num_passages"))

@@ -171,7 +171,8 @@ def analyzer_chain(sections: DataFrame, protected: DataFrame | None = None,
     if protected is None:
         return t.withColumn("stem", lemma_column(F.col("term"), rule))
     p = protected.select(F.col("term").alias("__p")).distinct()
-    t = t.join(F.broadcast(p), t["term"] == p["__p"], "left")
+    from parindex.functions.sizing import small_side
+    t = t.join(small_side(p), t["term"] == p["__p"], "left")
     return t.withColumn("stem", F.when(F.col("__p").isNotNull(), F.col("term"))
                         .otherwise(lemma_column(F.col("term"), rule))).drop("__p")
 
@@ -181,7 +182,8 @@ def synonym_expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     alternatives of the same group.  ``synonyms(stem, alt)`` is a small table
     joined by broadcast; AND groups are left as they are."""
     s = synonyms.select("stem", F.col("alt"))
-    alts = queries.filter(F.upper("group_op") == "OR").join(F.broadcast(s), "stem") \
+    from parindex.functions.sizing import small_side
+    alts = queries.filter(F.upper("group_op") == "OR").join(small_side(s), "stem") \
         .select("query_id", "top_op", "group_id", "group_op", F.col("alt").alias("stem"))
     return queries.select("query_id", "top_op", "group_id", "group_op", "stem").unionByName(alts).distinct()
 

@@ -82,7 +82,7 @@ def match_phrase(index: TextIndex, phrases: DataFrame) -> DataFrame:
     j = index.postings.join(small_side(ps, bound=phrases), join_keys(index.postings))
     g = j.groupBy("query_id", "section_id").agg(
         F.array_sort(F.collect_list(F.struct("step", "dist", "offsets"))).alias("steps"))
-    g = g.join(F.broadcast(n_steps), "query_id").filter(F.size("steps") == F.col("n_steps"))
+    g = g.join(small_side(n_steps, bound=phrases), "query_id").filter(F.size("steps") == F.col("n_steps"))
     first = F.get(F.col("steps"), 0)["offsets"]
     rest = F.slice(F.col("steps"), 2, F.greatest(F.col("n_steps") - 1, F.lit(1)))
     ends = F.aggregate(
@@ -111,7 +111,7 @@ def rank_freq(index: TextIndex, queries: DataFrame, k: int = 10, norm: int = 0)
     """R12/R14 for a batch of queries."""
     qs, _ = query_parts(index, queries, "drop", "sections")
     nq = qs.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
-    h = _tsv_hits(index, queries).join(F.broadcast(nq), "query_id")
+    h = _tsv_hits(index, queries).join(small_side(nq, bound=queries), "query_id")
     score = freq_score(F.col("lists")) / F.col("nq")
     if norm == 1:
         score = score / (1.0 + F.log(F.col("num_words").cast("double")))
@@ -152,7 +152,7 @@ def rank_sloppy_phrase(index: TextIndex, queries: DataFrame, k: int = 10) -> Dat
     from parindex.operators.search import normalise_queries
     nq = normalise_queries(queries).select("query_id", "stem").distinct() \
         .groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
-    h = _tsv_hits(index, queries).join(F.broadcast(nq), "query_id")
+    h = _tsv_hits(index, queries).join(small_side(nq, bound=queries), "query_id")
     h = h.filter(F.size("lists") == F.col("nq"))
     n = F.size("lists")
     fold = P.proximity_fold(F.col("lists"))

@@ -65,7 +65,7 @@ def idf_from_vectors(vectors: DataFrame, num_secs: Column, stems: DataFrame | No
     the reference counts).  With ``stems`` only those stems are aggregated."""
     e = vectors.select(F.explode("stems").alias("stem"), F.lit(1).alias("n_terms"))
     if stems is not None:
-        e = e.join(F.broadcast(stems.select("stem").distinct()), "stem", "left_semi")
+        e = e.join(small_side(stems.select("stem").distinct(), bound=stems), "stem", "left_semi")
     return idf_view(e, num_secs, "rows")
 
 

@@ -29,7 +29,8 @@ def with_row_ids(df: DataFrame, col: str = "doc_id") -> DataFrame:
     counts = d.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    return d.join(F.broadcast(offs), "__pid").withColumn(
+    from parindex.functions.sizing import per_partition
+    return d.join(per_partition(offs), "__pid").withColumn(
         col, F.col("__off") + F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)) \
         .drop("__pid", "__mid", "__off")
 

@@ -101,7 +101,7 @@ def read_index(spark: SparkSession, path: str) -> TextIndex:
     return TextIndex(sections=sections, tokens=None, postings=postings, df_table=terms, stats_table=stats)
 
 
-_CACHE: dict[str, TextIndex] = {}
+_CACHE: dict[tuple, TextIndex] = {}
 
 
 def materialized(spark: SparkSession, key: dict, build) -> TextIndex:
@@ -110,18 +110,19 @@ def materialized(spark: SparkSession, key: dict, build) -> TextIndex:
     key = dict(key, buckets=bucket_count(spark))
     digest = hashlib.sha1(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]
     path = os.path.join(checkpoint_dir(spark), f"index-{digest}")
-    if path in _CACHE:
-        return _CACHE[path]
+    ckey = (path, spark.sparkContext.applicationId, id(spark))
+    if ckey in _CACHE:
+        return _CACHE[ckey]
     index = build()
     if not all(_exists(spark, f"{path}/{t}") for t in ("sections", "postings", "terms", "stats")):
         write_index(index, path, mode="append-missing")
     stored = read_index(spark, path)
     stored.tokens = index.tokens
-    _CACHE[path] = stored
+    _CACHE[ckey] = stored
     return stored
 
 
-_TABLES: dict[str, DataFrame] = {}
+_TABLES: dict[tuple, DataFrame] = {}
 
 
 def materialized_table(spark: SparkSession, key: dict, build) -> DataFrame:
@@ -129,10 +130,11 @@ def materialized_table(spark: SparkSession, key: dict, build) -> DataFrame:
     (a lineage cut that survives lost executors, unlike a local checkpoint)."""
     digest = hashlib.sha1(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]
     path = os.path.join(checkpoint_dir(spark), f"table-{digest}")
-    if path in _TABLES:
-        return _TABLES[path]
+    ckey = (path, spark.sparkContext.applicationId, id(spark))
+    if ckey in _TABLES:
+        return _TABLES[ckey]
     if not _exists(spark, path):
         build().write.mode("overwrite").parquet(path)
     df = spark.read.parquet(path)
-    _TABLES[path] = df
+    _TABLES[ckey] = df
     return df
