@@ -115,14 +115,15 @@ def build_sections_and_tokens(corpus: DataFrame | None, sep: str = "\n", stop="n
                               lemma_rule: str = "s_stemmer",
                               lemma_table: DataFrame | None = None,
                               lower: bool = True,
-                              pieces: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                              pieces: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """-> (sections, tokens, words): the per-section word arrays both tables
+    are derived from."""
     if pieces is None:
         pieces = T.split_sections(corpus, sep)
     words = T.section_words(pieces, lower)
     sections = words.select(
         "section_id", "doc_id", F.col("num_words").cast("int").alias("num_words"),
         weight(F.col("num_words")).alias("weight"))
-    _LAST_WORDS[0] = words
     # posexplode_outer: with the plain generator Catalyst infers a
     # ``size(words) > 0`` filter and evaluates the tokeniser twice.
     toks = words.select("section_id", "num_words", F.posexplode_outer("words").alias("pos", "term"))
@@ -134,10 +135,7 @@ def build_sections_and_tokens(corpus: DataFrame | None, sep: str = "\n", stop="n
     if stops:
         toks = toks.filter(~F.col("term").isin(stops))
     toks = T.lemmatize(toks, lemma_table, lemma_rule)
-    return sections, toks
-
-
-_LAST_WORDS: list = [None]
+    return sections, toks, words
 
 
 def build_index(corpus: DataFrame, sep: str = "\n", stop="nltk",
@@ -149,8 +147,7 @@ def build_index(corpus: DataFrame, sep: str = "\n", stop="nltk",
     (one exchange, map-side combined); ``"inline"`` builds them inside each
     section's row (no exchange; interpreted array functions — worth it when
     the shuffle, not the CPU, is the bottleneck).  Both give equal tables."""
-    sections, toks = build_sections_and_tokens(corpus, sep, stop, lemma_rule, lemma_table, lower)
-    words = _LAST_WORDS[0]
+    sections, toks, words = build_sections_and_tokens(corpus, sep, stop, lemma_rule, lemma_table, lower)
     if postings == "inline" and lemma_table is None:
         post = inline_postings(words, stop, lemma_rule)
     elif postings in ("aggregate", "inline"):
@@ -164,9 +161,9 @@ def build_index_from_sections(pieces: DataFrame, stop="nltk", lemma_rule: str =
                               lemma_table: DataFrame | None = None, lower: bool = True) -> TextIndex:
     """Index of a corpus that is already cut into sections
     ``(section_id, doc_id, para_idx, section)`` — e.g. conversation turns."""
-    sections, toks = build_sections_and_tokens(None, stop=stop, lemma_rule=lemma_rule,
-                                               lemma_table=lemma_table, lower=lower, pieces=pieces)
-    return TextIndex(sections=sections, tokens=toks, postings=stem_postings(toks), words=_LAST_WORDS[0])
+    sections, toks, words = build_sections_and_tokens(None, stop=stop, lemma_rule=lemma_rule,
+                                                      lemma_table=lemma_table, lower=lower, pieces=pieces)
+    return TextIndex(sections=sections, tokens=toks, postings=stem_postings(toks), words=words)
 
 
 def weight(num_words: Column) -> Column:

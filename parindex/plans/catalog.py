@@ -862,7 +862,6 @@ def tsv_rank_bm25(spark, sf_dir):
 import uuid  # noqa: E402
 
 from parindex.operators import maintain as M  # noqa: E402
-from parindex.operators import vector as Vv  # noqa: E402,F811
 from parindex.session import checkpoint_dir  # noqa: E402
 
 SAMPLE_FRACTION = 0.25
@@ -888,7 +887,7 @@ def build_all(spark, sf_dir):
     toks = built.tokens.persist()
     idx = D.TextIndex(sections=built.sections, tokens=toks, postings=D.stem_postings(toks))
     a = T.postings(toks)
-    b = Vv.section_vectors(toks, idx.sections)
+    b = V.section_vectors(toks, idx.sections)
     c = C.tsvector_table(idx)
     def cnt(df, name):
         return df.agg(F.count(F.lit(1)).cast("long").alias("num_rows")).select(F.lit(name).alias("layout"), "num_rows")
