@@ -108,7 +108,8 @@ def rerank_two_stage(index: TextIndex, queries: DataFrame, k: int = 10, unknown:
     TF-IDF + proximity.  The fold runs on k sections per query only: the
     postings of the query stems are semi-joined with the (broadcast, k rows per
     query) first-stage result before offsets are gathered."""
-    from parindex.operators.search import query_parts
+    from parindex.operators.search import prepare_queries, query_parts
+    queries = prepare_queries(queries)
     first = rank(index, queries, "tfidf_doclen", k, unknown)
     n_queries = normalise_queries(queries).select("query_id").distinct()
     keep = small_side(first.select("query_id", "section_id"), bound=n_queries,

@@ -59,6 +59,21 @@ def pruned_postings(index: TextIndex, queries: DataFrame) -> DataFrame:
     return p
 
 
+def prepare_queries(queries: DataFrame) -> DataFrame:
+    """A query table ready to be used in several branches of one plan: local
+    tables are kept (folded at planning time); anything else is normalised
+    once and its lineage cut with a reliable checkpoint into the shared
+    checkpoint folder, so e.g. query texts are tokenised once, not once per
+    branch."""
+    if getattr(queries, "_parindex_prepared", False) or is_local(queries):
+        return queries
+    from parindex.session import checkpoint_dir
+    checkpoint_dir(queries.sparkSession)
+    q = normalise_queries(queries).checkpoint(eager=True)
+    q._parindex_prepared = True
+    return q
+
+
 def normalise_queries(queries: DataFrame) -> DataFrame:
     cols = ["query_id", "top_op", "group_id", "group_op", "stem"]
     q = queries.select(F.col("query_id").cast("int"), F.upper("top_op").alias("top_op"),
@@ -131,6 +146,7 @@ def query_parts(index: TextIndex, queries: DataFrame, unknown: str = "drop",
     any known stem never matches."""
     if unknown not in ("drop", "empty"):
         raise ValueError(f"unknown must be 'drop' or 'empty', not {unknown!r}")
+    queries = prepare_queries(queries)
     local = local_query_rows(queries)
     if local is not None:
         return _query_parts_local(index, queries.sparkSession, local, unknown, df_mode)
@@ -201,6 +217,7 @@ def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
     Columns: ``query_id, section_id, num_words, nj, matched`` plus the requested
     partial scores and, with ``with_offsets``, ``lists`` =
     array<struct<stem, offsets, bm25idf, idf>> for proximity."""
+    queries = prepare_queries(queries)
     qs, qdef = query_parts(index, queries, unknown, df_mode)
     avg = index.avg_sec_len()
     qs = add_bucket_like(index.postings, qs)
@@ -235,6 +252,7 @@ def search(index: TextIndex, queries: DataFrame, unknown: str = "drop") -> DataF
 
 def num_results(index: TextIndex, queries: DataFrame, unknown: str = "drop") -> DataFrame:
     """Q11: number of matching sections per query; queries without hits give 0."""
+    queries = prepare_queries(queries)
     counts = search(index, queries, unknown).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("num_results"))
     ids = normalise_queries(queries).select("query_id").distinct()
