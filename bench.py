@@ -83,9 +83,18 @@ def main() -> None:
 
     total = round(sum(v for k, v in times.items() if k != "index_build"), 3)
     sf = re.search(r"sf([0-9.]+)", sf_dir)
+    n_vocab = vocab_q.count()
+    n_bench = bench_q.select("query_id").distinct().count()
+    postings_rows = idx.postings.count()
+    per_query_ms = {
+        "bm25_16_queries": round(1000 * times["bm25_16_queries"] / 16, 2),
+        "bm25_benchmark_queries": round(1000 * times["bm25_benchmark_queries"] / max(n_bench, 1), 2),
+        "bm25_vocab_queries": round(1000 * times["bm25_vocab_queries"] / max(n_vocab, 1), 3),
+    }
     print(json.dumps({"metric": "total_query_sec", "value": total, "unit": "sec",
                       "queries": times, "sf": float(sf.group(1)) if sf else sf_dir,
-                      "vocab_queries": vocab_q.count()}))
+                      "batch_sizes": {"vocab_queries": n_vocab, "benchmark_queries": n_bench},
+                      "per_query_ms": per_query_ms, "postings_rows": postings_rows}))
     spark.stop()
 
 
