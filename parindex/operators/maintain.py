@@ -45,8 +45,10 @@ def append_docs(index: D.TextIndex, new_corpus: DataFrame, **build_args) -> D.Te
     """Add documents not yet indexed.  Ids already present are dropped from
     the batch (anti join against the batch's own ids only: the existing
     section table is semi-joined with the small batch first)."""
+    from parindex.functions.sizing import small_side
     new_ids = new_corpus.select("doc_id").distinct()
-    present = index.sections.select("doc_id").join(new_ids, "doc_id", "left_semi").distinct()
+    present = index.sections.select("doc_id").join(small_side(new_ids, bound=new_corpus), "doc_id",
+                                                   "left_semi").distinct()
     fresh = new_corpus.join(present, "doc_id", "left_anti")
     add = D.build_index(fresh, **build_args)
     tokens = index.tokens.unionByName(add.tokens) if index.tokens is not None else None
@@ -62,7 +64,11 @@ def delete_docs(index: D.TextIndex, corpus: DataFrame, titles: DataFrame, first_
     docs = corpus.join(titles.select("title").distinct(), "title", "left_semi").select("doc_id", "title")
     if first_only:
         docs = docs.groupBy("title").agg(F.min("doc_id").alias("doc_id"))
-    gone = docs.select("doc_id").distinct()
+    # the ids to delete are broadcast when the title list is small, so a
+    # document holding a third of all postings is filtered map-side instead of
+    # landing in one task of a shuffle join
+    from parindex.functions.sizing import small_side
+    gone = small_side(docs.select("doc_id").distinct(), bound=titles)
     sections = index.sections.join(gone, "doc_id", "left_anti")
     doc_of = T.doc_of_section(F.col("section_id"))
     postings = index.postings.withColumn("doc_id", doc_of).join(gone, "doc_id", "left_anti").drop("doc_id")
