@@ -133,3 +133,38 @@ def pair_distance(a: Column, b: Column) -> Column:
 
     res = F.aggregate(tagged, init, step)
     return F.when(res["d"] < BIG, res["d"]).otherwise(F.lit(-1))
+
+
+def close_pair_tpi(lists: Column, window: int = 6) -> Column:
+    """n x n matrix of ``tpi`` = sum of 1/d^2 over all position pairs of two
+    different lists at distance d < ``window``.  Positions are distinct
+    integers, so an occurrence has at most ``window - 1`` partners after it:
+    they are read with ``slice`` from the position-sorted list (O(window) per
+    occurrence, no pairs materialised beyond those)."""
+    occ = occurrences(lists)
+    n = F.size(lists)
+    contrib = F.flatten(F.transform(occ, lambda x, j: F.transform(
+        F.filter(F.slice(occ, j + 2, window - 1),
+                 lambda y: ((y["p"] - x["p"]) < window) & (y["k"] != x["k"])),
+        lambda y: F.struct(F.least(x["k"], y["k"]).alias("i"), F.greatest(x["k"], y["k"]).alias("m"),
+                           (1.0 / ((y["p"] - x["p"]).cast("double") * (y["p"] - x["p"]).cast("double"))).alias("w")))))
+    init = F.array_repeat(F.array_repeat(F.lit(0.0), n), n)
+
+    def add(acc, c):
+        return F.transform(acc, lambda r, i: F.when(i == c["i"], F.transform(
+            r, lambda v, m: F.when(m == c["m"], v + c["w"]).otherwise(v))).otherwise(r))
+
+    return F.aggregate(contrib, init, add)
+
+
+def bm25_proximity_rasolofo(lists: Column, n: Column, idfs: Column, len_sec: Column, avg_len: Column,
+                            k3: float = 1000.0, k1: float = 1.2, alpha: float = 2.0, b: float = 0.9) -> Column:
+    """P4 with ``mode="rasolofo"``: per pair of lists with tpi > 0 add
+    (k1+1) * tpi/(u + tpi) * min(idf)/k3 (Rasolofo & Savoy 2003), u as in
+    :func:`bm25_proximity`."""
+    u = F.lit(alpha) * ((1.0 - b) + b * (len_sec.cast("double") / avg_len))
+    tpi = close_pair_tpi(lists)
+    cells = F.flatten(F.transform(tpi, lambda r, i: F.transform(r, lambda v, m: F.when(
+        (i < m) & (v > 0), (v / (u + v)) * F.least(F.get(idfs, i), F.get(idfs, m))).otherwise(F.lit(0.0)))))
+    total = F.aggregate(cells, F.lit(0.0), lambda s_, c: s_ + c)
+    return F.when(n < 2, F.lit(0.0)).otherwise(F.lit(k1 + 1.0) * total / F.lit(k3))

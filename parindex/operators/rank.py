@@ -42,8 +42,12 @@ def with_lists_index(h: DataFrame) -> DataFrame:
 
 
 def proximity_columns(h: DataFrame, avg: Column, span_mode: str = "intended",
-                      k3: float = 1000.0, need_bm25: bool = True) -> DataFrame:
-    """Adds ``min_dist``, ``min_span``, ``prox_bm25`` from the fold."""
+                      k3: float = 1000.0, need_bm25: bool = True, p4_mode: str = "as_written") -> DataFrame:
+    """Adds ``min_dist``, ``min_span``, ``prox_bm25`` from the fold.
+
+    ``p4_mode="as_written"``: (k1+1)/u per pair of lists with some distance
+    < 6 (the reference's ``tpi`` cancels); ``"rasolofo"``: tpi/(u + tpi) with
+    tpi over all close position pairs."""
     h = with_lists_index(h)
     n = F.size("lists")
     # one stem present: every proximity measure is 0, so the fold is skipped
@@ -54,8 +58,16 @@ def proximity_columns(h: DataFrame, avg: Column, span_mode: str = "intended",
     }
     if need_bm25:
         idfs = F.transform("lists", lambda l: l["bm25idf"])
-        cols["prox_bm25"] = P.bm25_proximity(F.col("__fold"), n, idfs, F.col("num_words"), avg, k3=k3)
-    return h.withColumns(cols).drop("__fold")
+        if p4_mode == "as_written":
+            cols["prox_bm25"] = P.bm25_proximity(F.col("__fold"), n, idfs, F.col("num_words"), avg, k3=k3)
+        elif p4_mode == "rasolofo":
+            h = h.withColumn("__avg", avg)
+            cols["prox_bm25"] = P.bm25_proximity_rasolofo(F.col("lists"), n, idfs, F.col("num_words"),
+                                                          F.col("__avg"), k3=k3)
+        else:
+            raise ValueError(f"unknown p4_mode {p4_mode!r}")
+    return h.withColumns(cols).drop("__fold", "__avg") if "__avg" in h.columns else \
+        h.withColumns(cols).drop("__fold")
 
 
 def method_score(method: str) -> Column:
@@ -74,14 +86,15 @@ def method_score(method: str) -> Column:
 
 def rank(index: TextIndex, queries: DataFrame, method: str = "bm25", k: int = 10,
          unknown: str = "drop", df_mode: str = "rows", span_mode: str = "intended",
-         k3: float = 1000.0) -> DataFrame:
+         k3: float = 1000.0, p4_mode: str = "as_written") -> DataFrame:
     """``(query_id, rank, section_id, score)`` top-k per query."""
     proximity = method in ("tfidf_ext", "bm25_ext")
     needed = {"tfidf": ("tfidf",), "tfidf_doclen": ("tfidf",), "bm25": ("bm25",),
               "tfidf_ext": ("tfidf",), "bm25_ext": ("bm25_ext",)}[method]
     h = scored_hits(index, queries, unknown, df_mode, with_offsets=proximity, scores=needed)
     if proximity:
-        h = proximity_columns(h, index.avg_sec_len(), span_mode, k3, need_bm25=method == "bm25_ext")
+        h = proximity_columns(h, index.avg_sec_len(), span_mode, k3, need_bm25=method == "bm25_ext",
+                              p4_mode=p4_mode)
     scored = h.select("query_id", "section_id", S.rounded(method_score(method)).alias("score"))
     return top_k(scored, k).select("query_id", "rank", "section_id", "score")
 

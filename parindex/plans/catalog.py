@@ -1270,3 +1270,31 @@ def rank_bm25_benchmark(spark, sf_dir):
 def rank_tfidf_ext_benchmark(spark, sf_dir):
     """Long OR queries with proximity: the fold meets up to ~30 lists."""
     return _ranked_out(R.rank(index(spark, sf_dir), benchmark_queries(spark, sf_dir), "tfidf_ext", K))
+
+
+
+# ---------------------------------------------------------------------------
+# P4 with the Rasolofo & Savoy weighting (tpi over all close position pairs)
+# ---------------------------------------------------------------------------
+
+@register("bm25_proximity_rasolofo", "WITH " + O.corpus_ctes() + "," + O.match_ctes(STANDARD_QUERIES) + ","
+          + O.hit_rows_cte() + "," + O.proximity_ctes() + "," + O.rasolofo_ctes() + f"""
+SELECT CAST(p.query_id AS BIGINT) AS query_id, p.section_id,
+       round(CASE WHEN p.n_lists < 2 THEN 0.0 ELSE ({D.BM25_EXT_K1} + 1) * coalesce(r.ras_sum, 0.0) / 1000.0 END, 6) AS value
+FROM prox p LEFT JOIN ras r USING (query_id, section_id)""")
+def bm25_proximity_rasolofo(spark, sf_dir):
+    idx = index(spark, sf_dir)
+    h = Q.scored_hits(idx, queries_of(spark), with_offsets=True, scores=())
+    h = R.proximity_columns(h, idx.avg_sec_len(), p4_mode="rasolofo")
+    return h.select(F.col("query_id").cast("long").alias("query_id"), "section_id",
+                    F.round("prox_bm25", 6).alias("value"))
+
+
+@register("rank_bm25_ext_rasolofo", "WITH " + O.corpus_ctes() + "," + O.match_ctes(STANDARD_QUERIES) + ","
+          + O.hit_rows_cte() + "," + O.proximity_ctes() + "," + O.rasolofo_ctes() + f""",
+rscore AS (
+  SELECT p.*, p.bm25_ext + CASE WHEN p.n_lists < 2 THEN 0.0
+                               ELSE ({D.BM25_EXT_K1} + 1) * coalesce(r.ras_sum, 0.0) / 1000.0 END AS s
+  FROM prox p LEFT JOIN ras r USING (query_id, section_id))""" + O.top_k_sql("rscore", "s", K))
+def rank_bm25_ext_rasolofo(spark, sf_dir):
+    return _ranked_out(R.rank(index(spark, sf_dir), queries_of(spark), "bm25_ext", K, p4_mode="rasolofo"))

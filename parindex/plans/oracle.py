@@ -217,3 +217,23 @@ def suffix_tag(t: str) -> str:
     return (f"CASE WHEN suffix({t}, 'ly') THEN 'r' WHEN suffix({t}, 'ing') OR suffix({t}, 'ed') THEN 'v' "
             f"WHEN suffix({t}, 'ous') OR suffix({t}, 'ful') OR suffix({t}, 'ive') OR suffix({t}, 'able') THEN 'j' "
             f"ELSE 'n' END")
+
+
+
+def rasolofo_ctes() -> str:
+    """All position pairs of two different stems at distance < 6 (needs
+    ``occ`` from :func:`proximity_ctes`)."""
+    return f"""
+pair_all AS (
+  SELECT a.query_id, a.section_id, a.stem AS s1, b.stem AS s2,
+         sum(1.0 / ((a.pos - b.pos) * (a.pos - b.pos))) AS tpi
+  FROM occ a JOIN occ b ON a.query_id = b.query_id AND a.section_id = b.section_id
+   AND a.stem < b.stem AND abs(a.pos - b.pos) < 6
+  GROUP BY a.query_id, a.section_id, a.stem, b.stem),
+ras AS (
+  SELECT pa.query_id, pa.section_id, max(h.num_words) AS num_words,
+         sum(pa.tpi / (2.0 * ((1 - {BM25_EXT_B}) + {BM25_EXT_B} * (h.num_words / (SELECT avg_sec_len FROM stats)))
+             + pa.tpi) * least(i1.bm25idf, i2.bm25idf)) AS ras_sum
+  FROM pair_all pa JOIN idf i1 ON i1.stem = pa.s1 JOIN idf i2 ON i2.stem = pa.s2
+  JOIN hit_scores h ON h.query_id = pa.query_id AND h.section_id = pa.section_id
+  GROUP BY pa.query_id, pa.section_id)"""
