@@ -86,12 +86,18 @@ def method_score(method: str) -> Column:
 
 def rank(index: TextIndex, queries: DataFrame, method: str = "bm25", k: int = 10,
          unknown: str = "drop", df_mode: str = "rows", span_mode: str = "intended",
-         k3: float = 1000.0, p4_mode: str = "as_written") -> DataFrame:
-    """``(query_id, rank, section_id, score)`` top-k per query."""
+         k3: float = 1000.0, p4_mode: str = "as_written",
+         k1: float | None = None, b: float | None = None) -> DataFrame:
+    """``(query_id, rank, section_id, score)`` top-k per query.
+
+    ``k1``/``b`` set BM25's parameters (defaults 1.7 / 0.75 as in the
+    reference; a search engine's BM25 is the same formula with its own)."""
     proximity = method in ("tfidf_ext", "bm25_ext")
     needed = {"tfidf": ("tfidf",), "tfidf_doclen": ("tfidf",), "bm25": ("bm25",),
               "tfidf_ext": ("tfidf",), "bm25_ext": ("bm25_ext",)}[method]
-    h = scored_hits(index, queries, unknown, df_mode, with_offsets=proximity, scores=needed)
+    from parindex.operators.index import BM25_B, BM25_K1
+    h = scored_hits(index, queries, unknown, df_mode, with_offsets=proximity, scores=needed,
+                    bm25_k1=BM25_K1 if k1 is None else k1, bm25_b=BM25_B if b is None else b)
     if proximity:
         h = proximity_columns(h, index.avg_sec_len(), span_mode, k3, need_bm25=method == "bm25_ext",
                               p4_mode=p4_mode)

@@ -211,7 +211,8 @@ def boolean_match(groups: Column, matched: Column, top_op: Column) -> Column:
 
 def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
                 df_mode: str = "rows", with_offsets: bool = False,
-                scores: tuple[str, ...] = ("tfidf", "bm25", "bm25_ext")) -> DataFrame:
+                scores: tuple[str, ...] = ("tfidf", "bm25", "bm25_ext"),
+                bm25_k1: float = BM25_K1, bm25_b: float = BM25_B) -> DataFrame:
     """Matching (query, section) pairs with the aggregates every ranking needs.
 
     Columns: ``query_id, section_id, num_words, nj, matched`` plus the requested
@@ -232,7 +233,7 @@ def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
         aggs.append(F.sum(S.tfidf_term(F.col("tf"), F.col("idf"))).alias("tfidf"))
     if "bm25" in scores:
         aggs.append(F.sum(S.bm25_term(F.col("tf"), F.col("bm25idf"), F.col("num_words"), avg,
-                                      BM25_K1, BM25_B)).alias("bm25"))
+                                      bm25_k1, bm25_b)).alias("bm25"))
     if "bm25_ext" in scores:
         aggs.append(F.sum(S.bm25_term(F.col("tf"), F.col("bm25idf"), F.col("num_words"), avg,
                                       BM25_EXT_K1, BM25_EXT_B)).alias("bm25_ext"))

@@ -1298,3 +1298,39 @@ rscore AS (
   FROM prox p LEFT JOIN ras r USING (query_id, section_id))""" + O.top_k_sql("rscore", "s", K))
 def rank_bm25_ext_rasolofo(spark, sf_dir):
     return _ranked_out(R.rank(index(spark, sf_dir), queries_of(spark), "bm25_ext", K, p4_mode="rasolofo"))
+
+
+
+# ---------------------------------------------------------------------------
+# parameter variants: BM25 (k1, b), strict unknown terms, span as written
+# ---------------------------------------------------------------------------
+
+ENGINE_K1, ENGINE_B = 1.2, 0.75
+
+
+@register("rank_bm25_engine_params", O.rank_sql(STANDARD_QUERIES, "bm25", K)
+          .replace(f"({D.BM25_K1} + 1)", f"({ENGINE_K1} + 1)").replace(f"({D.BM25_K1} * ((1 - {D.BM25_B}) + {D.BM25_B} *",
+                                                                       f"({ENGINE_K1} * ((1 - {ENGINE_B}) + {ENGINE_B} *"))
+def rank_bm25_engine_params(spark, sf_dir):
+    """BM25 with a search engine's default parameters (k1 = 1.2, b = 0.75)."""
+    return _ranked_out(R.rank(index(spark, sf_dir), queries_of(spark), "bm25", K, k1=ENGINE_K1, b=ENGINE_B))
+
+
+STRICT_QUERIES = [3, 6, 7, 14, 15]
+
+
+@register("search_and_strict", "WITH " + O.corpus_ctes() + "," + O.match_ctes(sql_queries(STRICT_QUERIES), unknown="empty")
+          + """
+SELECT CAST(query_id AS BIGINT) AS query_id, section_id FROM matches""")
+def search_and_strict(spark, sf_dir):
+    """Q3 with ``unknown="empty"``: a group holding an unknown term matches nothing."""
+    r = Q.search(index(spark, sf_dir), queries_of(spark, STRICT_QUERIES), unknown="empty")
+    return r.select(F.col("query_id").cast("long").alias("query_id"), "section_id")
+
+
+@register("rank_tfidf_ext_span_as_written", "WITH " + O.corpus_ctes() + "," + O.match_ctes(STANDARD_QUERIES) + ","
+          + O.hit_rows_cte() + "," + O.proximity_ctes(span_mode="as_written") + "\n"
+          + O.top_k_sql("prox", O.score_sql("tfidf_ext"), K))
+def rank_tfidf_ext_span_as_written(spark, sf_dir):
+    """R4 with P2 as written (n^2 for every section with two or more lists)."""
+    return _ranked_out(R.rank(index(spark, sf_dir), queries_of(spark), "tfidf_ext", K, span_mode="as_written"))
