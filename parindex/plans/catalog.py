@@ -626,8 +626,8 @@ def rank_all(spark, sf_dir):
 
 
 @register("ranked_titles", O.rank_sql(STANDARD_QUERIES, "bm25", K).replace(
-    "\nSELECT query_id, CAST(rank AS BIGINT) AS rank, section_id, score FROM (",
-    "\nSELECT r.*, c.title FROM corpus c JOIN (\nSELECT query_id, CAST(rank AS BIGINT) AS rank, section_id, score FROM (",
+    "\nSELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, section_id, score FROM (",
+    "\nSELECT r.*, c.title FROM corpus c JOIN (\nSELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, section_id, score FROM (",
     1) + ") r ON c.doc_id = r.section_id // 1048576")
 def ranked_titles(spark, sf_dir):
     r = R.ranked_titles(R.rank(index(spark, sf_dir), queries_of(spark), "bm25", K), corpus(spark, sf_dir))
@@ -666,9 +666,10 @@ n_truth AS (SELECT query_id, count(*) AS n FROM truth GROUP BY query_id)"""
 
 def _ap_sql():
     base = O.rank_sql(sql_queries(EVAL_QUERIES), "bm25", K_EVAL)
-    head, tail = base.split("\nSELECT query_id, CAST(rank AS BIGINT)", 1)
+    marker = "\nSELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT)"
+    head, tail = base.split(marker, 1)
     return head + "," + _TRUTH_SQL + """,
-ranked AS (SELECT query_id, CAST(rank AS BIGINT)""" + tail + """),
+ranked AS (SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT)""" + tail + """),
 marks AS (
   SELECT r.query_id, r.rank, CASE WHEN t.section_id IS NULL THEN 0 ELSE 1 END AS hit
   FROM ranked r JOIN n_truth n USING (query_id)
@@ -712,7 +713,8 @@ def tsvector_build(spark, sf_dir):
 
 
 @register("term_stats", "WITH " + O.corpus_ctes() + """
-SELECT stem AS lexeme, count(*) AS ndoc, sum(tf) AS nentry FROM postings GROUP BY stem""")
+SELECT stem AS lexeme, CAST(count(*) AS BIGINT) AS ndoc, CAST(sum(tf) AS BIGINT) AS nentry
+FROM postings GROUP BY stem""")
 def term_stats(spark, sf_dir):
     t = C.term_stats(C.tsvector_table(index(spark, sf_dir)))
     return t.select("lexeme", F.col("ndoc").cast("long"), F.col("nentry").cast("long"))

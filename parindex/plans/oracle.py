@@ -193,7 +193,7 @@ def score_sql(method: str) -> str:
 
 def top_k_sql(source: str, score: str, k: int, extra: str = "") -> str:
     return f"""
-SELECT query_id, CAST(rank AS BIGINT) AS rank, section_id, score{extra} FROM (
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, section_id, score{extra} FROM (
   SELECT query_id, section_id, round({score}, 6) AS score{extra},
          row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 6) DESC, section_id DESC) AS rank
   FROM {source}) WHERE rank <= {k}"""
