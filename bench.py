@@ -12,7 +12,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -24,15 +23,17 @@ from pyspark.sql import functions as F  # noqa: E402
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    scratch = tempfile.mkdtemp(prefix="parindex-bench-")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("parindex-bench")
              .config("spark.sql.shuffle.partitions", str(max(cpus, 8)))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "16g")
-             .config("spark.checkpoint.dir", os.path.join(scratch, "ckpt"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    from parindex.session import checkpoint_dir
+    # the session's shared checkpoint folder (a fresh scratch folder only
+    # when the session names none, as in a local run)
+    scratch = os.path.join(checkpoint_dir(spark), f"bench-{os.getpid()}")
 
     from parindex.operators import index as D
     from parindex.operators import rank as R

@@ -1336,3 +1336,13 @@ def search_and_strict(spark, sf_dir):
 def rank_tfidf_ext_span_as_written(spark, sf_dir):
     """R4 with P2 as written (n^2 for every section with two or more lists)."""
     return _ranked_out(R.rank(index(spark, sf_dir), queries_of(spark), "tfidf_ext", K, span_mode="as_written"))
+
+
+TERM_QUERIES = {1: "tion", 2: "erin", 3: "thnd", 4: "eron", 5: "erth", 6: "zzznope", 7: "de", 8: "la"}
+
+
+@register("rank_bm25_terms", O.rank_sql(TERM_QUERIES, "bm25", K))
+def rank_bm25_terms(spark, sf_dir):
+    """One-term queries (the reference's look-up workload), BM25 top-10: each
+    joined posting already is one (query, section) pair, no aggregation."""
+    return _ranked_out(R.rank(index(spark, sf_dir), query_table(spark, TERM_QUERIES), "bm25", K))

@@ -53,18 +53,25 @@ def _exists(spark: SparkSession, path: str, marker: bool = True) -> bool:
     return fs.exists(hpath)
 
 
-def write_index(index: TextIndex, path: str, mode: str = "overwrite") -> None:
+def write_index(index: TextIndex, path: str, mode: str = "overwrite",
+                num_partitions: int | None = None, persist_words: bool = True) -> None:
     """Bulk write of the index tables.
 
     The per-section word arrays are persisted (memory and disk; recomputed
     from the corpus if an executor is lost) so the sections and the postings
     are tokenised once, and the postings are checkpointed to the shared
     checkpoint folder before the range-partitioned write, so the sampling pass
-    of the range partitioner reads them instead of re-running the tokeniser."""
+    of the range partitioner reads them instead of re-running the tokeniser.
+
+    ``num_partitions`` sets the number of range partitions (= files) of the
+    postings; by default the session's shuffle partitions.  Size it so a
+    partition is a few hundred MB (at 100 TB of text: tens of thousands).
+    ``persist_words=False`` skips persisting the word arrays (they are about
+    the size of the text) at the cost of tokenising twice."""
     from pyspark import StorageLevel
     spark = index.sections.sparkSession
     buckets = bucket_count(spark)
-    words = index.words
+    words = index.words if persist_words else None
     if words is not None:
         words.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -77,8 +84,10 @@ def write_index(index: TextIndex, path: str, mode: str = "overwrite") -> None:
             # Range-partition on (bucket, stem, section_id): files are few and
             # sorted, and a stem holding a third of all postings is split
             # across tasks by section id instead of landing in one task.
-            (p.repartitionByRange("bucket", "stem", "section_id")
-             .sortWithinPartitions("bucket", "stem", "section_id")
+            keys = ("bucket", "stem", "section_id")
+            ranged = p.repartitionByRange(num_partitions, *keys) if num_partitions else p.repartitionByRange(*keys)
+            (ranged
+             .sortWithinPartitions(*keys)
              .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
     finally:
         if words is not None:
