@@ -228,36 +228,22 @@ def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
     bm25 = S.bm25_term(F.col("tf"), F.col("bm25idf"), F.col("num_words"), avg, bm25_k1, bm25_b)
     bm25_ext = S.bm25_term(F.col("tf"), F.col("bm25idf"), F.col("num_words"), avg, BM25_EXT_K1, BM25_EXT_B)
     entry = F.struct("stem", "offsets", "bm25idf", "idf")
-    if max_stems <= 1:
-        # one stem per query: every joined row already is one (query, section)
-        # pair — no aggregation, no exchange
-        cols = [F.col("query_id"), F.col("section_id"),
-                F.expr("shiftleft(CAST(1 AS BIGINT), qbit)").alias("matched_bits"),
-                F.col("tf").cast("long").alias("nj"), F.col("num_words")]
-        if "tfidf" in scores:
-            cols.append(S.tfidf_term(F.col("tf"), F.col("idf")).alias("tfidf"))
-        if "bm25" in scores:
-            cols.append(bm25.alias("bm25"))
-        if "bm25_ext" in scores:
-            cols.append(bm25_ext.alias("bm25_ext"))
-        if with_offsets:
-            cols.append(F.array(entry).alias("lists"))
-        h = p.select(*cols)
-    else:
-        matched = (F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), qbit)")).alias("matched_bits")
-                   if use_bits else F.collect_list("stem").alias("matched"))
-        aggs = [matched,
-                F.sum("tf").cast("long").alias("nj"),
-                F.max("num_words").alias("num_words")]
-        if "tfidf" in scores:
-            aggs.append(F.sum(S.tfidf_term(F.col("tf"), F.col("idf"))).alias("tfidf"))
-        if "bm25" in scores:
-            aggs.append(F.sum(bm25).alias("bm25"))
-        if "bm25_ext" in scores:
-            aggs.append(F.sum(bm25_ext).alias("bm25_ext"))
-        if with_offsets:
-            aggs.append(F.collect_list(entry).alias("lists"))
-        h = p.groupBy("query_id", "section_id").agg(*aggs)
+    # (a batch of one-term queries could skip this aggregation, but measured
+    # slower: the aggregation's exchange also balances the top-k sort)
+    matched = (F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), qbit)")).alias("matched_bits")
+               if use_bits else F.collect_list("stem").alias("matched"))
+    aggs = [matched,
+            F.sum("tf").cast("long").alias("nj"),
+            F.max("num_words").alias("num_words")]
+    if "tfidf" in scores:
+        aggs.append(F.sum(S.tfidf_term(F.col("tf"), F.col("idf"))).alias("tfidf"))
+    if "bm25" in scores:
+        aggs.append(F.sum(bm25).alias("bm25"))
+    if "bm25_ext" in scores:
+        aggs.append(F.sum(bm25_ext).alias("bm25_ext"))
+    if with_offsets:
+        aggs.append(F.collect_list(entry).alias("lists"))
+    h = p.groupBy("query_id", "section_id").agg(*aggs)
     h = h.join(small_side(qdef, bound=queries), "query_id")
     keep = (boolean_match_bits(F.col("groups"), F.col("matched_bits"), F.col("top_op")) if use_bits
             else boolean_match(F.col("groups"), F.col("matched"), F.col("top_op")))
