@@ -95,6 +95,8 @@ def local_query_rows(queries: DataFrame) -> list[tuple] | None:
 
 
 GROUPS_TYPE = "array<struct<group_op:string,stems:array<string>,ok:boolean,mask:bigint>>"
+# per query, the statistics of its known stems in bit order (qidf[qbit])
+QIDF_TYPE = "array<struct<qbit:int,idf:double,bm25idf:double>>"
 # Up to this many known stems per query the matched stems of a section are a
 # 64-bit mask (bit_or in a plain hash aggregate); beyond it, a collected list.
 MAX_BITS = 63
@@ -130,8 +132,13 @@ def _query_parts_local(index: TextIndex, spark, rows: list[tuple], unknown: str,
         if mask >= 1 << 63:
             mask -= 1 << 64
         per_query.setdefault((q, top), []).append({"group_op": gop, "stems": known, "ok": ok, "mask": mask})
-    qdef = local_table(spark, [(q, top, gl) for (q, top), gl in sorted(per_query.items())],
-                       f"query_id int, top_op string, groups {GROUPS_TYPE}")
+    qidf: dict[int, list] = {}
+    for q, st in qs_rows:
+        qidf.setdefault(q, []).append({"qbit": bit[(q, st)], "idf": float(idf[st][1]),
+                                       "bm25idf": float(idf[st][2])})
+    qdef = local_table(spark, [(q, top, gl, sorted(qidf.get(q, []), key=lambda d: d["qbit"]))
+                               for (q, top), gl in sorted(per_query.items())],
+                       f"query_id int, top_op string, groups {GROUPS_TYPE}, qidf {QIDF_TYPE}")
     return qs, qdef
 
 
@@ -175,6 +182,10 @@ def query_parts(index: TextIndex, queries: DataFrame, unknown: str = "drop",
         raise ValueError(f"unknown must be 'drop' or 'empty', not {unknown!r}")
     qdef = groups.groupBy("query_id", "top_op").agg(
         F.collect_list(F.struct("group_op", "stems", ok.alias("ok"), "mask")).alias("groups"))
+    qidf = qs.groupBy("query_id").agg(F.array_sort(F.collect_list(
+        F.struct("qbit", F.col("idf").cast("double").alias("idf"),
+                 F.col("bm25idf").cast("double").alias("bm25idf")))).alias("qidf"))
+    qdef = qdef.join(qidf, "query_id", "left")
     return qs, qdef
 
 
@@ -212,7 +223,8 @@ def boolean_match(groups: Column, matched: Column, top_op: Column) -> Column:
 def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
                 df_mode: str = "rows", with_offsets: bool = False,
                 scores: tuple[str, ...] = ("tfidf", "bm25", "bm25_ext"),
-                bm25_k1: float = BM25_K1, bm25_b: float = BM25_B) -> DataFrame:
+                bm25_k1: float = BM25_K1, bm25_b: float = BM25_B,
+                restrict: DataFrame | None = None) -> DataFrame:
     """Matching (query, section) pairs with the aggregates every ranking needs.
 
     Columns: ``query_id, section_id, num_words, nj, matched`` plus the requested
@@ -223,11 +235,17 @@ def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
     avg = index.avg_sec_len()
     qs = add_bucket_like(index.postings, qs)
     p = pruned_postings(index, queries).join(small_side(qs, bound=queries), join_keys(index.postings))
+    if restrict is not None:
+        # only these (query, section) pairs go on (semi join before the
+        # aggregation, so nothing else is collected)
+        p = p.join(small_side(restrict), ["query_id", "section_id"], "left_semi")
     max_stems = max_stems_per_query(queries)
     use_bits = max_stems <= MAX_BITS
     bm25 = S.bm25_term(F.col("tf"), F.col("bm25idf"), F.col("num_words"), avg, bm25_k1, bm25_b)
     bm25_ext = S.bm25_term(F.col("tf"), F.col("bm25idf"), F.col("num_words"), avg, BM25_EXT_K1, BM25_EXT_B)
-    entry = F.struct("stem", "offsets", "bm25idf", "idf")
+    # only (bit number, offsets) travel through the aggregation; the stem's
+    # statistics are re-attached from the broadcast query definitions
+    entry = F.struct("qbit", "offsets")
     # (a batch of one-term queries could skip this aggregation, but measured
     # slower: the aggregation's exchange also balances the top-k sort)
     matched = (F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), qbit)")).alias("matched_bits")
@@ -247,7 +265,14 @@ def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
     h = h.join(small_side(qdef, bound=queries), "query_id")
     keep = (boolean_match_bits(F.col("groups"), F.col("matched_bits"), F.col("top_op")) if use_bits
             else boolean_match(F.col("groups"), F.col("matched"), F.col("top_op")))
-    return h.filter(keep).drop("groups", "top_op", "matched_bits", "matched")
+    h = h.filter(keep).withColumn(
+        "n_present", F.bit_count("matched_bits") if use_bits else F.size("matched"))
+    if with_offsets:
+        h = h.withColumn("lists", F.transform(F.array_sort("lists"), lambda l: F.struct(
+            l["qbit"].alias("qbit"), l["offsets"].alias("offsets"),
+            F.get(F.col("qidf"), l["qbit"])["bm25idf"].alias("bm25idf"),
+            F.get(F.col("qidf"), l["qbit"])["idf"].alias("idf"))))
+    return h.drop("groups", "top_op", "matched_bits", "matched", "qidf")
 
 
 def search(index: TextIndex, queries: DataFrame, unknown: str = "drop") -> DataFrame:
