@@ -135,7 +135,7 @@ def proximity_candidates(index: TextIndex, queries: DataFrame, method: str, k: i
 def rank(index: TextIndex, queries: DataFrame, method: str = "bm25", k: int = 10,
          unknown: str = "drop", df_mode: str = "rows", span_mode: str = "intended",
          k3: float = 1000.0, p4_mode: str = "as_written",
-         k1: float | None = None, b: float | None = None, prune: bool = True) -> DataFrame:
+         k1: float | None = None, b: float | None = None, prune: bool | None = None) -> DataFrame:
     """``(query_id, rank, section_id, score)`` top-k per query.
 
     ``k1``/``b`` set BM25's parameters (defaults 1.7 / 0.75 as in the
@@ -148,6 +148,12 @@ def rank(index: TextIndex, queries: DataFrame, method: str = "bm25", k: int = 10
     queries = prepare_queries(queries)
     bk1, bb = (BM25_K1 if k1 is None else k1), (BM25_B if b is None else b)
     restrict = None
+    if prune is None:
+        # the first phase costs a cheap pass over all hits plus a few small
+        # jobs: worth it for batches derived from data, not for a handful of
+        # hand-written (local) queries
+        from parindex.functions.sizing import is_local
+        prune = not is_local(queries)
     if proximity and prune:
         # exact pruning: offsets are gathered only for sections that can
         # still enter the top-k (see proximity_candidates)

@@ -46,3 +46,13 @@ def test_entry_module_imports_without_spark():
     assert out.returncode == 0, out.stderr
     n_q, n_sql = map(int, out.stdout.split())
     assert n_q >= 90 and n_sql >= n_q - 2
+
+
+def test_two_phase_proximity_is_exact(spark):
+    corpus = D.corpus_from_documents(spark.read.parquet(os.path.join(SF_SMALL, "documents.parquet")))
+    idx = D.build_index(corpus)
+    q = query_table(spark, STANDARD_QUERIES)
+    for method, span in (("tfidf_ext", "intended"), ("tfidf_ext", "as_written"), ("bm25_ext", "intended")):
+        a = R.rank(idx, q, method, 5, span_mode=span, prune=False).collect()
+        b = R.rank(idx, q, method, 5, span_mode=span, prune=True).collect()
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b))
