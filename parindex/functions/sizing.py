@@ -21,13 +21,19 @@ MAX_BROADCAST_LOCAL_BYTES = 64 << 20
 def is_local(df: DataFrame) -> bool:
     """True when every leaf of the optimised plan is a local relation (its
     size statistics are then exact)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    names = [leaves.apply(i).nodeName() for i in range(leaves.size())]
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        names = [leaves.apply(i).nodeName() for i in range(leaves.size())]
+    except Exception:  # noqa: BLE001 - no JVM plan at hand: fall back to counting
+        return False
     return bool(names) and all(n in ("LocalRelation", "OneRowRelation") for n in names)
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - unknown size
+        return 1 << 62
 
 
 def small_side(df: DataFrame, bound: DataFrame | None = None,
