@@ -1346,3 +1346,17 @@ def rank_bm25_terms(spark, sf_dir):
     """One-term queries (the reference's look-up workload), BM25 top-10: each
     joined posting already is one (query, section) pair, no aggregation."""
     return _ranked_out(R.rank(index(spark, sf_dir), query_table(spark, TERM_QUERIES), "bm25", K))
+
+
+@register("nested_pos", "WITH " + O.corpus_ctes() + """,
+l AS (SELECT section_id, list("offset" ORDER BY term, "offset") AS offs FROM tokens WHERE stem = 'tion' GROUP BY section_id)
+SELECT section_id, CAST(offs[1] AS BIGINT) AS first_pos, CAST(offs[6] AS BIGINT) AS sixth_pos FROM l""")
+def nested_pos(spark, sf_dir):
+    """P8 getPos on P7's result: 0-based element, NULL past the end."""
+    v = vectors(spark, sf_dir)
+    idx = F.filter(F.sequence(F.lit(1), F.greatest(F.size("stems"), F.lit(1))),
+                   lambda i: F.get(F.col("stems"), i - 1) == "tion")
+    got = V.nested_get(F.col("offsets"), idx)
+    return v.select("section_id", V.get_pos(got, F.lit(0)).cast("long").alias("first_pos"),
+                    V.get_pos(got, F.lit(5)).cast("long").alias("sixth_pos")) \
+        .filter(F.size(got) > 0)
