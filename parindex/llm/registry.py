@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from parindex.llm import quality_rules, secrets
+from parindex.llm import packing, quality_rules, secrets, token_counts
 
 QUERIES = {
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op6_packing": packing.op6_packing,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 SQL = {
