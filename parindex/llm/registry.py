@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from parindex.llm import packing, quality_rules, secrets, token_counts
+from parindex.llm import (language_id, packing, quality_model, quality_rules, secrets,
+                          token_counts)
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op3_secret_scans": secrets.op3_secret_scans,
+    "op4_quality_classifier": quality_model.op4_quality_classifier,
     "op6_packing": packing.op6_packing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_quality_rules": quality_rules.op9_quality_rules,
