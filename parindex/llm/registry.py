@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from parindex.llm import (language_id, packing, quality_model, quality_rules, secrets,
-                          token_counts)
+                          token_counts, toxicity)
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
     "op3_secret_scans": secrets.SQL,
