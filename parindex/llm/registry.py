@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from parindex.llm import (language_id, packing, quality_model, quality_rules, secrets,
-                          token_counts, toxicity)
+                          simhash, token_counts, toxicity)
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_classifier": quality_model.op4_quality_classifier,
     "op6_packing": packing.op6_packing,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
 }
