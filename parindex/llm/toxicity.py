@@ -1,10 +1,10 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-Token labels come from the labelled documents: words that are far more frequent
-in toxic than in other training documents (``RATIO``) and stand in many different contexts
+Token labels come from the labelled documents: words and word beginnings that
+are far more frequent in toxic than in other training documents (``RATIO``) and stand in many different contexts
 (``SUPPORT``) tag their tokens in toxic documents; every other training token is clean.  The field has two tags; its
-features are the token's word (if it is in the bounded lexicon), the lexicon
-words beside it and the tag transitions.  Forward-backward marginals of every
+features are the token's entry in the bounded lexicon (its word, or else its
+shortest listed beginning), entries beside it and the tag transitions.  Forward-backward marginals of every
 token of the whole text add up to the document's score, and the tokens whose
 marginal passes ``TAG`` are its offending offsets.
 
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from parindex.llm.common import (bounded_sample, cut, fold, held_out, table, text_or_empty)
 
-SAMPLE = 12_000        # labelled documents learnt from
-LEXICON = 4_096        # words with a weight of their own
-SUPPORT, RATIO = 8, 8.0
+SAMPLE = 8_000         # labelled documents learnt from
+LEXICON = 4_096        # words and word beginnings with a weight of their own
+PREFIXES = (3, 4, 5, 6)  # bytes
+SUPPORT, RATIO = 12, 10.0
 TRAIN_WINDOW, TRAIN_WINDOWS, STEPS = 48, 4_000, 80
 TAG = 0.5
 _LANE = 64
@@ -39,9 +40,23 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().translate(_KEEP).split()
 
 
+def entries(word: bytes) -> list[bytes]:
+    """What the lexicon can list of a token: its word, then its beginnings (marked by ``*``)."""
+    return [word, *[word[:k] + b"*" for k in PREFIXES if len(word) > k]]
+
+
 class _Ids(dict):
+    """token -> number of its lexicon entry (0: none); remembers a bounded number of tokens."""
+
+    def __init__(self, lexicon: list[bytes], limit: int = 200_000):
+        super().__init__()
+        self.known, self.limit = {w: i + 1 for i, w in enumerate(lexicon)}, limit
+
     def __missing__(self, word: bytes) -> int:
-        return 0
+        found = next((self.known[x] for x in entries(word) if x in self.known), 0)
+        if len(self) < self.limit:
+            self[word] = found
+        return found
 
 
 def word_ids(text: str, lexicon: _Ids) -> np.ndarray:
@@ -202,7 +217,7 @@ class Tagger:
 
     def __init__(self, model: dict):
         self.model = model
-        self.lexicon = _Ids({w: i + 1 for i, w in enumerate(model["lexicon"])})
+        self.lexicon = _Ids(model["lexicon"])
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens per text, marginals of all tokens, statistics (n, 2) per text)."""
@@ -279,15 +294,15 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
 
     def distinct(batches):
         for b in batches:
-            found = [(w, int(y)) for t, y in zip(b["text"], b["toxic"]) for w in set(tokens(t))]
+            found = [(w, int(y)) for t, y in zip(b["text"], b["toxic"]) for w in {x for word in set(tokens(t)) for x in entries(word)}]
             yield pd.DataFrame({"w": [w for w, _ in found], "y": [y for _, y in found]})
 
     words = (rows.mapInPandas(distinct, "w binary, y int").groupBy("w")
              .agg(F.sum("y").alias("tox"), F.count(F.lit(1)).alias("n")))
     ratio = ((F.col("tox") + 0.5) / (n_tox + 1)) / ((F.col("n") - F.col("tox") + 0.5) / (n_all - n_tox + 1))
-    often = [bytes(r[0]) for r in words.filter(F.col("tox") >= SUPPORT).withColumn("r", ratio)
-             .filter(F.col("r") >= RATIO).orderBy(F.desc("r"), F.desc("tox"), "w").limit(LEXICON).collect()]
-    known = set(often)
+    often = [(bytes(r["w"]), r["tox"]) for r in words.filter(F.col("tox") >= SUPPORT).withColumn("r", ratio)
+             .filter(F.col("r") >= RATIO).orderBy(F.desc("tox"), F.desc("r"), "w").limit(LEXICON).collect()]
+    known = dict(often)
 
     def contexts(batches):
         for b in batches:
@@ -295,14 +310,18 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
             for t, y in zip(b["text"], b["toxic"]):
                 words = [b"", *tokens(t), b""] if y else []
                 for k in range(1, len(words) - 1):
-                    if words[k] in known:
-                        found.add((words[k], words[k - 1] + b" " + words[k + 1]))
+                    for x in entries(words[k]):
+                        if x in known:
+                            found.add((x, words[k - 1] + b" " + words[k + 1]))
             yield pd.DataFrame({"w": [w for w, _ in found], "c": [c for _, c in found]})
 
     # copies repeat a word in one and the same context; what marks toxic texts comes in many
-    lexicon = sorted(bytes(r[0]) for r in rows.mapInPandas(contexts, "w binary, c binary").distinct()
-                     .groupBy("w").count().filter(F.col("count") >= SUPPORT).collect())
-    ids = _Ids({w: i + 1 for i, w in enumerate(lexicon)})
+    spread = [(bytes(r[0]), r[1]) for r in rows.mapInPandas(contexts, "w binary, c binary").distinct()
+              .groupBy("w").count().collect()]
+    wide = {w for w, n in spread if n >= max(SUPPORT, known[w] / 2)}
+    # a beginning stands for all that begins so
+    lexicon = sorted(w for w in wide if not any(x in wide and x != w for x in entries(w.rstrip(b"*"))))
+    ids = _Ids(lexicon)
     share = min(1.0, TRAIN_WINDOWS / max(n_all, 1))
 
     def windows(batches):
