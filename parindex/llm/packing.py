@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parindex.llm import tokens
-from parindex.llm.common import cut, table, text_or_empty
+from parindex.llm.common import table, text_or_empty, written
 
 PART = 1 << 18
 END_ID = 1
@@ -95,7 +95,7 @@ def cut_pieces(encoded: DataFrame, offsets: DataFrame, length: int = 2048) -> Da
 
 def pack(docs: DataFrame, length: int = 2048, path: str | None = None,
          end_id: int = END_ID) -> DataFrame:
-    encoded = cut(encode_documents(docs, path, end_id))
+    encoded = written(encode_documents(docs, path, end_id))
     return cut_pieces(encoded, partition_offsets(encoded), length)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from parindex.llm import (language_id, packing, quality_model, quality_rules, secrets,
-                          simhash, token_counts, toxicity)
+from parindex.llm import (decontaminate, language_id, packing, quality_model, quality_rules, secrets,
+                          simhash, substring_dedup, token_counts, toxicity)
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_language_id": language_id.op2_language_id,
     "op3_secret_scans": secrets.op3_secret_scans,
     "op4_quality_classifier": quality_model.op4_quality_classifier,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_packing": packing.op6_packing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_simhash": simhash.op8_simhash,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 SQL = {
     "op3_secret_scans": secrets.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
