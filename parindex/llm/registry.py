@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from parindex.llm import (decontaminate, language_id, packing, quality_model, quality_rules, secrets,
                           simhash, substring_dedup, token_counts, toxicity)
 
@@ -16,8 +17,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
-SQL = {
+SQL = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
     "op3_secret_scans": secrets.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parindex.llm.common import cut, table, text_or_empty
+from parindex.llm.common import cut, fresh, table, text_or_empty
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
 #: buckets up to this size compare directly; larger ones go by neighbours
@@ -245,3 +245,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component with all columns of ``docs``: the least id, ties by
+    the text's hash and then any one of the rows that agree in both.
+
+    Only ids, hashes and fingerprints are grouped.  The texts meet the ids that
+    stay in a join on (id, hash); a copied row beyond the first is dropped by a
+    count inside its (id, hash), which holds only identical rows.
+    """
+    i, h, n = fresh(docs, "n_id", "n_hash", "n_own")
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"),
+                       F.xxhash64(text).alias("h"))
+
+    def run(batches):
+        for batch in batches:
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)],
+                                             names=["doc_id", "fp", "h"])
+
+    prints = cut(rows.mapInArrow(run, "doc_id long, fp long, h long"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    first = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    classes = cut(first)
+    roots = components(links(classes, radius))
+    named = classes.join(roots, classes["fp"] == roots["node"], "left").select(
+        "first", F.coalesce("root", "fp").alias("root"))
+    stay = named.groupBy("root").agg(F.min("first").alias("s")).select(
+        F.col("s.doc_id").alias(i), F.col("s.h").alias(h)).distinct()
+    keyed = docs.withColumn(n, F.xxhash64(text))
+    kept = keyed.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(n) == F.col(h)))
+    return kept.drop(i, h).dropDuplicates([id_col, n]).drop(n)
