@@ -29,6 +29,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +46,8 @@ COPIES = 200_000
 class Words:
     """The words of a text, joined by one space, with their ends."""
 
-    def __init__(self, text: str):
-        words = text.encode().split()
+    def __init__(self, text: str | bytes):
+        words = (text.encode() if isinstance(text, str) else text).split()
         self.n = len(words)
         self.joined = b" ".join(words)
         size = np.fromiter(map(len, words), np.int64, self.n)
@@ -97,6 +98,23 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
+def anchor_hashes(rows: DataFrame) -> DataFrame:
+    """The distinct anchor hashes of every text, nothing else."""
+    def run(batches):
+        for batch in batches:
+            held, n = [], 0
+            for text in batch.column(0).to_pylist():
+                held.append(np.unique(Words(text).anchors()[1]))
+                n += len(held[-1])
+                if n > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["h"])
+                    held, n = [], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["h"])
+
+    return rows.filter("doc_id IS NOT NULL").select("text").mapInArrow(run, "h long")
+
+
 def anchors(rows: DataFrame) -> DataFrame:
     """hash, doc_id, pos and the text's hash of every anchor."""
     def flush(held):
@@ -166,7 +184,7 @@ def probe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return has(one) & has(two)
 
 
-_SCAN = ("doc_id long, t1 long, n_words long, n_removed long, kept_sha256 string, text string, "
+_SCAN = ("doc_id long, t1 long, n_words long, n_removed long, kept_sha256 string, text binary, "
          "starts array<int>, w array<long>, c array<short>")
 
 
@@ -176,6 +194,7 @@ def _scan(copies, bits):
     With ``bits`` the anchors are looked up in the filter; otherwise the input
     has a third column with the positions of the shared anchors."""
     def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             out = []
             given = batch.column(2).to_pylist() if bits is None else None
@@ -198,7 +217,7 @@ def _scan(copies, bits):
                 sha = hashlib.sha256(w.joined).hexdigest()
                 if len(starts):
                     h, c = w.window_hashes(starts)
-                    out.append((doc_id, t1, w.n, 0, sha, text, starts.astype(np.int32), h, c))
+                    out.append((doc_id, t1, w.n, 0, sha, press.compress(w.joined), starts.astype(np.int32), h, c))
                 else:
                     out.append((doc_id, t1, w.n, 0, sha, None, None, None, None))
                 if len(out) >= 256:
@@ -210,7 +229,7 @@ def _scan(copies, bits):
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()),
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()),
                                 pa.list_(pa.int16())]
     names = [x.split()[0] for x in _SCAN.split(", ")]
     cols = list(zip(*out)) if out else [[]] * len(kinds)
@@ -219,12 +238,13 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
 
 def _finish(batches):
     """Removes the repeated windows of the texts that have some."""
+    press = zstandard.ZstdDecompressor()
     for batch in batches:
         cols = [batch.column(k).to_pylist() for k in range(6)]
         out = []
         for doc_id, n, removed, sha, text, dup in zip(*cols):
             if dup:
-                removed, kept = Words(text).kept(np.unique(np.array(dup, np.int64)))
+                removed, kept = Words(press.decompress(text)).kept(np.unique(np.array(dup, np.int64)))
                 sha = hashlib.sha256(kept).hexdigest()
             out.append((doc_id, n, removed, sha))
         cols = list(zip(*out)) if out else [[]] * 4
@@ -238,16 +258,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     filter_bits = FILTER_BITS if filter_bits is None else filter_bits
     rows = _rows(docs, id_col, text_col)
     spark = rows.sparkSession
-    found = anchors(rows)
-    shared = cut(found.groupBy("h").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"))
-                 .filter("m < x").select("h"))
+    shared = cut(anchor_hashes(rows).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+                 .filter("n > 1").select("h"))
     n = shared.count()
     copies = copied_texts(rows)
     if n * 4 <= filter_bits:
         bits = spark.sparkContext.broadcast(bit_filter(shared, n))
         scanned = rows.mapInArrow(_scan(copies, bits), _SCAN)
     else:
-        where = (found.join(shared, "h", "left_semi").groupBy("doc_id", "t1")
+        where = (anchors(rows).join(shared, "h", "left_semi").groupBy("doc_id", "t1")
                  .agg(F.collect_set("pos").alias("at")).select(F.col("doc_id").alias("d"), "t1", "at"))
 
         def hashed(batches):
@@ -263,8 +282,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = (scanned.filter("starts IS NOT NULL")
                .select("doc_id", "t1", F.explode(F.arrays_zip("starts", "w", "c")).alias("x"))
                .select("doc_id", "t1", "x.starts", "x.w", "x.c"))
-    least = (windows.groupBy("w", "c").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"))
-             .filter("m < x").drop("x"))
+    least = windows.groupBy("w", "c").agg(F.min("doc_id").alias("m"))
     again = (windows.join(least, ["w", "c"]).filter("doc_id > m")
              .groupBy("doc_id", "t1").agg(F.collect_list("starts").alias("dup"))
              .select(F.col("doc_id").alias("d"), F.col("t1").alias("u"), "dup"))
