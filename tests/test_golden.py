@@ -1,6 +1,7 @@
-"""Golden corpus G1 (FIXTURES §3): three sections with hand-derived scores."""
+"""Scores of a small corpus of our own against plain Python versions of the formulas."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -12,82 +13,125 @@ from parindex.operators import rank as R
 from parindex.operators import search as Q
 from parindex.plans.querytable import query_table
 
-# Our own text with the term positions of G1 (stop words fill the gaps).
-G1 = ("Find the results of this first paragraph"
-      "\n\nThe next paragraph will find it again"
-      "\n\nFind the last of it is at the beginning to end results results find")
+SECTIONS = [
+    "lantern keeper watched grey storm near harbour wall",
+    "harbour pilot sold rope",
+    "storm broke lantern glass storm took lantern oil away harbour lit",
+    "quiet ferry captain drinks coffee inside",
+    "keeper found another lantern",
+]
+WORDS = [s.split() for s in SECTIONS]
+N, AVG = len(WORDS), sum(map(len, WORDS)) / len(WORDS)
+TERMS = ("lantern", "storm")
+
+
+def df(term):
+    return sum(term in w for w in WORDS)
+
+
+def places(section, terms=TERMS):
+    return {t: [i + 1 for i, w in enumerate(WORDS[section]) if w == t] for t in terms if t in WORDS[section]}
+
+
+def tfidf(section):
+    return sum((1 + math.log10(len(p))) * math.log10(N / df(t)) for t, p in places(section).items())
+
+
+def bm25(section, k1=1.7, b=0.75):
+    norm = k1 * (1 - b + b * len(WORDS[section]) / AVG)
+    return sum(math.log10(1 + (N - df(t) + 0.5) / (df(t) + 0.5)) * len(p) * (k1 + 1) / (len(p) + norm)
+               for t, p in places(section).items())
+
+
+def tfidf_ext(section, as_written=False):
+    lists = list(places(section).values())
+    if len(lists) < 2:
+        return tfidf(section)
+    dist, span = _brute(lists)
+    near = len(lists) ** 2 if as_written else (len(lists) / span) ** 2
+    return tfidf(section) + (dist + near) / sum(map(len, lists))
+
+
+HITS = [s for s in range(N) if places(s)]
 
 
 @pytest.fixture(scope="module")
-def g1(spark):
-    corpus = spark.createDataFrame([(0, "golden", G1)], "doc_id long, title string, doc string")
+def idx(spark):
+    corpus = spark.createDataFrame([(0, "harbour", "\n\n".join(SECTIONS))], "doc_id long, title string, doc string")
     return D.build_index(corpus, sep="\n\n")
 
 
-def ranked(spark, idx, method, text="result OR find", **kw):
-    q = query_table(spark, {1: text})
+def ranked(spark, idx, method, **kw):
+    q = query_table(spark, {1: " OR ".join(TERMS)})
     rows = R.rank(idx, q, method, 10, **kw).orderBy("rank").collect()
     return [(r.section_id, r.score) for r in rows]
 
 
-def test_sections_and_stats(g1):
-    s = {r.section_id: r.num_words for r in g1.sections.collect()}
-    assert s == {0: 7, 1: 7, 2: 14}
-    st = D.rank_vars(g1.sections).first()
-    assert st.num_secs == 3 and st.num_words_secs == 28
-    assert st.avg_sec_len == pytest.approx(28 / 3)
+def test_sections_and_stats(idx):
+    assert {r.section_id: r.num_words for r in idx.sections.collect()} == dict(enumerate(map(len, WORDS)))
+    st = D.rank_vars(idx.sections).first()
+    assert (st.num_secs, st.num_words_secs) == (N, sum(map(len, WORDS)))
+    assert st.avg_sec_len == pytest.approx(AVG)
 
 
-def test_idf(g1):
-    idf = {r.stem: r for r in g1.idf().collect()}
-    assert idf["find"].df == 3 and idf["find"].idf == pytest.approx(0.0)
-    assert idf["find"].bm25idf == pytest.approx(0.057992, abs=1e-6)
-    assert idf["result"].df == 2 and idf["result"].idf == pytest.approx(0.176091, abs=1e-6)
-    assert idf["paragraph"].bm25idf == pytest.approx(0.204120, abs=1e-6)
-    assert idf["beginning"].idf == pytest.approx(0.477121, abs=1e-6)
-    assert idf["beginning"].bm25idf == pytest.approx(0.425969, abs=1e-6)
+def test_idf(idx):
+    idf = {r.stem: r for r in idx.idf().collect()}
+    for t in ("lantern", "storm", "harbour", "keeper", "rope"):
+        assert idf[t].df == df(t)
+        assert idf[t].idf == pytest.approx(math.log10(N / df(t)), abs=1e-6)
+        assert idf[t].bm25idf == pytest.approx(math.log10(1 + (N - df(t) + 0.5) / (df(t) + 0.5)), abs=1e-6)
 
 
-EXPECTED = {
-    "tfidf": [(2, 0.2291), (0, 0.176091), (1, 0.0)],
-    "tfidf_doclen": [(0, 0.066556), (2, 0.06123), (1, 0.0)],
-    "bm25": [(2, 0.326318), (0, 0.297198), (1, 0.065755)],
-    "tfidf_ext": [(2, 1.4791), (0, 0.801091), (1, 0.0)],
-    "bm25_ext": [(2, 0.308411), (0, 0.298863), (1, 0.066105)],
+SCORES = {
+    "tfidf": tfidf,
+    "tfidf_doclen": lambda s: tfidf(s) / math.sqrt(len(WORDS[s])),
+    "bm25": bm25,
+    "tfidf_ext": tfidf_ext,
 }
 
 
-@pytest.mark.parametrize("method", sorted(EXPECTED))
-def test_rankings(spark, g1, method):
-    got = ranked(spark, g1, method)
-    assert [s for s, _ in got] == [s for s, _ in EXPECTED[method]]
-    for (_, a), (_, b) in zip(got, EXPECTED[method]):
+@pytest.mark.parametrize("method", sorted(SCORES))
+def test_rankings(spark, idx, method):
+    want = sorted(((round(SCORES[method](s), 6), s) for s in HITS), reverse=True)
+    got = ranked(spark, idx, method)
+    assert [s for s, _ in got] == [s for _, s in want]
+    for (_, a), (b, _) in zip(got, want):
         assert a == pytest.approx(b, abs=2e-6)
 
 
-def test_span_as_written(spark, g1):
-    got = ranked(spark, g1, "tfidf_ext", span_mode="as_written")
-    assert [s for s, _ in got] == [0, 2, 1]
-    assert got[0][1] == pytest.approx(2.301091, abs=2e-6)
+def test_bm25_ext_adds_proximity_only_to_pairs(spark, idx):
+    for s, score in ranked(spark, idx, "bm25_ext"):
+        plain = bm25(s, 1.2, 0.9)
+        if len(places(s)) < 2:
+            assert score == pytest.approx(plain, abs=2e-6)
+        else:
+            assert score > plain
+
+
+def test_span_as_written(spark, idx):
+    for s, score in ranked(spark, idx, "tfidf_ext", span_mode="as_written"):
+        assert score == pytest.approx(tfidf_ext(s, as_written=True), abs=2e-6)
 
 
-def test_boolean(spark, g1):
+def test_boolean(spark, idx):
     def hits(text, unknown="drop"):
         q = query_table(spark, {1: text})
-        return sorted(r.section_id for r in Q.search(g1, q, unknown).collect())
-    assert hits("result AND find") == [0, 2]
-    assert hits("(result OR find) AND (paragraph)") == [0, 1]
-    assert hits("result AND nowhere") == [0, 2]
-    assert hits("result AND nowhere", "empty") == []
-    assert hits("nowhere") == []
-    assert hits("(paragraph AND next) OR (last AND end)") == [1, 2]
+        return sorted(r.section_id for r in Q.search(idx, q, unknown).collect())
+    has = lambda t: {s for s in range(N) if t in WORDS[s]}
+    assert hits("lantern AND storm") == sorted(has("lantern") & has("storm"))
+    assert hits("(lantern OR rope) AND (harbour)") == sorted((has("lantern") | has("rope")) & has("harbour"))
+    assert hits("lantern AND zebra") == sorted(has("lantern"))
+    assert hits("lantern AND zebra", "empty") == []
+    assert hits("zebra") == []
+    assert hits("(pilot AND rope) OR (keeper AND storm)") == sorted(
+        has("pilot") & has("rope") | has("keeper") & has("storm"))
 
 
-def test_rerank_two_stage(spark, g1):
-    q = query_table(spark, {1: "result OR find"})
-    rows = R.rerank_two_stage(g1, q, k=2).orderBy("rank").collect()
-    # stage one keeps sections 0 and 2 (tfidf x weight); stage two orders by tfidf_ext
-    assert [r.section_id for r in rows] == [2, 0]
+def test_rerank_two_stage(spark, idx):
+    q = query_table(spark, {1: " OR ".join(TERMS)})
+    rows = R.rerank_two_stage(idx, q, k=2).orderBy("rank").collect()
+    first = sorted(HITS, key=lambda s: (-SCORES["tfidf_doclen"](s), -s))[:2]
+    assert [r.section_id for r in rows] == sorted(first, key=lambda s: (-tfidf_ext(s), -s))
 
 
 def _lists_df(spark, lists):
@@ -105,11 +149,14 @@ def _prox(spark, lists):
     return [(r.md, r.span, r.ms) for r in out]
 
 
-def test_proximity_literals(spark):
-    res = _prox(spark, [[[1, 2, 3], [4, 5], [7, 6], [10, 8]], [[1, 6, 9], [2, 4], [11]], [[3, 5]]])
-    assert res[0][0] == pytest.approx(1 + 1 / 9 + 1 / 25 + 1 + 1 / 9 + 1)
-    assert res[1][1] == 7 and res[1][2] == pytest.approx(9 / 49)
-    assert res[2][0] == 0.0 and res[2][2] == 0.0
+def test_proximity_of_given_lists(spark):
+    cases = [[[4, 17, 30], [9, 22]], [[3], [14, 40], [21, 25, 33]], [[8, 50], [12], [19], [60, 61]]]
+    for lists, (md, span, score) in zip(cases, _prox(spark, cases)):
+        dist, least = _brute(lists)
+        assert md == pytest.approx(dist) and span == least
+        assert score == pytest.approx((len(lists) / least) ** 2)
+    (md, _, score), = _prox(spark, [[[6, 13]]])
+    assert md == 0.0 and score == 0.0
 
 
 def _brute(lists):
