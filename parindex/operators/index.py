@@ -249,8 +249,8 @@ def join_keys(postings: DataFrame, side: DataFrame | None = None) -> list[str]:
 def add_bucket_like(postings: DataFrame, side: DataFrame) -> DataFrame:
     if "bucket" not in postings.columns or "bucket" in side.columns:
         return side
-    from parindex.sources.store import bucket_count, stem_bucket
-    return side.withColumn("bucket", stem_bucket(F.col("stem"), bucket_count(postings.sparkSession)))
+    from parindex.sources.store import buckets_of, stem_bucket
+    return side.withColumn("bucket", stem_bucket(F.col("stem"), buckets_of(postings)))
 
 
 # ---------------------------------------------------------------------------

@@ -46,6 +46,7 @@ def append_docs(index: D.TextIndex, new_corpus: DataFrame, **build_args) -> D.Te
     the batch (anti join against the batch's own ids only: the existing
     section table is semi-joined with the small batch first)."""
     from parindex.functions.sizing import small_side
+    new_corpus = new_corpus.dropDuplicates(["doc_id"])  # an id twice in the batch is one document
     new_ids = new_corpus.select("doc_id").distinct()
     present = index.sections.select("doc_id").join(small_side(new_ids, bound=new_corpus), "doc_id",
                                                    "left_semi").distinct()
@@ -64,11 +65,12 @@ def delete_docs(index: D.TextIndex, corpus: DataFrame, titles: DataFrame, first_
     docs = corpus.join(titles.select("title").distinct(), "title", "left_semi").select("doc_id", "title")
     if first_only:
         docs = docs.groupBy("title").agg(F.min("doc_id").alias("doc_id"))
-    # the ids to delete are broadcast when the title list is small, so a
+    # the ids to delete are broadcast when there are few of them, so a
     # document holding a third of all postings is filtered map-side instead of
     # landing in one task of a shuffle join
     from parindex.functions.sizing import small_side
-    gone = small_side(docs.select("doc_id").distinct(), bound=titles)
+    ids = docs.select("doc_id").distinct()
+    gone = small_side(ids, bound=ids)
     sections = index.sections.join(gone, "doc_id", "left_anti")
     doc_of = T.doc_of_section(F.col("section_id"))
     postings = index.postings.withColumn("doc_id", doc_of).join(gone, "doc_id", "left_anti").drop("doc_id")

@@ -52,8 +52,8 @@ def pruned_postings(index: TextIndex, queries: DataFrame) -> DataFrame:
         return p
     p = p.filter(F.col("stem").isin(stems) if stems else F.lit(False))
     if "bucket" in p.columns and stems:
-        from parindex.sources.store import bucket_count, stem_bucket
-        n = bucket_count(p.sparkSession)
+        from parindex.sources.store import buckets_of, stem_bucket
+        n = buckets_of(index.postings)
         buckets = sorted({r[0] for r in queries.select(stem_bucket(F.col("stem"), n)).collect()})
         p = p.filter(F.col("bucket").isin(buckets))
     return p

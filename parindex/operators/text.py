@@ -18,7 +18,12 @@ SECTION_BITS = 20
 
 
 def section_id(doc_id: Column, para_idx: Column) -> Column:
-    return (doc_id.cast("long") * F.lit(1 << SECTION_BITS) + para_idx).alias("section_id")
+    """The id of a piece; a piece index or document id that does not fit is an
+    error, so ids of two documents never meet."""
+    doc, limit = doc_id.cast("long"), 1 << (63 - SECTION_BITS)
+    fits = (para_idx < F.lit(1 << SECTION_BITS)) & (doc.isNull() | doc.between(-limit, limit - 1))
+    return F.when(fits, doc * F.lit(1 << SECTION_BITS) + para_idx).otherwise(
+        F.raise_error(F.lit("document id or piece index too large for a section id")).cast("long")).alias("section_id")
 
 
 def doc_of_section(section: Column) -> Column:

@@ -35,6 +35,28 @@ def bucket_count(spark: SparkSession) -> int:
     return int(spark.conf.get("parindex.buckets", str(DEFAULT_BUCKETS)))
 
 
+def write_meta(spark: SparkSession, path: str, buckets: int) -> None:
+    """The bucket count goes with the index: readers never take it from their session."""
+    spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def stored_buckets(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/meta").first()["buckets"]
+
+
+def with_bucket_count(postings: DataFrame, buckets: int) -> DataFrame:
+    """Stored postings whose ``bucket`` column knows the number of buckets."""
+    return postings.withMetadata("bucket", {"buckets": buckets})
+
+
+def buckets_of(postings: DataFrame) -> int:
+    """Number of buckets the postings were written with."""
+    meta = postings.schema["bucket"].metadata
+    if "buckets" not in meta:
+        raise ValueError("postings with a bucket column but without their bucket count; read them with read_index")
+    return int(meta["buckets"])
+
+
 def stem_bucket(stem: Column, buckets: int) -> Column:
     """Hash bucket of a stem (stable across engines and runs)."""
     return F.pmod(F.xxhash64(stem), F.lit(buckets)).cast("int")
@@ -80,6 +102,7 @@ def write_index(index: TextIndex, path: str, mode: str = "overwrite",
                 .parquet(f"{path}/sections")
         if mode == "overwrite" or not _exists(spark, f"{path}/postings"):
             checkpoint_dir(spark)
+            write_meta(spark, path, buckets)
             p = with_bucket(index.postings, buckets).checkpoint(eager=True)
             # Range-partition on (bucket, stem, section_id): files are few and
             # sorted, and a stem holding a third of all postings is split
@@ -104,7 +127,7 @@ def write_index(index: TextIndex, path: str, mode: str = "overwrite",
 
 def read_index(spark: SparkSession, path: str) -> TextIndex:
     sections = spark.read.parquet(f"{path}/sections")
-    postings = spark.read.parquet(f"{path}/postings")
+    postings = with_bucket_count(spark.read.parquet(f"{path}/postings"), stored_buckets(spark, path))
     terms = spark.read.parquet(f"{path}/terms") if _exists(spark, f"{path}/terms") else None
     stats = spark.read.parquet(f"{path}/stats") if _exists(spark, f"{path}/stats") else None
     return TextIndex(sections=sections, tokens=None, postings=postings, df_table=terms, stats_table=stats)
