@@ -31,6 +31,12 @@ def rounded(score: Column, digits: int = SCORE_DIGITS) -> Column:
     return F.round(score, digits)
 
 
+def freq_term(tf: Column) -> Column:
+    """Sum of 1/j^2 over the ``tf`` occurrences, each counting less than the one before."""
+    return F.aggregate(F.sequence(F.lit(1), tf.cast("int")), F.lit(0.0),
+                       lambda a, j: a + 1.0 / (j.cast("double") * j.cast("double")))
+
+
 def length_norm(score: Column, doc_len: Column, norm: int) -> Column:
     """Normalisation flag 0 (none) or 1 (divide by 1 + log(length))."""
     if norm == 0:

@@ -2,7 +2,7 @@
 
 Only query-side and parameter tables are broadcast, and only when their size
 is proven small: a plan whose leaves are all local relations has exact
-Catalyst statistics; anything else is counted (bounded by ``max_rows``).
+Catalyst statistics; anything else is counted, partition by partition.
 Above the bound nothing is hinted and the planner / AQE choose the join.
 """
 
@@ -45,7 +45,8 @@ def small_side(df: DataFrame, bound: DataFrame | None = None,
     probe = df if bound is None else bound
     if is_local(probe) and estimated_bytes(probe) <= MAX_BROADCAST_LOCAL_BYTES:
         return F.broadcast(df)
-    n = probe.limit(max_rows + 1).count()
+    # counted partition by partition; a limit would send its rows to one task
+    n = probe.count()
     return F.broadcast(df) if n <= max_rows else df
 
 

@@ -64,8 +64,9 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|\$[\p{Nd}.]+|[^" + _WS + r"]+"
 _CLEAN_CLASS = "".join("\\x{%X}" % ord(c) for c in CLEAN_CHARS)
 SEPARATED_TOKEN_PATTERN = (r"[\p{L}\p{N}_]++|\$[\p{Nd}.]++|[^" + _WS + _CLEAN_CLASS + r"]++")
 
-# URL-like and e-mail-like tokens (pipeline 1, T9).
-URL_PATTERN = r"^(https?://|www\.)\S+$|^[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)*\.(com|org|net|edu|gov|io|de|fr|es|uk)(/\S*)?$"
+# URL-like and e-mail-like tokens (pipeline 1, T9).  A host is labels joined by
+# dots; its last label is any run of two letters or more (no list of endings).
+URL_PATTERN = r"^(https?://\S+|www\.\S+|[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)*\.\p{L}{2,}([/?#:]\S*)?)$"
 EMAIL_PATTERN = r"^[\p{L}\p{N}._%+-]+@[\p{L}\p{N}.-]+\.[\p{L}]{2,}$"
 
 
@@ -131,6 +132,16 @@ def s_stem(term: Column) -> Column:
     )
 
 
+def blank_words(section: Column, clean: bool = True) -> Column:
+    """Lower-cased words between blanks, punctuation around them peeled
+    off, so that a host name stays one word (``clean`` blanks the clean-up
+    characters first, as pipeline 1 does)."""
+    text = F.lower(clean_text(section) if clean else section)
+    around = "[" + "".join("\\x{%X}" % ord(c) for c in PUNCTUATION) + "]+"
+    words = F.transform(F.split(text, f"[{_WS}]+"), lambda w: F.regexp_replace(w, f"^{around}|{around}$", ""))
+    return F.filter(words, lambda w: w != "")
+
+
 def is_url_like(token: Column) -> Column:
     return token.rlike(URL_PATTERN)
 

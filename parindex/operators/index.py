@@ -115,12 +115,13 @@ def build_sections_and_tokens(corpus: DataFrame | None, sep: str = "\n", stop="n
                               lemma_rule: str = "s_stemmer",
                               lemma_table: DataFrame | None = None,
                               lower: bool = True,
-                              pieces: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+                              pieces: DataFrame | None = None,
+                              length: str = "words") -> tuple[DataFrame, DataFrame, DataFrame]:
     """-> (sections, tokens, words): the per-section word arrays both tables
     are derived from."""
     if pieces is None:
         pieces = T.split_sections(corpus, sep)
-    words = T.section_words(pieces, lower)
+    words = T.section_words(pieces, lower, length)
     sections = words.select(
         "section_id", "doc_id", F.col("num_words").cast("int").alias("num_words"),
         weight(F.col("num_words")).alias("weight"))
@@ -140,14 +141,16 @@ def build_sections_and_tokens(corpus: DataFrame | None, sep: str = "\n", stop="n
 
 def build_index(corpus: DataFrame, sep: str = "\n", stop="nltk",
                 lemma_rule: str = "s_stemmer", lemma_table: DataFrame | None = None,
-                lower: bool = True, postings: str = "aggregate") -> TextIndex:
+                lower: bool = True, postings: str = "aggregate", length: str = "words") -> TextIndex:
     """Corpus -> sections, tokens, postings (all lazy).
 
     ``postings="aggregate"`` groups the exploded tokens by (section, stem)
     (one exchange, map-side combined); ``"inline"`` builds them inside each
     section's row (no exchange; interpreted array functions — worth it when
-    the shuffle, not the CPU, is the bottleneck).  Both give equal tables."""
-    sections, toks, words = build_sections_and_tokens(corpus, sep, stop, lemma_rule, lemma_table, lower)
+    the shuffle, not the CPU, is the bottleneck).  Both give equal tables.
+    ``length="blank"`` gives sections the text-search layout's word count."""
+    sections, toks, words = build_sections_and_tokens(corpus, sep, stop, lemma_rule, lemma_table, lower,
+                                                      length=length)
     if postings == "inline" and lemma_table is None:
         post = inline_postings(words, stop, lemma_rule)
     elif postings in ("aggregate", "inline"):

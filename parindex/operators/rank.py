@@ -190,7 +190,7 @@ def rerank_two_stage(index: TextIndex, queries: DataFrame, k: int = 10, unknown:
     TF-IDF + proximity.  The fold runs on k sections per query only: the
     postings of the query stems are semi-joined with the (broadcast, k rows per
     query) first-stage result before offsets are gathered."""
-    from parindex.operators.search import prepare_queries, query_parts
+    from parindex.operators.search import prepare_queries, pruned_postings, query_parts
     queries = prepare_queries(queries)
     first = rank(index, queries, "tfidf_doclen", k, unknown)
     n_queries = normalise_queries(queries).select("query_id").distinct()
@@ -199,7 +199,7 @@ def rerank_two_stage(index: TextIndex, queries: DataFrame, k: int = 10, unknown:
     qs, _ = query_parts(index, queries, unknown)
     from parindex.operators.index import add_bucket_like, join_keys
     qs = add_bucket_like(index.postings, qs)
-    p = index.postings.join(small_side(qs, bound=queries), join_keys(index.postings)) \
+    p = pruned_postings(index, queries).join(small_side(qs, bound=queries), join_keys(index.postings)) \
         .join(keep, ["query_id", "section_id"], "left_semi")
     h = p.groupBy("query_id", "section_id").agg(
         F.sum(S.tfidf_term(F.col("tf"), F.col("idf"))).alias("tfidf"),
@@ -211,11 +211,18 @@ def rerank_two_stage(index: TextIndex, queries: DataFrame, k: int = 10, unknown:
     return top_k(scored, k).select("query_id", "rank", "section_id", "score")
 
 
-def ranked_titles(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Titles of ranked sections, aligned by section (the ranked side is
-    k rows per query and is broadcast)."""
+def ranked_titles(ranked: DataFrame, corpus: DataFrame, queries: DataFrame | None = None,
+                  k: int = 10) -> DataFrame:
+    """Titles of ranked sections, aligned by section.  With the query
+    table the ranked side (at most k rows a query) is broadcast when that
+    bound is small; the ranking itself is never run for its size."""
+    if queries is None:
+        side = lambda r: r
+    else:
+        n_queries = normalise_queries(queries).select("query_id").distinct()
+        side = lambda r: small_side(r, bound=n_queries, max_rows=max(1, 1_000_000 // max(k, 1)))
     r = ranked.withColumn("doc_id", doc_of_section(F.col("section_id")))
-    return corpus.select("doc_id", "title").join(small_side(r), "doc_id") \
+    return corpus.select("doc_id", "title").join(side(r), "doc_id") \
         .select("query_id", "rank", "section_id", "title", "score")
 
 

@@ -42,21 +42,40 @@ def pushed_stems(queries: DataFrame) -> list[str] | None:
     return stems if len(stems) <= MAX_PUSHED_STEMS else None
 
 
+def derived_pruning(queries: DataFrame, buckets: int) -> tuple[list[int], list[str] | None]:
+    """The buckets (at most the bucket count of the index) and, up to
+    ``MAX_PUSHED_STEMS``, the stems of a query table that is not local."""
+    from parindex.sources.store import stem_bucket
+    known = getattr(queries, "_parindex_pruning", {})
+    if buckets not in known:
+        stems = queries.select("stem").filter(F.col("stem").isNotNull()).distinct() \
+            .withColumn("bucket", stem_bucket(F.col("stem"), buckets))
+        counts = stems.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+        few = sum(r["n"] for r in counts) <= MAX_PUSHED_STEMS
+        known[buckets] = (sorted(r["bucket"] for r in counts),
+                          sorted(r["stem"] for r in stems.select("stem").collect()) if few else None)
+        queries._parindex_pruning = known
+    return known[buckets]
+
+
 def pruned_postings(index: TextIndex, queries: DataFrame) -> DataFrame:
     """Postings restricted to the query stems at scan time: ``stem IN (…)``
     reaches Parquet (row groups are sorted by stem) and, on a bucketed
-    index, ``bucket IN (…)`` prunes the partition folders."""
+    index, ``bucket IN (…)`` prunes the partition folders, whether the query
+    table is local or derived from data."""
     p = index.postings
     stems = pushed_stems(queries)
+    if "bucket" not in p.columns:
+        return p if stems is None else p.filter(F.col("stem").isin(stems) if stems else F.lit(False))
+    from parindex.sources.store import buckets_of, stem_bucket
+    n = buckets_of(p)
     if stems is None:
-        return p
-    p = p.filter(F.col("stem").isin(stems) if stems else F.lit(False))
-    if "bucket" in p.columns and stems:
-        from parindex.sources.store import buckets_of, stem_bucket
-        n = buckets_of(index.postings)
-        buckets = sorted({r[0] for r in queries.select(stem_bucket(F.col("stem"), n)).collect()})
-        p = p.filter(F.col("bucket").isin(buckets))
-    return p
+        buckets, stems = derived_pruning(queries, n)
+    else:
+        buckets = sorted({r[0] for r in queries.filter(F.col("stem").isNotNull())
+                          .select(stem_bucket(F.col("stem"), n)).collect()})
+    p = p.filter(F.col("bucket").isin(buckets) if buckets else F.lit(False))
+    return p if stems is None else p.filter(F.col("stem").isin(stems) if stems else F.lit(False))
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -113,8 +132,10 @@ def _query_parts_local(index: TextIndex, spark, rows: list[tuple], unknown: str,
     idf = {r["stem"]: (r["df"], r["idf"], r["bm25idf"]) for r in idf_rows}
     qs_rows = sorted({(r[0], r[4]) for r in rows if r[4] in idf})
     bit: dict[tuple, int] = {}
+    numbered: dict[int, int] = {}
     for q, st in qs_rows:
-        bit[(q, st)] = sum(1 for (q2, _) in bit if q2 == q)
+        bit[(q, st)] = numbered.get(q, 0)
+        numbered[q] = bit[(q, st)] + 1
     qs = local_table(spark, [(q, st, *idf[st], bit[(q, st)]) for q, st in qs_rows],
                      "query_id int, stem string, df long, idf double, bm25idf double, qbit int")
     groups: dict[tuple, list] = {}
@@ -259,6 +280,8 @@ def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
         aggs.append(F.sum(bm25).alias("bm25"))
     if "bm25_ext" in scores:
         aggs.append(F.sum(bm25_ext).alias("bm25_ext"))
+    if "freq" in scores:
+        aggs.append(F.sum(S.freq_term(F.col("tf"))).alias("freq"))
     if with_offsets:
         aggs.append(F.collect_list(entry).alias("lists"))
     h = p.groupBy("query_id", "section_id").agg(*aggs)

@@ -46,12 +46,18 @@ def split_sections(corpus: DataFrame, sep: str = "\n", keep_empty: bool = False)
     return pieces.select(section_id(F.col("doc_id"), F.col("para_idx")), "doc_id", "para_idx", "section")
 
 
-def section_words(sections: DataFrame, lower: bool = True) -> DataFrame:
+def section_words(sections: DataFrame, lower: bool = True, length: str = "words") -> DataFrame:
     """T2–T4 on every section: adds ``words`` (array) and ``num_words``.
 
-    ``num_words`` counts words and stop words, not punctuation (pipeline 0).
+    ``num_words`` counts words and stop words, not punctuation (pipeline 0);
+    ``length="blank"`` counts the parts between single blanks (T14).
     """
     words = tx.word_array(F.col("section"), lower)
+    if length == "blank":
+        return sections.select("section_id", "doc_id", words.alias("words"),
+                               F.size(F.split("section", " ", -1)).alias("num_words"))
+    if length != "words":
+        raise ValueError(f"unknown length {length!r}")
     return sections.select("section_id", "doc_id", words.alias("words")).withColumn(
         "num_words", F.size("words"))
 
@@ -121,12 +127,15 @@ def suffix_tags(tokens: DataFrame) -> DataFrame:
 
 
 def tokens_no_url(sections: DataFrame, stop: str | list[str] = "nltk",
-                  count_mode: str = "as_written") -> DataFrame:
+                  count_mode: str = "as_written", clean: bool = True) -> DataFrame:
     """T9 (pipeline 1): stop words, URL-like and e-mail-like tokens are dropped
-    but keep their slot.  Returns ``(section_id, offset, term, num_words)``;
+    but keep their slot.  Tokens are cut at blanks, after the clean-up
+    characters (``clean=False``: of the text as it is, where e-mail addresses
+    are still whole).  Returns ``(section_id, offset, term, num_words)``;
     ``num_words`` is the last offset + 1 as written (one too many), or the
     number of words with ``count_mode="exact"``."""
-    w = section_words(sections)
+    w = sections.select("section_id", tx.blank_words(F.col("section"), clean).alias("words")) \
+        .withColumn("num_words", F.size("words"))
     toks = w.select("section_id", "num_words", F.posexplode_outer("words").alias("pos", "term")) \
         .filter(F.col("term").isNotNull())
     stops = tx.stop_words(stop)

@@ -24,9 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parindex.functions import proximity as P
+from parindex.functions import scoring as S
 from parindex.operators.index import TextIndex
 from parindex.operators.rank import top_k
-from parindex.operators.search import query_parts, scored_hits, small_side
+from parindex.operators.search import pruned_postings, query_parts, scored_hits, small_side
 from parindex.operators.index import add_bucket_like, join_keys
 
 COVER_K = 16
@@ -63,7 +64,7 @@ def match_not(index: TextIndex, queries: DataFrame, negated: DataFrame) -> DataF
     keyed by (query, section), the negated postings semi-joined first."""
     hits = scored_hits(index, queries, scores=()).select("query_id", "section_id")
     neg = add_bucket_like(index.postings, negated.select(F.col("query_id").cast("int"), "stem").distinct())
-    bad = index.postings.join(small_side(neg), join_keys(index.postings)).select("query_id", "section_id")
+    bad = pruned_postings(index, neg).join(small_side(neg), join_keys(index.postings)).select("query_id", "section_id")
     return hits.join(bad, ["query_id", "section_id"], "left_anti")
 
 
@@ -75,21 +76,67 @@ def match_phrase(index: TextIndex, phrases: DataFrame) -> DataFrame:
     Candidates are the sections holding every lexeme (one exchange); the
     position test is a fold over the steps inside the row: the set of
     possible phrase-end positions is carried forward and shifted."""
-    p = phrases.select(F.col("query_id").cast("int"), F.col("step").cast("int"), "stem",
-                       F.col("dist").cast("int"))
-    n_steps = p.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_steps"))
+    return phrase_hits(index, phrases, ["query_id"])
+
+
+def phrase_hits(index: TextIndex, phrases: DataFrame, keys: list[str]) -> DataFrame:
+    """Sections per phrase (``keys`` name a phrase); several stems at one step
+    are alternatives."""
+    p = phrases.select(*[F.col(c).cast("int").alias(c) for c in keys], F.col("step").cast("int").alias("step"),
+                       "stem", F.col("dist").cast("int").alias("dist")).distinct()
+    n_steps = p.groupBy(*keys).agg(F.count_distinct("step").alias("n_steps"))
     ps = add_bucket_like(index.postings, p)
-    j = index.postings.join(small_side(ps, bound=phrases), join_keys(index.postings))
-    g = j.groupBy("query_id", "section_id").agg(
-        F.array_sort(F.collect_list(F.struct("step", "dist", "offsets"))).alias("steps"))
-    g = g.join(small_side(n_steps, bound=phrases), "query_id").filter(F.size("steps") == F.col("n_steps"))
-    first = F.get(F.col("steps"), 0)["offsets"]
-    rest = F.slice(F.col("steps"), 2, F.greatest(F.col("n_steps") - 1, F.lit(1)))
-    ends = F.aggregate(
-        F.when(F.col("n_steps") > 1, rest).otherwise(F.array().cast(g.schema["steps"].dataType)),
-        first,
-        lambda acc, s: F.filter(s["offsets"], lambda q: F.array_contains(acc, q - s["dist"])))
-    return g.filter(F.size(ends) > 0).select("query_id", "section_id")
+    j = pruned_postings(index, phrases).join(small_side(ps, bound=phrases), join_keys(index.postings))
+    g = j.groupBy(*keys, "section_id").agg(F.collect_list(F.struct("step", "dist", "offsets")).alias("found"))
+    g = g.join(small_side(n_steps, bound=phrases), keys)
+    found = F.col("found")
+    g = g.filter(F.size(F.array_distinct(found["step"])) == F.col("n_steps"))
+
+    def places(i):
+        return F.array_distinct(F.flatten(F.transform(F.filter(found, lambda s: s["step"] == i),
+                                                      lambda s: s["offsets"])))
+
+    def shifted(acc, i):
+        dist = F.get(F.filter(found, lambda s: s["step"] == i), 0)["dist"]
+        return F.array_intersect(places(i), F.transform(acc, lambda q: q + dist))
+
+    # the fold starts at step 0; later steps shift what is left of it
+    ends = F.aggregate(F.filter(F.sequence(F.lit(0), (F.col("n_steps") - 1).cast("int")), lambda i: i > 0),
+                       places(F.lit(0)), shifted)
+    return g.filter(F.size(ends) > 0).select(*keys, "section_id")
+
+
+#: one row per stem: a query is an AND of clauses, a clause an OR of literals, a
+#: literal a phrase (one step: a word), negated or not; stems of a step are alternatives
+EXPRESSION_SCHEMA = ("query_id int, clause int, literal int, negated boolean, step int, stem string, dist int")
+
+
+def match_expression(index: TextIndex, expressions: DataFrame) -> DataFrame:
+    """Q10: AND, OR, NOT and followed-by together (``EXPRESSION_SCHEMA``).
+
+    The literals found in a section (one exchange each for phrases and
+    sections) decide its clauses.  An expression that holds where nothing is
+    found, such as a pure NOT, is answered from the sections table: every
+    section except those whose findings break it."""
+    keys = ["query_id", "clause", "literal"]
+    lits = expressions.select(*[F.col(c).cast("int").alias(c) for c in keys], "negated").distinct()
+    clauses = lits.groupBy("query_id", "clause").agg(
+        F.collect_list(F.struct("literal", "negated")).alias("lits"))
+    qdef = clauses.groupBy("query_id").agg(F.collect_list(F.struct("clause", "lits")).alias("clauses"))
+    found = phrase_hits(index, expressions, keys).groupBy("query_id", "section_id").agg(
+        F.collect_set(F.struct("clause", "literal")).alias("hit"))
+    found = found.join(small_side(qdef, bound=expressions), "query_id")
+    holds = F.forall("clauses", lambda c: F.exists(c["lits"], lambda x: F.array_contains(
+        F.col("hit"), F.struct(c["clause"].alias("clause"), x["literal"].alias("literal"))) != x["negated"]))
+    hits = found.filter(holds).select("query_id", "section_id")
+    everywhere = [r[0] for r in qdef.filter(F.forall("clauses", lambda c: F.exists(
+        c["lits"], lambda x: x["negated"]))).select("query_id").collect()]
+    if not everywhere:
+        return hits
+    ids = F.array(*[F.lit(q).cast("int") for q in sorted(everywhere)])
+    rest = index.sections.select(F.explode(ids).alias("query_id"), "section_id") \
+        .join(found.select("query_id", "section_id"), ["query_id", "section_id"], "left_anti")
+    return hits.unionByName(rest)
 
 
 def _tsv_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop") -> DataFrame:
@@ -98,23 +145,14 @@ def _tsv_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop") -> Da
     return with_lists_index(h)
 
 
-def freq_score(lists: Column) -> Column:
-    """R12 per section: mean over present lexemes of sum_{j<=tf} 1/j^2 (the
-    mean is over the query's known lexemes, absent ones add 0)."""
-    per = F.transform(lists, lambda l: F.aggregate(
-        F.sequence(F.lit(1), F.size(l["offsets"])), F.lit(0.0),
-        lambda a, j: a + 1.0 / (j.cast("double") * j.cast("double"))))
-    return F.aggregate(per, F.lit(0.0), lambda a, x: a + x)
-
-
 def rank_freq(index: TextIndex, queries: DataFrame, k: int = 10, norm: int = 0) -> DataFrame:
-    """R12/R14 for a batch of queries."""
+    """R12/R14 for a batch of queries: a plain sum over the frequencies (no
+    positions); lexemes a section lacks add 0 to the mean."""
     qs, _ = query_parts(index, queries, "drop", "sections")
     nq = qs.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
-    h = _tsv_hits(index, queries).join(small_side(nq, bound=queries), "query_id")
-    score = freq_score(F.col("lists")) / F.col("nq")
-    if norm == 1:
-        score = score / (1.0 + F.log(F.col("num_words").cast("double")))
+    h = scored_hits(index, queries, "drop", "sections", scores=("freq",)) \
+        .join(small_side(nq, bound=queries), "query_id")
+    score = S.length_norm(F.col("freq") / F.col("nq"), F.col("num_words"), norm)
     scored = h.select("query_id", "section_id", F.round(score, 6).alias("score"))
     return top_k(scored, k).select("query_id", "rank", "section_id", "score")
 

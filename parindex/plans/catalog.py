@@ -630,7 +630,8 @@ def rank_all(spark, sf_dir):
     "\nSELECT r.*, c.title FROM corpus c JOIN (\nSELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, section_id, score FROM (",
     1) + ") r ON c.doc_id = r.section_id // 1048576")
 def ranked_titles(spark, sf_dir):
-    r = R.ranked_titles(R.rank(index(spark, sf_dir), queries_of(spark), "bm25", K), corpus(spark, sf_dir))
+    q = queries_of(spark)
+    r = R.ranked_titles(R.rank(index(spark, sf_dir), q, "bm25", K), corpus(spark, sf_dir), q, K)
     return r.select(F.col("query_id").cast("long"), F.col("rank").cast("long"), "section_id", "score", "title")
 
 
@@ -784,6 +785,47 @@ def match_phrase(spark, sf_dir):
     return r.select(F.col("query_id").cast("long"), "section_id")
 
 
+# conjunctions of clauses; a clause is a list of (negated, steps), a step a
+# list of (stems at that place, distance to the place before)
+EXPRESSIONS = {
+    1: [[(False, [(["tion"], 0)])], [(False, [(["erin"], 0)]), (True, [(["eron"], 0)])]],
+    2: [[(True, [(["tion"], 0)])]],
+    3: [[(False, [(["tion"], 0), (["erin"], 1)]), (False, [(["de"], 0), (["la"], 1)])], [(True, [(["le"], 0)])]],
+    4: [[(False, [(["tion", "la"], 0), (["erin", "de"], 2)])]],
+    5: [[(True, [(["de"], 0), (["la"], 1)])], [(False, [(["la"], 0)]), (False, [(["zzznope"], 0)])]],
+    6: [[(True, [(["tion"], 0)]), (True, [(["erin"], 0)])], [(True, [(["zzznope"], 0)])]],
+}
+
+
+def _expression_sql():
+    def hits(steps):
+        src = [f"""(SELECT section_id, unnest(offsets) AS pos FROM postings WHERE stem IN ({', '.join(map(O.lit, st))})) o{i}"""
+               for i, (st, _) in enumerate(steps)]
+        on = [f" ON o{i}.section_id = o{i - 1}.section_id AND o{i}.pos = o{i - 1}.pos + {d}"
+              for i, (_, d) in enumerate(steps) if i]
+        return "SELECT o0.section_id FROM " + src[0] + "".join(" JOIN " + a + b for a, b in zip(src[1:], on))
+
+    def clause(lits):
+        return "(" + " OR ".join(f"section_id {'NOT ' if neg else ''}IN ({hits(st)})" for neg, st in lits) + ")"
+    return "WITH " + O.corpus_ctes() + "\n" + "\nUNION ALL\n".join(
+        f"SELECT CAST({q} AS BIGINT) AS query_id, section_id FROM sections WHERE " + " AND ".join(map(clause, cl))
+        for q, cl in EXPRESSIONS.items())
+
+
+def expression_rows(expressions) -> list[tuple]:
+    return [(q, c, i, neg, step, stem, dist) for q, clauses in expressions.items()
+            for c, lits in enumerate(clauses) for i, (neg, steps) in enumerate(lits)
+            for step, (stems, dist) in enumerate(steps) for stem in stems]
+
+
+@register("match_expression", _expression_sql())
+def match_expression(spark, sf_dir):
+    """Q10: AND, OR, NOT and followed-by in one expression, a pure NOT included."""
+    ex = spark.createDataFrame(expression_rows(EXPRESSIONS), C.EXPRESSION_SCHEMA)
+    r = C.match_expression(index(spark, sf_dir), ex)
+    return r.select(F.col("query_id").cast("long"), "section_id")
+
+
 def _c_rank_sql(score: str, extra_ctes: str = "", where: str = "") -> str:
     src = f"(SELECT * FROM cscore {where})"
     return ("WITH " + O.corpus_ctes() + "," + O.match_ctes(STANDARD_QUERIES) + "," + O.hit_rows_cte() + ","
@@ -840,21 +882,26 @@ def rank_sloppy_phrase(spark, sf_dir):
 
 
 def _tsv_index(spark, sf_dir):
-    """The text-search model's index: DF counts sections; length is the
-    blank-split word count."""
-    return index(spark, sf_dir)
+    """The text-search model's index: DF counts sections, the length of a
+    section (and the average) is the blank-split word count."""
+    key = {"corpus": "documents", "sf": os.path.abspath(sf_dir), "sep": "\\n",
+           "stop": "nltk", "lemma": "s_stemmer", "length": "blank", "version": 1}
+    return store.materialized(spark, key, lambda: D.build_index(corpus(spark, sf_dir), length="blank"))
 
 
-@register("tsv_rank_tfidf", O.rank_sql(STANDARD_QUERIES, "tfidf", K).replace(
-    "CAST(sum(n_terms) AS DOUBLE) AS df", "CAST(count(*) AS DOUBLE) AS df"))
-def tsv_rank_tfidf(spark, sf_dir):
-    return _ranked_out(R.rank(index(spark, sf_dir), queries_of(spark), "tfidf", K, df_mode="sections"))
+def _tsv_rank(method: str):
+    """A ranking over the text-search model's own lengths and statistics."""
+    sql = O.rank_sql(STANDARD_QUERIES, method, K, length="blank").replace(
+        "CAST(sum(n_terms) AS DOUBLE) AS df", "CAST(count(*) AS DOUBLE) AS df")
+
+    @register(f"tsv_rank_{method}", sql)
+    def fn(spark, sf_dir):
+        return _ranked_out(R.rank(_tsv_index(spark, sf_dir), queries_of(spark), method, K, df_mode="sections"))
+    return fn
 
 
-@register("tsv_rank_bm25", O.rank_sql(STANDARD_QUERIES, "bm25", K).replace(
-    "CAST(sum(n_terms) AS DOUBLE) AS df", "CAST(count(*) AS DOUBLE) AS df"))
-def tsv_rank_bm25(spark, sf_dir):
-    return _ranked_out(R.rank(index(spark, sf_dir), queries_of(spark), "bm25", K, df_mode="sections"))
+for _method in ("tfidf", "bm25", "tfidf_ext", "bm25_ext"):
+    _tsv_rank(_method)
 
 
 # ---------------------------------------------------------------------------
@@ -1026,40 +1073,68 @@ def rank_agreement(spark, sf_dir):
                     F.col("mismatches").cast("long"), "all_equal")
 
 
-@register("section_count_check", "WITH " + O.corpus_ctes() + """
-SELECT 'sections' AS key, (SELECT count(*) FROM sections) AS a, (SELECT count(*) FROM sections) AS b,
-       (SELECT count(*) FROM sections) AS c, true AS all_equal""")
+@register("section_count_check", "WITH " + O.corpus_ctes() + """,
+n AS (
+  SELECT (SELECT count(*) FROM sections) AS a,
+         (SELECT count(DISTINCT section_id) FROM words) AS b,
+         (SELECT count(*) FROM pieces WHERE length(section) > 0) AS c)
+SELECT 'sections' AS key, a, b, c, a = b AND b = c AS all_equal FROM n""")
 def section_count_check(spark, sf_dir):
     """E5: section counts of the postings (A), vector (B) and text-search (C)
-    layouts side by side."""
-    idx = index(spark, sf_dir)
-    v = vectors(spark, sf_dir)
-    tsv_all = idx.sections.select("section_id").join(C.tsvector_table(idx), "section_id", "left")
-    counts = (idx.sections.select(F.lit("a").alias("layout"))
-              .unionByName(v.select(F.lit("b").alias("layout")))
-              .unionByName(tsv_all.select(F.lit("c").alias("layout")))
-              .groupBy("layout").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("key", F.lit("sections")))
+    layouts side by side, each from its own stored table."""
+    tables = {"a": index(spark, sf_dir).sections, "b": vectors(spark, sf_dir),
+              "c": _tsv_index(spark, sf_dir).sections}
+    counts = None
+    for name, t in tables.items():
+        n = t.agg(F.count(F.lit(1)).alias("n")).select(F.lit("sections").alias("key"),
+                                                       F.lit(name).alias("layout"), "n")
+        counts = n if counts is None else counts.unionByName(n)
     r = E.count_check(counts, ["a", "b", "c"])
     return r.select("key", F.col("a").cast("long"), F.col("b").cast("long"), F.col("c").cast("long"), "all_equal")
 
 
-@register("result_count_check", "WITH " + O.corpus_ctes() + "," + O.match_ctes(STANDARD_QUERIES) + """,
+def _layout_counts_sql(queries) -> str:
+    """Matches per query by postings (``na``) and by testing the lexeme list
+    of every section (``nb``)."""
+    return "WITH " + O.corpus_ctes() + "," + O.match_ctes(queries) + """,
 ids AS (SELECT DISTINCT query_id FROM q),
-n AS (SELECT ids.query_id, count(m.section_id) AS n FROM ids LEFT JOIN matches m USING (query_id) GROUP BY ids.query_id)
-SELECT CAST(query_id AS BIGINT) AS key, n AS a, n AS b, true AS all_equal FROM n""")
-def result_count_check(spark, sf_dir):
-    """Number of results per query in the postings and vector layouts."""
-    idx, q = index(spark, sf_dir), queries_of(spark)
+na AS (SELECT ids.query_id, count(m.section_id) AS n FROM ids LEFT JOIN matches m USING (query_id) GROUP BY ids.query_id),
+sv AS (SELECT section_id, list(DISTINCT stem) AS stems FROM tokens GROUP BY section_id),
+gl AS (SELECT query_id, top_op, group_id, group_op, list(stem) FILTER (WHERE known) AS st
+       FROM qk GROUP BY query_id, top_op, group_id, group_op),
+gm AS (SELECT query_id, section_id, top_op, bool_and(ok) AS all_ok, bool_or(ok) AS any_ok
+       FROM (SELECT gl.query_id, sv.section_id, gl.top_op,
+                    CASE WHEN gl.st IS NULL THEN false WHEN gl.group_op = 'AND' THEN list_has_all(sv.stems, gl.st)
+                         ELSE list_has_any(sv.stems, gl.st) END AS ok FROM gl, sv)
+       GROUP BY query_id, section_id, top_op),
+nb AS (SELECT ids.query_id, count(*) FILTER (WHERE CASE WHEN top_op = 'AND' THEN all_ok ELSE any_ok END) AS n
+       FROM ids LEFT JOIN gm USING (query_id) GROUP BY ids.query_id)"""
+
+
+def _layout_counts(spark, sf_dir, q) -> dict[str, DataFrame]:
+    """``(query_id, num_results)`` of a query table in every layout."""
     n, _ = _vec_stats(spark, sf_dir)
-    a = Q.num_results(idx, q).select(F.col("query_id").alias("key"), F.lit("a").alias("layout"),
-                                     F.col("num_results").alias("n"))
-    bh = V.vec_search(vectors(spark, sf_dir), q, n).groupBy("query_id").agg(F.count(F.lit(1)).alias("c"))
-    ids = q.select("query_id").distinct()
-    b = ids.join(bh, "query_id", "left").select(F.col("query_id").alias("key"), F.lit("b").alias("layout"),
-                                                F.coalesce("c", F.lit(0)).cast("long").alias("n"))
-    r = E.count_check(a.unionByName(b), ["a", "b"])
-    return r.select(F.col("key").cast("long"), F.col("a").cast("long"), F.col("b").cast("long"), "all_equal")
+    hits = V.vec_search(vectors(spark, sf_dir), q, n).groupBy("query_id").agg(F.count(F.lit(1)).alias("c"))
+    return {"postings": Q.num_results(index(spark, sf_dir), q),
+            "vectors": q.select("query_id").distinct().join(hits, "query_id", "left").select(
+                "query_id", F.coalesce("c", F.lit(0)).cast("long").alias("num_results")),
+            "tsvectors": Q.num_results(_tsv_index(spark, sf_dir), q)}
+
+
+@register("result_count_check", _layout_counts_sql(STANDARD_QUERIES) + """
+SELECT CAST(na.query_id AS BIGINT) AS key, na.n AS a, nb.n AS b, nb.n AS c, na.n = nb.n AS all_equal
+FROM na JOIN nb USING (query_id)""")
+def result_count_check(spark, sf_dir):
+    """Number of results per query in the postings, vector and text-search layouts."""
+    counts = _layout_counts(spark, sf_dir, queries_of(spark))
+    rows = None
+    for layout, name in (("postings", "a"), ("vectors", "b"), ("tsvectors", "c")):
+        n = counts[layout].select(F.col("query_id").alias("key"), F.lit(name).alias("layout"),
+                                  F.col("num_results").alias("n"))
+        rows = n if rows is None else rows.unionByName(n)
+    r = E.count_check(rows, ["a", "b", "c"])
+    return r.select(F.col("key").cast("long"), F.col("a").cast("long"), F.col("b").cast("long"),
+                    F.col("c").cast("long"), "all_equal")
 
 
 def _profile_sql(sep: str = "\n") -> str:
@@ -1095,20 +1170,17 @@ def corpus_profile(spark, sf_dir):
 FACTOR_QUERIES = [1, 3, 8, 9, 10, 2, 11, 12, 13]
 
 
-@register("query_factor_counts", "WITH " + O.corpus_ctes() + "," + O.match_ctes(sql_queries(FACTOR_QUERIES)) + """,
-ids AS (SELECT DISTINCT query_id FROM q),
-n AS (SELECT ids.query_id, count(m.section_id) AS n FROM ids LEFT JOIN matches m USING (query_id) GROUP BY ids.query_id)
-SELECT CAST(query_id AS BIGINT) AS query_id, method, CAST(n AS BIGINT) AS num_results
-FROM n, (VALUES ('postings'), ('vectors')) t(method)""")
+@register("query_factor_counts", _layout_counts_sql(sql_queries(FACTOR_QUERIES)) + """
+SELECT CAST(query_id AS BIGINT) AS query_id, 'postings' AS method, CAST(n AS BIGINT) AS num_results FROM na
+UNION ALL SELECT CAST(query_id AS BIGINT), method, CAST(n AS BIGINT) FROM nb, (VALUES ('vectors'), ('tsvectors')) t(method)""")
 def query_factor_counts(spark, sf_dir):
     """Match counts of the growing AND / OR chains per layout."""
-    idx, q = index(spark, sf_dir), queries_of(spark, FACTOR_QUERIES)
-    n, _ = _vec_stats(spark, sf_dir)
-    a = Q.num_results(idx, q).select("query_id", F.lit("postings").alias("method"), "num_results")
-    bh = V.vec_search(vectors(spark, sf_dir), q, n).groupBy("query_id").agg(F.count(F.lit(1)).alias("c"))
-    b = q.select("query_id").distinct().join(bh, "query_id", "left").select(
-        "query_id", F.lit("vectors").alias("method"), F.coalesce("c", F.lit(0)).cast("long").alias("num_results"))
-    return a.unionByName(b).select(F.col("query_id").cast("long"), "method", F.col("num_results").cast("long"))
+    rows = None
+    for method, n in _layout_counts(spark, sf_dir, queries_of(spark, FACTOR_QUERIES)).items():
+        n = n.select(F.col("query_id").cast("long").alias("query_id"), F.lit(method).alias("method"),
+                     F.col("num_results").cast("long").alias("num_results"))
+        rows = n if rows is None else rows.unionByName(n)
+    return rows
 
 
 # ---------------------------------------------------------------------------
@@ -1140,14 +1212,19 @@ pieces AS (
   SELECT doc_id, unnest(parts) AS section, unnest(range(0, len(parts))) AS para_idx
   FROM (SELECT doc_id, string_split(doc, chr(10)) AS parts FROM corpus)),
 sections0 AS (SELECT doc_id * 1048576 + para_idx AS section_id, section FROM pieces WHERE section <> ''),
-words AS (SELECT section_id, """ + O.words_expr("section") + f""" AS words FROM sections0),
+words AS (
+  SELECT section_id, list_filter(list_transform(
+           string_split_regex(lower(""" + O.CLEAN.format(x="section") + f"""), {O.lit("[" + T.tx._WS + "]+")}),
+           lambda w: trim(w, {O.lit(T.tx.PUNCTUATION)})), lambda w: w <> '') AS words FROM sections0),
 toks AS (
   SELECT section_id, CAST(len(words) + 1 AS BIGINT) AS num_words, unnest(words) AS term,
-         unnest(range(1, len(words) + 1)) AS "offset" FROM words)
-SELECT section_id, CAST("offset" AS BIGINT) AS "offset", term, num_words FROM toks
+         unnest(range(1, len(words) + 1)) AS "offset" FROM words),
+hosts AS (SELECT *, string_split(string_split(term, '?')[1], '.') AS labels FROM toks)
+SELECT section_id, CAST("offset" AS BIGINT) AS "offset", term, num_words FROM hosts
 WHERE term NOT IN {O.STOPS}
-  AND NOT regexp_matches(term, {O.lit(T.tx.URL_PATTERN)})
-  AND NOT regexp_matches(term, {O.lit(T.tx.EMAIL_PATTERN)})""")
+  AND NOT (starts_with(term, 'www.') AND length(term) > 4)
+  AND NOT (len(labels) > 1 AND regexp_full_match(labels[-1], '\\p{{L}}+') AND length(labels[-1]) > 1
+           AND len(list_filter(labels, lambda l: regexp_full_match(l, '[\\p{{L}}\\p{{N}}-]+'))) = len(labels))""")
 def tokens_no_url(spark, sf_dir):
     """T9 on the raw web pages (URL line + HTML)."""
     s = T.split_sections(_pages_corpus(spark, sf_dir))

@@ -47,8 +47,9 @@ sections0 AS (
 
 
 def corpus_ctes(table: str = "documents", id_col: str = "doc_id", text_col: str = "text",
-                sep: str = "\n", lower: bool = True, sections_sql: str | None = None) -> str:
+                sep: str = "\n", lower: bool = True, sections_sql: str | None = None, length: str = "words") -> str:
     """pieces, sections0, words, sections, tokens0, tokens, postings, stats, idf."""
+    n_words = {"words": "len(words)", "blank": "n_blank"}[length]
     sep_sql = "chr(10)" if sep == "\n" else lit(sep)
     head = sections_sql if sections_sql is not None else f"""
 corpus AS (SELECT {id_col} AS doc_id, 'doc-' || CAST({id_col} AS VARCHAR) AS title, {text_col} AS doc FROM {table}),
@@ -58,12 +59,13 @@ pieces AS (
 sections0 AS (
   SELECT doc_id * 1048576 + para_idx AS section_id, doc_id, para_idx, section FROM pieces WHERE section <> ''),"""
     return head + f"""
-words AS (SELECT section_id, doc_id, {words_expr('section', lower)} AS words FROM sections0),
+words AS (SELECT section_id, doc_id, {words_expr('section', lower)} AS words,
+                 1 + length(section) - length(replace(section, ' ', '')) AS n_blank FROM sections0),
 sections AS (
-  SELECT section_id, doc_id, CAST(len(words) AS INTEGER) AS num_words,
-         CASE WHEN len(words) = 0 THEN 0.0 ELSE 1.0 / sqrt(len(words)) END AS weight FROM words),
+  SELECT section_id, doc_id, CAST({n_words} AS INTEGER) AS num_words,
+         CASE WHEN {n_words} = 0 THEN 0.0 ELSE 1.0 / sqrt({n_words}) END AS weight FROM words),
 tokens0 AS (
-  SELECT section_id, CAST(len(words) AS INTEGER) AS num_words,
+  SELECT section_id, CAST({n_words} AS INTEGER) AS num_words,
          unnest(words) AS term, unnest(range(1, len(words) + 1)) AS "offset" FROM words),
 tokens AS (
   SELECT section_id, "offset", term, {s_stem('term')} AS stem, num_words
@@ -199,8 +201,9 @@ SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, secti
   FROM {source}) WHERE rank <= {k}"""
 
 
-def rank_sql(queries: dict[int, str], method: str, k: int = 10, span_mode: str = "intended") -> str:
-    ctes = corpus_ctes() + "," + match_ctes(queries) + "," + hit_rows_cte()
+def rank_sql(queries: dict[int, str], method: str, k: int = 10, span_mode: str = "intended",
+             length: str = "words") -> str:
+    ctes = corpus_ctes(length=length) + "," + match_ctes(queries) + "," + hit_rows_cte()
     source = "hit_scores"
     if method in ("tfidf_ext", "bm25_ext"):
         ctes += "," + proximity_ctes(span_mode)
