@@ -55,7 +55,9 @@ def length_histogram(lengths: DataFrame, n_col: str = "n_tokens") -> DataFrame:
                            F.coalesce(F.sum("t").over(later), F.lit(0)).alias("later_t"),
                            F.sum("d").over(whole).alias("all_d"), F.sum("t").over(whole).alias("all_t"))
     inside = Window.partitionBy("block").orderBy(F.desc("length"))
-    hist = hist.join(blocks, "block")
+    # every length has its block; the left join adds no null test on one side only, so
+    # both sides read the same exchange and the texts are encoded once
+    hist = hist.join(blocks, "block", "left")
     at_least_d = F.sum("n_docs").over(inside) + F.col("later_d")
     at_least_t = F.sum("n_tokens").over(inside) + F.col("later_t")
     hist = hist.select("length", "n_docs", at_least_d.alias("docs_at_least"),
