@@ -58,6 +58,12 @@ def derived_pruning(queries: DataFrame, buckets: int) -> tuple[list[int], list[s
     return known[buckets]
 
 
+def query_stems(queries: DataFrame) -> list[str] | None:
+    """The distinct stems of any query table, None above ``MAX_PUSHED_STEMS``."""
+    stems = pushed_stems(queries)
+    return derived_pruning(queries, 1)[1] if stems is None else stems
+
+
 def pruned_postings(index: TextIndex, queries: DataFrame) -> DataFrame:
     """Postings restricted to the query stems at scan time: ``stem IN (…)``
     reaches Parquet (row groups are sorted by stem) and, on a bucketed

@@ -27,7 +27,8 @@ from parindex.functions import scoring as S
 from parindex.operators.index import (BM25_B, BM25_EXT_B, BM25_EXT_K1, BM25_K1,
                                       idf_view)
 from parindex.operators.rank import top_k
-from parindex.operators.search import boolean_match, normalise_queries, small_side
+from parindex.operators.search import (boolean_match, normalise_queries, prepare_queries, query_stems,
+                                       small_side)
 
 
 def section_vectors(tokens: DataFrame, sections: DataFrame | None = None) -> DataFrame:
@@ -60,10 +61,18 @@ def section_vectors(tokens: DataFrame, sections: DataFrame | None = None) -> Dat
                     F.col("__nw").alias("num_words"))
 
 
+def stems_among(stems: Column, listed: list[str] | None) -> Column:
+    """The entries of ``stems`` that a query names (all when there is no list)."""
+    if listed is None:
+        return stems
+    return F.filter(stems, lambda s: s.isin(listed) if listed else F.lit(False))
+
+
 def idf_from_vectors(vectors: DataFrame, num_secs: Column, stems: DataFrame | None = None) -> DataFrame:
     """IDF by unnesting the stem arrays (one entry per surface term, as
     the reference counts).  With ``stems`` only those stems are aggregated."""
-    e = vectors.select(F.explode("stems").alias("stem"), F.lit(1).alias("n_terms"))
+    listed = None if stems is None else query_stems(stems)
+    e = vectors.select(F.explode(stems_among(F.col("stems"), listed)).alias("stem"), F.lit(1).alias("n_terms"))
     if stems is not None:
         e = e.join(small_side(stems.select("stem").distinct(), bound=stems), "stem", "left_semi")
     return idf_view(e, num_secs, "rows")
@@ -117,7 +126,7 @@ def concat_agg(arrays: Column) -> Column:
 
 def _query_rows(vectors: DataFrame, queries: DataFrame, num_secs: Column, unknown: str):
     q = normalise_queries(queries)
-    idf_q = idf_from_vectors(vectors, num_secs, q)
+    idf_q = idf_from_vectors(vectors, num_secs, queries)
     known = idf_q.select("stem", F.lit(True).alias("known"))
     qk = q.join(known, "stem", "left")
     groups = qk.groupBy("query_id", "top_op", "group_id", "group_op").agg(
@@ -130,21 +139,25 @@ def _query_rows(vectors: DataFrame, queries: DataFrame, num_secs: Column, unknow
         F.collect_list(F.struct("group_op", "stems", ok.alias("ok"))).alias("groups"))
     qterms = q.select("query_id", "stem").distinct().join(idf_q, "stem").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("stem", "idf", "bm25idf"))).alias("qterms"))
-    qrow = qterms.join(qdef, "query_id")
-    flat = qrow.select("*", F.explode(F.transform("qterms", lambda t: t["stem"])).alias("stem"))
-    return flat
+    return qterms.join(qdef, "query_id")
 
 
 def vector_candidates(vectors: DataFrame, queries: DataFrame, num_secs: Column,
                       unknown: str = "drop") -> DataFrame:
     """One row per (query, section) sharing a stem, with the query's arrays;
-    filtered by the Boolean predicate (Q6–Q8 for any number of groups)."""
-    flat = _query_rows(vectors, queries, num_secs, unknown)
-    v = vectors.select("*", F.explode(F.array_distinct("stems")).alias("stem"))
-    c = v.join(small_side(flat, bound=queries), "stem")
+    filtered by the Boolean predicate (Q6–Q8 for any number of groups).
+
+    Only ``(section_id, stem)`` of the stems a query names is unnested; a
+    section's arrays join once per candidate pair, a query's once per query."""
+    queries = prepare_queries(queries)
+    qrow = _query_rows(vectors, queries, num_secs, unknown)
+    flat = normalise_queries(queries).select("query_id", "stem").distinct()
+    named = vectors.select("section_id", F.explode(F.array_distinct(
+        stems_among(F.col("stems"), query_stems(queries)))).alias("stem"))
+    pairs = named.join(small_side(flat, bound=queries), "stem").select("query_id", "section_id").distinct()
+    c = vectors.join(pairs, "section_id").join(small_side(qrow, bound=queries), "query_id")
     qstems = F.transform("qterms", lambda t: t["stem"])
     shared = F.array_intersect(F.col("stems"), qstems)
-    c = c.filter(F.col("stem") == F.array_min(shared)).drop("stem")
     return c.filter(boolean_match(F.col("groups"), F.array_distinct(shared), F.col("top_op")))
 
 
@@ -206,14 +219,19 @@ def bm25_unnest(vectors: DataFrame, queries: DataFrame, num_secs: Column, avg: C
                 k: int = 10, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """BM25 by unnesting the vectors — every section holding any query
     stem is scored (OR semantics), tf summed over the stem's surface terms."""
+    queries = prepare_queries(queries)
     q = normalise_queries(queries).select("query_id", "stem").distinct()
-    idf_q = idf_from_vectors(vectors, num_secs, q)
+    idf_q = idf_from_vectors(vectors, num_secs, queries)
     qs = q.join(idf_q, "stem")
+    listed = query_stems(queries)
+    wanted = (lambda e: F.lit(True)) if listed is None else (
+        lambda e: e["stem"].isin(listed) if listed else F.lit(False))
     z = vectors.select("section_id", "num_words",
-                       F.explode(F.arrays_zip(F.col("stems").alias("stem"),
-                                              F.col("frequencies").alias("tf"))).alias("z"))
+                       F.explode(F.filter(F.arrays_zip(F.col("stems").alias("stem"),
+                                                       F.col("frequencies").alias("tf")), wanted)).alias("z"))
     z = z.select("section_id", "num_words", "z.stem", "z.tf")
-    j = z.join(small_side(qs, bound=queries), "stem")
+    # placed by (query, section) once: both aggregations then need no further exchange
+    j = z.join(small_side(qs, bound=queries), "stem").repartition("query_id", "section_id")
     per = j.groupBy("query_id", "section_id", "stem").agg(
         F.sum("tf").alias("tf"), F.max("num_words").alias("num_words"), F.max("bm25idf").alias("bm25idf"))
     sc = per.groupBy("query_id", "section_id").agg(F.sum(S.bm25_term(
