@@ -9,6 +9,7 @@ the shared checkpoint folder and read back (see ``sources.store``).
 from __future__ import annotations
 
 import os
+import uuid as _uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from parindex.operators import search as Q
 from parindex.operators import text as T
 from parindex.plans import oracle as O
 from parindex.plans.querytable import STANDARD_QUERIES, query_table
+from parindex.sources import corpus as CS
 from parindex.sources import store
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +88,36 @@ def corpus_scan(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", "title", F.length("doc").cast("long").alias("doc_chars"))
 
 
+def _exported(spark, df, name):
+    from parindex.session import checkpoint_dir as shared
+    path = f"{shared(spark).rstrip('/')}/{name}-{_uuid.uuid4().hex}"
+    (df.write.option("sep", "\t" if name == "tsv" else ",").option("quote", "\u0000" if name == "tsv" else '"')
+     .option("quoteAll", name == "csv").option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+@register("csv_corpus", """
+SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS title, CAST(length(text) AS BIGINT) AS doc_chars, md5(text) AS doc_md5
+FROM documents WHERE text <> ''""")
+def csv_corpus(spark, sf_dir):
+    """Documents written as a (title, doc) CSV and read back, line breaks and quotes included."""
+    docs = corpus(spark, sf_dir).filter(F.col("doc") != "").select("title", "doc")
+    back = CS.read_csv_corpus(spark, _exported(spark, docs, "csv"))
+    return back.select("title", F.length("doc").cast("long").alias("doc_chars"), F.md5("doc").alias("doc_md5"))
+
+
+@register("tsv_passages", """
+SELECT item_id AS doc_id, CAST(length(text) AS BIGINT) AS doc_chars, md5(text) AS doc_md5 FROM (
+  SELECT item_id, regexp_replace(text, '[\t\n\r]', ' ', 'g') AS text FROM benchmark) WHERE text <> ''""")
+def tsv_passages(spark, sf_dir):
+    """Benchmark items as (pid, passage) lines, quotes kept as they are."""
+    items = table(spark, sf_dir, "benchmark").select(
+        "item_id", F.regexp_replace("text", "[\t\n\r]", " ").alias("text")).filter(F.col("text") != "")
+    back = CS.read_tsv_passages(spark, _exported(spark, items, "tsv"))
+    return back.select("doc_id", F.length("doc").cast("long").alias("doc_chars"), F.md5("doc").alias("doc_md5"))
+
+
 # ---------------------------------------------------------------------------
 # 2.2 text preparation
 # ---------------------------------------------------------------------------
@@ -148,6 +180,18 @@ def lemmatize(spark, sf_dir):
     return in_memory_index(spark, sf_dir).tokens.select("term", "stem").distinct()
 
 
+@register("lemmatize_table", "WITH " + O.corpus_ctes() + """
+SELECT DISTINCT term, CASE WHEN length(term) > 5 AND suffix(term, 'en') THEN substr(term, 1, length(term) - 2)
+                           ELSE stem END AS stem FROM tokens""")
+def lemmatize_table(spark, sf_dir):
+    """T7 with a supplied lemma table (here derived from the vocabulary): it
+    wins over the rule, terms it lacks follow the rule."""
+    vocab = in_memory_index(spark, sf_dir).tokens.select("term").distinct()
+    known = vocab.filter((F.length("term") > 5) & F.col("term").endswith("en")) \
+        .select("term", F.expr("substring(term, 1, length(term) - 2)").alias("lemma"))
+    return T.lemmatize(vocab, known).select("term", "stem")
+
+
 @register("word_count", "WITH " + O.corpus_ctes() + """
 SELECT doc_id, CAST(sum(num_words) AS BIGINT) AS num_words FROM sections GROUP BY doc_id""")
 def word_count(spark, sf_dir):
@@ -985,6 +1029,26 @@ def delete_docs(spark, sf_dir):
     return M.index_counts(kept, idx)
 
 
+FIRST_LANGS = ["en", "fr"]
+_LANG_LIST = "(" + ", ".join(O.lit(x) for x in FIRST_LANGS) + ")"
+
+
+@register("delete_first", "WITH " + O.corpus_ctes().replace(
+    "FROM documents)", f"""FROM documents WHERE doc_id NOT IN (
+      SELECT min(doc_id) FROM documents WHERE lang IN {_LANG_LIST} GROUP BY lang))""", 1) + """
+SELECT 'documents' AS table_name, CAST(count(*) AS BIGINT) AS num_rows FROM corpus
+UNION ALL SELECT 'sections', count(*) FROM sections
+UNION ALL SELECT 'postings', count(*) FROM postings""")
+def delete_first(spark, sf_dir):
+    """D13 as written: of all documents with a title (here the language) only
+    the first one is deleted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("title"))
+    titles = docs.filter(F.col("title").isin(FIRST_LANGS)).select("title").distinct()
+    idx = M.delete_docs(index(spark, sf_dir), docs, titles, first_only=True)
+    firsts = docs.join(titles, "title", "left_semi").groupBy("title").agg(F.min("doc_id").alias("doc_id"))
+    return M.index_counts(docs.join(firsts.select("doc_id"), "doc_id", "left_anti"), idx)
+
+
 @register("vocab_gc", "WITH " + O.corpus_ctes() + "," + SQL_STEM_DICT + f""",
 kept AS (
   SELECT DISTINCT t.term FROM tokens t

@@ -43,8 +43,9 @@ def read_csv_corpus(spark: SparkSession, path: str, skip_first: bool = False) ->
 
 
 def read_tsv_passages(spark: SparkSession, path: str) -> DataFrame:
-    """``pid \\t passage`` lines; the passage id is the document id."""
-    raw = spark.read.schema("pid long, passage string").option("sep", "\t").csv(path)
+    """``pid \\t passage`` lines; the passage id is the document id, a quote
+    is a character like any other."""
+    raw = spark.read.schema("pid long, passage string").option("sep", "\t").option("quote", "").csv(path)
     return raw.select(F.col("pid").alias("doc_id"), F.col("pid").cast("string").alias("title"),
                       F.col("passage").alias("doc"))
 
