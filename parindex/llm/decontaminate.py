@@ -35,10 +35,9 @@ from parindex.llm.common import table, text_or_empty
 
 Q, ERROR, UNIT = 8, 0.1, 256
 BAND = 64              # counted cells; a band is two neighbouring cells
-BLOCK_UNITS = 512      # units counted side by side
 PIECE = 1 << 17        # bytes of text looked at together
-GROUP_BYTES = 32 << 20
-_SLOTS = 20
+HITS = 1 << 20         # gram hits counted at once; the rest of a piece follows in parts
+GROUP_BYTES = 4 << 20  # items matched in one pass; their table takes about 20 times as much
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _DROP = bytes(b for b in range(128) if not chr(b).isalnum())
 _MAX_K = int(ERROR * UNIT)
@@ -68,8 +67,8 @@ def units(items: list[tuple[int | None, str | None]]) -> list[tuple[int | None,
     return out
 
 
-class _Block:
-    """Grams of some units, by slot of a multiplicative hash."""
+class _Table:
+    """Grams of all units of a group, by slot of a multiplicative hash."""
 
     def __init__(self, rows: list[tuple[int | None, bytes]]):
         self.rows = rows
@@ -77,32 +76,52 @@ class _Block:
         self.k = np.array([budget(m) for m in self.size], np.int64)
         self.least = self.size - Q + 1 - self.k * Q
         code = np.concatenate([_grams(b) for _, b in rows])
-        unit = np.repeat(np.arange(len(rows)), self.size - Q + 1)
-        pos = np.concatenate([np.arange(m - Q + 1) for m in self.size])
-        slot = _slot(code)
+        unit = np.repeat(np.arange(len(rows), dtype=np.int32), self.size - Q + 1)
+        pos = np.concatenate([np.arange(m - Q + 1, dtype=np.int16) for m in self.size])
+        self.bits = max(16, int(2 * len(code)).bit_length())
+        slot = self.slot(code)
         order = np.argsort(slot, kind="stable")
         self.code, self.unit, self.pos = code[order], unit[order], pos[order]
-        self.count = np.bincount(slot, minlength=1 << _SLOTS).astype(np.int32)
+        self.count = np.bincount(slot, minlength=1 << self.bits).astype(np.int32)
         self.start = (np.cumsum(self.count) - self.count).astype(np.int32)
-        self.used = self.count > 0
 
-    def bands(self, text: np.ndarray, code: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, first diagonal of the band + UNIT) of the bands that meet the bound."""
-        at = np.flatnonzero(self.used[slot])
-        n = self.count[slot[at]]
+    def slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code * _MULT) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def bands(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, first diagonal of the band + UNIT) of the bands that meet the bound.
+
+        Hits are counted per (unit, cell of diagonals) in parts of about ``HITS``."""
+        code = _grams(text)
+        slot = self.slot(code)
+        at = np.flatnonzero(self.count[slot])
+        n = self.count[slot[at]].astype(np.int64)
         cells = (len(text) + UNIT) // BAND + 2
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        gram = np.repeat(self.start[slot[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        same = self.code[gram] == code[at]
-        gram, at = gram[same], at[same]
-        cell = (at - self.pos[gram] + UNIT) // BAND
-        count = np.bincount(self.unit[gram] * cells + cell, minlength=len(self.rows) * cells)
-        count = count.reshape(len(self.rows), cells)
-        both = count[:, :-1] + count[:, 1:]
-        unit, band = np.nonzero(both >= self.least[:, None])
-        return unit, band * BAND
+        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        stop = np.searchsorted(np.cumsum(n), np.arange(HITS, n.sum() + HITS, HITS), side="right")
+        for a, b in zip([0, *stop[:-1].tolist()], [*stop[:-1].tolist(), len(at)]):
+            gram = np.repeat(self.start[slot[at[a:b]]] - (np.cumsum(n[a:b]) - n[a:b]), n[a:b]) + np.arange(n[a:b].sum())
+            where = np.repeat(at[a:b], n[a:b])
+            same = self.code[gram] == code[where]
+            gram, where = gram[same], where[same]
+            key, count = np.unique(self.unit[gram] * np.int64(cells) + (where - self.pos[gram] + UNIT) // BAND,
+                                   return_counts=True)
+            keys.append(key)
+            sums.append(count)
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(back, np.concatenate(sums), len(key)).astype(np.int64)
+        if not len(key):
+            return key, key
+        # a band is a cell and the one after it; either may be empty
+        band = np.unique(np.concatenate([key, key[key % cells > 0] - 1]))
+
+        def of(wanted):
+            i = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            return np.where(key[i] == wanted, count[i], 0)
+
+        both = of(band) + np.where((band + 1) % cells > 0, of(band + 1), 0)
+        band = band[both >= self.least[band // cells]]
+        return band // cells, band % cells * BAND
 
     def align(self, text: np.ndarray, unit: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each unit inside its band, and where that region ends.
@@ -139,14 +158,10 @@ def _grams(b: bytes | np.ndarray) -> np.ndarray:
     return np.ndarray((max(n, 0),), "<u8", data, 0, (1,)).copy() if n > 0 else np.zeros(0, np.uint64)
 
 
-def _slot(code: np.ndarray) -> np.ndarray:
-    return ((code * _MULT) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-
-
 class Matcher:
     def __init__(self, items: list[tuple[int | None, str | None]]):
         rows = units(items)
-        self.blocks = [_Block(rows[k:k + BLOCK_UNITS]) for k in range(0, len(rows), BLOCK_UNITS)]
+        self.table = _Table(rows) if rows else None
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int | None, int]]:
         """(index of the text, item id, edits) once per leaking text and item."""
@@ -167,21 +182,19 @@ class Matcher:
         return [(k, item, e) for (k, item), e in best.items()]
 
     def _look(self, parts: list[bytes], owner: list[int], best: dict) -> None:
-        if not parts:
+        if not parts or self.table is None:
             return
         text = np.frombuffer(_GAP.join(parts), np.uint8)
         stop = np.cumsum([len(p) + len(_GAP) for p in parts])
-        code = _grams(text)
-        slot = _slot(code)
-        for block in self.blocks:
-            unit, diagonal = block.bands(text, code, slot)
-            for a in range(0, len(unit), 2048):
-                u = unit[a:a + 2048]
-                edits, end = block.align(text, u, diagonal[a:a + 2048])
-                for i in np.flatnonzero(edits <= block.k[u]):
-                    k = owner[min(int(np.searchsorted(stop, end[i], side="right")), len(owner) - 1)]
-                    key = (k, block.rows[u[i]][0])
-                    best[key] = min(best.get(key, 1 << 20), int(edits[i]))
+        table = self.table
+        unit, diagonal = table.bands(text)
+        for a in range(0, len(unit), 2048):
+            u = unit[a:a + 2048]
+            edits, end = table.align(text, u, diagonal[a:a + 2048])
+            for i in np.flatnonzero(edits <= table.k[u]):
+                k = owner[min(int(np.searchsorted(stop, end[i], side="right")), len(owner) - 1)]
+                key = (k, table.rows[u[i]][0])
+                best[key] = min(best.get(key, 1 << 20), int(edits[i]))
 
 
 def item_groups(benchmark: DataFrame) -> list[list[tuple[int | None, str | None]]]:
