@@ -72,3 +72,17 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``keys``, which has each ``key`` once with its number of rows ``n``.
+
+    Keys with more than one ``share``-th of all rows, fewer than ``share`` keys
+    by counting, are broadcast, so their rows stay where they are; the others
+    are shuffled, and none of them has more rows than that."""
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = keys.filter(F.col("n") * share > total).drop("n")
+    rare = keys.filter(F.col("n") * share <= total).drop("n")
+    return (rows.join(F.broadcast(often), key).select(*rows.columns, *often.drop(key).columns)
+            .union(rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rare, key)
+                   .select(*rows.columns, *often.drop(key).columns)))

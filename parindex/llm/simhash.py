@@ -12,8 +12,10 @@ Rows that share a table key are compared as they stream by, sorted by key.
 Small buckets compare directly; in a larger one every fingerprint meets its
 neighbours at r/2 flips of the free bits (two fingerprints are within r exactly
 if they share one), which is linear in the bucket.  Either way a bucket emits a
-spanning forest, never all its pairs.  Links become components by alternating
-large-star and small-star rounds.
+spanning forest, never all its pairs.  No task holds more than ``HELD``
+fingerprints of a bucket: beyond that they pass through, and the same neighbours
+are grouped by Spark instead (``wide_links``).  Links become components by
+alternating large-star and small-star rounds.
 
 Defined cases: a null text counts as empty; an empty text has fingerprint zero
 and is linked like any other; a row with a null id takes part, but is never the
@@ -31,11 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parindex.llm.common import cut, fresh, table, text_or_empty
+from parindex.llm.common import cut, fresh, join_counted, table, text_or_empty
 
 BITS, RADIUS, SHINGLE = 64, 4, 4
 #: buckets up to this size compare directly; larger ones go by neighbours
 DIRECT = 48
+#: a bucket above this size is not held in its task but linked by ``wide_links``
+HELD = 1 << 16
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -140,8 +144,29 @@ def bucket_links(fps: np.ndarray, free: list[int], radius: int, direct: int = DI
     return _forest(fps, np.concatenate(left), np.concatenate(right))
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def wide_links(wide: DataFrame, free: dict[int, list[int]], radius: int = RADIUS) -> DataFrame:
+    """Links of buckets too large for one task: every (v, fp) meets its neighbours at
+    r/2 flips of the table's free bits.
+
+    A neighbour is shared by no more fingerprints than it has flips itself, so
+    the groups are bounded, and each is linked to its least fingerprint."""
+    if radius % 2:
+        raise ValueError("neighbour keys need an even radius")
+
+    def flips(bits):
+        return F.array(*[F.lit(_signed(sum(1 << b for b in c))) for k in range(radius // 2 + 1)
+                         for c in combinations(bits, k)])
+
+    by_table = F.create_map(*[x for v, bits in free.items() for x in (F.lit(v).cast("short"), flips(bits))])
+    near = (wide.select("v", "fp", F.explode(F.element_at(by_table, F.col("v"))).alias("f"))
+            .groupBy("v", F.col("fp").bitwiseXOR(F.col("f")).alias("z"))
+            .agg(F.min("fp").alias("a"), F.collect_list("fp").alias("fps")))
+    return near.filter(F.size("fps") > 1).select("a", F.explode("fps").alias("b")).filter("a <> b").distinct()
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, held_rows: int | None = None) -> DataFrame:
     """Links (a, b) that connect all distinct ``fp`` within the radius."""
+    most = HELD if held_rows is None else held_rows
     masks = covering_masks(radius)
     free = {v: [i for i in range(BITS) if not m >> i & 1] for v, m in enumerate(masks)}
     keyed = distinct.select("fp", F.explode(F.array(*[
@@ -164,17 +189,34 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         return out
 
     def stream(batches):
+        """Links as (null, a, b); fingerprints of buckets beyond ``most`` as (v, fp, null)."""
         held: list[np.ndarray] = [np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        passing = None  # the bucket whose rows pass through
         for batch in batches:
             cols = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)])
                     for k, h in enumerate(held)]
+            if passing is not None:
+                n = int(np.argmin(np.append((cols[0] == passing[0]) & (cols[1] == passing[1]), False)))
+                if n:
+                    yield unheld(cols, n)
+                    cols = [c[n:] for c in cols]
+                if len(cols[0]):
+                    passing = None
             ends = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
             done = int(ends[-1]) if len(ends) else 0
             held = [c[done:] for c in cols]
             if done:
-                yield found([c[:done] for c in cols], ends)
+                yield from found([c[:done] for c in cols], ends)
+            if len(held[0]) > most:
+                passing = (held[0][0], held[1][0])
+                yield unheld(held, len(held[0]))
+                held = [c[:0] for c in held]
         if len(held[0]):
-            yield found(held, np.array([len(held[0])]))
+            yield from found(held, np.array([len(held[0])]))
+
+    def unheld(cols, n):
+        return pa.RecordBatch.from_arrays([pa.array(cols[0][:n], pa.int16()), pa.array(cols[2][:n], pa.int64()),
+                                           pa.nulls(n, pa.int64())], names=["v", "a", "b"])
 
     def found(cols, ends):
         v, fp = cols[0], cols[2].view(np.uint64)
@@ -185,17 +227,25 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if low.any():
             pick = np.concatenate([np.arange(b, e) for b, e in zip(begin[low], ends[low])])
             pairs += small(fp[pick], np.cumsum(size[low]))
-        for b, e in zip(begin[size > DIRECT], ends[size > DIRECT]):
+        high = (size > DIRECT) & (size <= most)
+        for b, e in zip(begin[high], ends[high]):
             pairs.append(bucket_links(fp[b:e], free[int(v[b])], radius))
+        for b, e in zip(begin[size > max(most, DIRECT)], ends[size > max(most, DIRECT)]):
+            yield unheld([c[b:e] for c in cols], e - b)
         a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.uint64)
         b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.uint64)
         # one copy of a link per batch
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].view(np.int64)), pa.array(both[:, 1].view(np.int64))],
-                                          names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int16()), pa.array(both[:, 0].view(np.int64)),
+                                          pa.array(both[:, 1].view(np.int64))], names=["v", "a", "b"])
 
-    return (keyed.repartition("v", "key").sortWithinPartitions("v", "key")
-            .mapInArrow(stream, "a long, b long").distinct())
+    out = cut(keyed.repartition("v", "key").sortWithinPartitions("v", "key")
+              .mapInArrow(stream, "v short, a long, b long"))
+    close = out.filter("v IS NULL").select("a", "b")
+    wide = out.filter("v IS NOT NULL").select("v", F.col("a").alias("fp"))
+    if not wide.isEmpty():
+        close = close.union(wide_links(wide, free, radius))
+    return close.distinct()
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -233,13 +283,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (signed long), component_id: one row per input row."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(classes, radius))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(named.join(least, "root").select("fp", "n", "component_id"))
+    return join_counted(prints, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

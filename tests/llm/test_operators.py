@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from parindex.llm import (decontaminate, language_id, packing, quality_model, quality_rules, registry, secrets,
+from parindex.llm import (common, decontaminate, language_id, packing, quality_model, quality_rules, registry, secrets,
                           simhash, substring_dedup, token_counts, tokens, toxicity)
 
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -206,6 +206,27 @@ def test_simhash_components_equal_brute_force(spark):
         assert got[i].component_id == ids[w]
 
 
+@pytest.mark.parametrize("held", [1, 20, 60])
+def test_buckets_beyond_one_task_equal_brute_force(spark, held):
+    rng = np.random.default_rng(1)
+    fps = sorted({sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 6), replace=False)) for _ in range(150)})
+    distinct = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(3)
+    found = simhash.links(distinct, held_rows=held)
+    assert all((r.a ^ r.b).bit_count() <= 4 for r in found.collect())
+    root = {r.node: r.root for r in simhash.components(found).collect()}
+    for f, w in zip(fps, _groups(fps)):
+        assert root.get(f, f) == fps[w]
+
+
+def test_frequent_keys_join_like_the_others(spark):
+    rows = spark.createDataFrame([(k if k < 50 else 7, k) for k in range(3000)] + [(None, 1)], "fp long, i long")
+    keys = rows.filter("fp IS NOT NULL").groupBy("fp").count().selectExpr("fp", "count AS n", "fp * 2 AS c")
+    got = common.join_counted(rows, keys, "fp")
+    assert sorted(map(tuple, got.collect())) == sorted((k if k < 50 else 7, k, 2 * (k if k < 50 else 7))
+                                                       for k in range(3000))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+
+
 def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(-60, 60)], "a long, b long")
     assert {r.root for r in simhash.components(edges).collect()} == {-60}
