@@ -10,7 +10,9 @@ Only 6 of 31 positions are hashed and shuffled in this first step.
 An anchor that two documents share is then extended: all windows that hold it
 are hashed whole (80 bits), grouped, and compared with the least document that
 has them; hashes are grouped with partial minima before the shuffle, so a
-passage in a third of all documents is one row per task.
+passage in a third of all documents is one row per task.  Windows that hold
+more than 1/``SHARE`` of all rows (fewer than ``SHARE`` by counting) are broadcast
+with their least document, so their rows are not shuffled at all.
 
 Shared anchors are told to the second pass over the texts as a bit filter of at
 most ``FILTER_BITS`` bits (false positives only cost work); beyond that size
@@ -41,6 +43,7 @@ COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
 FILTER_BITS = 1 << 27
 COPIES = 200_000
+SHARE = 1024
 
 
 class Words:
@@ -252,6 +255,20 @@ def _finish(batches):
             cols, [pa.int64()] * 3 + [pa.string()])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def frequent_windows(windows: DataFrame) -> DataFrame:
+    """w, c, m (least doc_id) of the windows with more than 1/SHARE of all rows.
+
+    Rows are counted by a coarse part of the hash first; only the parts that can
+    hold such a window are counted window by window."""
+    part = F.pmod("w", F.lit(4 * SHARE))
+    counts = {r[0]: r[1] for r in windows.groupBy(part.alias("p")).count().collect()}
+    total = sum(counts.values())
+    parts = [p for p, n in counts.items() if n * SHARE > total]
+    return cut(windows.filter(part.isin(parts)).groupBy("w", "c")
+               .agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("n"))
+               .filter(F.col("n") * SHARE > total).drop("n"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    filter_bits: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row per input row."""
@@ -282,9 +299,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = (scanned.filter("starts IS NOT NULL")
                .select("doc_id", "t1", F.explode(F.arrays_zip("starts", "w", "c")).alias("x"))
                .select("doc_id", "t1", "x.starts", "x.w", "x.c"))
-    least = windows.groupBy("w", "c").agg(F.min("doc_id").alias("m"))
-    again = (windows.join(least, ["w", "c"]).filter("doc_id > m")
-             .groupBy("doc_id", "t1").agg(F.collect_list("starts").alias("dup"))
+    often = frequent_windows(windows)
+    rest = windows.join(F.broadcast(often.select("w", "c")), ["w", "c"], "left_anti")
+    least = rest.groupBy("w", "c").agg(F.min("doc_id").alias("m"))
+    again = (windows.join(F.broadcast(often), ["w", "c"]).unionByName(rest.join(least, ["w", "c"]))
+             .filter("doc_id > m").groupBy("doc_id", "t1").agg(F.collect_list("starts").alias("dup"))
              .select(F.col("doc_id").alias("d"), F.col("t1").alias("u"), "dup"))
     done = scanned.join(again, (F.col("doc_id") == F.col("d")) & (F.col("t1") == F.col("u")), "left")
     return (done.select("doc_id", "n_words", "n_removed", "kept_sha256", "text", "dup")

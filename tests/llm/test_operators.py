@@ -94,7 +94,7 @@ def test_edge_results(spark, folder):
     assert near[7].component_id == 6 and near[4].component_id == near[3].component_id == 3
 
 
-def test_substring_dedup_join_path_and_brute_force(spark, docs):
+def test_substring_dedup_join_path_and_brute_force(spark, docs, monkeypatch):
     rnd = random.Random(4)
     vocab = [f"v{i}" for i in range(300)]
     base = [" ".join(rnd.choices(vocab, k=120)) for _ in range(4)]
@@ -106,6 +106,8 @@ def test_substring_dedup_join_path_and_brute_force(spark, docs):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in substring_dedup.remove_repeats(df).collect()}
     joined = {r.doc_id: r for r in substring_dedup.remove_repeats(df, filter_bits=0).collect()}
+    monkeypatch.setattr(substring_dedup, "SHARE", 1)  # no window counts as frequent
+    shuffled = {r.doc_id: r for r in substring_dedup.remove_repeats(df).collect()}
     first = {}
     for i, t in rows:
         w = t.split()
@@ -116,7 +118,7 @@ def test_substring_dedup_join_path_and_brute_force(spark, docs):
         gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k:k + 50])] < i for j in range(50)}
         kept = hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
         assert (got[i].n_removed, got[i].kept_sha256) == (len(gone), kept)
-        assert joined[i] == got[i]
+        assert joined[i] == got[i] == shuffled[i]
 
 
 def test_cover_has_every_difference():
