@@ -51,9 +51,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.corpus_from_documents(table(spark, sf_dir, "documents"))
 
 
+def _state(spark: SparkSession, sf_dir: str, name: str) -> str:
+    return store.input_state(spark, os.path.join(sf_dir, f"{name}.parquet"))
+
+
 def index(spark: SparkSession, sf_dir: str) -> D.TextIndex:
     key = {"corpus": "documents", "sf": os.path.abspath(sf_dir), "sep": "\\n",
-           "stop": "nltk", "lemma": "s_stemmer", "version": 1}
+           "stop": "nltk", "lemma": "s_stemmer", "state": _state(spark, sf_dir, "documents")}
     return store.materialized(spark, key, lambda: D.build_index(corpus(spark, sf_dir)))
 
 
@@ -319,7 +323,7 @@ from parindex.operators import vector as V  # noqa: E402
 
 
 def vectors(spark, sf_dir) -> DataFrame:
-    key = {"table": "vectors", "sf": os.path.abspath(sf_dir), "version": 1}
+    key = {"table": "vectors", "sf": os.path.abspath(sf_dir), "state": _state(spark, sf_dir, "documents")}
     return store.materialized_table(
         spark, key, lambda: V.section_vectors(in_memory_index(spark, sf_dir).tokens,
                                               index(spark, sf_dir).sections))
@@ -498,13 +502,13 @@ from parindex.operators import layout as L  # noqa: E402
 
 
 def stems_dict(spark, sf_dir) -> DataFrame:
-    key = {"table": "stem_dict", "sf": os.path.abspath(sf_dir), "version": 1}
+    key = {"table": "stem_dict", "sf": os.path.abspath(sf_dir), "state": _state(spark, sf_dir, "documents")}
     return store.materialized_table(
         spark, key, lambda: D.stem_dict(index(spark, sf_dir).postings.select("stem")))
 
 
 def vocab(spark, sf_dir) -> DataFrame:
-    key = {"table": "vocabulary", "sf": os.path.abspath(sf_dir), "version": 1}
+    key = {"table": "vocabulary", "sf": os.path.abspath(sf_dir), "state": _state(spark, sf_dir, "documents")}
     return store.materialized_table(
         spark, key, lambda: D.vocabulary(in_memory_index(spark, sf_dir).tokens, stems_dict(spark, sf_dir)))
 
@@ -929,7 +933,7 @@ def _tsv_index(spark, sf_dir):
     """The text-search model's index: DF counts sections, the length of a
     section (and the average) is the blank-split word count."""
     key = {"corpus": "documents", "sf": os.path.abspath(sf_dir), "sep": "\\n",
-           "stop": "nltk", "lemma": "s_stemmer", "length": "blank", "version": 1}
+           "stop": "nltk", "lemma": "s_stemmer", "length": "blank", "state": _state(spark, sf_dir, "documents")}
     return store.materialized(spark, key, lambda: D.build_index(corpus(spark, sf_dir), length="blank"))
 
 
@@ -1350,7 +1354,7 @@ from parindex.sources.corpus import conversation_sections  # noqa: E402
 
 
 def conversation_index(spark, sf_dir) -> D.TextIndex:
-    key = {"corpus": "conversations", "sf": os.path.abspath(sf_dir), "version": 1}
+    key = {"corpus": "conversations", "sf": os.path.abspath(sf_dir), "state": _state(spark, sf_dir, "conversations")}
     return store.materialized(spark, key, lambda: D.build_index_from_sections(
         conversation_sections(table(spark, sf_dir, "conversations"))))
 

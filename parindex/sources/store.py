@@ -18,8 +18,10 @@ or a restarted job rewrites only unfinished tables.
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 import os
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +77,38 @@ def _exists(spark: SparkSession, path: str, marker: bool = True) -> bool:
     return fs.exists(hpath)
 
 
+def input_state(spark: SparkSession, path: str) -> str:
+    """Digest of a table's files (names, sizes, times) and of the code that builds
+    indexes from them: a stored index is used again only while both are the same."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, found = [], fs.listFiles(hpath, True)
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha1(json.dumps([sorted(files), _code_version()]).encode()).hexdigest()
+
+
+@cache
+def _code_version() -> str:
+    from parindex.functions import text as text_functions
+    from parindex.operators import index, text, vector
+    from parindex.sources import corpus
+    modules = (text_functions, index, text, vector, corpus)
+    return hashlib.sha1("".join(inspect.getsource(m) for m in modules).encode()).hexdigest()
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int, num_partitions: int | None = None) -> None:
+    """Range-partition on (bucket, stem, section_id): files are few and sorted, and a
+    stem holding a third of all postings is split across tasks by section id
+    instead of landing in one task."""
+    checkpoint_dir(postings.sparkSession)
+    p = with_bucket(postings, buckets).checkpoint(eager=True)
+    keys = ("bucket", "stem", "section_id")
+    ranged = p.repartitionByRange(num_partitions, *keys) if num_partitions else p.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def write_index(index: TextIndex, path: str, mode: str = "overwrite",
                 num_partitions: int | None = None, persist_words: bool = True) -> None:
     """Bulk write of the index tables.
@@ -101,17 +135,8 @@ def write_index(index: TextIndex, path: str, mode: str = "overwrite",
             index.sections.sortWithinPartitions("section_id").write.mode("overwrite") \
                 .parquet(f"{path}/sections")
         if mode == "overwrite" or not _exists(spark, f"{path}/postings"):
-            checkpoint_dir(spark)
             write_meta(spark, path, buckets)
-            p = with_bucket(index.postings, buckets).checkpoint(eager=True)
-            # Range-partition on (bucket, stem, section_id): files are few and
-            # sorted, and a stem holding a third of all postings is split
-            # across tasks by section id instead of landing in one task.
-            keys = ("bucket", "stem", "section_id")
-            ranged = p.repartitionByRange(num_partitions, *keys) if num_partitions else p.repartitionByRange(*keys)
-            (ranged
-             .sortWithinPartitions(*keys)
-             .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+            write_postings(index.postings, f"{path}/postings", buckets, num_partitions)
     finally:
         if words is not None:
             words.unpersist()
