@@ -1,10 +1,11 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
 Token labels come from the labelled documents: words and word beginnings that
-are far more frequent in toxic than in other training documents (``RATIO``) and stand in many different contexts
-(``SUPPORT``) tag their tokens in toxic documents; every other training token is clean.  The field has two tags; its
+are more frequent in toxic than in other training documents (``RATIO``), by more than chance explains (a
+likelihood-ratio test over all labelled documents), tag their tokens in toxic documents; every other training
+token is clean.  The field has two tags; its
 features are the token's entry in the bounded lexicon (its word, or else its
-shortest listed beginning), entries beside it and the tag transitions.  Forward-backward marginals of every
+longest listed beginning), entries beside it and the tag transitions.  Forward-backward marginals of every
 token of the whole text add up to the document's score, and the tokens whose
 marginal passes ``TAG`` are its offending offsets.
 
@@ -15,6 +16,7 @@ toxic training rows every score is the share of toxic rows (0 without rows).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parindex.llm.common import (bounded_sample, cut, fold, held_out, table, text_or_empty)
+from parindex.llm.common import cut, fold, held_out, table, text_or_empty, written
 
-SAMPLE = 8_000         # labelled documents learnt from
-LEXICON = 4_096        # words and word beginnings with a weight of their own
+SAMPLE = 8_000         # labelled documents the field and the calibration learn from, half of them toxic
+LEXICON = 65_536       # words and word beginnings with a weight of their own
 PREFIXES = (3, 4, 5, 6)  # bytes
-SUPPORT, RATIO = 12, 10.0
+RATIO = 4.0            # least smoothed ratio of an entry's shares in toxic and in other documents
+ENTRIES = 400_000      # entries counted in a task before they are handed on
 TRAIN_WINDOW, TRAIN_WINDOWS, STEPS = 48, 4_000, 80
 TAG = 0.5
 _LANE = 64
@@ -41,8 +44,8 @@ def tokens(text: str) -> list[bytes]:
 
 
 def entries(word: bytes) -> list[bytes]:
-    """What the lexicon can list of a token: its word, then its beginnings (marked by ``*``)."""
-    return [word, *[word[:k] + b"*" for k in PREFIXES if len(word) > k]]
+    """What the lexicon can list of a token: its word, then its beginnings (marked by ``*``), longest first."""
+    return [word, *[word[:k] + b"*" for k in reversed(PREFIXES) if len(word) > k]]
 
 
 class _Ids(dict):
@@ -157,13 +160,13 @@ def marginals(e: np.ndarray, size: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return flat
 
 
-def _pairs(e: np.ndarray, size: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Expected transition counts (2, 2) over short texts, by plain forward-backward."""
+def _pairs(e: np.ndarray, size: np.ndarray, trans: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected transition counts (2, 2) over short texts, by plain forward-backward; texts count by ``weight``."""
     total = np.zeros((2, 2))
     a = np.exp(trans)
     begin = np.cumsum(size) - size
     for n in np.unique(size):
-        at = begin[size == n]
+        at, counts = begin[size == n], weight[size == n, None, None]
         if n < 2 or not len(at):
             continue
         w = np.stack([np.ones((len(at), n)), np.exp(np.clip(e, -30, 30))[at[:, None] + np.arange(n)]], 2)
@@ -175,38 +178,44 @@ def _pairs(e: np.ndarray, size: np.ndarray, trans: np.ndarray) -> np.ndarray:
         for t in range(n - 1, 0, -1):
             wb = w[:, t] * b
             joint = f[t - 1][:, :, None] * a[None] * wb[:, None, :]
-            total += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            total += (counts * joint / joint.sum((1, 2), keepdims=True)).sum(0)
             b = wb @ a.T
             b /= b.sum(1, keepdims=True)
     return total
 
 
-def train(windows: list[tuple[np.ndarray, np.ndarray]], n_words: int, steps: int = STEPS) -> dict:
-    """Maximum likelihood with an L2 prior; ``windows``: (word ids, tags) of short token runs."""
-    p = {"word": np.zeros(n_words + 1), "side": np.zeros(2), "trans": np.zeros((2, 2))}
-    p["word"][0] = -3.0
-    windows = [(i, y) for i, y in windows if len(i)]
+def train(windows: list[tuple[np.ndarray, np.ndarray, float]], odds: np.ndarray, steps: int = STEPS) -> dict:
+    """Maximum likelihood with an L2 prior; ``windows``: (word ids, tags, weight) of short token runs.
+
+    ``odds``: log-odds of the entries in whole documents, the mean of their prior, so that an
+    entry too rare for the windows keeps them."""
+    n_words = len(odds)
+    p = {"word": np.array([-3.0, *odds]), "side": np.zeros(2), "trans": np.zeros((2, 2))}
+    mean = {"word": np.array([0.0, *odds]), "side": 0.0, "trans": 0.0}
+    windows = [w for w in windows if len(w[0])]
     if not windows:
         return p
-    ids = np.concatenate([i for i, _ in windows])
-    tags = np.concatenate([y for _, y in windows]).astype(float)
-    size = np.array([len(i) for i, _ in windows])
+    ids = np.concatenate([i for i, _, _ in windows])
+    tags = np.concatenate([y for _, y, _ in windows]).astype(float)
+    size = np.array([len(i) for i, _, _ in windows])
+    weight = np.array([w for _, _, w in windows])
+    each = np.repeat(weight, size)
     first = np.zeros(len(ids), bool)
     first[np.cumsum(size) - size] = True
     real = np.zeros((2, 2))
     joined = ~first[1:]
-    np.add.at(real, (tags[:-1][joined].astype(int), tags[1:][joined].astype(int)), 1)
+    np.add.at(real, (tags[:-1][joined].astype(int), tags[1:][joined].astype(int)), each[1:][joined])
     near = (ids > 0).astype(int)
     speed = {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, steps + 1):
         e = emissions(ids, first, p)
-        miss = tags - marginals(e, size, p["trans"])
+        miss = each * (tags - marginals(e, size, p["trans"]))
         grad = {"word": np.bincount(ids, miss, n_words + 1), "side": np.zeros(2),
-                "trans": real - _pairs(e, size, p["trans"])}
+                "trans": real - _pairs(e, size, p["trans"], weight)}
         np.add.at(grad["side"], near[:-1][joined], miss[1:][joined])
         np.add.at(grad["side"], near[1:][joined], miss[:-1][joined])
         for k, g in grad.items():
-            g = g - 0.05 * p[k]
+            g = g - 0.05 * (p[k] - mean[k])
             speed[k] += g * g
             p[k] = p[k] + 0.7 * g / (np.sqrt(speed[k]) + 1e-6)
     return p
@@ -263,47 +272,83 @@ def spans(text: str, chosen: np.ndarray) -> list[tuple[int, int]]:
     return [(len(raw[:a].decode()), len(raw[:b].decode())) for a, b in out]
 
 
-def _calibrate(stats: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression of the label on the document statistics (Newton steps)."""
+def _calibrate(stats: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression of the label on the document statistics (Newton steps); rows count by ``weight``."""
     x = np.column_stack([stats, np.ones(len(stats))])
     c = np.zeros(3)
     prior = np.diag([0.01, 0.01, 0.001])
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + prior
-        move = np.linalg.solve(h, x.T @ (y - q) - prior @ c)
+        h = (x * (weight * q * (1 - q))[:, None]).T @ x + prior
+        move = np.linalg.solve(h, x.T @ (weight * (y - q)) - prior @ c)
         c += np.clip(move, -2, 2)
     return c
 
 
+def evidence(tox: np.ndarray, rest: np.ndarray, n_tox: int, n_rest: int) -> np.ndarray:
+    """Likelihood ratio (G squared) of entries in ``tox`` toxic and ``rest`` other documents against the
+    share of toxic documents; 0 where they are no more frequent in toxic documents."""
+    n, base = tox + rest, n_tox / (n_tox + n_rest)
+    share = tox / np.maximum(n, 1)
+    log = lambda x: np.log(np.maximum(x, 1e-300))
+    g = 2 * (tox * (log(share) - log(base)) + rest * (log(1 - share) - log(1 - base)))
+    return np.where(share > base, g, 0.0)
+
+
+def choose(found: dict[bytes, tuple[int, int]], n_tox: int, n_rest: int, bar: float) -> dict[bytes, float]:
+    """Entry -> log-odds of the entries that pass ``bar`` and ``RATIO``; ``found``: toxic and other counts."""
+    if not found:
+        return {}
+    tox, rest = np.array(list(found.values()), float).T
+    ratio = (tox + 0.5) / (n_tox + 1) / ((rest + 0.5) / (n_rest + 1))
+    passed = (evidence(tox, rest, n_tox, n_rest) >= bar) & (ratio >= RATIO)
+    share = dict(zip(found, np.where(passed, (tox + 0.5) / (tox + rest + 1), 0)))
+    # a beginning stands for all that begins so, unless that is toxic clearly more often
+    kept = [w for w, q in share.items() if q and not any(
+        share.get(x, 0) >= 0.8 * q for x in entries(w.rstrip(b"*")) if len(x.rstrip(b"*")) < len(w.rstrip(b"*")))]
+    return {w: float(np.log(share[w] / (1 - share[w]))) for w in sorted(kept)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
-    """Lexicon, field and calibration from a bounded sample outside the held-out fold."""
-    labels = (labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
-              .filter(fold(F.col("doc_id"), 4) != 2))
-    chosen = bounded_sample(labels, ["doc_id"], bound)
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    # the sample has about ``bound`` rows of two numbers, whatever the tables' size
-    rows = cut(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("toxic") > 0)
-                                                                .cast("int").alias("toxic")))
+    """Lexicon from all labelled documents outside the held-out fold; field and calibration from a
+    sample of them, bounded per class."""
+    labels = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
+              .filter(fold(F.col("doc_id"), 4) != 2)
+              .select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).filter(fold(F.col("doc_id"), 4) != 2)
+    rows = written(texts.join(labels, "doc_id"))
     totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    n_tox, n_all = totals.get(1, 0), sum(totals.values())
-    empty = {"lexicon": [], "field": train([], 0)}
-    base = np.clip(n_tox / n_all, 1e-6, 1 - 1e-6) if n_all else 1e-6
+    n_tox, n_rest = totals.get(1, 0), totals.get(0, 0)
+    empty = {"lexicon": [], "field": train([], np.zeros(0))}
+    base = np.clip(n_tox / (n_tox + n_rest), 1e-6, 1 - 1e-6) if n_tox + n_rest else 1e-6
     if not n_tox:
         return empty | {"calibration": np.array([0.0, 0.0, np.log(base / (1 - base))])}
 
-    def distinct(batches):
+    def counted(batches):
+        tox, n = Counter(), Counter()
         for b in batches:
-            found = [(w, int(y)) for t, y in zip(b["text"], b["toxic"]) for w in {x for word in set(tokens(t)) for x in entries(word)}]
-            yield pd.DataFrame({"w": [w for w, _ in found], "y": [y for _, y in found]})
-
-    words = (rows.mapInPandas(distinct, "w binary, y int").groupBy("w")
-             .agg(F.sum("y").alias("tox"), F.count(F.lit(1)).alias("n")))
-    ratio = ((F.col("tox") + 0.5) / (n_tox + 1)) / ((F.col("n") - F.col("tox") + 0.5) / (n_all - n_tox + 1))
-    often = [(bytes(r["w"]), r["tox"]) for r in words.filter(F.col("tox") >= SUPPORT).withColumn("r", ratio)
-             .filter(F.col("r") >= RATIO).orderBy(F.desc("tox"), F.desc("r"), "w").limit(LEXICON).collect()]
-    known = dict(often)
-
+            for t, y in zip(b["text"], b["toxic"]):
+                found = {x for word in set(tokens(t)) for x in entries(word)}
+                n.update(found)
+                if y:
+                    tox.update(found)
+                if len(n) > ENTRIES:
+                    yield pd.DataFrame({"w": list(n), "tox": [tox[w] for w in n], "n": list(n.values())})
+                    tox, n = Counter(), Counter()
+        yield pd.DataFrame({"w": list(n), "tox": [tox[w] for w in n], "n": list(n.values())})
+
+    words = written(rows.select("text", "toxic").mapInPandas(counted, "w binary, tox long, n long").groupBy("w")
+                    .agg(F.sum("tox").alias("tox"), F.sum("n").alias("n")).filter("tox > 0"))
+    # among all entries tested, about one passes the bar by chance
+    bar = 2 * float(np.log(max(words.count(), 2)))
+    base = n_tox / (n_tox + n_rest)
+    share, rest = F.col("tox") / F.col("n"), F.col("n") - F.col("tox")
+    log_rest = F.when(rest > 0, rest * F.log((1 - share) / max(1 - base, 1e-300))).otherwise(0.0)
+    gain = 2 * (F.col("tox") * F.log(share / base) + log_rest)
+    ratio = ((F.col("tox") + 0.5) / (n_tox + 1)) / ((rest + 0.5) / (n_rest + 1))
+    known = {bytes(r["w"]): (r["tox"], r["n"] - r["tox"]) for r in words.withColumn("g", gain)
+             .filter((share > base) & (F.col("g") >= bar - 1e-6) & (ratio >= RATIO - 1e-6))
+             .orderBy(F.desc("g"), "w").limit(LEXICON).collect()}
     def contexts(batches):
         for b in batches:
             found = set()
@@ -316,13 +361,18 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
             yield pd.DataFrame({"w": [w for w, _ in found], "c": [c for _, c in found]})
 
     # copies repeat a word in one and the same context; what marks toxic texts comes in many
-    spread = [(bytes(r[0]), r[1]) for r in rows.mapInPandas(contexts, "w binary, c binary").distinct()
-              .groupBy("w").count().collect()]
-    wide = {w for w, n in spread if n >= max(SUPPORT, known[w] / 2)}
-    # a beginning stands for all that begins so
-    lexicon = sorted(w for w in wide if not any(x in wide and x != w for x in entries(w.rstrip(b"*"))))
+    spread = {bytes(r[0]): r[1] for r in rows.filter("toxic = 1").mapInPandas(contexts, "w binary, c binary")
+              .distinct().groupBy("w").count().collect()}
+    known = {w: n for w, n in known.items() if spread[w] >= n[0] / 2}
+    odds = choose(known, n_tox, n_rest, bar)
+    lexicon = list(odds)
     ids = _Ids(lexicon)
-    share = min(1.0, TRAIN_WINDOWS / max(n_all, 1))
+    shares = {1: min(1.0, bound / 2 / n_tox), 0: min(1.0, bound / 2 / max(n_rest, 1))}
+    hashed = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = cut(rows.filter(hashed < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])))
+    weights = {y: min(shares.values()) / s for y, s in shares.items()}
+    n_sample = {y: max(1.0, n * shares[y]) for y, n in ((1, n_tox), (0, n_rest))}
+    share = min(1.0, TRAIN_WINDOWS / sum(n_sample.values()))
 
     def windows(batches):
         for b in batches:
@@ -332,17 +382,17 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
                 hits = np.flatnonzero(i)
                 # toxic documents around a lexicon word, the others anywhere, both a bounded share
                 rng = np.random.default_rng(abs(int(doc_id)))
-                if rng.random() < (share if not len(hits) else min(1.0, TRAIN_WINDOWS / 2 / max(n_tox, 1))):
+                if rng.random() < (share if not len(hits) else min(1.0, TRAIN_WINDOWS / 2 / n_sample[1])):
                     at = int(hits[rng.integers(len(hits))]) if len(hits) else int(rng.integers(len(i) + 1))
                     lo = max(0, at - int(rng.integers(TRAIN_WINDOW)))
                     keep.append((doc_id, i[lo:lo + TRAIN_WINDOW], int(y)))
             yield pd.DataFrame({"doc_id": [k[0] for k in keep], "i": [k[1] for k in keep],
                                 "y": [k[2] for k in keep]}).astype({"doc_id": "int64", "y": "int32"})
 
-    got = sorted((r[0], tuple(r[1]), r[2]) for r in rows.mapInPandas(
+    got = sorted((r[0], tuple(r[1]), r[2]) for r in sample.mapInPandas(
         windows, "doc_id long, i array<int>, y int").collect())
-    runs = [(np.array(i, np.int64), (np.array(i) > 0) * y) for _, i, y in got]
-    model = {"lexicon": lexicon, "field": train(runs, len(lexicon)), "calibration": np.zeros(3)}
+    runs = [(np.array(i, np.int64), (np.array(i) > 0) * y, weights[y]) for _, i, y in got]
+    model = {"lexicon": lexicon, "field": train(runs, np.array(list(odds.values()))), "calibration": np.zeros(3)}
 
     def measure(batches):
         tagger = Tagger(model)
@@ -350,8 +400,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
             stats = tagger.batch(b["text"].tolist())[2]
             yield pd.DataFrame({"a": stats[:, 0], "b": stats[:, 1], "y": b["toxic"]})
 
-    found = rows.mapInPandas(measure, "a double, b double, y int").toPandas().sort_values(["a", "b", "y"])
-    return model | {"calibration": _calibrate(found[["a", "b"]].to_numpy(), found["y"].to_numpy(float))}
+    found = sample.mapInPandas(measure, "a double, b double, y int").toPandas().sort_values(["a", "b", "y"])
+    return model | {"calibration": _calibrate(found[["a", "b"]].to_numpy(), found["y"].to_numpy(float),
+                                              found["y"].map(weights).to_numpy(float))}
 
 
 def scorer(model: dict):
