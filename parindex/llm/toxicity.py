@@ -2,7 +2,7 @@
 
 Token labels come from the labelled documents: words and word beginnings that
 are more frequent in toxic than in other training documents (``RATIO``), by more than chance explains (a
-likelihood-ratio test over all labelled documents), tag their tokens in toxic documents; every other training
+likelihood-ratio test over the distinct texts of all labelled documents), tag their tokens in toxic documents; every other training
 token is clean.  The field has two tags; its
 features are the token's entry in the bounded lexicon (its word, or else its
 longest listed beginning), entries beside it and the tag transitions.  Forward-backward marginals of every
@@ -316,7 +316,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
               .filter(fold(F.col("doc_id"), 4) != 2)
               .select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")))
     texts = docs.select("doc_id", text_or_empty().alias("text")).filter(fold(F.col("doc_id"), 4) != 2)
-    rows = written(texts.join(labels, "doc_id"))
+    # copies of a text with one label count once
+    rows = written(texts.join(labels, "doc_id")
+                   .withColumns({"h": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+                   .groupBy("h", "h2", "toxic").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r"))
+                   .select("r.doc_id", "r.text", "toxic"))
     totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n_tox, n_rest = totals.get(1, 0), totals.get(0, 0)
     empty = {"lexicon": [], "field": train([], np.zeros(0))}
@@ -363,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     # copies repeat a word in one and the same context; what marks toxic texts comes in many
     spread = {bytes(r[0]): r[1] for r in rows.filter("toxic = 1").mapInPandas(contexts, "w binary, c binary")
               .distinct().groupBy("w").count().collect()}
-    known = {w: n for w, n in known.items() if spread[w] >= n[0] / 2}
+    known = {w: (min(n, spread[w]), rest) for w, (n, rest) in known.items()}
     odds = choose(known, n_tox, n_rest, bar)
     lexicon = list(odds)
     ids = _Ids(lexicon)

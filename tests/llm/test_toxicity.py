@@ -31,3 +31,10 @@ def test_rare_toxic_word_enters_the_lexicon(spark):
     ids = toxicity._Ids(lexicon(spark, corpus(spark)))
     assert ids[b"idiot"] and ids[b"qqoos"]
     assert sum(ids[w.encode()] > 0 for w in set(WORDS)) <= 1
+
+
+def test_copies_neither_add_nor_remove_entries(spark):
+    rows = corpus(spark)
+    hot = next(t for _, t, _ in rows if "idiot" in t)
+    ids = [r.id for r in spark.range(10_000, 12_000).filter(fold(F.col("id"), 4) != 2).limit(1_000).collect()]
+    assert lexicon(spark, rows + [(i, hot, 1) for i in ids]) == lexicon(spark, rows)
