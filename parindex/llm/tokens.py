@@ -5,6 +5,8 @@ cut only where the tokenizer's own pre-tokenizer always cuts (before a blank
 that a non-blank follows, around line breaks between non-blanks, after a run
 of Latin letters that plain punctuation or a blank follows), so joining the
 ids of the chunks gives the ids of the text; repeated chunks are looked up.
+The added tokens of the file are taken out of the text first, the longest at
+the leftmost place, and have their own id, as in the tokenizer.
 """
 
 from __future__ import annotations
@@ -40,6 +42,18 @@ def _byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """Pattern that splits at the file's added tokens, and their ids as bytes."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens", [])
+    if any(t.get(k) for t in found for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"{path}: added tokens that take blanks or whole words only are not supported")
+    ids = {t["content"]: pack("<I", t["id"]) for t in found}
+    longest = sorted(ids, key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, longest)) + ")") if ids else None, ids
+
+
 @lru_cache(maxsize=2)
 def _encoding(path: str):
     import tiktoken
@@ -90,8 +104,8 @@ def _words(path: str, limit: int = 400_000) -> _Words:
     return _Words(_Pieces(path, limit))
 
 
-def encode(text: str, path: str) -> bytes:
-    """Ids of the whole text as little-endian unsigned 32-bit integers."""
+def _ordinary(text: str, path: str) -> bytes:
+    """Ids of a text without added tokens."""
     words = _words(path)
     if _ODD.search(text):
         return np.array(words.pieces.encode(text), "<u4").tobytes()
@@ -100,3 +114,11 @@ def encode(text: str, path: str) -> bytes:
     first, *rest = text.split(" ")
     return b"".join([*map(words.pieces.__getitem__, _CHUNK.findall(first)),
                      *map(words.__getitem__, rest)])
+
+
+def encode(text: str, path: str) -> bytes:
+    """Ids of the whole text as little-endian unsigned 32-bit integers."""
+    marks, ids = _added(path)
+    if marks is None or not marks.search(text):
+        return _ordinary(text, path)
+    return b"".join(ids[x] if k % 2 else _ordinary(x, path) for k, x in enumerate(marks.split(text)))
