@@ -108,9 +108,22 @@ def gradients(p: dict[str, np.ndarray], codes: np.ndarray, langs: np.ndarray) ->
     return loss, grad
 
 
+def lanes_of(step: int, n_langs: int) -> np.ndarray:
+    """Language of each lane in a step (from 1): lanes go on where the last step stopped."""
+    return ((step - 1) * BATCH + np.arange(BATCH)) % n_langs
+
+
+def steps_for(n_langs: int, steps: int = STEPS) -> int:
+    """Least number of steps from ``steps`` on in which every language has as many windows; up to
+    ``BATCH`` languages share ``steps``, more get a number of steps that grows with them."""
+    least = -(-steps * max(n_langs, BATCH) // BATCH)
+    whole = n_langs // np.gcd(n_langs, BATCH)
+    return int(-(-least // whole) * whole)
+
+
 def train(texts: list[str], langs: list[str], steps: int = STEPS, hidden: int = HIDDEN,
           seed: int = 5) -> dict:
-    """Adam over random windows, each language equally often."""
+    """Adam over random windows, each language equally often; at least ``steps`` steps."""
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
     by_lang = [[b for t, x in zip(texts, langs) if x == name and (b := t.encode())] for name in names]
@@ -121,8 +134,9 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, hidden: int =
     p = init(len(names), hidden, seed)
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
+    steps = steps_for(len(names), steps)
     for step in range(1, steps + 1):
-        lanes = np.arange(BATCH) % len(names)
+        lanes = lanes_of(step, len(names))
         codes = np.zeros((TRAIN_WINDOW, BATCH), np.uint8)
         for lane, lang in enumerate(lanes):
             b = by_lang[lang][rng.integers(len(by_lang[lang]))]
@@ -244,7 +258,7 @@ def training_sample(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str
         return [], []
     share = F.create_map(*[x for k, n in counts.items()
                            for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
-    # more languages than usual share the same total, so the sample stays bounded
+    # bounded for each language, so the total grows with the number of languages
     chosen = docs.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30))
                          < F.element_at(share, F.col("lang")) * float(1 << 30))
     piece = lambda k: F.substring("text", (1 + F.pmod(
