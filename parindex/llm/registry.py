@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from parindex.llm import (decontaminate, language_id, packing, quality_model, quality_rules, secrets,
-                          simhash, substring_dedup, token_counts, toxicity)
+from parindex.llm import (byte_bpe, decontaminate, language_id, merkle, packing, periodic_runs, quality_model,
+                          quality_rules, secrets, simhash, substring_dedup, token_counts, toxicity)
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -17,10 +17,14 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 SQL = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
     "op3_secret_scans": secrets.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
