@@ -9,6 +9,9 @@ starts within ``SCOPE`` code points of it in the same document:
 * a weak secret needs an access identifier (strong or weak),
 * an endpoint needs both.
 
+No token completes itself: a weak part that overlaps a part of a surer kind
+(base, then weak access, endpoint, weak secret) is no part.
+
 The join is an interval join on scope bins: parts are reduced to the least and
 greatest start per (document, bin, role) before they meet, so a weak part
 looks at three bins and no pairs of parts are ever listed.
@@ -19,12 +22,15 @@ positions, so they come from the lengths of the pieces between the matches
 
 Defined cases: a null text counts as empty (no spans); rows that agree in id
 and text get the same spans, each row is returned; rows with a null id are
-kept; parts of different rows with the same id but another text never link.
+kept; parts of different rows with the same id but another text never link; an
+empty table has no rows; other columns, whatever their names, are kept by
+``redact`` and not read; long texts are scanned whole, and their parts are compared
+in order of place, not each with each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parindex.llm.common import cut, fresh, table, text_or_empty
@@ -53,6 +59,8 @@ KINDS: tuple[tuple[str, str, str, str, bool], ...] = (
     ("endpoint", "endpoint", r"""[hH][tT][tT][pP][sS]?://[^\x20\x09-\x0D"'<>]+|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}""",
      "true", False),
 )
+#: index into KINDS -> how sure the kind is (0 first); of overlapping parts the surer one counts
+SURENESS = (0, 0, 0, 1, 3, 2)
 SCOPE = 256
 _BLOCK = 256
 
@@ -97,6 +105,27 @@ def _line(spans: Column) -> Column:
         ":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def surest(parts: DataFrame) -> DataFrame:
+    """``parts`` (key, k, start, end; each once) without the weak ones that overlap a surer part.
+
+    Two passes in order of place: the furthest end of each kind of sureness
+    before a part, the nearest start of each after it."""
+    sure = F.get(F.array(*[F.lit(x) for x in SURENESS]), F.col("k"))
+    parts = parts.withColumn("sure", sure)
+    so_far = lambda *order: (Window.partitionBy("key").orderBy(*order)
+                             .rowsBetween(Window.unboundedPreceding, -1))
+    ahead = so_far("start", "k", "end")
+    behind = so_far(F.desc("start"), F.desc("k"), F.desc("end"))
+    for x in range(max(SURENESS)):
+        of = lambda c, x=x: F.when(F.col("sure") == x, F.col(c))
+        parts = parts.withColumns({f"to{x}": F.max(of("end")).over(ahead), f"from{x}": F.min(of("start")).over(behind)})
+    covered = F.lit(False)
+    for x in range(max(SURENESS)):
+        covered |= (F.col("sure") > x) & (F.coalesce(F.col(f"to{x}") > F.col("start"), F.lit(False))
+                                          | F.coalesce(F.col(f"from{x}") < F.col("end"), F.lit(False)))
+    return parts.filter(~covered).select("key", "k", "start", "end")
+
+
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Weak parts whose complement starts within ``scope`` of them.
 
@@ -142,13 +171,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = src.select(id_col, row_key(id_col, t).alias("key"),
                        F.sort_array(F.concat(*[_spans(t, k) for k in range(n_base)])).alias("base"),
                        F.concat(*[_spans(t, k) for k in range(n_base, len(KINDS))]).alias("weak"))
-    # a weak value inside a base span is that span, not another part
-    free = F.filter("weak", lambda w: (w["k"] != 4) | ~F.exists(
-        "base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    found = cut(found.select(id_col, "key", "base", free.alias("weak")))
+    found = cut(found)
     parts = (found.filter((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1))
-             .select("key", F.explode(F.concat("base", "weak")).alias("s")).select("key", "s.*"))
-    linked = (link_parts(parts, scope)
+             .select("key", F.explode(F.concat("base", "weak")).alias("s")).select("key", "s.*").distinct())
+    linked = (link_parts(surest(parts), scope)
               .groupBy("key").agg(F.collect_list(F.struct("start", "k", "end")).alias("more")))
     found = found.select(id_col, "key", "base").join(linked, "key", "left")
     return found.select(id_col, "key", "base", F.sort_array(F.concat(
@@ -201,11 +227,12 @@ def _sql() -> str:
     near = lambda role: (f"EXISTS (SELECT 1 FROM p q WHERE q.r = w.r AND q.role = '{role}' "
                          f"AND (q.\"start\" // {SCOPE} = w.\"start\" // {SCOPE} "
                          f"OR abs(q.\"start\" - w.\"start\") <= {SCOPE}))")
+    sure = list(SURENESS)
     line = f"""{names}[k + 1] || ':' || "start" || ':' || "end\""""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({" UNION ALL ".join(parts)}),
-p AS (SELECT * FROM f x WHERE k <> 4 OR NOT EXISTS (SELECT 1 FROM f y WHERE y.r = x.r AND y.k < 3
+p AS (SELECT * FROM f x WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.r = x.r AND {sure}[y.k + 1] < {sure}[x.k + 1]
       AND y."start" < x."end" AND x."start" < y."end")),
 w AS (SELECT * FROM p w WHERE k < 3 OR (role = 'access' AND {near('secret')})
       OR (role = 'secret' AND {near('access')})
