@@ -4,14 +4,16 @@ Token labels come from the labelled documents: words and word beginnings that
 are more frequent in toxic than in other training documents (``RATIO``), by more than chance explains (a
 likelihood-ratio test over the distinct texts of all labelled documents), tag their tokens in toxic documents; every other training
 token is clean.  The field has two tags; its
-features are the token's entry in the bounded lexicon (its word, or else its
+features are the token's entry in the lexicon (its word, or else its
 longest listed beginning), entries beside it and the tag transitions.  Forward-backward marginals of every
 token of the whole text add up to the document's score, and the tokens whose
 marginal passes ``TAG`` are its offending offsets.
 
 Defined cases: a null text counts as empty and is scored (no tokens); rows are
 scored one by one; rows with a null id or label are not learnt from; without
-toxic training rows every score is the share of toxic rows (0 without rows).
+toxic training rows every score is the share of toxic rows (0 without rows); an
+empty table has no rows; columns other than id, text and label are not read;
+texts of any length are tagged whole; a text with both labels counts for both.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from parindex.llm.common import cut, fold, held_out, table, text_or_empty, written
 
 SAMPLE = 8_000         # labelled documents the field and the calibration learn from, half of them toxic
-LEXICON = 65_536       # words and word beginnings with a weight of their own
 PREFIXES = (3, 4, 5, 6)  # bytes
 RATIO = 4.0            # least smoothed ratio of an entry's shares in toxic and in other documents
 ENTRIES = 400_000      # entries counted in a task before they are handed on
@@ -309,18 +312,34 @@ def choose(found: dict[bytes, tuple[int, int]], n_tox: int, n_rest: int, bar: fl
     return {w: float(np.log(share[w] / (1 - share[w]))) for w in sorted(kept)}
 
 
+@F.pandas_udf(BinaryType())
+def _packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    press = zstandard.ZstdCompressor(level=3)
+    for texts in batches:
+        yield texts.map(lambda t: press.compress(t.encode()))
+
+
+def _texts(batch: pd.DataFrame) -> list[str]:
+    """The whole texts of a batch with packed ones."""
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(z).decode() for z in batch["z"]]
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     """Lexicon from all labelled documents outside the held-out fold; field and calibration from a
     sample of them, bounded per class."""
     labels = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
               .filter(fold(F.col("doc_id"), 4) != 2)
               .select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")))
-    texts = docs.select("doc_id", text_or_empty().alias("text")).filter(fold(F.col("doc_id"), 4) != 2)
-    # copies of a text with one label count once
-    rows = written(texts.join(labels, "doc_id")
-                   .withColumns({"h": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
-                   .groupBy("h", "h2", "toxic").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r"))
-                   .select("r.doc_id", "r.text", "toxic"))
+    learnt = docs.filter(fold(F.col("doc_id"), 4) != 2).select("doc_id", text_or_empty().alias("text"))
+    hashes = {"h": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
+    # copies of a text with one label count once; ids and hashes meet the labels, then each distinct text
+    # crosses one exchange, compressed, and meets the marked hashes where it lies
+    marked = (learnt.select("doc_id", *[c.alias(n) for n, c in hashes.items()]).distinct()
+              .join(labels.distinct(), "doc_id").groupBy("h", "h2", "toxic").agg(F.min("doc_id").alias("doc_id")))
+    packed = learnt.select(*[c.alias(n) for n, c in hashes.items()], _packed("text").alias("z"))
+    rows = written(packed.groupBy("h", "h2").agg(F.first("z").alias("z")).join(marked, ["h", "h2"])
+                   .select("doc_id", "h", "z", "toxic"))
     totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n_tox, n_rest = totals.get(1, 0), totals.get(0, 0)
     empty = {"lexicon": [], "field": train([], np.zeros(0))}
@@ -331,7 +350,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     def counted(batches):
         tox, n = Counter(), Counter()
         for b in batches:
-            for t, y in zip(b["text"], b["toxic"]):
+            for t, y in zip(_texts(b), b["toxic"]):
                 found = {x for word in set(tokens(t)) for x in entries(word)}
                 n.update(found)
                 if y:
@@ -341,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
                     tox, n = Counter(), Counter()
         yield pd.DataFrame({"w": list(n), "tox": [tox[w] for w in n], "n": list(n.values())})
 
-    words = written(rows.select("text", "toxic").mapInPandas(counted, "w binary, tox long, n long").groupBy("w")
+    words = written(rows.select("z", "toxic").mapInPandas(counted, "w binary, tox long, n long").groupBy("w")
                     .agg(F.sum("tox").alias("tox"), F.sum("n").alias("n")).filter("tox > 0"))
     # among all entries tested, about one passes the bar by chance
     bar = 2 * float(np.log(max(words.count(), 2)))
@@ -352,11 +371,12 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     ratio = ((F.col("tox") + 0.5) / (n_tox + 1)) / ((rest + 0.5) / (n_rest + 1))
     known = {bytes(r["w"]): (r["tox"], r["n"] - r["tox"]) for r in words.withColumn("g", gain)
              .filter((share > base) & (F.col("g") >= bar - 1e-6) & (ratio >= RATIO - 1e-6))
-             .orderBy(F.desc("g"), "w").limit(LEXICON).collect()}
+             .collect()}
+
     def contexts(batches):
         for b in batches:
             found = set()
-            for t, y in zip(b["text"], b["toxic"]):
+            for t, y in zip(_texts(b), b["toxic"]):
                 words = [b"", *tokens(t), b""] if y else []
                 for k in range(1, len(words) - 1):
                     for x in entries(words[k]):
@@ -372,7 +392,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     lexicon = list(odds)
     ids = _Ids(lexicon)
     shares = {1: min(1.0, bound / 2 / n_tox), 0: min(1.0, bound / 2 / max(n_rest, 1))}
-    hashed = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    hashed = F.pmod(F.xxhash64(F.lit(17), "doc_id", "h"), F.lit(1 << 30)) / float(1 << 30)
     sample = cut(rows.filter(hashed < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])))
     weights = {y: min(shares.values()) / s for y, s in shares.items()}
     n_sample = {y: max(1.0, n * shares[y]) for y, n in ((1, n_tox), (0, n_rest))}
@@ -381,7 +401,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     def windows(batches):
         for b in batches:
             keep = []
-            for doc_id, text, y in zip(b["doc_id"], b["text"], b["toxic"]):
+            for doc_id, text, y in zip(b["doc_id"], _texts(b), b["toxic"]):
                 i = word_ids(text, ids)
                 hits = np.flatnonzero(i)
                 # toxic documents around a lexicon word, the others anywhere, both a bounded share
@@ -401,7 +421,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> dict:
     def measure(batches):
         tagger = Tagger(model)
         for b in batches:
-            stats = tagger.batch(b["text"].tolist())[2]
+            stats = tagger.batch(_texts(b))[2]
             yield pd.DataFrame({"a": stats[:, 0], "b": stats[:, 1], "y": b["toxic"]})
 
     found = sample.mapInPandas(measure, "a double, b double, y int").toPandas().sort_values(["a", "b", "y"])

@@ -38,3 +38,20 @@ def test_copies_neither_add_nor_remove_entries(spark):
     hot = next(t for _, t, _ in rows if "idiot" in t)
     ids = [r.id for r in spark.range(10_000, 12_000).filter(fold(F.col("id"), 4) != 2).limit(1_000).collect()]
     assert lexicon(spark, rows + [(i, hot, 1) for i in ids]) == lexicon(spark, rows)
+
+
+def test_held_out_recall_and_precision_per_language(spark):
+    sf = "/root/testdata/sf0.1"
+    got = (toxicity.op10_toxicity(spark, sf).filter("held_out")
+           .join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id")
+           .join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+           .select("lang", "toxic", "predicted").toPandas())
+    for _, rows in got.groupby("lang"):
+        hit = ((rows.toxic == 1) & (rows.predicted == 1)).sum()
+        assert hit >= 0.8 * (rows.toxic == 1).sum() and hit >= 0.75 * (rows.predicted == 1).sum()
+
+
+def test_a_text_with_both_labels_and_a_repeated_id(spark):
+    rows = corpus(spark)
+    more = [(rows[0][0], rows[0][1], 0), (rows[0][0], "another text", 1)] * 50
+    lexicon(spark, rows + more)
