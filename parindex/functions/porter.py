@@ -1,16 +1,17 @@
-"""Porter (1980) suffix-stripping stemmer — a small per-word helper.
-
-It is applied only to the *distinct vocabulary* (a pandas UDF over Arrow
-batches), and the result is joined back to the tokens; the per-token path
-stays in the JVM.
+"""Porter (1980) suffix stripping as a cascade of column expressions.
+
+Runs on the *distinct* terms of an index.  Each step is one projection over the
+word ``w`` and its ``marks``: the word with every consonant ``y`` (at the start
+or after a vowel) written ``Y``, so that vowels are ``[aeiouy]`` and the measure of a stem, the number of
+vowel-consonant sequences, is a pattern search in a prefix of the marks.  The
+steps are SQL text in the few functions that Spark and other engines share, so
+one rule table serves the plan and its oracle.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The suffix rules of steps 2, 3 and 4 of the published algorithm.
 STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
@@ -22,125 +23,76 @@ STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ica
 STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou",
          "ism", "ate", "iti", "ous", "ive", "ize"]
 
-_VOWELS = set("aeiou")
-
-
-def _is_cons(w: str, i: int) -> bool:
-    c = w[i]
-    if c in _VOWELS:
-        return False
-    if c == "y":
-        return i == 0 or not _is_cons(w, i - 1)
-    return True
-
-
-def _measure(stem: str) -> int:
-    """m in [C](VC)^m[V]."""
-    m, prev_vowel = 0, False
-    for i in range(len(stem)):
-        cons = _is_cons(stem, i)
-        if cons and prev_vowel:
-            m += 1
-        prev_vowel = not cons
-    return m
-
-
-def _has_vowel(stem: str) -> bool:
-    return any(not _is_cons(stem, i) for i in range(len(stem)))
-
-
-def _double_cons(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _is_cons(w, len(w) - 1)
-
-
-def _cvc(w: str) -> bool:
-    if len(w) < 3:
-        return False
-    return (_is_cons(w, len(w) - 3) and not _is_cons(w, len(w) - 2) and _is_cons(w, len(w) - 1)
-            and w[-1] not in "wxy")
-
-
-def _longest(word: str, rules):
-    best = None
-    for suf, rep in rules:
-        if word.endswith(suf) and (best is None or len(suf) > len(best[0])):
-            best = (suf, rep)
-    return best
-
-
-def stem(word: str) -> str:
-    w = word
-    if len(w) <= 2:
-        return w
-    # step 1a
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("ss"):
-        pass
-    elif w.endswith("s"):
-        w = w[:-1]
-    # step 1b
-    again = False
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    elif w.endswith("ed") and _has_vowel(w[:-2]):
-        w, again = w[:-2], True
-    elif w.endswith("ing") and _has_vowel(w[:-3]):
-        w, again = w[:-3], True
-    if again:
-        if w.endswith(("at", "bl", "iz")):
-            w += "e"
-        elif _double_cons(w) and w[-1] not in "lsz":
-            w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
-            w += "e"
-    # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    # steps 2 and 3
-    for rules in (STEP2, STEP3):
-        hit = _longest(w, rules)
-        if hit and _measure(w[:-len(hit[0])]) > 0:
-            w = w[:-len(hit[0])] + hit[1]
-    # step 4
-    hit = _longest(w, [(s, "") for s in STEP4])
-    if hit:
-        base = w[:-len(hit[0])]
-        if _measure(base) > 1 and (hit[0] != "ion" or base.endswith(("s", "t"))):
-            w = base
-    # step 5a
-    if w.endswith("e"):
-        base = w[:-1]
-        m = _measure(base)
-        if m > 1 or (m == 1 and not _cvc(base)):
-            w = base
-    # step 5b
-    if _measure(w) > 1 and _double_cons(w) and w.endswith("l"):
-        w = w[:-1]
-    return w
-
-
-@F.pandas_udf(StringType())
-def porter_udf(words: pd.Series) -> pd.Series:
-    return words.map(lambda x: None if x is None else stem(x))
-
-
-def porter_table(terms: DataFrame) -> DataFrame:
-    """``(term, lexeme)`` for the distinct terms of ``terms``."""
-    v = terms.select("term").distinct()
-    return v.select("term", porter_udf(F.col("term")).alias("lexeme"))
-
-
-def porter_column_for(tokens: DataFrame) -> DataFrame:
-    """Tokens with a ``lexeme`` column: stem the distinct vocabulary once,
-    then join it back (shuffle join keyed by term — the vocabulary grows with
-    the corpus, so it is not broadcast blindly)."""
-    return tokens.join(porter_table(tokens), "term")
-
-
-def stem_column(col: Column) -> Column:
-    """Row-level use (small inputs only, e.g. query terms)."""
-    return porter_udf(col)
+_SOME = "[aeiouy][^aeiouy]"                                # measure above 0
+_MORE = "[aeiouy][^aeiouy]+[aeiouy]+[^aeiouy]"             # measure above 1
+_SHORT_END = "[^aeiouy][aeiouy][^aeiouywxY]$"              # consonant, vowel, consonant other than w, x, y
+
+#: pattern test, and how a word is marked
+DIALECTS = {
+    "spark": ("regexp_like", "regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiouy])y', '$1Y')"),
+    "duckdb": ("regexp_matches", "regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g')"),
+}
+
+
+def steps(dialect: str = "spark") -> list[dict[str, str]]:
+    """Per step the new columns, as SQL over ``w``, ``marks``, ``term`` and ``again``."""
+    test = DIALECTS[dialect][0]
+    has = lambda pattern, x: f"{test}({x}, '{pattern}')"
+    cut = lambda x, n: f"left({x}, length({x}) - {n})"
+    ends = lambda s: f"right(w, {len(s)}) = '{s}'"
+    case = lambda *pairs: "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + " ELSE w END"
+
+    def longest(rules, measure, only=None):
+        """The longest ending decides; it is replaced if what stands before it measures enough."""
+        out = []
+        for suffix, put in sorted(rules, key=lambda r: -len(r[0])):
+            n, ok = len(suffix), has(measure, cut("marks", len(suffix)))
+            if only and suffix in only:
+                ok += f" AND right({cut('w', n)}, 1) IN ({only[suffix]})"
+            out.append((ends(suffix), f"CASE WHEN {ok} THEN {cut('w', n)} || '{put}' ELSE w END"))
+        return case(*out)
+
+    vowel_before = lambda n: has("[aeiouy]", cut("marks", n))
+    double = "length(w) >= 2 AND right(w, 1) = left(right(w, 2), 1) AND NOT " + has("[aeiouy]", "right(marks, 1)")
+    past, going = f"({ends('ed')} AND {vowel_before(2)})", f"({ends('ing')} AND {vowel_before(3)})"
+    return [
+        {"w": case(("length(w) <= 2", "w"), (ends("sses"), cut("w", 2)), (ends("ies"), cut("w", 2)), (ends("ss"), "w"),
+                   (ends("s"), cut("w", 1)))},
+        {"w": case((ends("eed"), f"CASE WHEN {has(_SOME, cut('marks', 3))} THEN {cut('w', 1)} ELSE w END"),
+                   (past, cut("w", 2)), (going, cut("w", 3))),
+         "again": f"NOT {ends('eed')} AND ({past} OR {going})"},
+        {"w": case(("NOT again", "w"), ("right(w, 2) IN ('at', 'bl', 'iz')", "w || 'e'"),
+                   (f"{double} AND right(w, 1) NOT IN ('l', 's', 'z')", cut("w", 1)),
+                   (f"{has(_SOME, 'marks')} AND NOT {has(_MORE, 'marks')} AND {has(_SHORT_END, 'marks')}", "w || 'e'"))},
+        {"w": case((f"{ends('y')} AND {vowel_before(1)}", cut("w", 1) + " || 'i'"))},
+        {"w": longest(STEP2, _SOME)},
+        {"w": longest(STEP3, _SOME)},
+        {"w": longest([(s, "") for s in STEP4], _MORE, {"ion": "'s', 't'"})},
+        {"w": case((f"{ends('e')} AND ({has(_MORE, cut('marks', 1))} OR ({has(_SOME, cut('marks', 1))} "
+                    f"AND NOT {has(_SHORT_END, cut('marks', 1))}))", cut("w", 1)))},
+        {"w": case((f"{ends('ll')} AND {has(_MORE, 'marks')}", cut("w", 1)))},
+        {"w": "CASE WHEN length(term) <= 2 THEN term ELSE w END"},
+    ]
+
+
+def lexemes(terms: DataFrame, term: str = "term", out: str = "lexeme") -> DataFrame:
+    """``terms`` with ``out``: the lexeme of the word in column ``term`` (null stays null)."""
+    others = [c for c in terms.columns if c not in (term, out)]
+    rows = terms.select(F.struct(*others or [F.lit(0)]).alias("others"), F.col(term).alias("term"),
+                        F.col(term).alias("w"), F.lit(False).alias("again"))
+    for step in steps("spark"):
+        rows = rows.selectExpr("others", "term", "w", "again", f"{DIALECTS['spark'][1]} AS marks")
+        rows = rows.selectExpr("others", "term", f"{step['w']} AS w", f"{step.get('again', 'again')} AS again")
+    return rows.select(*[F.col("others")[c].alias(c) for c in others],
+                       *([F.col("term").alias(term)] if out != term else []), F.col("w").alias(out))
+
+
+def lexeme_ctes(source: str, name: str) -> str:
+    """DuckDB: CTEs that end in ``name(term, lexeme)``; ``source`` selects the distinct terms."""
+    mark = DIALECTS["duckdb"][1]
+    parts = [f"{name}_0 AS (SELECT term, term AS w, false AS again FROM ({source}))"]
+    for k, step in enumerate(steps("duckdb")):
+        parts.append(f"{name}_{k + 1} AS (SELECT term, {step['w']} AS w, {step.get('again', 'again')} AS again "
+                     f"FROM (SELECT *, {mark} AS marks FROM {name}_{k}))")
+    parts.append(f"{name} AS (SELECT term, w AS lexeme FROM {name}_{len(parts) - 1})")
+    return ",\n".join(parts)

@@ -326,11 +326,19 @@ def lookup_terms(queries: DataFrame, stems: DataFrame, analyze: bool = False,
     return stems.join(small_side(q), "stem")
 
 
-def encode_postings(term_postings: DataFrame, vocab: DataFrame, id_type: str = "long") -> DataFrame:
-    """Text postings -> dictionary-coded postings (``int`` or ``long`` ids)."""
-    return term_postings.join(vocab.select("term", "term_id", "stem_id"), "term") \
-        .select("section_id", F.col("term_id").cast(id_type).alias("term_id"),
-                F.col("stem_id").cast(id_type).alias("stem_id"), "offsets", "tf")
+def encode_postings(term_postings: DataFrame, vocab: DataFrame, id_type: str = "long",
+                    counts: DataFrame | None = None) -> DataFrame:
+    """Text postings -> dictionary-coded postings (``int`` or ``long`` ids).
+
+    ``counts(term, n)``: postings per term, counted here when not given; heavy
+    terms meet their ids without a shuffle (``dictionary.attach``)."""
+    from parindex.operators.dictionary import attach
+    if counts is None:
+        counts = term_postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    ids = vocab.select("term", F.col("term_id").cast(id_type).alias("term_id"),
+                       F.col("stem_id").cast(id_type).alias("stem_id")).join(counts.select("term", "n"), "term")
+    return attach(term_postings.select("term", "section_id", "offsets", "tf"), ids).select(
+        "section_id", "term_id", "stem_id", "offsets", "tf")
 
 
 def inline_postings(words: DataFrame, stop="nltk", lemma_rule: str = "s_stemmer") -> DataFrame:

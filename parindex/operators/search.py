@@ -319,18 +319,27 @@ def num_results(index: TextIndex, queries: DataFrame, unknown: str = "drop") ->
         "query_id", F.coalesce("num_results", F.lit(0)).cast("long").alias("num_results"))
 
 
-def passages_by_text(term_postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """Q12 (text key): distinct passages holding each query term."""
-    t = terms.select("query_id", "term").distinct()
-    return term_postings.join(small_side(t, bound=terms), "term") \
-        .groupBy("query_id").agg(F.count_distinct("section_id").alias("num_passages"))
+def passages_by_term(surface: TextIndex, terms: DataFrame) -> DataFrame:
+    """Q12 (text key): distinct passages holding each query term, from an index
+    whose stems are surface terms: only the terms' buckets and row groups are read."""
+    t = terms.select("query_id", F.col("term").alias("stem")).distinct()
+    named = add_bucket_like(surface.postings, t)
+    hits = pruned_postings(surface, t).join(small_side(named, bound=terms), join_keys(surface.postings))
+    return hits.groupBy("query_id").agg(F.count_distinct("section_id").alias("num_passages"))
 
 
 def passages_by_id(coded_postings: DataFrame, vocab: DataFrame, terms: DataFrame) -> DataFrame:
     """Q12 (id key): look the terms up in the dictionary first, then probe the
-    coded postings by id."""
+    coded postings by id (few ids are pushed to the scan)."""
     t = terms.select("query_id", "term").distinct()
     ids = vocab.join(small_side(t, bound=terms), "term").select("query_id", "term_id")
+    listed = None
+    if is_local(terms):
+        names = [r[0] for r in t.select("term").distinct().collect()]
+        if len(names) <= MAX_PUSHED_STEMS:
+            listed = [r[0] for r in vocab.filter(F.col("term").isin(names)).select("term_id").collect()]
+    if listed is not None:
+        coded_postings = coded_postings.filter(F.col("term_id").isin(listed) if listed else F.lit(False))
     # vocabulary terms are unique: the ids are at most as many as the terms
     return coded_postings.join(small_side(ids, bound=terms), "term_id") \
         .groupBy("query_id").agg(F.count_distinct("section_id").alias("num_passages"))

@@ -25,17 +25,49 @@ from pyspark.sql import functions as F
 
 from parindex.functions import proximity as P
 from parindex.functions import scoring as S
+from parindex.functions.porter import lexemes
+from parindex.functions.sizing import is_local
+from parindex.operators.dictionary import attach
 from parindex.operators.index import TextIndex
 from parindex.operators.rank import top_k
 from parindex.operators.search import pruned_postings, query_parts, scored_hits, small_side
 from parindex.operators.index import add_bucket_like, join_keys
+from parindex.session import checkpoint_dir
 
 COVER_K = 16
 
 
+def lexeme_index(surface: TextIndex) -> TextIndex:
+    """The text-search model's index: Porter lexemes instead of stems.
+
+    ``surface``: an index whose stems are the surface terms, with its term
+    counts.  The stemmer runs on the distinct terms; the lexemes meet the
+    postings (not the tokens), heavy terms without a shuffle, and the postings of a
+    section's terms with one lexeme become one."""
+    counts = surface.df_table.select(F.col("stem").alias("term"), F.col("df_sections").alias("n"))
+    terms = surface.postings.select("section_id", F.col("stem").alias("term"), "tf", "offsets", "num_words")
+    checkpoint_dir(counts.sparkSession)
+    merged = attach(terms, lexemes(counts).checkpoint()).groupBy("section_id", F.col("lexeme").alias("stem")).agg(
+        F.sum("tf").cast("int").alias("tf"), F.count(F.lit(1)).cast("int").alias("n_terms"),
+        F.array_sort(F.flatten(F.collect_list("offsets"))).alias("offsets"), F.max("num_words").alias("num_words"))
+    return TextIndex(sections=surface.sections, tokens=None, postings=merged)
+
+
+def lexeme_queries(queries: DataFrame) -> DataFrame:
+    """A query table (any with a ``stem`` column) whose words are lexemes.
+
+    A local table stays one (its rows are known here); any other is cut from the
+    cascade's plan, which would otherwise be optimised again with every join."""
+    out = lexemes(queries, "stem", "stem").select(*queries.columns)
+    if is_local(queries):
+        return queries.sparkSession.createDataFrame(out.collect(), out.schema)
+    checkpoint_dir(queries.sparkSession)
+    return out.checkpoint()
+
+
 def tsvector_table(index: TextIndex) -> DataFrame:
-    """``(section_id, tsv)`` — lexeme = stem, positions merged over its
-    surface terms."""
+    """``(section_id, tsv)`` of a lexeme index — positions merged over a
+    lexeme's surface terms."""
     return index.postings.groupBy("section_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("stem").alias("lexeme"),
                                              F.col("offsets").alias("positions")))).alias("tsv"))

@@ -61,6 +61,27 @@ def index(spark: SparkSession, sf_dir: str) -> D.TextIndex:
     return store.materialized(spark, key, lambda: D.build_index(corpus(spark, sf_dir)))
 
 
+def surface_index(spark: SparkSession, sf_dir: str) -> D.TextIndex:
+    """Postings keyed by surface term (the ``stem`` column holds the term), with
+    term counts; lengths are blank-split word counts."""
+    key = {"corpus": "documents", "sf": os.path.abspath(sf_dir), "sep": "\\n", "stop": "nltk", "lemma": "none",
+           "length": "blank", "state": _state(spark, sf_dir, "documents")}
+    return store.materialized(spark, key, lambda: D.build_index(
+        corpus(spark, sf_dir), lemma_rule="none", length="blank"))
+
+
+def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 from storage: (section_id, term, stem, offsets, tf); no text is read."""
+    return surface_index(spark, sf_dir).postings.select(
+        "section_id", F.col("stem").alias("term"), T.lemma_column(F.col("stem")).alias("stem"), "offsets", "tf")
+
+
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of postings per surface term, with the term's stem."""
+    return surface_index(spark, sf_dir).df_table.select(
+        F.col("stem").alias("term"), T.lemma_column(F.col("stem")).alias("stem"), F.col("df_sections").alias("n"))
+
+
 def in_memory_index(spark: SparkSession, sf_dir: str) -> D.TextIndex:
     return D.build_index(corpus(spark, sf_dir))
 
@@ -510,7 +531,8 @@ def stems_dict(spark, sf_dir) -> DataFrame:
 def vocab(spark, sf_dir) -> DataFrame:
     key = {"table": "vocabulary", "sf": os.path.abspath(sf_dir), "state": _state(spark, sf_dir, "documents")}
     return store.materialized_table(
-        spark, key, lambda: D.vocabulary(in_memory_index(spark, sf_dir).tokens, stems_dict(spark, sf_dir)))
+        spark, key, lambda: D.vocabulary(term_counts(spark, sf_dir).withColumns(
+            {"section_id": F.lit(0), "offset": F.lit(0)}), stems_dict(spark, sf_dir)))
 
 
 SQL_STEM_DICT = """
@@ -541,9 +563,12 @@ def lookup_terms(spark, sf_dir):
     return r.select(F.col("query_id").cast("long"), "stem", F.col("stem_id").cast("long")).distinct()
 
 
-def coded_postings(spark, sf_dir, id_type="long"):
-    tp = T.postings(in_memory_index(spark, sf_dir).tokens)
-    return D.encode_postings(tp, vocab(spark, sf_dir), id_type)
+def coded_postings(spark, sf_dir):
+    """D16 on storage, in ranges of the term id."""
+    key = {"table": "coded_postings", "sf": os.path.abspath(sf_dir), "state": _state(spark, sf_dir, "documents")}
+    return store.materialized_table(spark, key, lambda: D.encode_postings(
+        term_postings(spark, sf_dir), vocab(spark, sf_dir), counts=term_counts(spark, sf_dir))
+        .repartitionByRange("term_id", "section_id").sortWithinPartitions("term_id", "section_id"))
 
 
 @register("encode_postings", "WITH " + O.corpus_ctes() + "," + SQL_STEM_DICT + f""",
@@ -573,14 +598,14 @@ FROM tokens t JOIN lk USING (term) GROUP BY lk.query_id"""
 
 @register("passages_by_text", _PASSAGES_SQL)
 def passages_by_text(spark, sf_dir):
-    tp = T.postings(in_memory_index(spark, sf_dir).tokens)
-    r = Q.passages_by_text(tp, _lookup_df(spark))
+    """Q12 by text: stored term postings, pruned to the buckets and row groups of the terms."""
+    r = Q.passages_by_term(surface_index(spark, sf_dir), _lookup_df(spark))
     return r.select(F.col("query_id").cast("long"), F.col("num_passages").cast("long"))
 
 
 @register("passages_by_id", _PASSAGES_SQL)
 def passages_by_id(spark, sf_dir):
-    r = Q.passages_by_id(coded_postings(spark, sf_dir, "int"), vocab(spark, sf_dir), _lookup_df(spark))
+    r = Q.passages_by_id(coded_postings(spark, sf_dir), vocab(spark, sf_dir), _lookup_df(spark))
     return r.select(F.col("query_id").cast("long"), F.col("num_passages").cast("long"))
 
 
@@ -591,12 +616,11 @@ SELECT CAST(count(*) AS BIGINT) AS postings_rows, CAST(count(DISTINCT term) AS B
        CAST(count(*) * 8 AS BIGINT) AS bigint_key_bytes FROM tp""")
 def encoding_report(spark, sf_dir):
     from parindex.operators.evaluate import encoding_report as er
-    return er(T.postings(in_memory_index(spark, sf_dir).tokens))
+    return er(term_postings(spark, sf_dir))
 
 
 def _coded_stem_postings(spark, sf_dir):
-    tp = T.postings(in_memory_index(spark, sf_dir).tokens)
-    return tp.join(stems_dict(spark, sf_dir), "stem").select("section_id", "stem_id", "tf")
+    return coded_postings(spark, sf_dir).select("section_id", "stem_id", "tf")
 
 
 _LAYOUT_BASE = "WITH " + O.corpus_ctes() + "," + SQL_STEM_DICT + """,
@@ -752,20 +776,35 @@ def mean_average_precision(spark, sf_dir):
 from parindex.operators import tsv as C  # noqa: E402
 
 
-@register("tsvector_build", "WITH " + O.corpus_ctes() + f"""
+#: the text-search model: Porter lexemes, DF counts sections, a section's length is its blank-split word count
+TSV = {"length": "blank", "lemma": "porter", "df": "count(*)"}
+
+
+def _tsv_index(spark, sf_dir):
+    """The text-search model's stored index, from the stored term postings."""
+    key = {"corpus": "documents", "sf": os.path.abspath(sf_dir), "sep": "\\n", "stop": "nltk", "lemma": "porter",
+           "length": "blank", "state": _state(spark, sf_dir, "documents")}
+    return store.materialized(spark, key, lambda: C.lexeme_index(surface_index(spark, sf_dir)))
+
+
+def tsv_queries(spark, ids=None):
+    return C.lexeme_queries(queries_of(spark, ids))
+
+
+@register("tsvector_build", "WITH " + O.corpus_ctes(**TSV) + f"""
 SELECT section_id, string_agg(stem || ':' || {SQL_ARR.format(x='offsets')}, ' ' ORDER BY stem) AS tsv
 FROM postings GROUP BY section_id""")
 def tsvector_build(spark, sf_dir):
-    t = C.tsvector_table(index(spark, sf_dir))
+    t = C.tsvector_table(_tsv_index(spark, sf_dir))
     return t.select("section_id", F.array_join(F.transform(
         "tsv", lambda e: F.concat(e["lexeme"], F.lit(":"), arr_str(e["positions"]))), " ").alias("tsv"))
 
 
-@register("term_stats", "WITH " + O.corpus_ctes() + """
+@register("term_stats", "WITH " + O.corpus_ctes(**TSV) + """
 SELECT stem AS lexeme, CAST(count(*) AS BIGINT) AS ndoc, CAST(sum(tf) AS BIGINT) AS nentry
 FROM postings GROUP BY stem""")
 def term_stats(spark, sf_dir):
-    t = C.term_stats(C.tsvector_table(index(spark, sf_dir)))
+    t = C.term_stats(C.tsvector_table(_tsv_index(spark, sf_dir)))
     return t.select("lexeme", F.col("ndoc").cast("long"), F.col("nentry").cast("long"))
 
 
@@ -776,10 +815,10 @@ def num_words_blank(spark, sf_dir):
     return C.num_words_blank(s).select("section_id", F.col("num_words").cast("long"))
 
 
-@register("tsv_offsets", "WITH " + O.corpus_ctes() + f"""
+@register("tsv_offsets", "WITH " + O.corpus_ctes(**TSV) + f"""
 SELECT section_id, {SQL_ARR.format(x='offsets')} AS positions FROM postings WHERE stem = 'erin'""")
 def tsv_offsets(spark, sf_dir):
-    t = C.tsvector_table(index(spark, sf_dir))
+    t = C.tsvector_table(_tsv_index(spark, sf_dir))
     pos = C.tsv_offsets(F.col("tsv"), F.lit("erin"))
     return t.select("section_id", arr_str(pos).alias("positions")).filter(F.col("positions").isNotNull())
 
@@ -791,7 +830,7 @@ NOT_QUERIES = {1: ("tion", ["erin"]), 2: ("tion OR eron", ["erth"]), 3: ("tion A
 def _not_sql():
     pos = {q: t for q, (t, _) in NOT_QUERIES.items()}
     negs = ", ".join(f"({q}, '{s}')" for q, (_, ns) in NOT_QUERIES.items() for s in ns)
-    return ("WITH " + O.corpus_ctes() + "," + O.match_ctes(pos) + f""",
+    return ("WITH " + O.corpus_ctes(**TSV) + "," + O.match_ctes(pos, lemma="porter") + f""",
 neg AS (SELECT * FROM (VALUES {negs}) t(query_id, stem)),
 bad AS (SELECT DISTINCT neg.query_id, p.section_id FROM postings p JOIN neg USING (stem))
 SELECT CAST(m.query_id AS BIGINT) AS query_id, m.section_id FROM matches m
@@ -803,7 +842,7 @@ def match_not(spark, sf_dir):
     pos = query_table(spark, {q: t for q, (t, _) in NOT_QUERIES.items()})
     neg = spark.createDataFrame([(q, s) for q, (_, ns) in NOT_QUERIES.items() for s in ns],
                                 "query_id int, stem string")
-    r = C.match_not(index(spark, sf_dir), pos, neg)
+    r = C.match_not(_tsv_index(spark, sf_dir), C.lexeme_queries(pos), C.lexeme_queries(neg))
     return r.select(F.col("query_id").cast("long"), "section_id")
 
 
@@ -822,14 +861,14 @@ def _phrase_sql():
             frm.append(f"JOIN (SELECT section_id, unnest(offsets) AS pos FROM postings WHERE stem = '{stem}') o{i} "
                        f"ON o{i}.section_id = o0.section_id AND o{i}.pos = o{i-1}.pos + {dist}")
         parts.append(f"SELECT DISTINCT CAST({q} AS BIGINT) AS query_id, {sel[0]} AS section_id FROM " + " ".join(frm))
-    return "WITH " + O.corpus_ctes() + "\n" + "\nUNION ALL\n".join(parts)
+    return "WITH " + O.corpus_ctes(**TSV) + "\n" + "\nUNION ALL\n".join(parts)
 
 
 @register("match_phrase", _phrase_sql())
 def match_phrase(spark, sf_dir):
     rows = [(q, i, s, d) for q, steps in PHRASES.items() for i, (s, d) in enumerate(steps)]
     ph = spark.createDataFrame(rows, "query_id int, step int, stem string, dist int")
-    r = C.match_phrase(index(spark, sf_dir), ph)
+    r = C.match_phrase(_tsv_index(spark, sf_dir), C.lexeme_queries(ph))
     return r.select(F.col("query_id").cast("long"), "section_id")
 
 
@@ -855,7 +894,7 @@ def _expression_sql():
 
     def clause(lits):
         return "(" + " OR ".join(f"section_id {'NOT ' if neg else ''}IN ({hits(st)})" for neg, st in lits) + ")"
-    return "WITH " + O.corpus_ctes() + "\n" + "\nUNION ALL\n".join(
+    return "WITH " + O.corpus_ctes(**TSV) + "\n" + "\nUNION ALL\n".join(
         f"SELECT CAST({q} AS BIGINT) AS query_id, section_id FROM sections WHERE " + " AND ".join(map(clause, cl))
         for q, cl in EXPRESSIONS.items())
 
@@ -870,13 +909,13 @@ def expression_rows(expressions) -> list[tuple]:
 def match_expression(spark, sf_dir):
     """Q10: AND, OR, NOT and followed-by in one expression, a pure NOT included."""
     ex = spark.createDataFrame(expression_rows(EXPRESSIONS), C.EXPRESSION_SCHEMA)
-    r = C.match_expression(index(spark, sf_dir), ex)
+    r = C.match_expression(_tsv_index(spark, sf_dir), C.lexeme_queries(ex))
     return r.select(F.col("query_id").cast("long"), "section_id")
 
 
 def _c_rank_sql(score: str, extra_ctes: str = "", where: str = "") -> str:
     src = f"(SELECT * FROM cscore {where})"
-    return ("WITH " + O.corpus_ctes() + "," + O.match_ctes(STANDARD_QUERIES) + "," + O.hit_rows_cte() + ","
+    return ("WITH " + O.corpus_ctes(**TSV) + "," + O.match_ctes(STANDARD_QUERIES, lemma="porter") + "," + O.hit_rows_cte() + ","
             + O.proximity_ctes() + extra_ctes + "\n" + O.top_k_sql(src, score, K))
 
 
@@ -890,12 +929,12 @@ cscore AS (SELECT p.*, fr.f / nq.nq AS freq FROM prox p JOIN fr USING (query_id,
 
 @register("rank_freq", _c_rank_sql("freq", _FREQ_CTES))
 def rank_freq(spark, sf_dir):
-    return _ranked_out(C.rank_freq(index(spark, sf_dir), queries_of(spark), K, norm=0))
+    return _ranked_out(C.rank_freq(_tsv_index(spark, sf_dir), tsv_queries(spark), K, norm=0))
 
 
 @register("rank_freq_norm", _c_rank_sql("freq / (1 + ln(num_words))", _FREQ_CTES))
 def rank_freq_norm(spark, sf_dir):
-    return _ranked_out(C.rank_freq(index(spark, sf_dir), queries_of(spark), K, norm=1))
+    return _ranked_out(C.rank_freq(_tsv_index(spark, sf_dir), tsv_queries(spark), K, norm=1))
 
 
 _COVER_CTES = f""",
@@ -913,7 +952,7 @@ cscore AS (SELECT p.*, cd.cd FROM prox p JOIN cd USING (query_id, section_id))""
 
 @register("rank_cover_density", _c_rank_sql("cd", _COVER_CTES))
 def rank_cover_density(spark, sf_dir):
-    return _ranked_out(C.rank_cover_density(index(spark, sf_dir), queries_of(spark), K))
+    return _ranked_out(C.rank_cover_density(_tsv_index(spark, sf_dir), tsv_queries(spark), K))
 
 
 _SLOPPY_CTES = """,
@@ -926,25 +965,14 @@ cscore AS (
 
 @register("rank_sloppy_phrase", _c_rank_sql("sloppy", _SLOPPY_CTES))
 def rank_sloppy_phrase(spark, sf_dir):
-    return _ranked_out(C.rank_sloppy_phrase(index(spark, sf_dir), queries_of(spark), K))
-
-
-def _tsv_index(spark, sf_dir):
-    """The text-search model's index: DF counts sections, the length of a
-    section (and the average) is the blank-split word count."""
-    key = {"corpus": "documents", "sf": os.path.abspath(sf_dir), "sep": "\\n",
-           "stop": "nltk", "lemma": "s_stemmer", "length": "blank", "state": _state(spark, sf_dir, "documents")}
-    return store.materialized(spark, key, lambda: D.build_index(corpus(spark, sf_dir), length="blank"))
+    return _ranked_out(C.rank_sloppy_phrase(_tsv_index(spark, sf_dir), tsv_queries(spark), K))
 
 
 def _tsv_rank(method: str):
     """A ranking over the text-search model's own lengths and statistics."""
-    sql = O.rank_sql(STANDARD_QUERIES, method, K, length="blank").replace(
-        "CAST(sum(n_terms) AS DOUBLE) AS df", "CAST(count(*) AS DOUBLE) AS df")
-
-    @register(f"tsv_rank_{method}", sql)
+    @register(f"tsv_rank_{method}", O.rank_sql(STANDARD_QUERIES, method, K, **TSV))
     def fn(spark, sf_dir):
-        return _ranked_out(R.rank(_tsv_index(spark, sf_dir), queries_of(spark), method, K, df_mode="sections"))
+        return _ranked_out(R.rank(_tsv_index(spark, sf_dir), tsv_queries(spark), method, K, df_mode="sections"))
     return fn
 
 
@@ -1176,7 +1204,10 @@ gm AS (SELECT query_id, section_id, top_op, bool_and(ok) AS all_ok, bool_or(ok)
                          ELSE list_has_any(sv.stems, gl.st) END AS ok FROM gl, sv)
        GROUP BY query_id, section_id, top_op),
 nb AS (SELECT ids.query_id, count(*) FILTER (WHERE CASE WHEN top_op = 'AND' THEN all_ok ELSE any_ok END) AS n
-       FROM ids LEFT JOIN gm USING (query_id) GROUP BY ids.query_id)"""
+       FROM ids LEFT JOIN gm USING (query_id) GROUP BY ids.query_id),
+nc AS (WITH """ + O.corpus_ctes(**TSV) + "," + O.match_ctes(queries, lemma="porter") + """
+       SELECT ids.query_id, count(m.section_id) AS n FROM (SELECT DISTINCT query_id FROM q0) ids
+       LEFT JOIN matches m USING (query_id) GROUP BY ids.query_id)"""
 
 
 def _layout_counts(spark, sf_dir, q) -> dict[str, DataFrame]:
@@ -1186,12 +1217,12 @@ def _layout_counts(spark, sf_dir, q) -> dict[str, DataFrame]:
     return {"postings": Q.num_results(index(spark, sf_dir), q),
             "vectors": q.select("query_id").distinct().join(hits, "query_id", "left").select(
                 "query_id", F.coalesce("c", F.lit(0)).cast("long").alias("num_results")),
-            "tsvectors": Q.num_results(_tsv_index(spark, sf_dir), q)}
+            "tsvectors": Q.num_results(_tsv_index(spark, sf_dir), C.lexeme_queries(q))}
 
 
 @register("result_count_check", _layout_counts_sql(STANDARD_QUERIES) + """
-SELECT CAST(na.query_id AS BIGINT) AS key, na.n AS a, nb.n AS b, nb.n AS c, na.n = nb.n AS all_equal
-FROM na JOIN nb USING (query_id)""")
+SELECT CAST(na.query_id AS BIGINT) AS key, na.n AS a, nb.n AS b, nc.n AS c, na.n = nb.n AND nb.n = nc.n AS all_equal
+FROM na JOIN nb USING (query_id) JOIN nc USING (query_id)""")
 def result_count_check(spark, sf_dir):
     """Number of results per query in the postings, vector and text-search layouts."""
     counts = _layout_counts(spark, sf_dir, queries_of(spark))
@@ -1240,7 +1271,8 @@ FACTOR_QUERIES = [1, 3, 8, 9, 10, 2, 11, 12, 13]
 
 @register("query_factor_counts", _layout_counts_sql(sql_queries(FACTOR_QUERIES)) + """
 SELECT CAST(query_id AS BIGINT) AS query_id, 'postings' AS method, CAST(n AS BIGINT) AS num_results FROM na
-UNION ALL SELECT CAST(query_id AS BIGINT), method, CAST(n AS BIGINT) FROM nb, (VALUES ('vectors'), ('tsvectors')) t(method)""")
+UNION ALL SELECT CAST(query_id AS BIGINT), 'vectors', CAST(n AS BIGINT) FROM nb
+UNION ALL SELECT CAST(query_id AS BIGINT), 'tsvectors', CAST(n AS BIGINT) FROM nc""")
 def query_factor_counts(spark, sf_dir):
     """Match counts of the growing AND / OR chains per layout."""
     rows = None
@@ -1377,17 +1409,14 @@ def conversation_rank_bm25(spark, sf_dir):
     return _ranked_out(R.rank(conversation_index(spark, sf_dir), queries_of(spark), "bm25", K))
 
 
-@register("tsvector_porter")
+@register("tsvector_porter", "WITH " + O.corpus_ctes(**TSV) + """
+SELECT lex.term, lex.lexeme, CAST(count(*) AS BIGINT) AS num_sections
+FROM (SELECT DISTINCT section_id, term FROM tokens) t JOIN lex USING (term) GROUP BY ALL""")
 def tsvector_porter(spark, sf_dir):
-    """Text-search vectors with Porter (1980) lexemes; the stemmer runs
-    once per distinct term (pandas UDF) and is joined back.  No SQL oracle:
-    DuckDB has no Porter stemmer without an extension."""
-    from parindex.functions.porter import porter_column_for
-    toks = porter_column_for(in_memory_index(spark, sf_dir).tokens)
-    g = toks.groupBy("section_id", "lexeme").agg(F.array_sort(F.collect_list("offset")).alias("positions"))
-    t = g.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("lexeme", "positions"))).alias("tsv"))
-    return t.select("section_id", F.array_join(F.transform(
-        "tsv", lambda e: F.concat(e["lexeme"], F.lit(":"), arr_str(e["positions"]))), " ").alias("tsv"))
+    """The Porter lexeme of every term and the number of sections that hold the term."""
+    from parindex.functions.porter import lexemes
+    return lexemes(term_counts(spark, sf_dir).select("term", "n")).select(
+        "term", "lexeme", F.col("n").cast("long").alias("num_sections"))
 
 
 # ---------------------------------------------------------------------------

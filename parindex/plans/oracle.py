@@ -10,6 +10,7 @@ same constants.
 from __future__ import annotations
 
 from parindex.functions import text as tx
+from parindex.functions.porter import lexeme_ctes
 from parindex.operators.index import BM25_B, BM25_EXT_B, BM25_EXT_K1, BM25_K1
 from parindex.plans.querytable import parse_query
 
@@ -47,8 +48,15 @@ sections0 AS (
 
 
 def corpus_ctes(table: str = "documents", id_col: str = "doc_id", text_col: str = "text",
-                sep: str = "\n", lower: bool = True, sections_sql: str | None = None, length: str = "words") -> str:
+                sep: str = "\n", lower: bool = True, sections_sql: str | None = None, length: str = "words",
+                lemma: str = "s_stemmer", df: str = "sum(n_terms)") -> str:
     """pieces, sections0, words, sections, tokens0, tokens, postings, stats, idf."""
+    lexed = ("" if lemma == "s_stemmer" else
+             lexeme_ctes(f"SELECT DISTINCT term FROM tokens0 WHERE term NOT IN {STOPS}", "lex") + ",")
+    if lemma == "porter":
+        stem, lex_join = "lexeme", "JOIN lex USING (term)"
+    else:
+        stem, lex_join = s_stem("term"), ""
     n_words = {"words": "len(words)", "blank": "n_blank"}[length]
     sep_sql = "chr(10)" if sep == "\n" else lit(sep)
     head = sections_sql if sections_sql is not None else f"""
@@ -67,9 +75,10 @@ sections AS (
 tokens0 AS (
   SELECT section_id, CAST({n_words} AS INTEGER) AS num_words,
          unnest(words) AS term, unnest(range(1, len(words) + 1)) AS "offset" FROM words),
+{lexed}
 tokens AS (
-  SELECT section_id, "offset", term, {s_stem('term')} AS stem, num_words
-  FROM tokens0 WHERE term NOT IN {STOPS}),
+  SELECT section_id, "offset", term, {stem} AS stem, num_words
+  FROM tokens0 {lex_join} WHERE term NOT IN {STOPS}),
 postings AS (
   SELECT section_id, stem, count(*) AS tf, count(DISTINCT term) AS n_terms,
          list_sort(list("offset")) AS offsets, max(num_words) AS num_words
@@ -79,10 +88,15 @@ stats AS (
 idf AS (
   SELECT stem, df, log10(num_secs / df) AS idf,
          log10(1 + (num_secs - df + 0.5) / (df + 0.5)) AS bm25idf
-  FROM (SELECT stem, CAST(sum(n_terms) AS DOUBLE) AS df FROM postings GROUP BY stem), stats)"""
+  FROM (SELECT stem, CAST({df} AS DOUBLE) AS df FROM postings GROUP BY stem), stats)"""
 
 
-def query_values(queries: dict[int, str]) -> str:
+def query_values(queries: dict[int, str], lemma: str = "s_stemmer") -> str:
+    """q; with ``lemma="porter"`` its words are lexemes."""
+    if lemma == "porter":
+        return (query_values(queries).replace("q AS (", "q0 AS (", 1) + ",\n"
+                + lexeme_ctes("SELECT DISTINCT stem AS term FROM q0", "qlex") + """,
+q AS (SELECT DISTINCT query_id, top_op, group_id, group_op, lexeme AS stem FROM q0 JOIN qlex ON qlex.term = q0.stem)""")
     rows = []
     for qid, text in queries.items():
         for top, gid, gop, stem in parse_query(text):
@@ -100,11 +114,12 @@ def queries_from_texts_sql(table: str, id_col: str, text_col: str) -> str:
   WHERE term NOT IN {STOPS})"""
 
 
-def match_ctes(queries: dict[int, str] | None, unknown: str = "drop", q_sql: str | None = None) -> str:
+def match_ctes(queries: dict[int, str] | None, unknown: str = "drop", q_sql: str | None = None,
+               lemma: str = "s_stemmer") -> str:
     """q, qk, groups, matches(query_id, section_id), qs(query_id, stem)."""
     ok = "n_known > 0" if unknown == "drop" else "n_known > 0 AND n_known = n_total"
     return f"""
-{q_sql if q_sql is not None else query_values(queries)},
+{q_sql if q_sql is not None else query_values(queries, lemma)},
 known AS (SELECT DISTINCT stem FROM postings WHERE stem IN (SELECT stem FROM q)),
 qk AS (SELECT q.*, k.stem IS NOT NULL AS known FROM q LEFT JOIN known k USING (stem)),
 groups AS (
@@ -202,8 +217,9 @@ SELECT CAST(query_id AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, secti
 
 
 def rank_sql(queries: dict[int, str], method: str, k: int = 10, span_mode: str = "intended",
-             length: str = "words") -> str:
-    ctes = corpus_ctes(length=length) + "," + match_ctes(queries) + "," + hit_rows_cte()
+             length: str = "words", lemma: str = "s_stemmer", df: str = "sum(n_terms)") -> str:
+    ctes = (corpus_ctes(length=length, lemma=lemma, df=df) + "," + match_ctes(queries, lemma=lemma) + ","
+            + hit_rows_cte())
     source = "hit_scores"
     if method in ("tfidf_ext", "bm25_ext"):
         ctes += "," + proximity_ctes(span_mode)

@@ -91,10 +91,11 @@ def input_state(spark: SparkSession, path: str) -> str:
 
 @cache
 def _code_version() -> str:
+    from parindex.functions import porter
     from parindex.functions import text as text_functions
-    from parindex.operators import index, text, vector
+    from parindex.operators import dictionary, index, text, tsv, vector
     from parindex.sources import corpus
-    modules = (text_functions, index, text, vector, corpus)
+    modules = (text_functions, porter, dictionary, index, text, tsv, vector, corpus)
     return hashlib.sha1("".join(inspect.getsource(m) for m in modules).encode()).hexdigest()
 
 
