@@ -1113,6 +1113,69 @@ def stream_append(spark, sf_dir):
                     F.round("bm25idf", 6).alias("bm25idf"))
 
 
+from parindex.sources import versions as VS  # noqa: E402
+
+
+def _documents_where(ctes: str, where: str) -> str:
+    return ctes.replace("FROM documents)", f"FROM documents WHERE {where})", 1)
+
+
+def _version_sql(version: int, where: str) -> str:
+    return f"""SELECT CAST({version} AS BIGINT) AS version, * FROM (
+WITH {_documents_where(O.corpus_ctes(), where)}
+SELECT CAST((SELECT count(*) FROM sections) AS BIGINT) AS num_sections,
+       CAST((SELECT count(*) FROM postings) AS BIGINT) AS num_postings,
+       CAST((SELECT count(*) FROM idf) AS BIGINT) AS num_stems)"""
+
+
+@register("index_versions", " UNION ALL ".join([
+    _version_sql(1, "lang = 'en'"), _version_sql(2, "true"),
+    _version_sql(3, f"source IS DISTINCT FROM '{DELETE_SOURCE}'")]))
+def index_versions(spark, sf_dir):
+    """The English documents are written, the others appended, a source deleted; every
+    version stays readable, also the first one, whose reader was opened before the others were written."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
+    docs, meta = corpus(spark, sf_dir), table(spark, sf_dir, "documents")
+    english = meta.filter("lang = 'en'").select("doc_id")
+    VS.overwrite(D.build_index(docs.join(english, "doc_id", "left_semi")), path)
+    opened = {1: VS.read_version(spark, path)}
+    VS.append(spark, path, docs)
+    VS.delete(spark, path, meta.filter(F.col("source") == DELETE_SOURCE).select("doc_id"))
+    opened |= {n: VS.read_version(spark, path, n) for n in (2, 3)}
+    rows = None
+    for n, ix in opened.items():
+        count = lambda df, c: df.agg(F.count(F.lit(1)).cast("long").alias(c))
+        r = count(ix.sections, "num_sections").select(F.lit(n).cast("long").alias("version"), "num_sections") \
+            .withColumn("num_postings", count(ix.postings, "n").scalar()) \
+            .withColumn("num_stems", count(ix.df_table, "n").scalar())
+        rows = r if rows is None else rows.unionByName(r)
+    return rows
+
+
+@register("stored_delete", _documents_where(SQL["idf_view"], f"source IS DISTINCT FROM '{DELETE_SOURCE}'"))
+def stored_delete(spark, sf_dir):
+    """D13/D12 on a stored index: a source's documents are marked deleted; the IDF snapshot is
+    the stored statistics less those of the deleted rows, no posting is written again."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex}"
+    VS.overwrite(index(spark, sf_dir), path)
+    VS.delete(spark, path, table(spark, sf_dir, "documents").filter(F.col("source") == DELETE_SOURCE).select("doc_id"))
+    i = VS.read_version(spark, path).idf()
+    return i.select("stem", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"),
+                    F.round("bm25idf", 6).alias("bm25idf"))
+
+
+@register("stream_compact", SQL["idf_view"])
+def stream_compact(spark, sf_dir):
+    """2.10: six streamed files appended to a versioned index that is compacted as it grows; its IDF
+    snapshot equals that of one build."""
+    from parindex.streaming.append import stream_versions
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    table(spark, sf_dir, "documents").repartitionByRange(6, "doc_id").write.parquet(f"{base}/source")
+    i = stream_versions(spark, f"{base}/source", f"{base}/index", f"{base}/checkpoint", fanout=3).idf()
+    return i.select("stem", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"),
+                    F.round("bm25idf", 6).alias("bm25idf"))
+
+
 # ---------------------------------------------------------------------------
 # evaluation: MAP matrix, agreement, count checks, profile, query factors
 # ---------------------------------------------------------------------------

@@ -8,6 +8,7 @@ checkpoint folder) always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,15 +47,17 @@ def get_spark(master: str | None = None, app: str = "parindex",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session (set by the cluster).  Only
-    when it is unset — local tests — a fresh scratch folder is created and
-    registered, so that ``DataFrame.checkpoint()`` works.
+    Reads ``spark.checkpoint.dir`` from the session (set by the cluster).  Where it is unset, a local
+    session (tests) gets a fresh scratch folder; on a cluster that folder would be seen by
+    one machine only, so that is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(conf)
         return conf
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
     global _LOCAL_DIR
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="parindex-ckpt-",
