@@ -18,8 +18,12 @@ from parindex.llm import decontaminate, language_id, packing, secrets, simhash
 from parindex.llm.common import fresh, table, text_or_empty
 from parindex.session import checkpoint_dir
 
-#: a text whose pooled probability of its best language is below this is rejected
-LEAST_LANGUAGE_SCORE = 0.4
+
+
+def least_language_score(languages: int) -> float:
+    """A text whose pooled probability of its best language is below this is rejected:
+    1.6 times what an even guess gives, and never more than 0.4."""
+    return min(0.4, 1.6 / max(languages, 1))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +34,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not model["langs"]:  # nothing to learn from: only texts without a letter go
         return docs.filter(text_or_empty().rlike(r"\p{L}"))
     return found.filter((F.col(f"{out}.lang_pred") != "und")
-                        & (F.col(f"{out}.score") >= LEAST_LANGUAGE_SCORE)).drop(out)
+                        & (F.col(f"{out}.score") >= least_language_score(len(model["langs"])))).drop(out)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,3 +20,9 @@ def test_every_language_is_trained_equally_often(monkeypatch, n):
     model = language_id.train(["some text"] * n, [f"l{k:03}" for k in range(n)])
     assert len(model["langs"]) == n and sorted(seen) == list(range(n)) and len(set(seen.values())) == 1
     assert min(seen.values()) * n >= language_id.STEPS * language_id.BATCH
+
+
+def test_least_score_follows_the_number_of_languages():
+    from corpus_pipeline import least_language_score
+    assert least_language_score(1) == least_language_score(2) == least_language_score(4) == 0.4
+    assert abs(least_language_score(200) - 0.008) < 1e-12
