@@ -2,26 +2,32 @@
 
 A document leaks a benchmark item when some region of it is within the item's
 edit budget (``ERROR`` of its length).  If so, region and item share at least
-``m - q + 1 - k q`` q-grams whose diagonals differ by at most 2k.  Every
-8-character gram of a text is looked up in the items' grams, hits are counted
-in overlapping bands of diagonals, bands that meet the bound stay, and a banded
-alignment decides them.
+``m - q + 1 - k q`` q-grams whose diagonals differ by at most 2k.  Every q-gram
+of a text is looked up in the items' grams, hits are counted in overlapping
+bands of diagonals, bands that meet the bound stay, and a banded alignment
+decides them.  q is 8, or for units under 40 bytes the largest value (5 to 8)
+that leaves a shared gram at the full budget; units of one q share a table.
 
 Texts are compared by their letters and digits only, in lower case, so blanks,
-line breaks and ASCII punctuation never matter.  Items are cut into overlapping
+line breaks and punctuation of any script never matter.  Items are cut into overlapping
 units of at most ``UNIT`` bytes, so a long part of a long item is found too.
 
 The items reach the tasks in closures of at most ``GROUP_BYTES``; a larger
 benchmark is matched group by group, each group against all documents.
 
-Defined cases: null texts and items count as empty; an item with fewer than q
-letters and digits is never reported; repeated items report the same regions
-once per item id; repeated documents are matched one by one; rows with a null
-document or item id are matched and keep the null.
+Defined cases: null texts and items count as empty and an empty item or table
+reports nothing; an item of fewer than 8 bytes of letters and digits is reported
+where a whole line of a document is that item (inside a line so short a word
+proves nothing); repeated items report the same regions once per item id;
+repeated documents are matched one by one; rows with a null document or item id
+are matched and keep the null; very long texts are looked at in overlapping
+pieces; of equally good regions one is reported, as only the edits are; other
+columns of the documents are never read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,18 +46,25 @@ HITS = 1 << 20         # gram hits counted at once; the rest of a piece follows
 GROUP_BYTES = 4 << 20  # items matched in one pass; their table takes about 20 times as much
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _DROP = bytes(b for b in range(128) if not chr(b).isalnum())
+_MARKS = re.compile(r"[^\w\x00-\x7f]+")
 _MAX_K = int(ERROR * UNIT)
-_GAP = bytes(BAND)     # longer than any edit budget, so no match crosses it
+_GAP = bytes(2 * BAND + 2 * _MAX_K)  # as wide as an aligned band: each region lies in one document
 _OVERLAP = 2 * UNIT + 2 * BAND
 
 
 def normal(text: str | None) -> bytes:
-    return (text or "").lower().encode().translate(None, _DROP)
+    low = (text or "").lower()
+    return (low if low.isascii() else _MARKS.sub("", low)).encode().translate(None, _DROP)
 
 
 def budget(m: int) -> int:
-    """Edits allowed in a unit of m bytes; small enough to leave a shared gram."""
-    return min(int(ERROR * m), max(0, (m - Q) // Q))
+    """Edits allowed in a unit of m bytes."""
+    return int(ERROR * m)
+
+
+def gram_length(m: int) -> int:
+    """Longest gram of which a unit of m bytes keeps one at its full budget."""
+    return min(Q, m // (budget(m) + 1))
 
 
 def units(items: list[tuple[int | None, str | None]]) -> list[tuple[int | None, bytes]]:
@@ -68,16 +81,16 @@ def units(items: list[tuple[int | None, str | None]]) -> list[tuple[int | None,
 
 
 class _Table:
-    """Grams of all units of a group, by slot of a multiplicative hash."""
+    """Grams of the units of a group with one gram length, by slot of a multiplicative hash."""
 
-    def __init__(self, rows: list[tuple[int | None, bytes]]):
-        self.rows = rows
+    def __init__(self, rows: list[tuple[int | None, bytes]], q: int):
+        self.rows, self.q = rows, q
         self.size = np.array([len(b) for _, b in rows], np.int64)
         self.k = np.array([budget(m) for m in self.size], np.int64)
-        self.least = self.size - Q + 1 - self.k * Q
-        code = np.concatenate([_grams(b) for _, b in rows])
-        unit = np.repeat(np.arange(len(rows), dtype=np.int32), self.size - Q + 1)
-        pos = np.concatenate([np.arange(m - Q + 1, dtype=np.int16) for m in self.size])
+        self.least = self.size - q + 1 - self.k * q
+        code = np.concatenate([_grams(np.frombuffer(b, np.uint8), q) for _, b in rows])
+        unit = np.repeat(np.arange(len(rows), dtype=np.int32), self.size - q + 1)
+        pos = np.concatenate([np.arange(m - q + 1, dtype=np.int16) for m in self.size])
         self.bits = max(16, int(2 * len(code)).bit_length())
         slot = self.slot(code)
         order = np.argsort(slot, kind="stable")
@@ -92,7 +105,7 @@ class _Table:
         """(unit, first diagonal of the band + UNIT) of the bands that meet the bound.
 
         Hits are counted per (unit, cell of diagonals) in parts of about ``HITS``."""
-        code = _grams(text)
+        code = _grams(text, self.q)
         slot = self.slot(code)
         at = np.flatnonzero(self.count[slot])
         n = self.count[slot[at]].astype(np.int64)
@@ -152,16 +165,21 @@ class _Table:
         return edits, end
 
 
-def _grams(b: bytes | np.ndarray) -> np.ndarray:
-    data = np.frombuffer(b, np.uint8) if isinstance(b, bytes) else b
-    n = len(data) - Q + 1
-    return np.ndarray((max(n, 0),), "<u8", data, 0, (1,)).copy() if n > 0 else np.zeros(0, np.uint64)
+def _grams(data: np.ndarray, q: int) -> np.ndarray:
+    n = max(len(data) - q + 1, 0)
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])  # eight bytes are read from every start
+    return np.ndarray((n,), "<u8", wide, 0, (1,)) & np.uint64((1 << 8 * q) - 1)
 
 
 class Matcher:
     def __init__(self, items: list[tuple[int | None, str | None]]):
         rows = units(items)
-        self.table = _Table(rows) if rows else None
+        of_length = {q: [r for r in rows if gram_length(len(r[1])) == q] for q in range(1, Q + 1)}
+        self.tables = [_Table(r, q) for q, r in of_length.items() if r]
+        self.lines: dict[bytes, list[int | None]] = {}
+        for item_id, text in items:
+            if 0 < len(b := normal(text)) < Q:
+                self.lines.setdefault(b, []).append(item_id)
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int | None, int]]:
         """(index of the text, item id, edits) once per leaking text and item."""
@@ -169,6 +187,9 @@ class Matcher:
         held, owner, size = [], [], 0
         for k, text in enumerate(texts):
             b = normal(text)
+            if self.lines:
+                for line in (text or "").split("\n"):
+                    best.update(((k, item), 0) for item in self.lines.get(normal(line), ()))
             for at in range(0, max(len(b) - _OVERLAP, 1), PIECE):
                 part = b[at:at + PIECE + _OVERLAP]
                 if len(part) >= Q:
@@ -182,19 +203,19 @@ class Matcher:
         return [(k, item, e) for (k, item), e in best.items()]
 
     def _look(self, parts: list[bytes], owner: list[int], best: dict) -> None:
-        if not parts or self.table is None:
+        if not parts:
             return
         text = np.frombuffer(_GAP.join(parts), np.uint8)
         stop = np.cumsum([len(p) + len(_GAP) for p in parts])
-        table = self.table
-        unit, diagonal = table.bands(text)
-        for a in range(0, len(unit), 2048):
-            u = unit[a:a + 2048]
-            edits, end = table.align(text, u, diagonal[a:a + 2048])
-            for i in np.flatnonzero(edits <= table.k[u]):
-                k = owner[min(int(np.searchsorted(stop, end[i], side="right")), len(owner) - 1)]
-                key = (k, table.rows[u[i]][0])
-                best[key] = min(best.get(key, 1 << 20), int(edits[i]))
+        for table in self.tables:
+            unit, diagonal = table.bands(text)
+            for a in range(0, len(unit), 2048):
+                u = unit[a:a + 2048]
+                edits, end = table.align(text, u, diagonal[a:a + 2048])
+                for i in np.flatnonzero(edits <= table.k[u]):
+                    k = owner[min(int(np.searchsorted(stop, end[i], side="right")), len(owner) - 1)]
+                    key = (k, table.rows[u[i]][0])
+                    best[key] = min(best.get(key, 1 << 20), int(edits[i]))
 
 
 def item_groups(benchmark: DataFrame) -> list[list[tuple[int | None, str | None]]]:

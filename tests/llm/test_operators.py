@@ -316,6 +316,45 @@ def test_edited_items_are_found():
         assert {(i, item) for i, item, _ in found} == {(1, k)}
 
 
+def _least_edits(item: bytes, text: bytes) -> int:
+    """Edit distance of an item to the nearest region of a text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        last, row = row, [i]
+        for j, y in enumerate(text, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_leaks_equal_brute_force(seed):
+    """Items of every length up to 60, edited, at the ends of neighbouring documents and inside them."""
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    items = [(m, word(m)) for m in range(1, 61)]
+
+    def edited(b, k):
+        for _ in range(k):
+            at = rng.randrange(len(b))
+            b = rng.choice([b[:at] + "z" + b[at + 1:], b[:at] + "z" + b[at:], b[:at] + b[at + 1:]])
+        return b
+
+    texts = []
+    for m, b in items:
+        for k in {0, decontaminate.budget(m), decontaminate.budget(m) + 1}:
+            texts += [word(rng.randrange(40)) + " " + edited(b, k), edited(b, k) + "\u201d, " + word(rng.randrange(40)),
+                      f"{word(5)}\n {b}!\n{word(9)}"]
+    got = set(decontaminate.Matcher(items).find(texts))
+    want = set()
+    for k, text in enumerate(texts):
+        lines = {decontaminate.normal(line) for line in text.split("\n")}
+        for m, b in items:
+            edits = _least_edits(b.encode(), decontaminate.normal(text)) if m >= decontaminate.Q else 0
+            if edits <= decontaminate.budget(m) if m >= decontaminate.Q else b.encode() in lines:
+                want.add((k, m, edits))
+    assert got == want
+
+
 def test_ablations_equal_counting(spark, docs):
     rows = quality_rules.ledger(docs)
     assert set(docs.columns) <= set(rows.columns)
