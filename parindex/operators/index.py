@@ -47,9 +47,11 @@ class TextIndex:
     postings: DataFrame
     df_table: DataFrame | None = None
     stats_table: DataFrame | None = None
-    # per-section word arrays the sections and tokens were derived from (kept
-    # so that a bulk write can persist them once for both outputs)
+    # per-section word arrays the sections and tokens were derived from, and
+    # how their words become stems (None: by more than a rule); a bulk write
+    # counts and writes the postings from them row by row
     words: DataFrame | None = None
+    analysis: dict | None = None
 
     @property
     def stats(self) -> DataFrame:
@@ -157,7 +159,8 @@ def build_index(corpus: DataFrame, sep: str = "\n", stop="nltk",
         post = stem_postings(toks)
     else:
         raise ValueError(f"unknown postings build {postings!r}")
-    return TextIndex(sections=sections, tokens=toks, postings=post, words=words)
+    return TextIndex(sections=sections, tokens=toks, postings=post, words=words,
+                     analysis=None if lemma_table is not None else {"stop": stop, "lemma_rule": lemma_rule})
 
 
 def build_index_from_sections(pieces: DataFrame, stop="nltk", lemma_rule: str = "s_stemmer",
@@ -166,7 +169,8 @@ def build_index_from_sections(pieces: DataFrame, stop="nltk", lemma_rule: str =
     ``(section_id, doc_id, para_idx, section)`` — e.g. conversation turns."""
     sections, toks, words = build_sections_and_tokens(None, stop=stop, lemma_rule=lemma_rule,
                                                       lemma_table=lemma_table, lower=lower, pieces=pieces)
-    return TextIndex(sections=sections, tokens=toks, postings=stem_postings(toks), words=words)
+    return TextIndex(sections=sections, tokens=toks, postings=stem_postings(toks), words=words,
+                     analysis=None if lemma_table is not None else {"stop": stop, "lemma_rule": lemma_rule})
 
 
 def weight(num_words: Column) -> Column:
@@ -217,6 +221,23 @@ def df_table(postings: DataFrame) -> DataFrame:
                                         F.count(F.lit(1)).cast("long").alias("df_sections"))
 
 
+def stem_rows(words: DataFrame, stop="nltk", lemma_rule: str = "s_stemmer") -> DataFrame:
+    """``(section_id, stem, n_terms, n)`` whose sums per stem are the two document
+    frequencies: one row per (section, term) and one per (section, stem), made in
+    each section's row without building its postings."""
+    from parindex.functions.text import stop_words
+    stops = stop_words(stop)
+    terms = F.array_distinct("words")
+    if stops:
+        terms = F.filter(terms, lambda w: ~w.isin(stops))
+    stems = F.transform(terms, lambda w: T.lemma_column(w, lemma_rule))
+    of_terms = F.transform(stems, lambda x: F.struct(x.alias("stem"), F.lit(1).alias("n_terms"), F.lit(0).alias("n")))
+    of_stems = F.transform(F.array_distinct(stems), lambda x: F.struct(
+        x.alias("stem"), F.lit(0).alias("n_terms"), F.lit(1).alias("n")))
+    return words.select("section_id", F.explode(F.concat(of_terms, of_stems)).alias("r")) \
+        .select("section_id", "r.stem", "r.n_terms", "r.n")
+
+
 def idf_from_df_table(dft: DataFrame, num_secs: Column, df_mode: str = "rows") -> DataFrame:
     col = {"rows": "df_rows", "sections": "df_sections"}[df_mode]
     return dft.select("stem", F.col(col).alias("df"), *idf_columns(F.col(col), num_secs))

@@ -8,7 +8,10 @@ database.  ``write_index`` stores
   (``pmod(xxhash64(stem), n)``) and sorted by stem inside each file, so a query
   reads only the folders of its stems (partition pruning, also dynamic when the
   stems come from a broadcast query table) and, inside them, only row groups
-  whose min/max stem range can hold them.
+  whose min/max stem range can hold them; its files hold equally many rows
+  (``operators.layout``, equi-depth ranges);
+* ``stem_blocks/``  rows per stem and block of sections, from which ``terms/``
+  and the ranges of the postings are made.
 
 Writes go to the shared folder named by ``spark.checkpoint.dir`` (or a given
 path); a finished table carries Spark's ``_SUCCESS`` marker, so a lost executor
@@ -26,7 +29,9 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parindex.operators.index import TextIndex, df_table, rank_vars
+from parindex.operators.index import TextIndex, inline_postings, rank_vars, stem_rows
+from parindex.operators.layout import (block_of, equi_depth_layout, key_blocks, part_count, section_cuts, split_points,
+                                       write_layout)
 from parindex.session import checkpoint_dir
 
 DEFAULT_BUCKETS = 16
@@ -99,53 +104,59 @@ def _code_version() -> str:
     return hashlib.sha1("".join(inspect.getsource(m) for m in modules).encode()).hexdigest()
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int, num_partitions: int | None = None) -> None:
-    """Range-partition on (bucket, stem, section_id): files are few and sorted, and a
-    stem holding a third of all postings is split across tasks by section id
-    instead of landing in one task."""
-    checkpoint_dir(postings.sparkSession)
-    p = with_bucket(postings, buckets).checkpoint(eager=True)
-    keys = ("bucket", "stem", "section_id")
-    ranged = p.repartitionByRange(num_partitions, *keys) if num_partitions else p.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_postings(index: TextIndex, sections: DataFrame, path: str, buckets: int,
+                   num_partitions: int | None = None, folder: str = "") -> None:
+    """``postings/`` and ``terms/`` under ``path``, the postings in equi-depth ranges of
+    (bucket, stem, section_id): a stem holding a third of all postings is cut by
+    section range instead of landing in one task.
+
+    The rows per stem and block of sections are counted first and stored; they give
+    the term statistics and the split points, so every posting crosses one exchange,
+    straight to its part, and is written once.  ``sections`` is the stored table;
+    ``folder`` is added to each table's path."""
+    spark = sections.sparkSession
+    narrow = index.words is not None and index.analysis is not None
+    if narrow:
+        counted = stem_rows(index.words, **index.analysis)
+        postings = inline_postings(index.words, **index.analysis)
+    else:
+        counted = index.postings.select("section_id", "stem", "n_terms", F.lit(1).alias("n"))
+        postings = index.postings
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = section_cuts(sections, parts)
+    block = block_of(F.col("section_id"), cuts)
+    counts = f"{path}/stem_blocks{folder}"
+    (counted.withColumn("block", block).groupBy("stem", "block")
+     .agg(F.sum("n_terms").cast("long").alias("n_terms"), F.sum("n").cast("long").alias("n"))
+     .write.mode("overwrite").parquet(counts))
+    stored = spark.read.parquet(counts)
+    (stored.groupBy("stem").agg(F.sum("n_terms").alias("df_rows"), F.sum("n").alias("df_sections"))
+     .repartitionByRange("stem").sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{path}/terms{folder}"))
+    total = stored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    points = split_points(key_blocks(with_bucket(stored, buckets)), cuts, total, parts)
+    write_layout(equi_depth_layout(with_bucket(postings, buckets), points), f"{path}/postings{folder}", part_count(points))
 
 
 def write_index(index: TextIndex, path: str, mode: str = "overwrite",
-                num_partitions: int | None = None, persist_words: bool = True) -> None:
+                num_partitions: int | None = None) -> None:
     """Bulk write of the index tables.
 
-    The per-section word arrays are persisted (memory and disk; recomputed
-    from the corpus if an executor is lost) so the sections and the postings
-    are tokenised once, and the postings are checkpointed to the shared
-    checkpoint folder before the range-partitioned write, so the sampling pass
-    of the range partitioner reads them instead of re-running the tokeniser.
-
-    ``num_partitions`` sets the number of range partitions (= files) of the
-    postings; by default the session's shuffle partitions.  Size it so a
-    partition is a few hundred MB (at 100 TB of text: tens of thousands).
-    ``persist_words=False`` skips persisting the word arrays (they are about
-    the size of the text) at the cost of tokenising twice."""
-    from pyspark import StorageLevel
+    Nothing is cached or checkpointed: the sections, the counts per stem and the
+    postings are each made from the corpus in a narrow pass, which costs two more
+    passes of the tokeniser and saves a stored copy of the words and of the postings.
+
+    ``num_partitions`` sets about how many ranges (= files) the postings get; by
+    default the session's shuffle partitions.  Size it so a
+    partition is a few hundred MB (at 100 TB of text: tens of thousands)."""
     spark = index.sections.sparkSession
     buckets = bucket_count(spark)
-    words = index.words if persist_words else None
-    if words is not None:
-        words.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if mode == "overwrite" or not _exists(spark, f"{path}/sections"):
-            index.sections.sortWithinPartitions("section_id").write.mode("overwrite") \
-                .parquet(f"{path}/sections")
-        if mode == "overwrite" or not _exists(spark, f"{path}/postings"):
-            write_meta(spark, path, buckets)
-            write_postings(index.postings, f"{path}/postings", buckets, num_partitions)
-    finally:
-        if words is not None:
-            words.unpersist()
-    # statistics snapshot (D8–D12), computed from the stored tables
-    if mode == "overwrite" or not _exists(spark, f"{path}/terms"):
-        postings = spark.read.parquet(f"{path}/postings")
-        (df_table(postings).repartitionByRange("stem").sortWithinPartitions("stem")
-         .write.mode("overwrite").parquet(f"{path}/terms"))
+    if mode == "overwrite" or not _exists(spark, f"{path}/sections"):
+        index.sections.sortWithinPartitions("section_id").write.mode("overwrite") \
+            .parquet(f"{path}/sections")
+    if mode == "overwrite" or not _exists(spark, f"{path}/postings"):
+        write_meta(spark, path, buckets)
+        write_postings(index, spark.read.parquet(f"{path}/sections"), path, buckets, num_partitions)
+    # corpus statistics (D8), computed from the stored table
     if mode == "overwrite" or not _exists(spark, f"{path}/stats"):
         rank_vars(spark.read.parquet(f"{path}/sections")).coalesce(1) \
             .write.mode("overwrite").parquet(f"{path}/stats")
