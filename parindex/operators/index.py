@@ -221,21 +221,16 @@ def df_table(postings: DataFrame) -> DataFrame:
                                         F.count(F.lit(1)).cast("long").alias("df_sections"))
 
 
-def stem_rows(words: DataFrame, stop="nltk", lemma_rule: str = "s_stemmer") -> DataFrame:
-    """``(section_id, stem, n_terms, n)`` whose sums per stem are the two document
-    frequencies: one row per (section, term) and one per (section, stem), made in
-    each section's row without building its postings."""
+def rows_per_stem(words: DataFrame, block: Column, stop="nltk", lemma_rule: str = "s_stemmer") -> DataFrame:
+    """``(stem, block, n)``: (section, term) rows per stem and block of sections,
+    without building postings; a word is analysed once per distinct term."""
     from parindex.functions.text import stop_words
     stops = stop_words(stop)
-    terms = F.array_distinct("words")
+    terms = words.select(block.alias("block"), F.explode(F.array_distinct("words")).alias("term")) \
+        .groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"))
     if stops:
-        terms = F.filter(terms, lambda w: ~w.isin(stops))
-    stems = F.transform(terms, lambda w: T.lemma_column(w, lemma_rule))
-    of_terms = F.transform(stems, lambda x: F.struct(x.alias("stem"), F.lit(1).alias("n_terms"), F.lit(0).alias("n")))
-    of_stems = F.transform(F.array_distinct(stems), lambda x: F.struct(
-        x.alias("stem"), F.lit(0).alias("n_terms"), F.lit(1).alias("n")))
-    return words.select("section_id", F.explode(F.concat(of_terms, of_stems)).alias("r")) \
-        .select("section_id", "r.stem", "r.n_terms", "r.n")
+        terms = terms.filter(~F.col("term").isin(stops))
+    return terms.groupBy(T.lemma_column(F.col("term"), lemma_rule).alias("stem"), "block").agg(F.sum("n").alias("n"))
 
 
 def idf_from_df_table(dft: DataFrame, num_secs: Column, df_mode: str = "rows") -> DataFrame:

@@ -43,8 +43,8 @@ def range_layout(postings: DataFrame, n: int, key: str = "stem_id") -> DataFrame
 
 
 def section_cuts(sections: DataFrame, parts: int) -> list[int]:
-    """Section ids that cut the sections into blocks of equally many.  A key has at
-    most one row a section, so its rows in a block are at most the block's
+    """Section ids that cut the sections into blocks of equally many.  A stem has at
+    most one posting a section, so its postings in a block are at most the block's
     sections: an eighth of the words that a part would hold."""
     n, words = sections.agg(F.count(F.lit(1)), F.coalesce(F.sum("num_words"), F.lit(0))).first()
     blocks = ceil(8 * n * parts / max(words, n, 1))

@@ -10,8 +10,8 @@ database.  ``write_index`` stores
   stems come from a broadcast query table) and, inside them, only row groups
   whose min/max stem range can hold them; its files hold equally many rows
   (``operators.layout``, equi-depth ranges);
-* ``stem_blocks/``  rows per stem and block of sections, from which ``terms/``
-  and the ranges of the postings are made.
+* ``stem_blocks/``  rows per stem and block of sections, from which the ranges
+  of the postings are made.
 
 Writes go to the shared folder named by ``spark.checkpoint.dir`` (or a given
 path); a finished table carries Spark's ``_SUCCESS`` marker, so a lost executor
@@ -29,7 +29,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parindex.operators.index import TextIndex, inline_postings, rank_vars, stem_rows
+from parindex.operators.index import TextIndex, df_table, inline_postings, rank_vars, rows_per_stem
 from parindex.operators.layout import (block_of, equi_depth_layout, key_blocks, part_count, section_cuts, split_points,
                                        write_layout)
 from parindex.session import checkpoint_dir
@@ -111,30 +111,27 @@ def write_postings(index: TextIndex, sections: DataFrame, path: str, buckets: in
     section range instead of landing in one task.
 
     The rows per stem and block of sections are counted first and stored; they give
-    the term statistics and the split points, so every posting crosses one exchange,
+    the split points, so every posting crosses one exchange,
     straight to its part, and is written once.  ``sections`` is the stored table;
     ``folder`` is added to each table's path."""
     spark = sections.sparkSession
-    narrow = index.words is not None and index.analysis is not None
-    if narrow:
-        counted = stem_rows(index.words, **index.analysis)
-        postings = inline_postings(index.words, **index.analysis)
-    else:
-        counted = index.postings.select("section_id", "stem", "n_terms", F.lit(1).alias("n"))
-        postings = index.postings
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = section_cuts(sections, parts)
     block = block_of(F.col("section_id"), cuts)
-    counts = f"{path}/stem_blocks{folder}"
-    (counted.withColumn("block", block).groupBy("stem", "block")
-     .agg(F.sum("n_terms").cast("long").alias("n_terms"), F.sum("n").cast("long").alias("n"))
-     .write.mode("overwrite").parquet(counts))
-    stored = spark.read.parquet(counts)
-    (stored.groupBy("stem").agg(F.sum("n_terms").alias("df_rows"), F.sum("n").alias("df_sections"))
-     .repartitionByRange("stem").sortWithinPartitions("stem").write.mode("overwrite").parquet(f"{path}/terms{folder}"))
+    if index.words is not None and index.analysis is not None:
+        counted = rows_per_stem(index.words, block, **index.analysis)
+        postings = inline_postings(index.words, **index.analysis)
+    else:
+        postings = index.postings
+        counted = postings.groupBy("stem", block.alias("block")).agg(F.sum("n_terms").cast("long").alias("n"))
+    counts, at = f"{path}/stem_blocks{folder}", f"{path}/postings{folder}"
+    counted.write.mode("overwrite").parquet(counts)
+    stored = spark.read.schema(counted.schema).parquet(counts)
     total = stored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     points = split_points(key_blocks(with_bucket(stored, buckets)), cuts, total, parts)
-    write_layout(equi_depth_layout(with_bucket(postings, buckets), points), f"{path}/postings{folder}", part_count(points))
+    write_layout(equi_depth_layout(with_bucket(postings, buckets), points), at, part_count(points))
+    (df_table(spark.read.schema(postings.schema).parquet(at)).repartitionByRange("stem").sortWithinPartitions("stem")
+     .write.mode("overwrite").parquet(f"{path}/terms{folder}"))
 
 
 def write_index(index: TextIndex, path: str, mode: str = "overwrite",
@@ -153,7 +150,7 @@ def write_index(index: TextIndex, path: str, mode: str = "overwrite",
     if mode == "overwrite" or not _exists(spark, f"{path}/sections"):
         index.sections.sortWithinPartitions("section_id").write.mode("overwrite") \
             .parquet(f"{path}/sections")
-    if mode == "overwrite" or not _exists(spark, f"{path}/postings"):
+    if mode == "overwrite" or not all(_exists(spark, f"{path}/{t}") for t in ("postings", "terms")):
         write_meta(spark, path, buckets)
         write_postings(index, spark.read.parquet(f"{path}/sections"), path, buckets, num_partitions)
     # corpus statistics (D8), computed from the stored table
