@@ -125,9 +125,11 @@ def skew_report(sizes: DataFrame, layout: str) -> DataFrame:
                 F.round(F.col("max_rows") / F.col("avg_rows"), 6).alias("skew"))
 
 
-def write_layout(laid_out: DataFrame, path: str, parts: int, folder: str = "bucket", key: str = "stem") -> None:
+def write_layout(laid_out: DataFrame, path: str, parts: int, complete=lambda rows: rows,
+                 folder: str = "bucket", key: str = "stem") -> None:
     """One task and one file per part, ``folder``s with rows sorted by (key,
-    section) inside, so a look-up reads few row groups."""
-    (laid_out.repartitionById(parts, F.col("part")).drop("part")
+    section) inside, so a look-up reads few row groups.  ``complete`` adds the
+    columns that need not cross the exchange."""
+    (complete(laid_out.repartitionById(parts, F.col("part")).drop("part"))
      .sortWithinPartitions(folder, key, "section_id")
      .write.mode("overwrite").partitionBy(folder).parquet(path))

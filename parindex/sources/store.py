@@ -129,7 +129,10 @@ def write_postings(index: TextIndex, sections: DataFrame, path: str, buckets: in
     stored = spark.read.schema(counted.schema).parquet(counts)
     total = stored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     points = split_points(key_blocks(with_bucket(stored, buckets)), cuts, total, parts)
-    write_layout(equi_depth_layout(with_bucket(postings, buckets), points), at, part_count(points))
+    # tf and the bucket follow from what a posting carries: they are made again past the exchange
+    placed = equi_depth_layout(with_bucket(postings, buckets), points).drop("tf", "bucket")
+    write_layout(placed, at, part_count(points), lambda p: with_bucket(
+        p.withColumn("tf", F.size("offsets")), buckets).select(*postings.columns, "bucket"))
     (df_table(spark.read.schema(postings.schema).parquet(at)).repartitionByRange("stem").sortWithinPartitions("stem")
      .write.mode("overwrite").parquet(f"{path}/terms{folder}"))
 
