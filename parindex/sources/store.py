@@ -132,8 +132,8 @@ def write_postings(index: TextIndex, sections: DataFrame, path: str, buckets: in
     # tf and the bucket follow from what a posting carries: they are made again past the exchange
     placed = equi_depth_layout(with_bucket(postings, buckets), points).drop("tf", "bucket")
     write_layout(placed, at, part_count(points), lambda p: with_bucket(
-        p.withColumn("tf", F.size("offsets")), buckets).select(*postings.columns, "bucket"))
-    (df_table(spark.read.schema(postings.schema).parquet(at)).repartitionByRange("stem").sortWithinPartitions("stem")
+        p.withColumn("tf", F.size("offsets")), buckets).select(*[c for c in postings.columns if c != "bucket"], "bucket"))
+    (df_table(spark.read.schema(postings.drop("bucket").schema).parquet(at)).repartitionByRange("stem").sortWithinPartitions("stem")
      .write.mode("overwrite").parquet(f"{path}/terms{folder}"))
 
 
