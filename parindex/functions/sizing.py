@@ -36,18 +36,28 @@ def estimated_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_QUERY_ROWS) -> bool:
+    """Whether ``df`` is a local relation under ``MAX_BROADCAST_LOCAL_BYTES`` or has at most ``max_rows`` rows.
+
+    Rows are counted partition by partition (a limit would send them to one task); of
+    a query table made ready for several passes, once."""
+    if is_local(df) and estimated_bytes(df) <= MAX_BROADCAST_LOCAL_BYTES:
+        return True
+    n = getattr(df, "_parindex_rows", None)
+    if n is None:
+        n = df.count()
+        if getattr(df, "_parindex_prepared", False):
+            df._parindex_rows = n
+    return n <= max_rows
+
+
 def small_side(df: DataFrame, bound: DataFrame | None = None,
                max_rows: int = MAX_BROADCAST_QUERY_ROWS) -> DataFrame:
     """Broadcast ``df`` when ``bound`` (a table whose row count bounds ``df``'s,
     by default ``df`` itself) is proven small: a local relation under
     ``MAX_BROADCAST_LOCAL_BYTES``, or at most ``max_rows`` rows when counted.
     Otherwise the planner and AQE choose the join."""
-    probe = df if bound is None else bound
-    if is_local(probe) and estimated_bytes(probe) <= MAX_BROADCAST_LOCAL_BYTES:
-        return F.broadcast(df)
-    # counted partition by partition; a limit would send its rows to one task
-    n = probe.count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if fits_broadcast(df if bound is None else bound, max_rows) else df
 
 
 def per_partition(df: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ BM25_EXT_B = 0.9
 class TextIndex:
     """Index tables of one corpus.  Built in memory they are lazy plans; read
     from storage they also carry the statistics written with them — the
-    document frequencies ``df_table(stem, df_rows, df_sections)`` and the one
+    document frequencies ``df_table(stem, df_rows, df_sections, max_tf)`` and the one
     row ``stats_table`` — like the reference's materialised views, so queries
     never aggregate the postings for statistics."""
 
@@ -221,6 +221,14 @@ def df_table(postings: DataFrame) -> DataFrame:
                                         F.count(F.lit(1)).cast("long").alias("df_sections"))
 
 
+def term_table(postings: DataFrame) -> DataFrame:
+    """The document frequencies with the greatest tf per stem, from which ``operators.bounds``
+    knows a stem's greatest partial score."""
+    return postings.groupBy("stem").agg(F.sum("n_terms").cast("long").alias("df_rows"),
+                                        F.count(F.lit(1)).cast("long").alias("df_sections"),
+                                        F.max("tf").alias("max_tf"))
+
+
 def rows_per_stem(words: DataFrame, block: Column, stop="nltk", lemma_rule: str = "s_stemmer") -> DataFrame:
     """``(stem, block, n)``: (section, term) rows per stem and block of sections,
     without building postings; a word is analysed once per distinct term."""

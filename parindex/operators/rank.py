@@ -19,8 +19,10 @@ from pyspark.sql.window import Window
 
 from parindex.functions import proximity as P
 from parindex.functions import scoring as S
-from parindex.operators.index import TextIndex, weight
-from parindex.operators.search import normalise_queries, scored_hits, small_side
+from parindex.operators import bounds
+from parindex.operators.index import BM25_B, BM25_K1, TextIndex, weight
+from parindex.operators.search import (normalise_queries, prepare_queries, pruned_postings, query_parts, scored_hits,
+                                       small_side)
 from parindex.operators.text import doc_of_section
 
 METHODS = ("tfidf", "tfidf_doclen", "bm25", "tfidf_ext", "bm25_ext")
@@ -84,54 +86,6 @@ def method_score(method: str) -> Column:
     raise ValueError(f"unknown ranking method {method!r}")
 
 
-def proximity_upper_bound(method: str, span_mode: str, avg: Column, num_secs: Column,
-                          k3: float = 1000.0) -> Column:
-    """Largest possible proximity bonus of a section from what the cheap
-    aggregate knows: ``n_present`` lists, ``nj`` occurrences, its length.
-
-    * TF-IDF: min_dist <= C(n,2) (every distance >= 1); min_span <= (n/(n-1))^2
-      (a span is at least n-1) or n^2 as written; divided by nj;
-    * BM25: (k1+1) * max(1, 1/u) * C(n,2) * (largest possible bm25idf) / k3,
-      which covers both P4 modes."""
-    from parindex.operators.index import BM25_EXT_B, BM25_EXT_K1
-    n = F.col("n_present").cast("double")
-    pairs = n * (n - 1) / 2
-    if method == "tfidf_ext":
-        span = (n * n) if span_mode == "as_written" else (n / (n - 1)) * (n / (n - 1))
-        ub = (pairs + span) / F.col("nj").cast("double")
-    else:
-        u = 2.0 * ((1.0 - BM25_EXT_B) + BM25_EXT_B * (F.col("num_words").cast("double") / avg))
-        max_idf = F.log10(1.0 + (num_secs.cast("double") - 0.5) / 1.5)
-        ub = (BM25_EXT_K1 + 1.0) * F.greatest(F.lit(1.0), 1.0 / u) * pairs * max_idf / k3
-    return F.when(n >= 2, ub).otherwise(F.lit(0.0))
-
-
-def proximity_candidates(index: TextIndex, queries: DataFrame, method: str, k: int, unknown: str,
-                         df_mode: str, span_mode: str, k3: float, needed: tuple, bm25_k1, bm25_b) -> DataFrame:
-    """Sections that can still reach a query's top-k once proximity is added.
-
-    The cheap aggregate (no offsets) gives each hit a lower bound (its score
-    without proximity — the bonus is never negative) and an upper bound; the
-    k-th best lower bound of a query is its threshold (partial top-k, skew
-    safe); a hit whose upper bound stays below the threshold cannot enter the
-    top-k.  Exact: rounding is monotone, so a pruned section's rounded score is
-    strictly below k sections' rounded scores."""
-    from parindex.functions.sizing import small_side as _small
-    from parindex.session import checkpoint_dir
-    cheap = scored_hits(index, queries, unknown, df_mode, with_offsets=False, scores=needed,
-                        bm25_k1=bm25_k1, bm25_b=bm25_b)
-    lb = F.col("tfidf") if method == "tfidf_ext" else F.col("bm25_ext")
-    ub = proximity_upper_bound(method, span_mode, index.avg_sec_len(), index.num_secs(), k3)
-    checkpoint_dir(queries.sparkSession)
-    # used twice (threshold and filter): cut it once, compactly
-    bounds = cheap.select("query_id", "section_id", lb.alias("lb"), ub.alias("ub")).checkpoint(eager=True)
-    thr = top_k(bounds.select("query_id", "section_id", S.rounded(F.col("lb")).alias("score")), k) \
-        .groupBy("query_id").agg(F.min("score").alias("thr"), F.count(F.lit(1)).alias("nk"))
-    c = bounds.join(_small(thr, bound=queries), "query_id", "left")
-    keep = F.col("nk").isNull() | (F.col("nk") < k) | (F.col("lb") + F.col("ub") >= F.col("thr") - 1e-6)
-    return c.filter(keep).select("query_id", "section_id")
-
-
 def rank(index: TextIndex, queries: DataFrame, method: str = "bm25", k: int = 10,
          unknown: str = "drop", df_mode: str = "rows", span_mode: str = "intended",
          k3: float = 1000.0, p4_mode: str = "as_written",
@@ -139,28 +93,22 @@ def rank(index: TextIndex, queries: DataFrame, method: str = "bm25", k: int = 10
     """``(query_id, rank, section_id, score)`` top-k per query.
 
     ``k1``/``b`` set BM25's parameters (defaults 1.7 / 0.75 as in the
-    reference; a search engine's BM25 is the same formula with its own)."""
+    reference; a search engine's BM25 is the same formula with its own).
+    ``prune``: find the sections that can reach the top-k first (``operators.bounds``); by
+    default with proximity, where the batch names many postings.  The rows are the same."""
     proximity = method in ("tfidf_ext", "bm25_ext")
     needed = {"tfidf": ("tfidf",), "tfidf_doclen": ("tfidf",), "bm25": ("bm25",),
               "tfidf_ext": ("tfidf",), "bm25_ext": ("bm25_ext",)}[method]
-    from parindex.operators.index import BM25_B, BM25_K1
-    from parindex.operators.search import prepare_queries
     queries = prepare_queries(queries)
     bk1, bb = (BM25_K1 if k1 is None else k1), (BM25_B if b is None else b)
+    parts = query_parts(index, queries, unknown, df_mode)
     restrict = None
     if prune is None:
-        # the first phase costs a cheap pass over all hits plus a few small
-        # jobs: worth it for batches derived from data, not for a handful of
-        # hand-written (local) queries
-        from parindex.functions.sizing import is_local
-        prune = not is_local(queries)
-    if proximity and prune:
-        # exact pruning: offsets are gathered only for sections that can
-        # still enter the top-k (see proximity_candidates)
-        restrict = proximity_candidates(index, queries, method, k, unknown, df_mode, span_mode, k3,
-                                        needed, bk1, bb)
-    h = scored_hits(index, queries, unknown, df_mode, with_offsets=proximity, scores=needed,
-                    bm25_k1=bk1, bm25_b=bb, restrict=restrict)
+        prune = proximity and bounds.postings_named(parts[0]) > bounds.PRUNE_ABOVE
+    if prune and method in bounds.BASE:
+        restrict = small_side(bounds.kept_pairs(index, queries, parts, (method,), k, span_mode, k3, bk1, bb))
+    h = scored_hits(index, queries, with_offsets=proximity, scores=needed,
+                    bm25_k1=bk1, bm25_b=bb, restrict=restrict, parts=parts)
     if proximity:
         h = proximity_columns(h, index.avg_sec_len(), span_mode, k3, need_bm25=method == "bm25_ext",
                               p4_mode=p4_mode)
@@ -169,13 +117,21 @@ def rank(index: TextIndex, queries: DataFrame, method: str = "bm25", k: int = 10
 
 
 def rank_all(index: TextIndex, queries: DataFrame, k: int = 10, unknown: str = "drop",
-             span_mode: str = "intended") -> DataFrame:
+             span_mode: str = "intended", prune: bool | None = None) -> DataFrame:
     """The four rankings of ``run_test`` (tfidf, bm25, tfidf_ext,
-    bm25_ext) from one scan and one aggregation; one row per (query, method,
-    rank)."""
-    h = scored_hits(index, queries, unknown, with_offsets=True, scores=("tfidf", "bm25", "bm25_ext"))
+    bm25_ext) from one aggregation; one row per (query, method, rank).
+
+    ``prune`` as in :func:`rank`: offsets are gathered only for sections that can reach
+    the top-k of one of the four."""
+    queries = prepare_queries(queries)
+    parts = query_parts(index, queries, unknown)
+    methods = ("tfidf", "bm25", "tfidf_ext", "bm25_ext")
+    if prune is None:
+        prune = bounds.postings_named(parts[0]) > bounds.PRUNE_ABOVE
+    restrict = small_side(bounds.kept_pairs(index, queries, parts, methods, k, span_mode)) if prune else None
+    h = scored_hits(index, queries, with_offsets=True, scores=("tfidf", "bm25", "bm25_ext"), restrict=restrict,
+                    parts=parts)
     h = proximity_columns(h, index.avg_sec_len(), span_mode)
-    methods = ["tfidf", "bm25", "tfidf_ext", "bm25_ext"]
     long = h.select("query_id", "section_id", F.explode(F.array(*[
         F.struct(F.lit(m).alias("method"), S.rounded(method_score(m)).alias("score"))
         for m in methods])).alias("m")).select("query_id", "section_id", "m.method", "m.score")
@@ -190,7 +146,6 @@ def rerank_two_stage(index: TextIndex, queries: DataFrame, k: int = 10, unknown:
     TF-IDF + proximity.  The fold runs on k sections per query only: the
     postings of the query stems are semi-joined with the (broadcast, k rows per
     query) first-stage result before offsets are gathered."""
-    from parindex.operators.search import prepare_queries, pruned_postings, query_parts
     queries = prepare_queries(queries)
     first = rank(index, queries, "tfidf_doclen", k, unknown)
     n_queries = normalise_queries(queries).select("query_id").distinct()

@@ -225,9 +225,10 @@ def max_stems_per_query(queries: DataFrame) -> int:
         for r in local:
             per.setdefault(r[0], set()).add(r[4])
         return max((len(v) for v in per.values()), default=0)
-    r = normalise_queries(queries).groupBy("query_id").agg(F.count_distinct("stem").alias("n")) \
-        .agg(F.max("n")).first()[0]
-    return int(r or 0)
+    if not hasattr(queries, "_parindex_max_stems"):  # asked by every pass over a batch
+        queries._parindex_max_stems = int(normalise_queries(queries).groupBy("query_id").agg(
+            F.count_distinct("stem").alias("n")).agg(F.max("n")).first()[0] or 0)
+    return queries._parindex_max_stems
 
 
 def boolean_match_bits(groups: Column, bits: Column, top_op: Column) -> Column:
@@ -251,21 +252,26 @@ def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
                 df_mode: str = "rows", with_offsets: bool = False,
                 scores: tuple[str, ...] = ("tfidf", "bm25", "bm25_ext"),
                 bm25_k1: float = BM25_K1, bm25_b: float = BM25_B,
-                restrict: DataFrame | None = None) -> DataFrame:
+                restrict: DataFrame | None = None,
+                parts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Matching (query, section) pairs with the aggregates every ranking needs.
 
     Columns: ``query_id, section_id, num_words, nj, matched`` plus the requested
     partial scores and, with ``with_offsets``, ``lists`` =
-    array<struct<stem, offsets, bm25idf, idf>> for proximity."""
+    array<struct<stem, offsets, bm25idf, idf>> for proximity.
+
+    ``restrict``: the only (query, section) pairs asked for, broadcast by the caller if
+    small.  ``parts``: the query's parts where the caller has them; with a column ``essential``
+    in the stems, hits without an essential stem are left out."""
     queries = prepare_queries(queries)
-    qs, qdef = query_parts(index, queries, unknown, df_mode)
+    qs, qdef = query_parts(index, queries, unknown, df_mode) if parts is None else parts
     avg = index.avg_sec_len()
     qs = add_bucket_like(index.postings, qs)
     p = pruned_postings(index, queries).join(small_side(qs, bound=queries), join_keys(index.postings))
     if restrict is not None:
         # only these (query, section) pairs go on (semi join before the
         # aggregation, so nothing else is collected)
-        p = p.join(small_side(restrict), ["query_id", "section_id"], "left_semi")
+        p = p.join(restrict, ["query_id", "section_id"], "left_semi")
     max_stems = max_stems_per_query(queries)
     use_bits = max_stems <= MAX_BITS
     bm25 = S.bm25_term(F.col("tf"), F.col("bm25idf"), F.col("num_words"), avg, bm25_k1, bm25_b)
@@ -290,7 +296,11 @@ def scored_hits(index: TextIndex, queries: DataFrame, unknown: str = "drop",
         aggs.append(F.sum(S.freq_term(F.col("tf"))).alias("freq"))
     if with_offsets:
         aggs.append(F.collect_list(entry).alias("lists"))
+    if "essential" in qs.columns:
+        aggs.append(F.bool_or("essential").alias("essential"))
     h = p.groupBy("query_id", "section_id").agg(*aggs)
+    if "essential" in qs.columns:
+        h = h.filter("essential").drop("essential")
     h = h.join(small_side(qdef, bound=queries), "query_id")
     keep = (boolean_match_bits(F.col("groups"), F.col("matched_bits"), F.col("top_op")) if use_bits
             else boolean_match(F.col("groups"), F.col("matched"), F.col("top_op")))

@@ -3,18 +3,21 @@ P5–P10, P12).
 
 A section row holds parallel arrays, one entry per surface term (sorted by
 term): ``terms``, ``stems``, ``offsets`` (array of sorted offset arrays) and
-``frequencies``.
+``frequencies``, and a ``signature``: a bitmap of 512 bits of its stems.
 
 Batch search/ranking over vectors needs no aggregation at all:
 
 1. the query table is flattened to one row per (query, stem) and broadcast;
-2. ``explode(array_distinct(stems))`` of every vector is equi-joined with it on
-   the stem, and only the row whose stem is the *smallest* stem shared with the
-   query is kept — one row per (query, candidate section), no shuffle, no cross
-   join;
-3. Boolean predicates and scores are higher-order functions over the row's
+2. the stems of a section meet it inside the section's own row: no array is
+   shuffled and the vectors are never joined back to themselves;
+3. the signature is tested before the arrays (a bit that is not set proves a stem absent);
+   then of a (query, section) pair's rows the one with the *smallest* shared stem is
+   kept, and Boolean predicates and scores are higher-order functions over the row's
    arrays (``forall``/``exists``/``filter``/``aggregate``);
 4. per-query top-k through ``row_number`` (partial WindowGroupLimit).
+
+A query table too large to be broadcast meets ``(section_id, stem)`` rows instead, and the
+arrays join its candidate pairs.
 """
 
 from __future__ import annotations
@@ -27,12 +30,35 @@ from parindex.functions import scoring as S
 from parindex.operators.index import (BM25_B, BM25_EXT_B, BM25_EXT_K1, BM25_K1,
                                       idf_view)
 from parindex.operators.rank import top_k
+from parindex.functions.sizing import fits_broadcast
 from parindex.operators.search import (boolean_match, normalise_queries, prepare_queries, query_stems,
                                        small_side)
 
+# 64-bit words of a section's signature
+SIGNATURE_WORDS = 8
+
+
+def signature(stems: Column) -> Column:
+    """Bitmap of the stems' hashes, as an array of 64-bit words."""
+    def add(words, s):
+        bit = F.pmod(F.xxhash64(s), F.lit(64 * SIGNATURE_WORDS)).cast("int")
+        return F.transform(words, lambda v, w: F.when(w == F.shiftright(bit, 6), v.bitwiseOR(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63))))).otherwise(v))
+    return F.aggregate(stems, F.array_repeat(F.lit(0).cast("long"), SIGNATURE_WORDS), add)
+
+
+def signature_match(groups: Column, words: Column, top_op: Column) -> Column:
+    """False only where :func:`boolean_match` is: every word of an AND group's
+    signature has to be covered, one bit of an OR group's has to be set."""
+    def group_ok(g):
+        both = F.zip_with(g["signature"], words, lambda a, b: F.struct(a.alias("a"), a.bitwiseAND(b).alias("h")))
+        return g["ok"] & F.when(g["group_op"] == "AND", F.forall(both, lambda x: x["h"] == x["a"])) \
+            .otherwise(F.exists(both, lambda x: x["h"] != 0))
+    return F.when(top_op == "AND", F.forall(groups, group_ok)).otherwise(F.exists(groups, group_ok))
+
 
 def section_vectors(tokens: DataFrame, sections: DataFrame | None = None) -> DataFrame:
-    """``(section_id, terms, stems, offsets, frequencies, num_words)``.
+    """``(section_id, terms, stems, offsets, frequencies, num_words, signature)``.
 
     Sections without a kept term get empty arrays when ``sections`` is given."""
     tp = (tokens.groupBy("section_id", "term", "stem")
@@ -49,7 +75,7 @@ def section_vectors(tokens: DataFrame, sections: DataFrame | None = None) -> Dat
                  F.transform("e", lambda x: x["tf"]).alias("frequencies"),
                  "num_words")
     if sections is None:
-        return v
+        return v.withColumn("signature", signature(F.col("stems")))
     empty_s = F.array().cast("array<string>")
     s = sections.select("section_id", F.col("num_words").alias("__nw"))
     j = s.join(v.drop("num_words"), "section_id", "left")
@@ -58,7 +84,7 @@ def section_vectors(tokens: DataFrame, sections: DataFrame | None = None) -> Dat
                     F.coalesce("stems", empty_s).alias("stems"),
                     F.coalesce("offsets", F.array().cast("array<array<int>>")).alias("offsets"),
                     F.coalesce("frequencies", F.array().cast("array<int>")).alias("frequencies"),
-                    F.col("__nw").alias("num_words"))
+                    F.col("__nw").alias("num_words")).withColumn("signature", signature(F.col("stems")))
 
 
 def stems_among(stems: Column, listed: list[str] | None) -> Column:
@@ -136,7 +162,8 @@ def _query_rows(vectors: DataFrame, queries: DataFrame, num_secs: Column, unknow
     ok = (F.col("n_known") > 0) if unknown == "drop" else \
         ((F.col("n_known") > 0) & (F.col("n_known") == F.col("n_total")))
     qdef = groups.groupBy("query_id", "top_op").agg(
-        F.collect_list(F.struct("group_op", "stems", ok.alias("ok"))).alias("groups"))
+        F.collect_list(F.struct("group_op", "stems", ok.alias("ok"), signature(F.col("stems")).alias("signature")))
+        .alias("groups"))
     qterms = q.select("query_id", "stem").distinct().join(idf_q, "stem").groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("stem", "idf", "bm25idf"))).alias("qterms"))
     return qterms.join(qdef, "query_id")
@@ -147,18 +174,25 @@ def vector_candidates(vectors: DataFrame, queries: DataFrame, num_secs: Column,
     """One row per (query, section) sharing a stem, with the query's arrays;
     filtered by the Boolean predicate (Q6–Q8 for any number of groups).
 
-    Only ``(section_id, stem)`` of the stems a query names is unnested; a
-    section's arrays join once per candidate pair, a query's once per query."""
+    A section's row meets the broadcast queries through its own stems and carries
+    its arrays along; above the broadcast bound only ``(section_id, stem)`` is shuffled and
+    the arrays join once per candidate pair."""
     queries = prepare_queries(queries)
+    if "signature" not in vectors.columns:
+        vectors = vectors.withColumn("signature", signature(F.col("stems")))
     qrow = _query_rows(vectors, queries, num_secs, unknown)
-    flat = normalise_queries(queries).select("query_id", "stem").distinct()
-    named = vectors.select("section_id", F.explode(F.array_distinct(
-        stems_among(F.col("stems"), query_stems(queries)))).alias("stem"))
-    pairs = named.join(small_side(flat, bound=queries), "stem").select("query_id", "section_id").distinct()
-    c = vectors.join(pairs, "section_id").join(small_side(qrow, bound=queries), "query_id")
-    qstems = F.transform("qterms", lambda t: t["stem"])
-    shared = F.array_intersect(F.col("stems"), qstems)
-    return c.filter(boolean_match(F.col("groups"), F.array_distinct(shared), F.col("top_op")))
+    flat = normalise_queries(queries).select("query_id", F.col("stem").alias("__stem")).distinct()
+    named = F.explode(F.array_distinct(stems_among(F.col("stems"), query_stems(queries)))).alias("__stem")
+    shared = F.array_intersect(F.col("stems"), F.transform("qterms", lambda t: t["stem"]))
+    matches = boolean_match(F.col("groups"), F.array_distinct(shared), F.col("top_op"))
+    may_match = signature_match(F.col("groups"), F.col("signature"), F.col("top_op"))
+    if fits_broadcast(queries):
+        c = vectors.select("*", named).join(F.broadcast(flat), "__stem").join(F.broadcast(qrow), "query_id")
+        c = c.filter(may_match).filter(F.col("__stem") == F.array_min(shared)).drop("__stem")
+    else:
+        pairs = vectors.select("section_id", named).join(flat, "__stem").select("query_id", "section_id").distinct()
+        c = vectors.join(pairs, "section_id").join(qrow, "query_id").filter(may_match)
+    return c.filter(matches)
 
 
 def vector_scores(c: DataFrame, avg: Column, proximity: bool = False,

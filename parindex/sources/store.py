@@ -29,7 +29,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parindex.operators.index import TextIndex, df_table, inline_postings, rank_vars, rows_per_stem
+from parindex.operators.index import TextIndex, inline_postings, rank_vars, rows_per_stem, term_table
 from parindex.operators.layout import (block_of, equi_depth_layout, key_blocks, part_count, section_cuts, split_points,
                                        write_layout)
 from parindex.session import checkpoint_dir
@@ -105,7 +105,7 @@ def _code_version() -> str:
 
 
 def write_postings(index: TextIndex, sections: DataFrame, path: str, buckets: int,
-                   num_partitions: int | None = None, folder: str = "") -> None:
+                   num_partitions: int | None = None, folder: str = "", watch=lambda rows: rows) -> None:
     """``postings/`` and ``terms/`` under ``path``, the postings in equi-depth ranges of
     (bucket, stem, section_id): a stem holding a third of all postings is cut by
     section range instead of landing in one task.
@@ -113,7 +113,7 @@ def write_postings(index: TextIndex, sections: DataFrame, path: str, buckets: in
     The rows per stem and block of sections are counted first and stored; they give
     the split points, so every posting crosses one exchange,
     straight to its part, and is written once.  ``sections`` is the stored table;
-    ``folder`` is added to each table's path."""
+    ``folder`` is added to each table's path; ``watch`` is given the rows as they are written."""
     spark = sections.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = section_cuts(sections, parts)
@@ -131,14 +131,14 @@ def write_postings(index: TextIndex, sections: DataFrame, path: str, buckets: in
     points = split_points(key_blocks(with_bucket(stored, buckets)), cuts, total, parts)
     # tf and the bucket follow from what a posting carries: they are made again past the exchange
     placed = equi_depth_layout(with_bucket(postings, buckets), points).drop("tf", "bucket")
-    write_layout(placed, at, part_count(points), lambda p: with_bucket(
-        p.withColumn("tf", F.size("offsets")), buckets).select(*[c for c in postings.columns if c != "bucket"], "bucket"))
-    (df_table(spark.read.schema(postings.drop("bucket").schema).parquet(at)).repartitionByRange("stem").sortWithinPartitions("stem")
+    write_layout(placed, at, part_count(points), lambda p: watch(with_bucket(
+        p.withColumn("tf", F.size("offsets")), buckets).select(*[c for c in postings.columns if c != "bucket"], "bucket")))
+    (term_table(spark.read.schema(postings.drop("bucket").schema).parquet(at)).repartitionByRange("stem").sortWithinPartitions("stem")
      .write.mode("overwrite").parquet(f"{path}/terms{folder}"))
 
 
 def write_index(index: TextIndex, path: str, mode: str = "overwrite",
-                num_partitions: int | None = None) -> None:
+                num_partitions: int | None = None, watch=lambda rows: rows) -> None:
     """Bulk write of the index tables.
 
     Nothing is cached or checkpointed: the sections, the counts per stem and the
@@ -155,7 +155,7 @@ def write_index(index: TextIndex, path: str, mode: str = "overwrite",
             .parquet(f"{path}/sections")
     if mode == "overwrite" or not all(_exists(spark, f"{path}/{t}") for t in ("postings", "terms")):
         write_meta(spark, path, buckets)
-        write_postings(index, spark.read.parquet(f"{path}/sections"), path, buckets, num_partitions)
+        write_postings(index, spark.read.parquet(f"{path}/sections"), path, buckets, num_partitions, watch=watch)
     # corpus statistics (D8), computed from the stored table
     if mode == "overwrite" or not _exists(spark, f"{path}/stats"):
         rank_vars(spark.read.parquet(f"{path}/sections")).coalesce(1) \
