@@ -135,6 +135,22 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "n_lines", "n_upper", "failed_bits")
 
 
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """Every policy's rules over ``documents``: what each drops, alone and together with the others."""
+    return ablations(ledger(table(spark, sf_dir, "documents").select("text")))
+
+
+def _ablations_sql() -> str:
+    """One scan of the ledger per policy and rule."""
+    arms = " UNION ALL ".join(
+        f"""
+SELECT '{v}' AS policy, '{r}' AS rule, coalesce(sum((failed_bits & {mask_of(rs)} <> 0)::INT), 0)::BIGINT AS dropped,
+  coalesce(sum((failed_bits & {_BIT[r]} <> 0)::INT), 0)::BIGINT AS failed_rule,
+  coalesce(sum((failed_bits & {mask_of(rs)} = {_BIT[r]})::INT), 0)::BIGINT AS only_this_rule FROM o"""
+        for v, rs in POLICIES.items() for r in rs)
+    return f"WITH o AS ({_sql()}) {arms}"
+
+
 def _sql() -> str:
     bits = " | ".join(f"(CASE WHEN {rule} THEN {_BIT[name]} ELSE 0 END)" for name, rule in RULES)
     word = r"[^\x20\x09-\x0D]+"
@@ -158,3 +174,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 
 
 SQL = _sql()
+ABLATIONS_SQL = _ablations_sql()

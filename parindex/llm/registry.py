@@ -20,11 +20,13 @@ QUERIES = {
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     "op13_periodic_runs": periodic_runs.op13_periodic_runs,
+    "quality_ablations": quality_rules.quality_ablations,
     "pipeline": corpus_pipeline.run,
 }
 SQL = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
     "op3_secret_scans": secrets.SQL,
     "op5_substring_dedup": substring_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "quality_ablations": quality_rules.ABLATIONS_SQL,
     "op11_merkle_manifest": merkle.SQL,
 }
