@@ -115,7 +115,6 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
 
 def build_sections_and_tokens(corpus: DataFrame | None, sep: str = "\n", stop="nltk",
                               lemma_rule: str = "s_stemmer",
-                              lemma_table: DataFrame | None = None,
                               lower: bool = True,
                               pieces: DataFrame | None = None,
                               length: str = "words") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -137,8 +136,7 @@ def build_sections_and_tokens(corpus: DataFrame | None, sep: str = "\n", stop="n
     stops = stop_words(stop)
     if stops:
         toks = toks.filter(~F.col("term").isin(stops))
-    toks = T.lemmatize(toks, lemma_table, lemma_rule)
-    return sections, toks, words
+    return sections, T.lemmatize(toks, rule=lemma_rule), words
 
 
 def build_index(corpus: DataFrame, sep: str = "\n", stop="nltk",
@@ -151,26 +149,43 @@ def build_index(corpus: DataFrame, sep: str = "\n", stop="nltk",
     section's row (no exchange; interpreted array functions — worth it when
     the shuffle, not the CPU, is the bottleneck).  Both give equal tables.
     ``length="blank"`` gives sections the text-search layout's word count."""
-    sections, toks, words = build_sections_and_tokens(corpus, sep, stop, lemma_rule, lemma_table, lower,
-                                                      length=length)
-    if postings == "inline" and lemma_table is None:
+    sections, toks, words = build_sections_and_tokens(corpus, sep, stop, lemma_rule, lower, length=length)
+    if lemma_table is not None:
+        return _table_index(sections, toks, words, stop, lemma_rule, lemma_table)
+    if postings == "inline":
         post = inline_postings(words, stop, lemma_rule)
-    elif postings in ("aggregate", "inline"):
+    elif postings == "aggregate":
         post = stem_postings(toks)
     else:
         raise ValueError(f"unknown postings build {postings!r}")
     return TextIndex(sections=sections, tokens=toks, postings=post, words=words,
-                     analysis=None if lemma_table is not None else {"stop": stop, "lemma_rule": lemma_rule})
+                     analysis={"stop": stop, "lemma_rule": lemma_rule})
+
+
+def _table_index(sections: DataFrame, toks: DataFrame, words: DataFrame, stop, lemma_rule: str,
+                 lemma_table: DataFrame) -> TextIndex:
+    """Index by a supplied lemma table: it meets the distinct terms, they meet the
+    postings by surface term (heavy terms without a shuffle), and a section's postings with one
+    lemma become one."""
+    from parindex.operators.dictionary import attach
+    counts = rows_per_stem(words, F.lit(0), stop, "none").select(F.col("stem").alias("term"), "n")
+    lemmas = T.lemma_dictionary(counts, lemma_table, lemma_rule)
+    terms = inline_postings(words, stop, "none").withColumnRenamed("stem", "term")
+    post = attach(terms, lemmas).groupBy("section_id", "stem").agg(
+        F.sum("tf").cast("int").alias("tf"), F.count(F.lit(1)).cast("int").alias("n_terms"),
+        F.array_sort(F.flatten(F.collect_list("offsets"))).alias("offsets"), F.max("num_words").alias("num_words"))
+    return TextIndex(sections=sections, tokens=attach(toks.drop("stem"), lemmas), postings=post, words=words)
 
 
 def build_index_from_sections(pieces: DataFrame, stop="nltk", lemma_rule: str = "s_stemmer",
                               lemma_table: DataFrame | None = None, lower: bool = True) -> TextIndex:
     """Index of a corpus that is already cut into sections
     ``(section_id, doc_id, para_idx, section)`` — e.g. conversation turns."""
-    sections, toks, words = build_sections_and_tokens(None, stop=stop, lemma_rule=lemma_rule,
-                                                      lemma_table=lemma_table, lower=lower, pieces=pieces)
+    sections, toks, words = build_sections_and_tokens(None, stop=stop, lemma_rule=lemma_rule, lower=lower, pieces=pieces)
+    if lemma_table is not None:
+        return _table_index(sections, toks, words, stop, lemma_rule, lemma_table)
     return TextIndex(sections=sections, tokens=toks, postings=stem_postings(toks), words=words,
-                     analysis=None if lemma_table is not None else {"stop": stop, "lemma_rule": lemma_rule})
+                     analysis={"stop": stop, "lemma_rule": lemma_rule})
 
 
 def weight(num_words: Column) -> Column:

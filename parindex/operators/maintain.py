@@ -7,9 +7,10 @@ fresh statistics snapshot computed from the current tables (D12).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from parindex.functions import text as tx
 from parindex.operators import index as D
 from parindex.operators import text as T
 
@@ -101,3 +102,62 @@ def index_counts(corpus: DataFrame, index: D.TextIndex, stems: DataFrame | None
     for p in parts[1:]:
         u = u.unionByName(p)
     return u.groupBy("table_name").agg(F.count(F.lit(1)).cast("long").alias("num_rows"))
+
+
+def content_key(*parts: Column) -> Column:
+    """60 bits of the MD5 of an entry's parts joined by ``|``, as any SQL engine makes them."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
+def _offsets(offsets: Column) -> Column:
+    return F.array_join(F.transform(offsets, lambda o: o.cast("string")), ",")
+
+
+def _xor(keys: Column) -> Column:
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+
+def fill_layouts(corpus: DataFrame, path: str, sep: str = "\n", stop: str | list[str] = "nltk") -> DataFrame:
+    """Writes every layout of a corpus under ``path`` and returns one row a layout:
+    ``(layout, num_rows, checksum)``.
+
+    The text is read and tokenised once, into ``words/`` (per section its words and both lengths);
+    from there come ``postings/`` (an index keyed by surface term, in equi-depth ranges),
+    ``vectors/`` and, from the stored postings, ``tsvectors/``.  Rows and checksum (bitwise exclusive or
+    of the entries' keys) are observed while a table is written, so nothing is read again
+    to count it; postings and vectors hold the same entries, so their checksums agree."""
+    from parindex.operators import tsv as C
+    from parindex.operators import vector as V
+    from parindex.sources import store
+    spark = corpus.sparkSession
+    seen: list[tuple[str, Observation]] = []
+
+    def watched(layout: str, rows: DataFrame, key: Column) -> DataFrame:
+        seen.append((layout, Observation(f"fill-{layout}")))
+        return rows.observe(seen[-1][1], F.count(F.lit(1)).alias("n"), F.bit_xor(key).alias("checksum"))
+
+    words = T.split_sections(corpus, sep).select(
+        "section_id", "doc_id", tx.word_array(F.col("section"), True).alias("words"),
+        F.size(F.split("section", " ", -1)).alias("num_words_blank")).withColumn("num_words", F.size("words"))
+    watched("sections", words, content_key(F.col("section_id"), F.col("num_words"))) \
+        .write.mode("overwrite").parquet(f"{path}/words")
+    stored = spark.read.schema(words.schema).parquet(f"{path}/words")
+
+    sections = stored.select("section_id", "doc_id", "num_words", D.weight(F.col("num_words")).alias("weight"))
+    analysis = {"stop": stop, "lemma_rule": "none"}
+    index = D.TextIndex(sections=sections, tokens=None, postings=D.inline_postings(stored, **analysis), words=stored,
+                        analysis=analysis)
+    store.write_index(index, f"{path}/postings", watch=lambda rows: watched(
+        "postings", rows, content_key(F.col("section_id"), F.col("stem"), _offsets(F.col("offsets")))))
+
+    tokens = T.lemmatize(T.positions(stored, stop)).withColumn("num_words", F.lit(0))  # lengths come with the sections
+    vectors = V.section_vectors(tokens, sections)
+    entries = F.arrays_zip("terms", "offsets")
+    watched("vectors", vectors, _xor(F.transform(entries, lambda e: content_key(
+        F.col("section_id"), e["terms"], _offsets(e["offsets"]))))).write.mode("overwrite").parquet(f"{path}/vectors")
+
+    lexemes = C.lexeme_index(store.read_index(spark, f"{path}/postings"))
+    watched("tsvectors", C.tsvector_table(lexemes), _xor(F.transform("tsv", lambda e: content_key(
+        F.col("section_id"), e["lexeme"], _offsets(e["positions"]))))).write.mode("overwrite").parquet(f"{path}/tsvectors")
+    return spark.createDataFrame([(layout, o.get["n"], o.get["checksum"] or 0) for layout, o in seen],
+                                 "layout string, num_rows long, checksum long")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parindex.functions import text as tx
+from parindex.operators.dictionary import attach
+from parindex.session import checkpoint_dir
 
 # section_id = doc_id * 2^20 + piece index: order-preserving, computed in place.
 SECTION_BITS = 20
@@ -86,32 +88,39 @@ def lemmatize(tokens: DataFrame, lemma_table: DataFrame | None = None,
     """Noun lemma per token.  A supplied ``lemma_table(term, lemma)`` wins;
     otherwise the rule (S-stemmer by default) applies.
 
-    The lemma table is joined by the term; it is a dictionary whose size is the
-    vocabulary, so the join is left to the planner (broadcast when its size
-    estimate is under the threshold, shuffle otherwise).
+    The lemma table meets the distinct terms; they, with their counts, meet the tokens
+    (``operators.dictionary``): the postings of a heavy term stay where they are.
     """
     if lemma_table is None:
         return tokens.withColumn(out, lemma_column(F.col("term"), rule))
-    lt = lemma_table.select(F.col("term").alias("__lt_term"), F.col("lemma").alias("__lemma"))
-    joined = tokens.join(lt, tokens["term"] == lt["__lt_term"], "left")
-    return joined.withColumn(out, F.coalesce(F.col("__lemma"), lemma_column(F.col("term"), rule))) \
-        .drop("__lt_term", "__lemma")
+    return attach(tokens, lemma_dictionary(tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")), lemma_table, rule, out))
+
+
+def lemma_dictionary(counts: DataFrame, lemma_table: DataFrame, rule: str = "s_stemmer", out: str = "stem") -> DataFrame:
+    """``(term, n, out)`` for ``counts(term, n)``, written once."""
+    checkpoint_dir(counts.sparkSession)
+    lt = lemma_table.select("term", F.col("lemma").alias("__lemma"))
+    return counts.join(lt, "term", "left").select("term", "n", F.coalesce(
+        F.col("__lemma"), lemma_column(F.col("term"), rule)).alias(out)).checkpoint()
 
 
 def lemmatize_pos(tokens: DataFrame, tags: DataFrame, lemma_table: DataFrame) -> DataFrame:
     """The first letter of a POS tag (a/r/n/v) picks the lemma class; any
     other tag keeps the token.  ``tags(section_id, offset, tag)`` comes from an
-    external tagger, ``lemma_table(term, pos, lemma)`` from a dictionary."""
+    external tagger, ``lemma_table(term, pos, lemma)`` from a dictionary.
+
+    The dictionary meets the distinct (class, term) pairs; they meet the tokens, pairs in
+    a large share of all tokens by broadcast."""
     tg = tags.select("section_id", "offset",
                      F.lower(F.substring("tag", 1, 1)).alias("__p"))
     t = tokens.join(tg, ["section_id", "offset"], "left")
-    t = t.withColumn("__pos", F.when(F.col("__p").isin("a", "r", "n", "v"), F.col("__p")))
-    lt = lemma_table.select(F.col("term").alias("__lt_term"), F.col("pos").alias("__lt_pos"),
-                            F.col("lemma").alias("__lemma"))
-    t = t.join(lt, (t["term"] == lt["__lt_term"]) & (t["__pos"] == lt["__lt_pos"]), "left")
-    return t.withColumn("stem", F.when(F.col("__pos").isNull(), F.col("term"))
-                        .otherwise(F.coalesce("__lemma", "term"))) \
-        .drop("__p", "__pos", "__lt_term", "__lt_pos", "__lemma")
+    pos = F.when(F.col("__p").isin("a", "r", "n", "v"), F.col("__p")).otherwise(F.lit(""))
+    t = t.withColumn("__key", F.concat(pos, F.lit(":"), F.col("term"))).drop("__p")
+    checkpoint_dir(tokens.sparkSession)
+    lt = lemma_table.select(F.concat("pos", F.lit(":"), "term").alias("__key"), F.col("lemma").alias("__lemma"))
+    pairs = t.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).join(lt, "__key", "left").select(
+        "__key", "n", F.coalesce("__lemma", F.regexp_replace("__key", "^[arnv]?:", "")).alias("stem")).checkpoint()
+    return attach(t, pairs, "__key").drop("__key")
 
 
 def suffix_tags(tokens: DataFrame) -> DataFrame:

@@ -1000,24 +1000,28 @@ def corpus_sample(spark, sf_dir):
     return M.sample(corpus(spark, sf_dir), SAMPLE_FRACTION).select("doc_id", "title")
 
 
-@register("build_all", "WITH " + O.corpus_ctes() + """
-SELECT 'postings' AS layout, CAST(count(*) AS BIGINT) AS num_rows FROM (SELECT DISTINCT section_id, term FROM tokens)
-UNION ALL SELECT 'vectors', CAST(count(*) AS BIGINT) FROM sections
-UNION ALL SELECT 'tsvectors', CAST(count(DISTINCT section_id) AS BIGINT) FROM postings
-UNION ALL SELECT 'sections', CAST(count(*) AS BIGINT) FROM sections""")
+def _content_key_sql(*parts: str) -> str:
+    """As ``maintain.content_key``."""
+    return "('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 15))::BIGINT"
+
+
+_FILL_KEY = _content_key_sql("section_id", "key", SQL_ARR.format(x="offs"))
+
+
+@register("build_all", f"""
+WITH fill AS (
+  SELECT * FROM (WITH {O.corpus_ctes()},
+    tp AS (SELECT section_id, term AS key, list_sort(list("offset")) AS offs FROM tokens GROUP BY section_id, term)
+    SELECT 'postings' AS layout, count(*) AS num_rows, bit_xor({_FILL_KEY}) AS checksum FROM tp
+    UNION ALL SELECT 'vectors', (SELECT count(*) FROM sections), bit_xor({_FILL_KEY}) FROM tp
+    UNION ALL SELECT 'sections', count(*), bit_xor({_content_key_sql("section_id", "num_words")}) FROM sections)
+  UNION ALL SELECT * FROM (WITH {O.corpus_ctes(**TSV)},
+    tp AS (SELECT section_id, stem AS key, list_sort(list("offset")) AS offs FROM tokens GROUP BY section_id, stem)
+    SELECT 'tsvectors', count(DISTINCT section_id), bit_xor({_FILL_KEY}) FROM tp))
+SELECT layout, CAST(num_rows AS BIGINT) AS num_rows, CAST(coalesce(checksum, 0) AS BIGINT) AS checksum FROM fill""")
 def build_all(spark, sf_dir):
-    """Every layout from one tokens pass (the tokens are persisted once and
-    the three layouts derived from them)."""
-    built = D.build_index(corpus(spark, sf_dir))
-    toks = built.tokens.persist()
-    idx = D.TextIndex(sections=built.sections, tokens=toks, postings=D.stem_postings(toks))
-    a = T.postings(toks)
-    b = V.section_vectors(toks, idx.sections)
-    c = C.tsvector_table(idx)
-    def cnt(df, name):
-        return df.agg(F.count(F.lit(1)).cast("long").alias("num_rows")).select(F.lit(name).alias("layout"), "num_rows")
-    return cnt(a, "postings").unionByName(cnt(b, "vectors")).unionByName(cnt(c, "tsvectors")) \
-        .unionByName(cnt(idx.sections, "sections"))
+    """All layouts written from one pass over the documents, each with its rows and checksum."""
+    return M.fill_layouts(corpus(spark, sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/fill-{_uuid.uuid4().hex}")
 
 
 @register("index_counts", "WITH " + O.corpus_ctes() + """
@@ -1232,6 +1236,45 @@ def rank_agreement(spark, sf_dir):
                     F.col("mismatches").cast("long"), "all_equal")
 
 
+LAYOUTS_COMPARED = [("postings", "vectors"), ("postings", "tsvectors"), ("vectors", "tsvectors")]
+AGREEMENT_METHODS = ["tfidf", "bm25"]
+
+
+def _layout_agreement_sql() -> str:
+    """The vector layout ranks by the same definition as the postings; the text-search
+    layout by its lexemes, lengths and counts."""
+    ranked = ",\n".join(f"{layout}_{m} AS ({O.rank_sql(STANDARD_QUERIES, m, K, **args)})" for m in AGREEMENT_METHODS
+                        for layout, args in (("postings", {}), ("vectors", {}), ("tsvectors", TSV)))
+    rows = " UNION ALL ".join(f"""
+SELECT '{m}' AS method, '{x}' AS layout_a, '{y}' AS layout_b, coalesce(a.query_id, b.query_id) AS query_id,
+       coalesce(a.section_id = b.section_id, false) AS same
+FROM {x}_{m} a FULL OUTER JOIN {y}_{m} b ON a.query_id = b.query_id AND a.rank = b.rank"""
+                              for m in AGREEMENT_METHODS for x, y in LAYOUTS_COMPARED)
+    return f"""WITH {ranked}, j AS ({rows})
+SELECT method, layout_a, layout_b, CAST(query_id AS BIGINT) AS query_id, CAST(count(*) AS BIGINT) AS positions,
+       CAST(sum(CASE WHEN same THEN 0 ELSE 1 END) AS BIGINT) AS mismatches, bool_and(same) AS all_equal
+FROM j GROUP BY method, layout_a, layout_b, query_id"""
+
+
+@register("rank_agreement_layouts", _layout_agreement_sql())
+def rank_agreement_layouts(spark, sf_dir):
+    """The rankings of the three layouts position by position, each from its own
+    stored table."""
+    q, n = queries_of(spark), _vec_stats(spark, sf_dir)
+    out = None
+    for m in AGREEMENT_METHODS:
+        ranked = {"postings": R.rank(index(spark, sf_dir), q, m, K),
+                  "vectors": V.vec_rank(vectors(spark, sf_dir), q, *n, m, K),
+                  "tsvectors": R.rank(_tsv_index(spark, sf_dir), tsv_queries(spark), m, K, df_mode="sections")}
+        for x, y in LAYOUTS_COMPARED:
+            r = E.rank_agreement(ranked[x], ranked[y]).select(
+                F.lit(m).alias("method"), F.lit(x).alias("layout_a"), F.lit(y).alias("layout_b"),
+                F.col("query_id").cast("long"), F.col("positions").cast("long"),
+                F.col("mismatches").cast("long"), "all_equal")
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
 @register("section_count_check", "WITH " + O.corpus_ctes() + """,
 n AS (
   SELECT (SELECT count(*) FROM sections) AS a,

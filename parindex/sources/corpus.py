@@ -2,9 +2,8 @@
 
 * CSV without header, columns assigned by position as ``title, doc``; an
   optional first row to skip; multi-line quoted fields (documents hold
-  newlines).  Splittable on a cluster as long as ``multiLine`` is off; with
-  ``multiLine`` on each file is one task, so large corpora should come as
-  many files.
+  newlines).  Files are cut into records block by block (``sources.csv_blocks``), so one
+  large file is read by many tasks.
 * TSV passages ``pid, passage`` (one passage per line — splittable).
 * Parquet tables with ``doc_id, text`` (the test data).
 
@@ -20,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parindex.sources.csv_blocks import csv_records
+
 
 def with_row_ids(df: DataFrame, col: str = "doc_id") -> DataFrame:
     """Consecutive 0-based ids in input order: per-partition counts are
@@ -36,10 +37,10 @@ def with_row_ids(df: DataFrame, col: str = "doc_id") -> DataFrame:
 
 
 def read_csv_corpus(spark: SparkSession, path: str, skip_first: bool = False) -> DataFrame:
-    """``title, doc`` CSV (no header), optionally skipping the first row."""
-    raw = (spark.read.schema("title string, doc string").option("header", skip_first)
-           .option("multiLine", True).option("escape", '"').csv(path))
-    return with_row_ids(raw).select("doc_id", "title", "doc")
+    """``title, doc`` CSV (no header), optionally skipping each file's first row."""
+    fields = F.from_csv("text", "title string, doc string", {"escape": '"', "multiLine": "true"})
+    return csv_records(spark, path, skip_first).select(F.col("rec").alias("doc_id"), fields.alias("c")) \
+        .select("doc_id", "c.title", "c.doc")
 
 
 def read_tsv_passages(spark: SparkSession, path: str) -> DataFrame:
