@@ -123,7 +123,7 @@ def fill_layouts(corpus: DataFrame, path: str, sep: str = "\n", stop: str | list
 
     The text is read and tokenised once, into ``words/`` (per section its words and both lengths);
     from there come ``postings/`` (an index keyed by surface term, in equi-depth ranges),
-    ``vectors/`` and, from the stored postings, ``tsvectors/``.  Rows and checksum (bitwise exclusive or
+    ``vectors/`` and ``tsvectors/``.  Rows and checksum (bitwise exclusive or
     of the entries' keys) are observed while a table is written, so nothing is read again
     to count it; postings and vectors hold the same entries, so their checksums agree."""
     from parindex.operators import tsv as C
@@ -151,12 +151,13 @@ def fill_layouts(corpus: DataFrame, path: str, sep: str = "\n", stop: str | list
         "postings", rows, content_key(F.col("section_id"), F.col("stem"), _offsets(F.col("offsets")))))
 
     tokens = T.lemmatize(T.positions(stored, stop)).withColumn("num_words", F.lit(0))  # lengths come with the sections
-    vectors = V.section_vectors(tokens, sections)
+    vectors = V.index_vectors(D.TextIndex(sections=sections, tokens=tokens, postings=index.postings, words=stored,
+                                          analysis={"stop": stop, "lemma_rule": "s_stemmer"}))
     entries = F.arrays_zip("terms", "offsets")
     watched("vectors", vectors, _xor(F.transform(entries, lambda e: content_key(
         F.col("section_id"), e["terms"], _offsets(e["offsets"]))))).write.mode("overwrite").parquet(f"{path}/vectors")
 
-    lexemes = C.lexeme_index(store.read_index(spark, f"{path}/postings"))
+    lexemes = C.lexeme_index(index)
     watched("tsvectors", C.tsvector_table(lexemes), _xor(F.transform("tsv", lambda e: content_key(
         F.col("section_id"), e["lexeme"], _offsets(e["positions"]))))).write.mode("overwrite").parquet(f"{path}/tsvectors")
     return spark.createDataFrame([(layout, o.get["n"], o.get["checksum"] or 0) for layout, o in seen],
