@@ -136,9 +136,7 @@ def fill_layouts(corpus: DataFrame, path: str, sep: str = "\n", stop: str | list
         seen.append((layout, Observation(f"fill-{layout}")))
         return rows.observe(seen[-1][1], F.count(F.lit(1)).alias("n"), F.bit_xor(key).alias("checksum"))
 
-    words = T.split_sections(corpus, sep).select(
-        "section_id", "doc_id", tx.word_array(F.col("section"), True).alias("words"),
-        F.size(F.split("section", " ", -1)).alias("num_words_blank")).withColumn("num_words", F.size("words"))
+    words = T.stored_words(T.split_sections(corpus, sep))
     watched("sections", words, content_key(F.col("section_id"), F.col("num_words"))) \
         .write.mode("overwrite").parquet(f"{path}/words")
     stored = spark.read.schema(words.schema).parquet(f"{path}/words")
