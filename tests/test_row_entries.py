@@ -40,6 +40,22 @@ def test_vectors_are_not_shuffled(spark):
     assert "Exchange" not in V.index_vectors(ix)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_section_offsets_equal_grouped_postings(spark, corpus):
+    ix = D.build_index(corpus)
+    grouped = T.postings(ix.tokens).groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct("term", "offsets"))).alias("e"))
+    want = grouped.select("section_id", F.flatten(F.transform("e", lambda e: e["offsets"])).alias("offsets"))
+    assert rows(V.section_offsets(ix)) == rows(want)
+
+
+def test_concatenated_offsets_are_not_shuffled(spark, tmp_path):
+    from parindex.plans import catalog
+    spark.range(50).select(F.col("id").alias("doc_id"), F.lit("cats ran\ncats").alias("text")).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = catalog.SPARK["concat_agg"](spark, str(tmp_path))
+    assert got.count() == 100
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lexemes_equal_joined_terms(spark, corpus, tmp_path):
     surface = D.build_index(corpus, lemma_rule="none", length="blank")
     store.write_index(surface, str(tmp_path / "surface"))
