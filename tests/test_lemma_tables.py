@@ -58,3 +58,24 @@ def test_classes(spark, corpus):
     known = {"ran": "run", "mice": "mouse"}
     assert sorted(map(tuple, got.select("section_id", "offset", "term", "stem").collect())) == sorted(
         (r.section_id, r.offset, r.term, known.get(r.term, r.term)) for r in toks.collect())
+
+
+def test_tags_are_not_read_for_the_counts(spark):
+    """The tokens meet their tags once, in the result; lemmas that come twice, or are null, count as before."""
+    toks = spark.createDataFrame([(1, 1, "ran"), (1, 2, "mice"), (2, 1, "ran"), (2, 2, "cats"), (None, 1, "ran")],
+                                 "section_id long, offset int, term string")
+    read = spark.sparkContext.accumulator(0)
+
+    def tag(row):
+        read.add(1)
+        return row
+
+    tags = spark.createDataFrame(spark.sparkContext.parallelize(
+        [(1, 1, "VBD"), (1, 2, "NNS"), (2, 1, "JJ"), (2, 2, "NNS")]).map(tag), "section_id long, offset int, tag string")
+    table = spark.createDataFrame([("ran", "v", "run"), ("mice", "n", "mouse"), ("mice", "n", "mus"), ("cats", "n", None),
+                                   ("ran", "", "other")], "term string, pos string, lemma string")
+    got = T.lemmatize_pos(toks, tags, table)
+    assert read.value == 0
+    assert sorted(map(str, got.select("section_id", "offset", "term", "stem").collect())) == sorted(map(str, spark.createDataFrame(
+        [(1, 1, "ran", "run"), (1, 2, "mice", "mouse"), (1, 2, "mice", "mus"), (2, 1, "ran", "other"), (2, 2, "cats", "cats"),
+         (None, 1, "ran", "other")], "section_id long, offset int, term string, stem string").collect()))
